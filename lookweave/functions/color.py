@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
+from .text import let
 
 
 def _palette() -> Column:
@@ -56,35 +57,47 @@ def hex_color_name(code: Column) -> Column:
     """Colour name of a #rrggbb code."""
     match = F.lower(F.regexp_extract(F.coalesce(code, F.lit("")), r"^#?([0-9a-fA-F]{6})$", 1))
     channel = lambda at: F.conv(F.substring(match, at, 2), 16, 10).cast("double")
-    r, g, b = channel(1), channel(3), channel(5)
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
-    light, hue = (top + low) / 510, _hue(r, g, b)
-    grey = (F.when(light < 0.18, "블랙").when(light > 0.82, "화이트").when(light > 0.58, "라이트 그레이").otherwise("그레이"))
-    return (
-        F.when(match == "", F.lit(dims.MULTICOLOR))
-        .when(top - low < 22, grey)
-        .when(light < 0.24, F.when((hue >= 190) & (hue < 260), "네이비").otherwise("블랙"))
-        .when((hue < 15) | (hue >= 345), "레드")
-        .when(hue < 45, F.when(light < 0.45, "브라운").otherwise("베이지"))
-        .when(hue < 75, "베이지").when(hue < 165, "그린").when(hue < 195, "민트")
-        .when(hue < 255, F.when(light < 0.42, "네이비").otherwise("블루"))
-        .when(hue < 300, "퍼플").otherwise("핑크")
-    )
+    rgb = F.struct(*[channel(at).alias(k) for at, k in ((1, "r"), (3, "g"), (5, "b"))])
+
+    def measures(c: Column) -> Column:
+        top, low = F.greatest(c["r"], c["g"], c["b"]), F.least(c["r"], c["g"], c["b"])
+        return F.struct((top - low).alias("span"), ((top + low) / 510).alias("light"), _hue(c["r"], c["g"], c["b"]).alias("hue"))
+
+    def name(m: Column) -> Column:
+        span, light, hue = m["span"], m["light"], m["hue"]
+        grey = F.when(light < 0.18, "블랙").when(light > 0.82, "화이트").when(light > 0.58, "라이트 그레이").otherwise("그레이")
+        return (
+            F.when(span < 22, grey)
+            .when(light < 0.24, F.when((hue >= 190) & (hue < 260), "네이비").otherwise("블랙"))
+            .when((hue < 15) | (hue >= 345), "레드")
+            .when(hue < 45, F.when(light < 0.45, "브라운").otherwise("베이지"))
+            .when(hue < 75, "베이지").when(hue < 165, "그린").when(hue < 195, "민트")
+            .when(hue < 255, F.when(light < 0.42, "네이비").otherwise("블루"))
+            .when(hue < 300, "퍼플").otherwise("핑크")
+        )
+
+    return F.when(match == "", F.lit(dims.MULTICOLOR)).otherwise(let(let(rgb, measures), name))
 
 
 def rgb_color_name(r: Column, g: Column, b: Column) -> Column:
     """Colour name of an RGB triple (0..255) through its hue, saturation and value."""
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
-    value = top / 255.0
-    sat = F.when(top == 0, F.lit(0.0)).otherwise((top - low) / top)
-    hue = _hue(r, g, b)
-    grey = F.when(value < 0.20, "블랙").when(value > 0.84, "화이트").when(value > 0.62, "라이트 그레이").otherwise("그레이")
-    return (
-        F.when(sat < 0.12, grey)
-        .when(value < 0.22, F.when((hue >= 190) & (hue < 260), "네이비").otherwise("블랙"))
-        .when((hue < 15) | (hue >= 345), F.when((value < 0.62) | (sat < 0.45), "브라운").otherwise("레드"))
-        .when(hue < 45, F.when(value < 0.62, "브라운").otherwise("베이지"))
-        .when(hue < 75, "베이지").when(hue < 165, "그린").when(hue < 195, "민트")
-        .when(hue < 255, F.when(value < 0.48, "네이비").otherwise("블루"))
-        .when(hue < 300, "퍼플").otherwise("핑크")
-    )
+    def measures(c: Column) -> Column:
+        top, low = F.greatest(c["r"], c["g"], c["b"]), F.least(c["r"], c["g"], c["b"])
+        sat = F.when(top == 0, F.lit(0.0)).otherwise((top - low) / top)
+        return F.struct((top / 255.0).alias("value"), sat.alias("sat"), _hue(c["r"], c["g"], c["b"]).alias("hue"))
+
+    def name(m: Column) -> Column:
+        value, sat, hue = m["value"], m["sat"], m["hue"]
+        grey = F.when(value < 0.20, "블랙").when(value > 0.84, "화이트").when(value > 0.62, "라이트 그레이").otherwise("그레이")
+        return (
+            F.when(sat < 0.12, grey)
+            .when(value < 0.22, F.when((hue >= 190) & (hue < 260), "네이비").otherwise("블랙"))
+            .when((hue < 15) | (hue >= 345), F.when((value < 0.62) | (sat < 0.45), "브라운").otherwise("레드"))
+            .when(hue < 45, F.when(value < 0.62, "브라운").otherwise("베이지"))
+            .when(hue < 75, "베이지").when(hue < 165, "그린").when(hue < 195, "민트")
+            .when(hue < 255, F.when(value < 0.48, "네이비").otherwise("블루"))
+            .when(hue < 300, "퍼플").otherwise("핑크")
+        )
+
+    triple = F.struct(r.cast("double").alias("r"), g.cast("double").alias("g"), b.cast("double").alias("b"))
+    return let(let(triple, measures), name)

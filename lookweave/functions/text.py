@@ -34,10 +34,15 @@ def first_rule(text: Column, rules: Sequence[tuple[str, str]], default: Column |
 
 
 def lookup(key: Column, table: dict[str, str], default: Column | str | None) -> Column:
-    chain = None
-    for name, value in table.items():
-        chain = F.when(key == name, F.lit(value)) if chain is None else chain.when(key == name, F.lit(value))
-    return chain.otherwise(default if isinstance(default, Column) else F.lit(default))
+    """Value of ``key`` in a constant map; the key expression appears once."""
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    found = F.try_element_at(pairs, key)
+    return found if default is None else F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` over ``value`` evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def array_of(values: Sequence[str]) -> Column:

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["q_matching"]
+MODULES = ["q_matching", "q_catalog", "q_filters", "q_text"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
