@@ -19,7 +19,7 @@ def impute(measure: str, given: Column, gender: Column, height: Column, weight:
     women, men, slope = dims.IMPUTE[measure]
     share = F.when(gender == "women", F.lit(women)).otherwise(F.lit(men))
     estimate = height * share + (bmi(height, weight) - dims.BMI_CENTRE) * slope
-    return F.coalesce(F.nullif(given, F.lit(0.0)), F.round(estimate, 1))
+    return F.coalesce(F.nullif(given, F.lit(0.0)), F.bround(estimate, 1))
 
 
 def build_class(value: Column) -> Column:

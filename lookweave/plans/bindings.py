@@ -31,39 +31,35 @@ def _case(key: str, table: dict[str, str], default: str = "NULL") -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {default} END"
 
 
-def _noun() -> str:
-    rows = []
-    for category, nouns in NOUNS.items():
-        rows.append(f"WHEN '{category}' THEN " + _case("kind", dict(zip(KINDS, nouns))))
-    return "CASE category " + " ".join(rows) + " END"
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
 
 
-_KIND_NO = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
+_COLOR_ROWS = _values(list(COLORS.items()))
+_NOUN_ROWS = _values([(c, k, i, n) for c, nouns in NOUNS.items() for i, (k, n) in enumerate(zip(KINDS, nouns))])
 
 SHARED: dict[str, str] = {
     # Wardrobe items from the whole part table.
     "item_v": f"""
-SELECT id, category, color, kind, noun, concat_ws(' ', color, fit_word, noun) AS name, gender, worn, user_added, source_rank,
-  CASE WHEN user_added THEN kind_no % 5 END AS vec, brand, price, size, deleted
-FROM (SELECT *, {_noun()} AS noun FROM (
-  SELECT *, {_KIND_NO} AS kind_no,
-    CASE kind WHEN 'ring' THEN 'women' WHEN 'bolt' THEN 'men' ELSE 'all' END AS gender
-  FROM (
-    SELECT p_partkey AS id, {_case("split_part(p_name, ' ', 1)", COLORS)} AS color, split_part(p_name, ' ', 2) AS kind,
-      {_case("p_type", TYPES, "CASE WHEN p_size % 2 = 0 THEN '가방' ELSE '원피스' END")} AS category,
-      CASE p_size % 3 WHEN 0 THEN '와이드' WHEN 1 THEN '오버핏' END AS fit_word,
-      p_size % 13 AS worn, p_brand IN ('Brand#1', 'Brand#2') AS user_added, p_brand = 'Brand#25' AS deleted,
-      CASE WHEN p_size < 50 THEN p_size END AS source_rank, p_brand AS brand, p_retailprice AS price, p_size AS size
-    FROM part)))""",
+SELECT p.id, p.category, c.color, p.kind, n.noun, concat_ws(' ', c.color, p.fit_word, n.noun) AS name,
+  CASE p.kind WHEN 'ring' THEN 'women' WHEN 'bolt' THEN 'men' ELSE 'all' END AS gender, p.worn, p.user_added, p.source_rank,
+  n.kind_no % 5 AS kind_vec, CASE WHEN p.user_added THEN n.kind_no % 5 END AS vec, p.brand, p.price, p.size, p.deleted
+FROM (
+  SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS shade, split_part(p_name, ' ', 2) AS kind,
+    {_case("p_type", TYPES, "CASE WHEN p_size % 2 = 0 THEN '가방' ELSE '원피스' END")} AS category,
+    CASE p_size % 3 WHEN 0 THEN '와이드' WHEN 1 THEN '오버핏' END AS fit_word,
+    p_size % 13 AS worn, p_brand IN ('Brand#1', 'Brand#2') AS user_added, p_brand = 'Brand#25' AS deleted,
+    CASE WHEN p_size < 50 THEN p_size END AS source_rank, p_brand AS brand, p_retailprice AS price, p_size AS size
+  FROM part) p
+JOIN {_COLOR_ROWS} AS c(shade, color) ON c.shade = p.shade
+JOIN {_NOUN_ROWS} AS n(category, kind, kind_no, noun) ON n.category = p.category AND n.kind = p.kind""",
     # Look requirements from every order line.
     "req_v": """
 SELECT l.l_orderkey AS look, CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS INT) AS pos,
   i.id AS part, i.category, i.name, i.color, CASE WHEN l.l_returnflag = 'R' THEN concat(i.color, ' 베이지') ELSE i.color END AS colors,
   CASE WHEN l.l_returnflag = 'A' THEN i.kind_vec END AS vec,
   CASE WHEN l.l_orderkey % 2 = 0 THEN 'women' ELSE 'men' END AS gender, 1 - l.l_tax * 6 AS confidence
-FROM lineitem l JOIN (SELECT id, category, name, color, kind_vec FROM (SELECT *, """
-    + "CASE kind " + " ".join(f"WHEN '{k}' THEN {i % 5}" for i, k in enumerate(KINDS)) + " END"
-    + """ AS kind_vec FROM item_v)) i ON i.id = l.l_partkey""",
+FROM lineitem l JOIN item_v i ON i.id = l.l_partkey""",
     # Looks (one per order) with their body ranges.
     "look_v": """
 SELECT o_orderkey AS id, o_custkey AS person, CASE WHEN o_orderkey % 2 = 0 THEN 'women' ELSE 'men' END AS gender,
