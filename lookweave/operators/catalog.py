@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import pad3
 from .ranking import first_per, number_rows, top_k
 
 
@@ -51,3 +52,24 @@ def overlay_merge(base: DataFrame, stored: DataFrame, tombstones: DataFrame, key
 def dense_renumber(rows: DataFrame, order: list[Column]) -> DataFrame:
     """1, 2, 3 … over all rows in the given order."""
     return number_rows(rows, order, "rank")
+
+
+def apply_overrides(items: DataFrame, fixes: DataFrame, subcategory: str) -> DataFrame:
+    """Category corrections joined on the number in the image name; changed rows get a new subcategory and name.
+
+    ``fixes``: (number, fixed).
+    """
+    c = F.col
+    numbered = items.withColumn("number", F.regexp_extract("image", r"look-(\d+)", 1).cast("long"))
+    joined = numbered.join(fixes, "number", "left").withColumn("_category", F.coalesce("fixed", "category"))
+    changed = c("_category") != c("category")
+    return joined.select(
+        *[n for n in items.columns if n not in ("category", "name", "subcategory")], changed.alias("changed"),
+        F.when(~changed, c(subcategory)).when(c("fixed") == "아우터", "재킷·가디건").otherwise(c("fixed")).alias("subcategory"),
+        F.concat_ws(" ", "color", "_category", pad3(c("id"))).alias("name"), c("_category").alias("category"))
+
+
+def backfill(pieces: DataFrame, refined: DataFrame, keys: list[str], order: str, image: str, vector: str) -> DataFrame:
+    """Latest refined image per key joined to the pieces; a new image makes the stored vector stale."""
+    last = refined.groupBy(*keys).agg(F.max_by(image, order).alias(image))
+    return pieces.join(last, keys, "left").withColumn(vector, F.when(F.col(image).isNull(), F.col(vector)))
