@@ -95,7 +95,7 @@ FROM customer""",
     # Judge verdicts: one evaluated case per document.
     "verdict_v": """
 SELECT d.doc_id AS id, CASE WHEN d.doc_id % 2 = 0 THEN 'before' ELSE 'after' END AS run, l.quality = 1 AS layering_ok,
-  l.toxic = 0 AS identity_ok, d.n_chars % 3 = 0 AS accessories_ok, d.n_chars % 4 AS artifacts, d.n_chars / 1000.0 AS seconds
+  l.toxic = 0 AS identity_ok, d.n_chars % 3 = 0 AS accessories_ok, d.n_chars % 4 AS artifacts, CAST(d.n_chars AS DOUBLE) / 1000 AS seconds
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
     # Feedback, saves, deletes and requests from every event.
     "fb_v": """
