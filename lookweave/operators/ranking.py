@@ -41,3 +41,32 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, n
 def first_per(df: DataFrame, keys: Sequence[str], by: Column, values: Sequence[str]) -> DataFrame:
     """Row with the smallest ``by`` per key, as a plain aggregate (hot keys combine before the shuffle)."""
     return df.groupBy(*keys).agg(F.min_by(F.struct(*values), by).alias("_v")).select(*keys, "_v.*")
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Sequence[str]) -> DataFrame:
+    """Every row with the ``values`` of the row before it within ``keys`` as ``prev_*``, and its overall position ``n``.
+
+    Rows meet on their position, which is spread evenly, instead of in one window per key.
+    """
+    numbered = materialize(number_rows(df, [*[F.col(k) for k in keys], *order], "n"))
+    names = [*keys, *values]
+    before = numbered.select((F.col("n") + 1).alias("n"), *[F.col(v).alias(f"prev_{v}") for v in names])
+    joined = numbered.join(before, "n", "left")
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"prev_{k}"))
+    return joined.withColumns({f"prev_{v}": F.when(same, F.col(f"prev_{v}")) for v in names})
+
+
+def last_marked(df: DataFrame, position: str, marked: Column, name: str, chunk: int = 100_000) -> DataFrame:
+    """Position of the last marked row at or before every row, over the whole order.
+
+    Positions are cut into chunks; a chunk inherits the last mark of the chunks before it
+    from a table with one row per chunk.
+    """
+    rows = df.withColumns({"_mark": F.when(marked, F.col(position)), "_chunk": F.floor(F.col(position) / chunk)})
+    tops = rows.groupBy("_chunk").agg(F.max("_mark").alias("_top"))
+    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select("_chunk", F.max("_top").over(earlier).alias("_carry"))
+    inside = Window.partitionBy("_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(carried, "_chunk").withColumn(name, F.coalesce(F.max("_mark").over(inside), "_carry")).drop("_mark", "_chunk", "_carry")

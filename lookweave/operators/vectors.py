@@ -130,3 +130,40 @@ def encode_plan(missing: DataFrame, key: str = "id", size: int = dims.EMBED_BATC
 def encode(batches: DataFrame, encoder, schema: str) -> DataFrame:
     """Run a pluggable encoder (an iterator of pandas frames) over the planned items."""
     return batches.mapInPandas(encoder, schema)
+
+
+def best_pieces(items: DataFrame, pieces: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """The ``k`` pieces closest to every item: (id, piece, cosine, rank).
+
+    A bounded set of pieces travels to the items, where an item's ranking is complete at
+    once.  A larger set goes through the grid of :func:`top_similar`.
+    """
+    renamed = pieces.select(F.col("piece").alias("id"), "family", "vector")
+    head = renamed.limit(block + 1).toPandas()
+    if len(head) > block:
+        found = top_similar(items.select(F.col("id").alias("query"), "family", "vector"), renamed, k, block)
+        return found.select(F.col("query").alias("id"), F.col("id").alias("piece"), "cosine", "rank")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for family, part in frame.groupby("family"):
+                top = _block_top(part.rename(columns={"id": "query"}), head[head["family"] == family], k)
+                top["rank"] = top.groupby("query").cumcount() + 1
+                yield top.rename(columns={"id": "piece", "query": "id"})[["id", "piece", "cosine", "rank"]]
+
+    return items.select("id", "family", "vector").mapInPandas(run, "id long, piece long, cosine double, rank int")
+
+
+def relink(best: DataFrame) -> DataFrame:
+    """Items whose best piece is close enough and clearly ahead of the second one."""
+    s = dims.SIM
+    at = lambda rank, value: F.max(F.when(F.col("rank") == rank, F.col(value)))
+    rows = best.groupBy("id").agg(at(1, "piece").alias("piece"), at(1, "cosine").alias("_c1"), at(2, "cosine").alias("_c2"))
+    scored = rows.select("id", "piece", F.round((F.col("_c1") + 1) / 2, 9).alias("best"), F.round(F.coalesce((F.col("_c1") - F.col("_c2")) / 2, F.lit(1.0)), 9).alias("gap"))
+    return scored.where((F.col("best") >= s["relink_best"]) & (F.col("gap") >= s["relink_gap"])).withColumn("takes_category", F.col("best") >= s["relink_category"])
+
+
+def stale(stored: DataFrame, replaced: DataFrame, version: int) -> DataFrame:
+    """Mark vectors whose image was replaced or whose analysis version is another one."""
+    marked = stored.join(replaced.distinct().withColumn("_r", F.lit(True)), "id", "left")
+    return marked.withColumn("state", F.when(F.col("_r"), "replaced image").when(F.col("version") != version, "old version").otherwise("valid")).drop("_r")

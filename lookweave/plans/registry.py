@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["q_matching", "q_catalog", "q_filters", "q_text", "q_layers", "q_body", "q_joins", "q_aggregates", "q_dedupe", "q_ranking", "q_masks"]
+MODULES = ["q_matching", "q_catalog", "q_filters", "q_text", "q_layers", "q_body", "q_joins", "q_aggregates", "q_dedupe", "q_ranking", "q_masks", "q_vectors", "q_events"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
