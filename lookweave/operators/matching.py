@@ -18,7 +18,7 @@ from .. import dims
 from ..functions.color import palette_in, palette_similarity
 from ..functions.rules import canonical_form, seed_attributes
 from ..functions.similarity import forms_agree, set_similarity, subtype_agrees, total_similarity, visual_score
-from ..functions.text import tokens
+from ..functions.text import known_colors, tokens
 from ..session import materialize
 
 S = dims.SIM
@@ -26,116 +26,99 @@ TOP = S["top"]
 GROUP_POSITIONS = 12  # looks with more contested requirements take the set-at-a-time path
 
 
+_ITEM_TEXT = ["category", "name", "color"]
+_REQ_TEXT = ["r_category", "r_name", "r_color", "r_colors"]
+_NO_VECTOR = -1
+
+
 def item_texts(items: DataFrame) -> DataFrame:
-    """Distinct (category, name, color) of items with everything the text score needs."""
-    t = seed_attributes(items.select("category", "name", "color").distinct())
+    """Distinct (category, name, color) of items with the texts each part of the score looks at."""
+    t = seed_attributes(items.select(*_ITEM_TEXT).distinct())
+    words = lambda *parts: F.array_join(tokens(F.concat_ws(" ", *parts)), " ")
     return t.select(
-        "category", "name", "color",
-        palette_in(F.concat_ws(" ", "color", "name", "primary_color")).alias("palette"),
-        tokens(F.concat_ws(" ", "material", "texture", "name")).alias("material_tokens"),
-        tokens(F.concat_ws(" ", "fit", "silhouette", "name")).alias("fit_tokens"),
-        tokens(F.concat_ws(" ", "subcategory", "pattern", "finish", F.array_join("construction", " "), "name")).alias("detail_tokens"),
-        canonical_form(F.col("sleeve_length"), F.col("category")).alias("sleeve_form"),
-        canonical_form(F.col("length"), F.col("category")).alias("length_form"),
-        F.concat_ws(" ", "subcategory", "neckline", F.array_join("construction", " ")).alias("kind_text"),
-    )
+        *_ITEM_TEXT, F.array_join(known_colors(F.concat_ws(" ", "color", "name", "primary_color")), " ").alias("palette"),
+        words("material", "texture", "name").alias("material_words"), words("fit", "silhouette", "name").alias("fit_words"),
+        words("subcategory", "pattern", "finish", F.array_join("construction", " "), "name").alias("detail_words"),
+        F.struct(canonical_form(F.col("sleeve_length"), F.col("category")).alias("sleeve"),
+                 canonical_form(F.col("length"), F.col("category")).alias("length"),
+                 F.concat_ws(" ", "subcategory", "neckline", F.array_join("construction", " ")).alias("kind")).alias("form"))
 
 
 def requirement_texts(requirements: DataFrame) -> DataFrame:
-    """Distinct (category, name, color, colors) of requirements with what the score needs."""
+    """Distinct (category, name, color, colors) of requirements with the texts the score looks at."""
     t = seed_attributes(requirements.select("category", "name", "color", "colors").distinct())
+    words = lambda part: F.array_join(tokens(F.col(part)), " ")
     return t.select(
         F.col("category").alias("r_category"), F.col("name").alias("r_name"), F.col("color").alias("r_color"),
-        F.col("colors").alias("r_colors"), palette_in(F.col("colors")).alias("r_palette"),
-        tokens(F.col("material")).alias("r_materials"), tokens(F.col("fit")).alias("r_fits"),
-        tokens(F.col("subcategory")).alias("r_details"),
-        canonical_form(F.col("sleeve_length"), F.col("category")).alias("r_sleeve"),
-        canonical_form(F.col("length"), F.col("category")).alias("r_length"),
-        F.concat_ws(" ", "subcategory", "neckline", "subcategory").alias("r_kind"),
-    )
+        F.col("colors").alias("r_colors"), F.array_join(known_colors(F.col("colors")), " ").alias("r_palette"),
+        words("material").alias("r_materials"), words("fit").alias("r_fits"), words("subcategory").alias("r_details"),
+        F.struct(canonical_form(F.col("sleeve_length"), F.col("category")).alias("sleeve"),
+                 canonical_form(F.col("length"), F.col("category")).alias("length"),
+                 F.concat_ws(" ", "subcategory", "neckline", "subcategory").alias("kind")).alias("r_form"))
 
 
-def spread(texts: DataFrame) -> DataFrame:
-    """Spread a small text table over all cores: each of its rows meets many others."""
-    return texts.repartition(2 * texts.sparkSession.sparkContext.defaultParallelism)
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Written once, so that the ids stay the same wherever the table is joined."""
+    return materialize(rows.withColumn(name, F.monotonically_increasing_id()))
 
 
-def text_scores(pairs: DataFrame) -> DataFrame:
-    """Colour, material, fit and detail scores and the type gate of joined text rows."""
-    c = F.col
-    return pairs.select(
-        "category", "name", "color", "r_category", "r_name", "r_color", "r_colors",
-        palette_similarity(c("palette"), c("r_palette")).alias("color_sim"),
-        set_similarity(c("material_tokens"), c("r_materials"), dims.MATERIAL_GROUPS).alias("material_sim"),
-        set_similarity(c("fit_tokens"), c("r_fits"), dims.FIT_GROUPS).alias("fit_sim"),
-        set_similarity(c("detail_tokens"), c("r_details")).alias("detail_sim"),
-        (~(forms_agree(c("sleeve_form"), c("r_sleeve")) & forms_agree(c("length_form"), c("r_length"))
-           & subtype_agrees(c("kind_text"), c("r_kind")))).alias("type_conflict"),
-    )
+def text_scores(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Colour, material, fit and detail scores and the type gate of (tid, rid) pairs.
 
+    Each part looks at a few attributes, so it is scored once per distinct pair of their
+    values and joined back.
+    """
+    sets = lambda groups: lambda a, b: set_similarity(tokens(a), tokens(b), groups)
+    conflict = lambda a, b: ~(forms_agree(a["sleeve"], b["sleeve"]) & forms_agree(a["length"], b["length"]) & subtype_agrees(a["kind"], b["kind"]))
+    parts = [
+        ("palette", "r_palette", "color_sim", lambda a, b: palette_similarity(palette_in(a), palette_in(b))),
+        ("material_words", "r_materials", "material_sim", sets(dims.MATERIAL_GROUPS)),
+        ("fit_words", "r_fits", "fit_sim", sets(dims.FIT_GROUPS)),
+        ("detail_words", "r_details", "detail_sim", sets(())),
+        ("form", "r_form", "type_conflict", conflict),
+    ]
+    texts = (pairs.join(left.select("tid", *[p[0] for p in parts]), "tid").join(right.select("rid", *[p[1] for p in parts]), "rid"))
+    out = texts
+    for a, b, name, value in parts:
+        known = texts.select(a, b).distinct().withColumn(name, value(F.col(a), F.col(b)))
+        out = out.join(known, [a, b])
+    return out.drop(*[p[0] for p in parts], *[p[1] for p in parts])
+
+
+def text_score_table(left: DataFrame, right: DataFrame, groups: DataFrame, wanted: DataFrame, cosines: DataFrame) -> DataFrame:
+    """Scores of every text pair that can meet: one category, or an upload with a near-identical picture.
 
-_TEXT_KEYS = ["category", "name", "color", "r_category", "r_name", "r_color", "r_colors"]
-_REQ_KEYS = ["r_category", "r_name", "r_color", "r_colors", "r_vec", "r_gender"]
+    Its size follows the vocabulary of names, so it is written once and joined twice.
+    """
+    met = left.select("tid", "category").join(right.select("rid", "r_category"), F.col("category") == F.col("r_category")).select("tid", "rid")
+    near = cosines.where((F.col("cosine") + 1) / 2 >= S["category_gate"]).select("vec", "r_vec")
+    crossed = (groups.where("user_added").select("tid", "category", "vec").join(near, "vec").join(wanted.select("rid", "r_category", "r_vec"), "r_vec")
+               .where(F.col("category") != F.col("r_category")).select("tid", "rid").distinct())
+    return materialize(text_scores(materialize(met.unionByName(crossed)), left, right))
 
 
-def _score(groups: DataFrame, direct: bool) -> DataFrame:
-    """Final similarity and the keep rule for (item group, requirement group) rows."""
+def _score(pairs: DataFrame, direct: bool) -> DataFrame:
+    """Final similarity and the keep rule for pairs of an item group and a requirement group.
+
+    Pairs of one category pass freely; other pairs need an upload and a visual score of .95.
+    """
     c = F.col
     comparable = c("cosine").isNotNull()
     same = c("category") == c("r_category")
     visual = visual_score(c("cosine"))
     total = total_similarity(c("color_sim"), c("material_sim"), c("fit_sim"), c("detail_sim"), visual, comparable, same, F.lit(direct))
-    passes = (same | (comparable & (visual >= S["category_gate"]))) & (
+    allowed = c("user_added") | (c("gender") == "all") | (c("gender") == c("r_gender"))
+    passes = allowed & (same | (c("user_added") & comparable & (visual >= S["category_gate"]))) & (
         ~c("type_conflict") | F.lit(direct) | (comparable & (visual >= S["type_gate"])))
-    scored = groups.withColumns({"visual": visual, "similarity": total}).where(passes)
+    scored = pairs.withColumns({"visual": visual, "similarity": total}).where(passes)
     if direct:
         return scored
     return scored.where((c("similarity") >= S["keep"]) | (visual >= S["keep_visual"])
                         | (c("user_added") & (c("similarity") >= S["keep_user"])))
 
 
-def _gender_ok() -> "F.Column":
-    return F.col("user_added") | (F.col("gender") == "all") | (F.col("gender") == F.col("r_gender"))
-
-
-def text_score_table(items: DataFrame, req_groups: DataFrame, cosines: DataFrame) -> DataFrame:
-    """Scores of every text pair that can meet: one category, or an upload with a near-identical picture.
-
-    Its size follows the vocabulary of names, so it is written once and joined three times.
-    """
-    requirements = req_groups.select(*[F.col(k).alias(k.removeprefix("r_")) for k in _REQ_KEYS])
-    left, right = item_texts(items), spread(requirement_texts(requirements))
-    near = cosines.where((F.col("cosine") + 1) / 2 >= S["category_gate"])
-    crossed = (items.where("user_added").select("category", "name", "color", "vec").distinct().join(near, "vec")
-               .join(req_groups, "r_vec").where(F.col("category") != F.col("r_category")).select(*_TEXT_KEYS).distinct())
-    keys = ["r_category", "r_name", "r_color", "r_colors"]
-    met = left.select("category", "name", "color").join(right.select(*keys), F.col("category") == F.col("r_category"))
-    pairs = met.unionByName(crossed)
-    return materialize(text_scores(pairs.join(left, ["category", "name", "color"]).join(right, keys)))
-
-
-def candidate_groups(items: DataFrame, req_groups: DataFrame, cosines: DataFrame, scores: DataFrame) -> DataFrame:
-    """Item groups against requirement groups with their text scores and cosine.
-
-    ``cosines`` holds (vec, r_vec, cosine) of comparable vector pairs.  Same-category pairs
-    come from an equi-join on category; pairs of other categories only survive at a visual
-    score of .95, so they come from an equi-join on such vector pairs.  The two are disjoint.
-    """
-    item_groups = items.select("category", "name", "color", "gender", "user_added", "vec").distinct()
-    near = cosines.where((F.col("cosine") + 1) / 2 >= S["category_gate"])
-    same = (item_groups.join(spread(req_groups), (F.col("category") == F.col("r_category")) & _gender_ok())
-            .join(cosines, ["vec", "r_vec"], "left"))
-    other = (item_groups.where("user_added").join(near, "vec").join(req_groups, "r_vec")
-             .where(F.col("category") != F.col("r_category")))
-    return same.unionByName(other.select(*same.columns)).join(scores, _TEXT_KEYS)
-
-
-def _item_order() -> list:
-    return [F.coalesce(F.col("source_rank"), F.lit(999)), F.col("item")]
-
-
 def _best_first() -> list:
-    return [F.desc("similarity"), F.desc("color_sim"), F.desc("user_added"), *_item_order()]
+    return [F.desc("similarity"), F.desc("color_sim"), F.desc("user_added"), F.col("source_rank"), F.col("item")]
 
 
 def candidates(items: DataFrame, requirements: DataFrame, cosines: DataFrame, references: DataFrame) -> DataFrame:
@@ -144,63 +127,56 @@ def candidates(items: DataFrame, requirements: DataFrame, cosines: DataFrame, re
     ``items``: id, category, name, color, gender, user_added, vec, source_rank, deleted.
     ``requirements``: look, pos, category, name, color, colors, vec, gender.
     ``references``: (item, look) pairs of items cut from a look.
+    ``cosines``: (vec, r_vec, cosine) of comparable vectors.
     """
-    visible = items.where(~F.coalesce(F.col("deleted"), F.lit(False)))
-    rows = materialize(requirements.select("look", "pos", *[F.col(k.removeprefix("r_")).alias(k) for k in _REQ_KEYS]))
-    asked = rows.drop("pos").distinct()
-    req_groups = rows.drop("look", "pos").distinct()
-    scores = text_score_table(visible, req_groups, cosines)
-    pairs = candidate_groups(visible, req_groups, cosines, scores)
-    group = ["category", "name", "color", "gender", "user_added", "vec"]
-    scored = _score(pairs, direct=False)
-    by_req = Window.partitionBy(*_REQ_KEYS).orderBy(F.desc("similarity"), F.desc("color_sim"), F.desc("user_added"))
+    c = F.col
+    vec = F.coalesce("vec", F.lit(_NO_VECTOR))
+    visible = items.where(~F.coalesce(c("deleted"), F.lit(False))).select(
+        c("id").alias("item"), *_ITEM_TEXT, "gender", "user_added", vec.alias("vec"), F.coalesce("source_rank", F.lit(999)).alias("source_rank"))
+    asked = requirements.select("look", "pos", *[c(k.removeprefix("r_")).alias(k) for k in _REQ_TEXT], vec.alias("r_vec"), c("gender").alias("r_gender"))
+
+    left, right = _numbered(item_texts(visible), "tid"), _numbered(requirement_texts(requirements), "rid")
+    own = visible.join(left.select("tid", *_ITEM_TEXT), _ITEM_TEXT).drop("name", "color")
+    group = ["tid", "category", "gender", "user_added", "vec"]
+    groups = own.select(*group).distinct()
+    wanted = _numbered(asked.select(*_REQ_TEXT, "r_vec", "r_gender").distinct().join(right.select("rid", *_REQ_TEXT), _REQ_TEXT), "qid")
+    rows = materialize(asked.join(wanted.select("qid", *_REQ_TEXT, "r_vec", "r_gender"), [*_REQ_TEXT, "r_vec", "r_gender"]).select("look", "pos", "qid"))
+    wanted = wanted.select("qid", "rid", "r_category", "r_vec", "r_gender")
+    scores = text_score_table(left, right, groups, wanted, cosines)
+
+    pairs = scores.join(groups, "tid").join(wanted, "rid").join(cosines, ["vec", "r_vec"], "left")
     # A group with eight better groups ahead cannot reach the list: each holds an item.
-    short = scored.withColumn("group_rank", F.rank().over(by_req)).where(F.col("group_rank") <= TOP).drop("group_rank")
-    in_group = Window.partitionBy(*group).orderBy(*_item_order())
-    leaders = (visible.select(F.col("id").alias("item"), "source_rank", *group)
-               .withColumn("n", F.row_number().over(in_group)).where(F.col("n") <= TOP).drop("n"))
-    on = [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in group]
-    condition = on[0]
-    for part in on[1:]:
-        condition = condition & part
-    expanded = short.alias("s").join(leaders.alias("m"), condition).select(
-        *_REQ_KEYS, "m.item", "m.source_rank", "s.user_added", "s.similarity", "s.color_sim", "s.visual")
-    listed = (expanded.withColumn("n", F.row_number().over(Window.partitionBy(*_REQ_KEYS).orderBy(*_best_first())))
-              .where(F.col("n") <= TOP).drop("n"))
-
-    # One entry per look and requirement group; rows of one group share the list.
-    direct = direct_candidates(asked, visible, references, cosines, scores)
-    same_req = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in _REQ_KEYS]
-    match = same_req[0]
-    for part in same_req[1:]:
-        match = match & part
+    by_group = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.desc("color_sim"), F.desc("user_added"))
+    short = _score(pairs, direct=False).withColumn("at", F.rank().over(by_group)).where(c("at") <= TOP)
+    in_group = Window.partitionBy(*group).orderBy("source_rank", "item")
+    leaders = own.withColumn("n", F.row_number().over(in_group)).where(c("n") <= TOP).drop("n")
     value = ["item", "source_rank", "user_added", "similarity", "color_sim", "visual"]
-    plain = asked.alias("a").join(listed.alias("b"), match).select("a.look", *[f"a.{k}" for k in _REQ_KEYS], *value)
-    keys = ["look", *_REQ_KEYS]
+    ranked = Window.partitionBy("qid").orderBy(*_best_first())
+    listed = materialize(short.join(leaders, group).select("qid", "r_category", *value)
+                         .withColumn("rank", F.row_number().over(ranked)).where(c("rank") <= TOP))
+
+    # Only looks with items cut from them deviate from the list of their requirement group.
+    direct = direct_candidates(rows, own, references, scores, wanted, cosines)
+    special = materialize(direct)
+    touched = special.select("look", "qid").distinct()
+    plain = touched.join(listed, "qid").select("look", "qid", "r_category", *value, F.lit(False).alias("direct"))
     # A direct reference never scores below the plain pair, so it replaces it.
-    merged = (plain.withColumn("direct", F.lit(False)).unionByName(direct.withColumn("direct", F.lit(True)))
-              .groupBy(*keys, "item")
-              .agg(F.max_by(F.struct("source_rank", "user_added", "similarity", "color_sim", "visual", "direct"), F.col("direct")).alias("v"))
-              .select(*keys, "item", "v.*"))
-    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*_best_first()))).where(F.col("rank") <= TOP)
-    join = F.col("a.look") == F.col("b.look")
-    for part in same_req:
-        join = join & part
-    return rows.alias("a").join(ranked.alias("b"), join).select(
-        "a.look", "a.pos", F.col("a.r_category").alias("category"), "b.item", "b.similarity",
-        F.round("b.color_sim", 9).alias("color_sim"), F.round("b.visual", 9).alias("visual"), "b.direct", "b.user_added", "b.rank")
-
-
-def direct_candidates(asked: DataFrame, visible: DataFrame, references: DataFrame, cosines: DataFrame, scores: DataFrame) -> DataFrame:
+    merged = plain.unionByName(special.withColumn("direct", F.lit(True))).groupBy("look", "qid", "r_category", "item").agg(
+        F.max_by(F.struct(*value[1:], "direct"), c("direct")).alias("v")).select("look", "qid", "r_category", "item", "v.*")
+    in_look = Window.partitionBy("look", "qid").orderBy(*_best_first())
+    mixed = merged.withColumn("rank", F.row_number().over(in_look)).where(c("rank") <= TOP)
+    usual = rows.join(touched, ["look", "qid"], "left_anti").join(listed, "qid").withColumn("direct", F.lit(False))
+    result = usual.unionByName(rows.join(mixed, ["look", "qid"]).select(*usual.columns))
+    return result.select("look", "pos", c("r_category").alias("category"), "item", "similarity", F.round("color_sim", 9).alias("color_sim"),
+                         F.round("visual", 9).alias("visual"), "direct", "user_added", "rank")
+
+
+def direct_candidates(rows: DataFrame, own: DataFrame, references: DataFrame, scores: DataFrame, wanted: DataFrame, cosines: DataFrame) -> DataFrame:
     """Pairs of a look's requirement groups with the items cut from that look."""
-    linked = references.join(visible.withColumnRenamed("id", "item"), "item").select(
-        "look", "item", "source_rank", "category", "name", "color", "gender", "user_added", "vec")
-    near = F.coalesce((F.col("cosine") + 1) / 2, F.lit(0.0)) >= S["category_gate"]
-    pairs = (asked.join(linked, "look").where(_gender_ok())
-             .join(cosines, ["vec", "r_vec"], "left")
-             .where((F.col("category") == F.col("r_category")) | near))
-    return _score(pairs.join(scores, _TEXT_KEYS), direct=True).select(
-        "look", *_REQ_KEYS, "item", "source_rank", "user_added", "similarity", "color_sim", "visual")
+    linked = references.join(own, "item")
+    pairs = (rows.select("look", "qid").distinct().join(linked, "look").join(wanted, "qid")
+             .join(scores, ["tid", "rid"]).join(cosines, ["vec", "r_vec"], "left"))
+    return _score(pairs, direct=True).select("look", "qid", "r_category", "item", "source_rank", "user_added", "similarity", "color_sim", "visual")
 
 
 # ---- one-to-one assignment ---------------------------------------------------------------

@@ -287,9 +287,10 @@ def garment_similarity(spark, sf):
     """Score of every distinct item text against every distinct requirement text of its category."""
     from ..functions.similarity import total_similarity
 
-    left = matching.item_texts(view(spark, sf, "item_v"))
-    right = matching.spread(matching.requirement_texts(view(spark, sf, "req_v")))
-    s = matching.text_scores(left.join(right, F.col("category") == F.col("r_category")))
+    left = matching._numbered(matching.item_texts(view(spark, sf, "item_v")), "tid")
+    right = matching._numbered(matching.requirement_texts(view(spark, sf, "req_v")), "rid")
+    met = left.select("tid", "category", "name", "color").join(right.select("rid", "r_category", "r_name", "r_colors"), F.col("category") == F.col("r_category"))
+    s = met.join(matching.text_scores(met.select("tid", "rid"), left, right), ["tid", "rid"])
     c, no = F.col, F.lit(False)
     total = total_similarity(c("color_sim"), c("material_sim"), c("fit_sim"), c("detail_sim"), F.lit(S["unknown_visual"]), no, F.lit(True), no)
     return s.select("category", "name", "color", "r_name", "r_colors", F.round("color_sim", 9).alias("color_sim"), "material_sim", "fit_sim",
@@ -309,7 +310,7 @@ def color_similarity_q(spark, sf):
 SELECT category, name, color, {sql_set_similarity('d_tok', sql_tokens("'데님 와이드 재킷'"))} AS denim_score FROM itx_v""")
 def set_similarity_q(spark, sf):
     texts = matching.item_texts(view(spark, sf, "item_v"))
-    return texts.select("category", "name", "color", set_similarity(F.col("detail_tokens"), tokens(F.lit("데님 와이드 재킷"))).alias("denim_score"))
+    return texts.select("category", "name", "color", set_similarity(tokens(F.col("detail_words")), tokens(F.lit("데님 와이드 재킷"))).alias("denim_score"))
 
 
 @query("canonical_form", f"SELECT category, name, color, {_form('sleeve_length')} AS sleeve_form, {_form('length')} AS length_form FROM attr_v")
