@@ -98,9 +98,9 @@ def _grid(q: DataFrame, v: DataFrame, k: int, block: int) -> DataFrame:
     """Blocks of queries against blocks of rows; a cell holds at most about two blocks."""
     counts = [max(1, -(-n // block)) for n in (q.count(), v.count())]
     spread = lambda df, key, name, n: df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = spread(q, "query", "qb", counts[0]).withColumn("vb", every(counts[1]).cast("long"))
-    right = spread(v, "id", "vb", counts[1]).withColumn("qb", every(counts[0]).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = spread(q, "query", "qb", counts[0]).withColumn("vb", every(counts[1]))
+    right = spread(v, "id", "vb", counts[1]).withColumn("qb", every(counts[0]))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _block_top(a[["query", "vector"]], b[["id", "vector"]], k)
