@@ -135,7 +135,9 @@ def candidates(items: DataFrame, requirements: DataFrame, cosines: DataFrame, re
         c("id").alias("item"), *_ITEM_TEXT, "gender", "user_added", vec.alias("vec"), F.coalesce("source_rank", F.lit(999)).alias("source_rank"))
     asked = requirements.select("look", "pos", *[c(k.removeprefix("r_")).alias(k) for k in _REQ_TEXT], vec.alias("r_vec"), c("gender").alias("r_gender"))
 
-    left, right = _numbered(item_texts(visible), "tid"), _numbered(requirement_texts(requirements), "rid")
+    asked = materialize(asked)
+    texts = asked.select(*[c(k).alias(k.removeprefix("r_")) for k in _REQ_TEXT])
+    left, right = _numbered(item_texts(visible), "tid"), _numbered(requirement_texts(texts), "rid")
     own = visible.join(left.select("tid", *_ITEM_TEXT), _ITEM_TEXT).drop("name", "color")
     group = ["tid", "category", "gender", "user_added", "vec"]
     groups = own.select(*group).distinct()
@@ -275,30 +277,39 @@ def assign(ranked: DataFrame, group_positions: int = GROUP_POSITIONS) -> DataFra
     A requirement none of whose candidates is wanted elsewhere in its look takes its first
     candidate; only the contested rest needs a search.
     """
-    shared = Window.partitionBy("look", "item")
-    flagged = ranked.withColumn("rivals", F.count("*").over(shared))
-    marks = flagged.groupBy("look", "pos").agg((F.max("rivals") > 1).alias("contested"))
-    rows = flagged.drop("rivals").join(marks, ["look", "pos"])
-    free = rows.where(~F.col("contested") & (F.col("rank") == 1)).select("look", "pos", "item")
-    lists = materialize(_contested_lists(rows.where("contested")))
+    rivals = ranked.groupBy("look", "item").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("look", "item", F.lit(True).alias("_rival"))
+    own = Window.partitionBy("look", "pos")  # at most eight candidates
+    rows = materialize(ranked.join(rivals, ["look", "item"], "left").withColumn(
+        "_contested", F.bool_or(F.coalesce("_rival", F.lit(False))).over(own)).drop("_rival"))
+    free = rows.where(~F.col("_contested") & (F.col("rank") == 1)).drop("_contested")
+    contested = rows.where("_contested").drop("_contested")
+    # Positions with the same list are interchangeable: the first of them are served first and
+    # a list of eight serves eight at most, so the others stay without an item.
+    alike = Window.partitionBy("look", "options").orderBy("pos")
+    lists = materialize(_contested_lists(contested).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= TOP).drop("_n"))
     sizes = lists.groupBy("look").agg(F.count("*").alias("positions"))
     small = lists.join(sizes.where(F.col("positions") <= group_positions), "look", "left_semi")
     packed = small.groupBy("look").agg(F.array_sort(F.collect_list(F.struct("size", "pos", "options"))).alias("lists"))
-    picked = free.unionByName(packed.mapInPandas(_assign_batches, "look long, pos int, item long"))
+    picked = packed.mapInPandas(_assign_batches, "look long, pos int, item long")
     large = lists.join(sizes.where(F.col("positions") > group_positions), "look", "left_semi")
     if not large.isEmpty():
         picked = picked.unionByName(_expand(large))
-    return ranked.join(picked, ["look", "pos", "item"])
+    return free.unionByName(contested.join(picked, ["look", "pos", "item"], "left_semi"))
 
 
 def signature(requirements: DataFrame) -> DataFrame:
-    """Requirement rows with the signature that makes two of them the same garment."""
-    t = seed_attributes(requirements)
-    ordered = lambda text: F.array_join(F.array_sort(F.split(F.lower(F.trim(text)), " ")), ",")
+    """Requirement rows with the signature that makes two of them the same garment.
+
+    Signatures are built once per distinct requirement text.
+    """
+    text = ["category", "name", "color", "colors"]
+    t = seed_attributes(requirements.select(*text).distinct())
+    ordered = F.array_join(F.array_sort(F.split(F.lower(F.trim("colors")), " ")), ",")
     lowered = lambda name: F.lower(F.trim(F.col(name)))
-    return t.withColumn("signature", F.concat_ws(
-        "|", lowered("category"), ordered(F.col("colors")), lowered("subcategory"), lowered("subcategory"),
-        lowered("sleeve_length"), lowered("length"))).select("look", "pos", "category", "signature")
+    made = t.select(*text, F.concat_ws(
+        "|", lowered("category"), ordered, lowered("subcategory"), lowered("subcategory"),
+        lowered("sleeve_length"), lowered("length")).alias("signature"))
+    return requirements.join(made, text).select("look", "pos", "category", "signature")
 
 
 def collapse(assigned: DataFrame, signed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -104,18 +104,21 @@ def trend_match(items: DataFrame, visible: Column, trends: dict[str, Sequence],
 def swap_candidates(rows: DataFrame, items: DataFrame, visible: Column, seed: int = 0) -> DataFrame:
     """A pseudo-random replacement of the same category for every piece of a look, never one it already has.
 
-    Items are numbered within their category; a piece draws a number among those its look
-    does not use and the draw is shifted past the used ones, so no list of alternatives
-    is ever built.
+    Items are numbered within their category and a piece draws the r-th number its look does
+    not use.  With the used numbers u0 < u1 < …, that is r plus the count of i with
+    ui - i <= r: a running count over the sorted values, so no list of items is ever built.
     """
-    numbered = number_rows(items.where(visible).select("id", "category"), [F.col("id")], "n", ["category"]).withColumn("n", F.col("n") - 1)
+    c = F.col
+    numbered = number_rows(items.where(visible).select("id", "category"), [c("id")], "n", ["category"]).withColumn("n", c("n") - 1)
     sizes = numbered.groupBy("category").agg(F.count("*").alias("size"))
-    used = (rows.select("look", "part").distinct().join(numbered, F.col("part") == F.col("id"))
-            .groupBy("look", "category").agg(F.array_sort(F.collect_set("n")).alias("used")))
-    drawn = rows.select("look", "pos", "category").join(sizes, "category").join(used, ["look", "category"], "left")
-    taken = F.coalesce("used", F.array().cast("array<bigint>"))
-    left = F.col("size") - F.size(taken)
-    draw = F.pmod(F.col("look") * 31 + F.col("pos") * 17 + seed, left)
-    shifted = F.aggregate(taken, draw, lambda at, u: F.when(u <= at, at + 1).otherwise(at))
-    return drawn.where(left > 0).select("look", "pos", "category", shifted.alias("n")).join(
-        numbered.select("category", "n", F.col("id").alias("swap")), ["category", "n"]).select("look", "pos", "swap")
+    used = rows.select("look", "part").distinct().join(numbered.withColumnRenamed("id", "part"), "part").select("look", "category", "n")
+    order = Window.partitionBy("look", "category").orderBy("n")
+    gaps = used.select("look", "category", (c("n") - F.row_number().over(order) + 1).alias("at"))
+    taken = used.groupBy("look", "category").agg(F.count("*").alias("taken"))
+    drawn = rows.select("look", "pos", "category").join(sizes, "category").join(taken, ["look", "category"], "left")
+    left = c("size") - F.coalesce("taken", F.lit(0))
+    drawn = drawn.where(left > 0).select("look", "category", F.pmod(c("look") * 31 + c("pos") * 17 + seed, left).alias("at"), "pos")
+    both = gaps.withColumn("pos", F.lit(None).cast("int")).unionByName(drawn)
+    before = Window.partitionBy("look", "category").orderBy("at", c("pos").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("n", c("at") + F.count_if(c("pos").isNull()).over(before)).where("pos IS NOT NULL")
+    return placed.select("look", "pos", "category", "n").join(numbered.select("category", "n", c("id").alias("swap")), ["category", "n"]).select("look", "pos", "swap")

@@ -52,6 +52,6 @@ def detection_rates(detections: DataFrame, photos: DataFrame, fixed_fill: float
     """Passed detections over all photos, with or without a detection."""
     order = F.array(*[F.lit(c) for c in dims.CATEGORIES])
     table = funnel(detections.withColumn("confidence_value", F.col("confidence")), fixed_fill)
-    total = photos.agg(F.count("*").alias("photos"))  # one row
-    return table.crossJoin(F.broadcast(total)).select(
-        "model", "category", F.array_position(order, F.col("category")).alias("place"), "passed", (F.col("passed") / F.col("photos")).alias("rate"), "mean_confidence")
+    total = photos.agg(F.count("*")).scalar()
+    return table.select(
+        "model", "category", F.array_position(order, F.col("category")).alias("place"), "passed", (F.col("passed") / total).alias("rate"), "mean_confidence")

@@ -33,12 +33,14 @@ def prototype_cosines(protos: DataFrame, key: str) -> DataFrame:
 
 
 def _block_top(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best ``k`` rows per query within one block of rows; unequal lengths never compare."""
+    """Best ``k`` rows per query within one block of rows; only vectors of one family and length compare."""
+    kinds = lambda frame: [frame["family"], frame["vector"].map(len)]
+    held = dict(iter(rows.groupby(kinds(rows)))) if len(rows) else {}
     out = []
-    for size, wanted in queries.groupby(queries["vector"].map(len)):
-        same = rows[rows["vector"].map(len) == size]
-        if size == 0 or same.empty:
+    for kind, wanted in queries.groupby(kinds(queries)):
+        if kind not in held or kind[1] == 0:
             continue
+        same = held[kind]
         q = np.stack(wanted["vector"].to_numpy()).astype("float64")
         v = np.stack(same["vector"].to_numpy()).astype("float64")
         scale = np.maximum(1e-12, np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)))
@@ -46,7 +48,7 @@ def _block_top(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFram
         ids = same["id"].to_numpy()
         for query, line in zip(wanted["query"].to_numpy(), scores):
             kth = np.partition(line, -k)[-k] if len(line) > k else -np.inf
-            keep = np.flatnonzero(line >= kth)  # ties at the edge stay until the global ranking
+            keep = np.flatnonzero(line >= kth)  # ties at the edge stay until they are ordered by id
             keep = keep[np.lexsort((ids[keep], -line[keep]))][:k]
             out.append(pd.DataFrame({"query": query, "id": ids[keep], "cosine": line[keep]}))
     return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "cosine": []}).astype({"query": "int64", "id": "int64"})
@@ -60,18 +62,9 @@ def top_similar(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_
     blocks and meet blocks of rows on a grid.  Either way a task keeps only its best ``k``
     per query and a window picks the global ones.
     """
-    schema = "query long, id long, cosine double"
-    families = [r["family"] for r in queries.select("family").distinct().limit(8).collect()]
-    found = None
-    for family in families:  # vectors compare within a family; there are two
-        q = queries.where(F.col("family") == family).select("query", "vector")
-        v = rows.where(F.col("family") == family).select("id", "vector")
-        head = q.limit(block + 1).toPandas()
-        if len(head) <= block:
-            part = v.mapInPandas(_against(head, k), schema)
-        else:
-            part = _grid(q, v, k, block)
-        found = part if found is None else found.unionByName(part)
+    q, v = queries.select("query", "family", "vector"), rows.select("id", "family", "vector")
+    head = q.limit(block + 1).toPandas()  # at most one row more than the bound
+    found = v.mapInPandas(_against(head, k), "query long, id long, cosine double") if len(head) <= block else _grid(q, v, k, block)
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -103,7 +96,7 @@ def _grid(q: DataFrame, v: DataFrame, k: int, block: int) -> DataFrame:
     right = spread(v, "id", "vb", counts[1]).withColumn("qb", every(counts[0]))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _block_top(a[["query", "vector"]], b[["id", "vector"]], k)
+        return _block_top(a, b, k)
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(cell, "query long, id long, cosine double")
 
@@ -146,10 +139,9 @@ def best_pieces(items: DataFrame, pieces: DataFrame, k: int, block: int = QUERY_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for family, part in frame.groupby("family"):
-                top = _block_top(part.rename(columns={"id": "query"}), head[head["family"] == family], k)
-                top["rank"] = top.groupby("query").cumcount() + 1
-                yield top.rename(columns={"id": "piece", "query": "id"})[["id", "piece", "cosine", "rank"]]
+            top = _block_top(frame.rename(columns={"id": "query"}), head, k)
+            top["rank"] = top.groupby("query").cumcount() + 1
+            yield top.rename(columns={"id": "piece", "query": "id"})[["id", "piece", "cosine", "rank"]]
 
     return items.select("id", "family", "vector").mapInPandas(run, "id long, piece long, cosine double, rank int")
 

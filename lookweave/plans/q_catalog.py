@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import catalog
-from ..operators.ranking import first_per
+from ..operators.ranking import first_per, number_rows
 from ..sources import documents as docs
 from ..sources import tables
 from .bindings import table, view
@@ -34,7 +34,9 @@ def scan_nested_items(spark, sf):
         table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
     part = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
                     F.when(F.col("o_orderstatus") != "P", F.col("l_quantity")).alias("ease"))
-    listed = lines.groupBy("l_orderkey").agg(F.collect_list(part).alias("items"))
+    # A document holds a hundred parts at most; a longer fitting continues in the next one.
+    numbered = number_rows(lines, [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], "n", ["l_orderkey"])
+    listed = numbered.groupBy("l_orderkey", F.floor((F.col("n") - 1) / 100).alias("doc")).agg(F.collect_list(part).alias("items")).drop("doc")
     all_docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")).join(listed, "l_orderkey", "left")
     text = all_docs.select(F.to_json(F.struct(F.col("l_orderkey").alias("look"), "items")).alias("doc"))
     parsed = text.select(F.from_json("doc", "struct<look:bigint,items:array<struct<line:int,part:bigint,ease:double>>>").alias("d")).select("d.*")
@@ -87,13 +89,15 @@ SELECT page_id, url, html, n, hrefs[n] AS href FROM (SELECT page_id, url, html,
 
 def search_pages(spark, sf):
     """Search pages: each link of a page as an ``m`` attribute with entity-coded JSON."""
-    links = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-    item = F.to_json(F.struct(F.col("href").alias("murl"), F.col("url").alias("purl"), F.lit("<fashion> & outfit").alias("t")))
-    broken = F.when(F.col("href").endswith(","), F.substring(item, 1, 12)).otherwise(item)
-    coded = F.replace(F.replace(F.replace(F.replace(broken, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;")),
-                      F.lit(">"), F.lit("&gt;"))
-    tag = F.concat(F.lit('<a class="r" m="'), coded, F.lit('">x</a>'))
-    return links.groupBy("page_id").agg(F.concat_ws("\n", F.collect_list(tag)).alias("html"))
+    def tag(href):
+        item = F.to_json(F.struct(href.alias("murl"), F.col("url").alias("purl"), F.lit("<fashion> & outfit").alias("t")))
+        text = F.when(href.endswith(","), F.substring(item, 1, 12)).otherwise(item)
+        for char, entity in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(char), F.lit(entity))
+        return F.concat(F.lit('<a class="r" m="'), text, F.lit('">x</a>'))
+
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return table(spark, sf, "pages").select("page_id", F.array_join(F.transform(hrefs, tag), "\n").alias("html"))
 
 
 @query("extract_links", "SELECT page_id, href AS murl, url AS purl, '<fashion> & outfit' AS t FROM href_v WHERE NOT ends_with(href, ',') AND href <> ''")
@@ -136,8 +140,6 @@ def upsert_latest(spark, sf):
 SELECT l_orderkey AS id, l_linenumber AS line, l_suppkey AS source, CAST((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100, l_partkey) - 1) // 4 AS BIGINT) AS batch
 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def pending_batches(spark, sf):
-    from ..operators.ranking import number_rows
-
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("source"), "l_partkey")
     done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
     left = items.join(done, "id", "left_anti").withColumn("k", F.col("id") * 1000 + F.col("line") * 100 + F.col("l_partkey") % 100)

@@ -270,12 +270,12 @@ def match_candidates(spark, sf):
     by = items.groupBy("category").agg(
         *[F.count_if(F.col("user_added") | F.col("gender").isin("all", g)).alias(g) for g in ("men", "women")],
         F.count_if("user_added").alias("uploads"))
-    total = items.agg(F.count_if("user_added").alias("all_uploads"))
+    uploads = items.agg(F.count_if("user_added")).scalar()
     req = view(spark, sf, "req_v").select("look", "pos", "category", "gender")
-    joined = req.join(F.broadcast(by), "category", "left").join(F.broadcast(total))  # one row per category; one row
+    joined = req.join(by, "category", "left")
     return joined.select(
         "look", "pos", F.coalesce(F.when(F.col("gender") == "men", F.col("men")).otherwise(F.col("women")), F.lit(0)).alias("same_category"),
-        (F.col("all_uploads") - F.coalesce("uploads", F.lit(0))).alias("other_uploads"))
+        (uploads - F.coalesce("uploads", F.lit(0))).alias("other_uploads"))
 
 
 @query("garment_similarity", """
@@ -298,7 +298,7 @@ def garment_similarity(spark, sf):
 
 
 @query("color_similarity", f"""
-WITH p AS (SELECT id, color, coalesce((SELECT max(w) FROM (VALUES ('블랙')) t(w)), '') AS anchor, name FROM item_v)
+WITH p AS (SELECT id, color FROM item_v)
 SELECT id, color, round(CASE WHEN color = '블랙' THEN 1.0 ELSE exp(-({{sq}}) / {2 * dims.COLOR_SIGMA ** 2}::DOUBLE) END, 9) AS to_black
 FROM (SELECT p.id, p.color, c.r, c.g, c.b FROM p JOIN (VALUES {', '.join(f"({quote(n)}, {r}.0, {g}.0, {b}.0)" for n, (r, g, b) in dims.COLOR_RGB.items())}) c(n, r, g, b)
   ON c.n = p.color)""".replace("{sq}", "pow(r - 22, 2) + pow(g - 22, 2) + pow(b - 24, 2)"))
