@@ -23,7 +23,6 @@ from ..session import materialize
 
 S = dims.SIM
 TOP = S["top"]
-GROUP_POSITIONS = 12  # looks with more contested requirements take the set-at-a-time path
 
 
 _ITEM_TEXT = ["category", "name", "color"]
@@ -183,32 +182,70 @@ def direct_candidates(rows: DataFrame, own: DataFrame, references: DataFrame, sc
 
 # ---- one-to-one assignment ---------------------------------------------------------------
 
+def _parts(lists: list[list[tuple[int, int]]]) -> list[list[int]]:
+    """Positions grouped by shared items, each group in order."""
+    owner: dict[int, int] = {}
+    parent = list(range(len(lists)))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for at, options in enumerate(lists):
+        for item, _ in options:
+            parent[top(at)] = top(owner.setdefault(item, at))
+    groups: dict[int, list[int]] = {}
+    for at in range(len(lists)):
+        groups.setdefault(top(at), []).append(at)
+    return list(groups.values())
+
+
 def _best_assignment(lists: list[list[tuple[int, int]]]) -> list[int]:
     """Candidate index per position (len = skip) of the best assignment.
 
     Most positions filled first, then the largest sum, then the earliest candidates in
-    position order.  States keep only used items that later positions could still want.
+    position order.  One integer per choice orders all three: a count bit above the weight
+    above one digit per position.  Positions enter one by one and each takes the most
+    valuable exchange chain, which keeps the assignment optimal for those entered.
     """
-    wanted_later: list[set[int]] = []
-    later: set[int] = set()
-    for options in reversed(lists):
-        wanted_later.append(set(later))
-        later |= {item for item, _ in options}
-    wanted_later.reverse()
-    states: dict[frozenset, tuple[int, int, list[int]]] = {frozenset(): (0, 0, [])}
-    for options, keep in zip(lists, wanted_later):
-        following: dict[frozenset, tuple[int, int, list[int]]] = {}
-        for used, (count, total, path) in states.items():
-            moves = [(i, item, weight) for i, (item, weight) in enumerate(options) if item not in used]
-            for i, item, weight in [*moves, (len(options), None, None)]:
-                taken = 0 if item is None else 1
-                value = (count + taken, total + (weight or 0), [*path, i])
-                key = frozenset(x for x in (used if item is None else used | {item}) if x in keep)
-                held = following.get(key)
-                if held is None or (value[0], value[1], [-x for x in value[2]]) > (held[0], held[1], [-x for x in held[2]]):
-                    following[key] = value
-        states = following
-    return max(states.values(), key=lambda v: (v[0], v[1], [-x for x in v[2]]))[2]
+    picks = [len(options) for options in lists]
+    for group in _parts(lists):
+        digits = 4 * len(group)
+        above = digits + 40 + len(group).bit_length()
+        value = {}
+        for j, at in enumerate(group):
+            for i, (item, weight) in enumerate(lists[at]):
+                value[at, item] = (1 << above) + (weight << digits) + ((15 - i) << 4 * (len(group) - 1 - j))
+        holder: dict[int, int] = {}
+        for start in group:
+            gain, came, queue = {start: 0}, {}, [start]
+            best, end = 0, (start, None)  # leave the new position empty
+            while queue:
+                at = queue.pop(0)
+                for item, _ in lists[at]:
+                    reached = gain[at] + value[at, item]
+                    other = holder.get(item)
+                    if other is None:
+                        if reached > best:
+                            best, end = reached, (at, item)
+                    elif other != at and reached - value[other, item] > gain.get(other, -1 << above + 8):
+                        gain[other] = reached - value[other, item]
+                        came[other] = (at, item)
+                        queue.append(other)
+                        if gain[other] > best:
+                            best, end = gain[other], (other, None)
+            at, item = end
+            while True:  # walk the chain back, handing items over
+                if item is not None:
+                    holder[item] = at
+                if at == start:
+                    break
+                at, item = came[at]
+        for item, at in holder.items():
+            picks[at] = next(i for i, (x, _) in enumerate(lists[at]) if x == item)
+    return picks
 
 
 def _assign_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,51 +268,12 @@ def _contested_lists(open_rows: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", "item", weight.alias("weight")))).alias("options"))
 
 
-def _expand(lists: DataFrame) -> DataFrame:
-    """Set-at-a-time twin of the in-task search for looks with many contested positions.
-
-    Each round joins one more position to all states of a look and keeps the best state
-    per set of used items that still matters, so no look ever sits in one task.
-    """
-    order = Window.partitionBy("look").orderBy("size", "pos")
-    placed = materialize(lists.withColumn("at", F.row_number().over(order)))
-    last_use = (placed.select("look", "at", F.explode("options.item").alias("item"))
-                .groupBy("look", "item").agg(F.max("at").alias("last")))
-    steps = placed.select("look", "at", "pos", F.posexplode("options").alias("i", "o")).select(
-        "look", "at", "pos", "i", F.col("o.item").alias("item"), F.col("o.weight").alias("weight"))
-    steps = materialize(steps.join(last_use, ["look", "item"]).unionByName(
-        placed.select("look", "at", "pos", F.size("options").alias("i"), F.lit(None).cast("long").alias("item"),
-                      F.lit(None).cast("long").alias("weight"), F.lit(None).cast("int").alias("last"))))
-    empty = F.array().cast("array<struct<item:bigint,last:int>>")
-    states = placed.select("look").distinct().select(
-        "look", empty.alias("used"), F.lit(0).alias("count"), F.lit(0).cast("long").alias("total"),
-        F.array().cast("array<int>").alias("path"), F.array().cast("array<struct<pos:int,item:bigint>>").alias("picks"))
-    sizes = placed.groupBy("look").agg(F.max("at").alias("positions"))
-    finished = None
-    for at in range(1, (placed.agg(F.max("at")).first()[0] or 0) + 1):
-        taken = F.col("item").isNotNull()
-        moved = states.join(steps.where(F.col("at") == at), "look").where(
-            ~taken | ~F.coalesce(F.array_contains(F.col("used.item"), F.col("item")), F.lit(False)))
-        grown = F.when(taken, F.array_append("used", F.struct("item", "last"))).otherwise(F.col("used"))
-        moved = moved.select(
-            "look", F.array_sort(F.filter(grown, lambda u: u["last"] > at)).alias("used"),
-            (F.col("count") + taken.cast("int")).alias("count"),
-            (F.col("total") + F.coalesce("weight", F.lit(0))).alias("total"),
-            F.array_append("path", -F.col("i")).alias("path"),
-            F.when(taken, F.array_append("picks", F.struct("pos", "item"))).otherwise(F.col("picks")).alias("picks"))
-        best = F.max_by(F.struct("count", "total", "path", "picks"), F.struct("count", "total", "path")).alias("b")
-        kept = materialize(moved.groupBy("look", "used").agg(best).select("look", "used", "b.*"))
-        done = kept.join(sizes.where(F.col("positions") == at), "look", "left_semi").select("look", F.explode("picks").alias("p"))
-        finished = done if finished is None else finished.unionByName(done)
-        states = kept.join(sizes.where(F.col("positions") > at), "look", "left_semi")
-    return finished.select("look", "p.pos", "p.item")
-
-
-def assign(ranked: DataFrame, group_positions: int = GROUP_POSITIONS) -> DataFrame:
+def assign(ranked: DataFrame) -> DataFrame:
     """Use every item at most once per look: most requirements first, then the largest sum.
 
     A requirement none of whose candidates is wanted elsewhere in its look takes its first
-    candidate; only the contested rest needs a search.
+    candidate; only the contested rest needs a search.  A search sees at most eight
+    positions per distinct candidate list, however many rows a look has.
     """
     rivals = ranked.groupBy("look", "item").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("look", "item", F.lit(True).alias("_rival"))
     own = Window.partitionBy("look", "pos")  # at most eight candidates
@@ -287,13 +285,8 @@ def assign(ranked: DataFrame, group_positions: int = GROUP_POSITIONS) -> DataFra
     # a list of eight serves eight at most, so the others stay without an item.
     alike = Window.partitionBy("look", "options").orderBy("pos")
     lists = materialize(_contested_lists(contested).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= TOP).drop("_n"))
-    sizes = lists.groupBy("look").agg(F.count("*").alias("positions"))
-    small = lists.join(sizes.where(F.col("positions") <= group_positions), "look", "left_semi")
-    packed = small.groupBy("look").agg(F.array_sort(F.collect_list(F.struct("size", "pos", "options"))).alias("lists"))
+    packed = lists.groupBy("look").agg(F.array_sort(F.collect_list(F.struct("size", "pos", "options"))).alias("lists"))
     picked = packed.mapInPandas(_assign_batches, "look long, pos int, item long")
-    large = lists.join(sizes.where(F.col("positions") > group_positions), "look", "left_semi")
-    if not large.isEmpty():
-        picked = picked.unionByName(_expand(large))
     return free.unionByName(contested.join(picked, ["look", "pos", "item"], "left_semi"))
 
 

@@ -39,24 +39,32 @@ def test_search_equals_brute_force():
         assert matching._best_assignment(lists) == brute(lists)
 
 
-def ranked_frame(spark, rng, looks, positions, pool):
-    rows = []
-    for look in range(looks):
-        for pos, options in enumerate(random_lists(rng, positions, pool), 1):
-            rows += [(look, pos, item, w / 1000, i + 1) for i, (item, w) in enumerate(options)]
-    return spark.createDataFrame(rows, "look long, pos int, item long, similarity double, rank int")
-
-
-def test_set_at_a_time_path_equals_search(spark):
-    """Looks over the position limit take the distributed path and end the same."""
-    ranked = ranked_frame(spark, random.Random(11), 25, 5, 6)
-    key = lambda df: sorted((r["look"], r["pos"], r["item"]) for r in df.collect())
-    searched = key(matching.assign(ranked))
-    assert key(matching.assign(ranked, group_positions=1)) == searched
-    by_look = {}
-    for look, _, item in searched:
-        assert item not in by_look.setdefault(look, set())
-        by_look[look].add(item)
+def test_assignment_of_frames_equals_brute_force(spark):
+    """Also with many positions sharing one list, of which only as many as it has items can be served."""
+    rng = random.Random(11)
+    looks = {look: random_lists(rng, 5, 6) for look in range(25)}
+    looks[100] = [[(1, 900), (2, 800)]] * 40 + [[(2, 950), (3, 100)]] * 3
+    rows = [(look, pos, item, w / 1000, i + 1) for look, lists in looks.items() for pos, o in enumerate(lists, 1) for i, (item, w) in enumerate(o)]
+    ranked = spark.createDataFrame(rows, "look long, pos int, item long, similarity double, rank int")
+    got = {}
+    for r in matching.assign(ranked).collect():
+        got.setdefault(r["look"], set()).add((r["pos"], r["item"]))
+    for look, lists in looks.items():
+        order = sorted(range(len(lists)), key=lambda i: (len(lists[i]), i))
+        if look == 100:  # two lists, three items: 1 and 2 or 3 by the largest sum
+            assert got[look] == {(1, 1), (41, 2), (42, 3)}
+            continue
+        pick = brute([lists[i] for i in order])
+        assert got.get(look, set()) == {(i + 1, lists[i][c][0]) for i, c in zip(order, pick) if c < len(lists[i])}
+
+
+def test_large_look_ends_quickly():
+    rng = random.Random(2)
+    lists = [sorted(((rng.randrange(120), rng.choice([440, 600, 920])) for _ in range(8)), key=lambda o: -o[1]) for _ in range(600)]
+    lists = [list({item: w for item, w in o}.items()) for o in lists]
+    picks = matching._best_assignment(lists)
+    used = [o[i][0] for o, i in zip(lists, picks) if i < len(o)]
+    assert len(used) == len(set(used)) == 120
 
 
 def test_score_probes(spark):
