@@ -55,7 +55,8 @@ JOIN {_COLOR_ROWS} AS c(shade, color) ON c.shade = p.shade
 JOIN {_NOUN_ROWS} AS n(category, kind, kind_no, noun) ON n.category = p.category AND n.kind = p.kind""",
     # Look requirements from every order line.
     "req_v": """
-SELECT l.l_orderkey AS look, CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS INT) AS pos,
+SELECT l.l_orderkey AS look, CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey,
+    l.l_extendedprice, l.l_quantity, l.l_discount, l.l_tax, l.l_shipdate, l.l_returnflag) AS INT) AS pos,
   i.id AS part, i.category, i.name, i.color, CASE WHEN l.l_returnflag = 'R' THEN concat(i.color, ' 베이지') ELSE i.color END AS colors,
   CASE WHEN l.l_returnflag = 'A' THEN i.kind_vec END AS vec,
   CASE WHEN l.l_orderkey % 2 = 0 THEN 'women' ELSE 'men' END AS gender, 1 - l.l_tax * 6 AS confidence

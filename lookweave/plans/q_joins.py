@@ -69,7 +69,7 @@ def trend_match(spark, sf):
 @query("swap_candidates", f"""
 WITH n AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) - 1 AS n, count(*) OVER (PARTITION BY category) AS size FROM item_v WHERE {_MEN}),
 u AS (SELECT q.look, n.category, list_sort(list(DISTINCT n.n)) AS used FROM req_v q JOIN n ON n.id = q.part GROUP BY 1, 2),
-d AS (SELECT q.look, q.pos, q.category, coalesce(u.used, []) AS used, (q.look * 31 + q.pos * 17) % (s.size - len(coalesce(u.used, []))) AS draw
+d AS (SELECT q.look, q.pos, q.category, coalesce(u.used, []) AS used, (q.look * 31 + q.pos * 17) % nullif(s.size - len(coalesce(u.used, [])), 0) AS draw
   FROM req_v q JOIN (SELECT DISTINCT category, size FROM n) s ON s.category = q.category LEFT JOIN u ON u.look = q.look AND u.category = q.category)
 SELECT d.look, d.pos, n.id AS swap FROM (SELECT look, pos, category, list_reduce(list_prepend(draw, used), lambda acc, v: CASE WHEN v <= acc THEN acc + 1 ELSE acc END) AS n FROM d) d
 JOIN n ON n.category = d.category AND n.n = d.n""")
