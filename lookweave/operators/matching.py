@@ -120,6 +120,15 @@ def _best_first() -> list:
     return [F.desc("similarity"), F.desc("color_sim"), F.desc("user_added"), F.col("source_rank"), F.col("item")]
 
 
+def with_cosine(pairs: DataFrame, cosines: DataFrame) -> DataFrame:
+    """Add the cosine of comparable vectors.  Most pairs have no vectors; their keys are spread so they share no task."""
+    none = (F.col("vec") == _NO_VECTOR) | (F.col("r_vec") == _NO_VECTOR)
+    spread = -2 - F.pmod(F.xxhash64("tid", "qid"), F.lit(997))
+    known = cosines.select(F.col("vec").cast("long").alias("_v"), F.col("r_vec").alias("_r"), "cosine")
+    keyed = pairs.withColumn("_k", F.when(none, spread).otherwise(F.col("vec").cast("long")))
+    return keyed.join(known, (F.col("_k") == F.col("_v")) & (F.col("r_vec") == F.col("_r")), "left").drop("_k", "_v", "_r")
+
+
 def candidates(items: DataFrame, requirements: DataFrame, cosines: DataFrame, references: DataFrame) -> DataFrame:
     """Best eight items of every requirement row, ranked from 1.
 
@@ -139,13 +148,15 @@ def candidates(items: DataFrame, requirements: DataFrame, cosines: DataFrame, re
     left, right = _numbered(item_texts(visible), "tid"), _numbered(requirement_texts(texts), "rid")
     own = visible.join(left.select("tid", *_ITEM_TEXT), _ITEM_TEXT).drop("name", "color")
     group = ["tid", "category", "gender", "user_added", "vec"]
-    groups = own.select(*group).distinct()
+    groups, cosines = materialize(own.select(*group).distinct()), materialize(cosines)
     wanted = _numbered(asked.select(*_REQ_TEXT, "r_vec", "r_gender").distinct().join(right.select("rid", *_REQ_TEXT), _REQ_TEXT), "qid")
     rows = materialize(asked.join(wanted.select("qid", *_REQ_TEXT, "r_vec", "r_gender"), [*_REQ_TEXT, "r_vec", "r_gender"]).select("look", "pos", "qid"))
     wanted = wanted.select("qid", "rid", "r_category", "r_vec", "r_gender")
     scores = text_score_table(left, right, groups, wanted, cosines)
 
-    pairs = scores.join(groups, "tid").join(wanted, "rid").join(cosines, ["vec", "r_vec"], "left")
+    # A score row meets many groups, so the small score table is spread over all cores first.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    pairs = with_cosine(scores.repartition(4 * cores).join(groups, "tid").join(wanted, "rid"), cosines)
     # A group with eight better groups ahead cannot reach the list: each holds an item.
     by_group = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.desc("color_sim"), F.desc("user_added"))
     short = _score(pairs, direct=False).withColumn("at", F.rank().over(by_group)).where(c("at") <= TOP)
@@ -176,8 +187,8 @@ def direct_candidates(rows: DataFrame, own: DataFrame, references: DataFrame, sc
     """Pairs of a look's requirement groups with the items cut from that look."""
     linked = references.join(own, "item")
     pairs = (rows.select("look", "qid").distinct().join(linked, "look").join(wanted, "qid")
-             .join(scores, ["tid", "rid"]).join(cosines, ["vec", "r_vec"], "left"))
-    return _score(pairs, direct=True).select("look", "qid", "r_category", "item", "source_rank", "user_added", "similarity", "color_sim", "visual")
+             .join(scores, ["tid", "rid"]))
+    return _score(with_cosine(pairs, cosines), direct=True).select("look", "qid", "r_category", "item", "source_rank", "user_added", "similarity", "color_sim", "visual")
 
 
 # ---- one-to-one assignment ---------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..session import materialize
 from .ranking import number_rows, top_k
 
 DENIM = "데님"
@@ -109,7 +110,7 @@ def swap_candidates(rows: DataFrame, items: DataFrame, visible: Column, seed: in
     ui - i <= r: a running count over the sorted values, so no list of items is ever built.
     """
     c = F.col
-    numbered = number_rows(items.where(visible).select("id", "category"), [c("id")], "n", ["category"]).withColumn("n", c("n") - 1)
+    numbered = materialize(number_rows(items.where(visible).select("id", "category"), [c("id")], "n", ["category"]).withColumn("n", c("n") - 1))
     sizes = numbered.groupBy("category").agg(F.count("*").alias("size"))
     used = rows.select("look", "part").distinct().join(numbered.withColumnRenamed("id", "part"), "part").select("look", "category", "n")
     order = Window.partitionBy("look", "category").orderBy("n")

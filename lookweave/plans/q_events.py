@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import feedback
-from ..session import ensure_checkpoint_dir
+from ..session import shared_folder
 from ..streaming import jobs
 from .bindings import epoch_us, table, view
 from .registry import query
@@ -32,18 +30,12 @@ def admission(spark, sf):
     return feedback.admission(requests(spark, sf), "user_id", "t", "event_id", WINDOW, LIMIT)
 
 
-def _stream_root(spark) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-
-
 @query("admission_stream", _ADMISSION)
 def admission_stream(spark, sf):
     """The budget as a stream with per-client state."""
     schema = table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").select("event_id", "user_id", epoch_us("ts").alias("t"))
-    root = _stream_root(spark)
+    root = shared_folder(spark, "stream")
     made = jobs.admission_stream(events, "user_id", "t", "event_id", WINDOW, LIMIT)
     run = made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -58,7 +50,7 @@ def stream_upsert(spark, sf):
     events = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").select(
         F.col("user_id").alias("person"), "ts", F.col("event_id").alias("id"), F.col("event_type").alias("kind"), (F.col("event_id") % 50).alias("look"), "value",
         (F.col("event_type") == "error").alias("gone"))
-    root = _stream_root(spark)
+    root = shared_folder(spark, "stream")
     run = jobs.upsert_stream(events, root, "person", ["ts", "id"], ["kind", "look", "value"], "gone").start()
     run.awaitTermination()
     return jobs.upserted(spark, root, run.lastProgress["batchId"], "gone").select("person", "kind", "look", "value")

@@ -163,7 +163,7 @@ _STAGED: dict[tuple[str, str, str], object] = {}
 
 
 def staged(spark, sf, name, build):
-    """A stage several queries of one run share, written once to checkpoint storage."""
+    """A stage several queries of one run share, written once to the shared folder."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STAGED:
         _STAGED[key] = matching.materialize(build())
