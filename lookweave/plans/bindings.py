@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import dims
-
 COLORS = {"red": "레드", "blue": "블루", "cold": "네이비", "hot": "코랄", "large": "블랙", "small": "아이보리",
           "new": "화이트", "old": "브라운"}
 KINDS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
@@ -134,7 +132,3 @@ def epoch_us(ts) -> "F.Column":
 def words(text: str):
     """Comma list -> array."""
     return F.split(F.col(text), ",")
-
-
-def categories_in_order():
-    return dims.CATEGORIES

@@ -74,7 +74,7 @@ def extract_product_nodes(spark, sf):
 @query("normalize_products", f"""
 SELECT CAST(id AS VARCHAR) AS id, name, brand, coalesce(source_rank, 999) AS source_rank, price, CASE WHEN size % 3 = 0 THEN price + 100 WHEN size % 7 = 0 THEN 0.0 ELSE price END AS original_price,
   CASE WHEN size % 3 <> 0 THEN size * 10.0 ELSE 0.0 END AS review_count,
-  CASE WHEN size % 2 = 0 THEN concat('https://shop.example.com/p/', id) ELSE concat('https://www.musinsa.com/products/', id) END AS product_url
+  CASE WHEN size % 2 = 0 THEN concat('https://shop.example.com/p/', id) ELSE concat('{dims.PRODUCT_URL}', id) END AS product_url
 FROM item_v WHERE {_NODE}""")
 def normalize_products(spark, sf):
     nodes = docs.product_nodes(_payloads(spark, sf), "page", "payload")

@@ -8,7 +8,7 @@ from .. import dims
 from ..functions.text import lookup
 from ..operators import masks
 from .bindings import table
-from .oracle import add_view, quote, sql_hue, sql_in, sql_list, sql_lookup, sql_rgb_name
+from .oracle import add_view, sql_hue, sql_in, sql_list, sql_lookup, sql_rgb_name
 from .q_matching import staged
 from .registry import query
 

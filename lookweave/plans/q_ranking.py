@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..functions.text import pad3
 from ..operators import quality
 from ..operators.catalog import dense_renumber
@@ -11,8 +12,8 @@ from .bindings import view
 from .registry import query
 
 
-@query("renumber", """
-SELECT photo, line, part, CAST(n AS BIGINT) AS rank, concat('look-', CASE WHEN n > 99 THEN CAST(n AS VARCHAR) ELSE lpad(CAST(n AS VARCHAR), 3, '0') END) AS file, concat('pinterest-', photo, '-', category) AS id
+@query("renumber", f"""
+SELECT photo, line, part, CAST(n AS BIGINT) AS rank, concat('look-', CASE WHEN n > 99 THEN CAST(n AS VARCHAR) ELSE lpad(CAST(n AS VARCHAR), 3, '0') END) AS file, concat('{dims.GARMENT_ID}-', photo, '-', category) AS id
 FROM (SELECT *, row_number() OVER (ORDER BY round(area * confidence, 9) DESC, photo, line, part) AS n FROM gate_v WHERE gate = 'pass')""")
 def renumber(spark, sf):
     """Accepted garments numbered by area times confidence."""
@@ -20,4 +21,4 @@ def renumber(spark, sf):
     rows = rows.withColumn("weight", F.round(F.col("area") * F.col("confidence"), 9))
     ranked = dense_renumber(rows, [F.desc("weight"), F.col("photo"), F.col("line"), F.col("part")])
     return ranked.select("photo", "line", "part", "rank", F.concat(F.lit("look-"), pad3(F.col("rank"))).alias("file"),
-                         F.concat_ws("-", F.lit("pinterest"), F.col("photo").cast("string"), F.col("category")).alias("id"))
+                         F.concat_ws("-", F.lit(dims.GARMENT_ID), F.col("photo").cast("string"), F.col("category")).alias("id"))

@@ -10,7 +10,7 @@ from ..functions import text as texts
 from ..functions.rules import seed_attributes as add_attributes
 from ..sources.documents import parse_model_json as extract_object
 from .bindings import table, view
-from .oracle import quote, sql_hue, sql_in, sql_list, sql_lookup, sql_strip_colors, sql_tokens
+from .oracle import quote, sql_hue, sql_in, sql_lookup, sql_strip_colors, sql_tokens
 from .registry import query
 
 

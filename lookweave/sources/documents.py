@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import dims
 from ..functions.text import decode_entities
 from ..session import materialize
 
@@ -105,7 +106,7 @@ def normalize_products(nodes: DataFrame, analytics: DataFrame, key: str) -> Data
     return joined.select(
         key, "id", "name", "brand", "source_rank", or_else(F.col("final_price"), F.col("a_price")).alias("price"),
         or_else(F.col("original_price"), F.col("final_price")).alias("original_price"), or_else(F.col("review_count")).alias("review_count"),
-        F.coalesce("click", F.concat(F.lit("https://www.musinsa.com/products/"), F.col("id"))).alias("product_url"), "image_url")
+        F.coalesce("click", F.concat(F.lit(dims.PRODUCT_URL), F.col("id"))).alias("product_url"), "image_url")
 
 
 def extract_links(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
