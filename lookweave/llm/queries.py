@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import neardup, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,3 +26,8 @@ def query(name: str) -> Callable[[Query], Query]:
 @query("op1_packing")
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op3_minhash_forest")
+def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
