@@ -12,8 +12,10 @@ gathered in one task.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +27,19 @@ from ..session import materialize
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-CACHE_ENTRIES = 400_000
-_LONG_WORD = 64
+CACHE_ENTRIES = 1_000_000
+_STOPS = re.compile(rb"([a-z])([.,]+)(?=\s|$)")
 _SHIFT = 45  # a key of the place table is length << 45 | rank
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Token ids of texts by a tokenizer that drops white space, one cached word at a time.
+    """Token ids of texts by a tokenizer that lower-cases and drops white space, one cached word at a time.
 
-    No token spans white space in such a vocabulary, so the ids of a text are those of its words in turn.
+    No token spans white space in such a vocabulary, so the ids of a text are those of its words in turn.  Full stops and
+    commas after a letter are tokens of their own, so they are cut off first and the cache holds fewer words.  The cache
+    has two generations: a full one becomes the old one, and what is met again moves back.
     """
 
     def __init__(self, path: str):
@@ -45,25 +49,27 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.model.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        fresh = []
+        for word in words:
+            if word in self.old:
+                self.known[word] = self.old[word]
+            else:
+                fresh.append(word)
+        found = self.model.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)
+        self.known.update((w, np.asarray(x.ids, dtype="<u4").tobytes()) for w, x in zip(fresh, found))
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
-        words = (text or "").encode("utf-8", "replace").split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        fresh = [w for w in set(words) if w not in self.known]
-        found = dict(zip(fresh, self._encode(fresh)))
-        self.known.update((w, x) for w, x in found.items() if len(w) <= _LONG_WORD)
-        known = self.known
-        return b"".join(found[w] if w in found else known[w] for w in words)
+        words = _STOPS.sub(rb"\1 \2", (text or "").encode("utf-8", "replace").lower()).split()
+        if len(self.known) > CACHE_ENTRIES // 2:
+            self.known, self.old = {}, self.known
+        missing = set(filterfalse(self.known.__contains__, words))
+        if missing:
+            self._learn(missing)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
