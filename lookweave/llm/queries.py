@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, packing
+from . import neardup, packing, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +32,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_minhash_forest")
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def rating() -> Column:
+    """Grade of a label row: 0 poor, 1 good but toxic, 2 good."""
+    return F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+
+
+@query("op9_quality_ordinal")
+def op9_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), rating(), 2)
+    scored = quality.score(documents, model)
+    return scored.select("doc_id", "expected", F.col("tails")[0].alias("tail_1"), F.col("tails")[1].alias("tail_2"), (F.col("tails")[0] >= 0.5).alias("selected"))
