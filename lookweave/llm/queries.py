@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, quality
-from .common import table
+from . import neardup, packing, quality, toxicity
+from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,3 +45,11 @@ def op9_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(documents, table(spark, sf_dir, "labels"), rating(), 2)
     scored = quality.score(documents, model)
     return scored.select("doc_id", "expected", F.col("tails")[0].alias("tail_1"), F.col("tails")[1].alias("tail_2"), (F.col("tails")[0] >= 0.5).alias("selected"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    lexicon = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(documents, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
