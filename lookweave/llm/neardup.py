@@ -32,7 +32,6 @@ TREES, DEPTH, KEY = 16, 4, 6  # trees, values that make a region, values that or
 VALUES = TREES * DEPTH
 SMALL, NEAR = 12, 2
 BLOCK, HALO = 8192, 2 * SMALL
-COMPARE = 1024  # classes to a block of the remaining comparisons
 AGREE = 38  # of 64 values; a pair at .85 agrees on fewer with probability below 1e-6
 SET_BLOCK = 1 << 20  # shingles to a task's group of confirmations
 FILTER_BITS = 24
@@ -182,21 +181,25 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             held.setdefault(node, []).append(np.frombuffer(hashes, np.uint64))
         root: dict[int, int] = {}
 
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
         for a, b in zip(left["a"], left["b"]):
-            x, y = find(a), find(b)
+            x, y = _find(root, a), _find(root, b)
             if x != y and any(_linked(p, q, percent) for p in held.get(a, ()) for q in held.get(b, ())):
                 root[max(x, y)] = min(x, y)
-        stars = [(x, find(x)) for x in list(root) if find(x) != x]
-        return pd.DataFrame(stars, columns=["a", "b"], dtype="int64")
+        return _stars(root)
 
     return placed.groupBy("low", "part").cogroup(needed.groupBy("low", "part")).applyInPandas(check, "a long, b long")
 
 
+def _find(root: dict[int, int], x: int) -> int:
+    while root.setdefault(x, x) != x:
+        root[x] = x = root[root[x]]
+    return x
+
+
+def _stars(root: dict[int, int]) -> pd.DataFrame:
+    return pd.DataFrame([(x, _find(root, x)) for x in list(root) if root[x] != x], columns=["a", "b"], dtype="int64")
+
+
 def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
         return False
@@ -204,29 +207,42 @@ def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(p) + len(q) - shared)
 
 
-def _remaining(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b, weight) that neighbours may have missed: in a large region, between its main group and the others."""
+def _remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between groups that neighbours may have missed: in a large region, its main group against the others.
+
+    Every class outside a region's main group is held against the whole region, in blocks of about ``SET_BLOCK`` shingles
+    on either side: signatures first, sets where enough values agree.  A pair that shares an earlier tree's region was
+    held together there.  A task returns the groups it joins, not their pairs.
+    """
     known = members.join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label"))
-    groups = known.groupBy("region", "label").agg(F.count("*").alias("n"))
-    split = groups.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).where("size > most")
-    split = split.select("region", "main", F.ceil(F.col("size") / COMPARE).alias("blocks"), F.ceil((F.col("size") - F.col("most")) / COMPARE).alias("others"))
-    full = known.join(split, "region").join(classes.select("node", "n", "sig"), "node")
-    turn = F.pmod(F.xxhash64("node", "region"), F.col("blocks")).cast("int")
-    rows = full.select("region", turn.alias("block"), F.explode(F.sequence(F.lit(0), F.col("others").cast("int") - 1)).alias("other"), "node", "label", "n", "sig")
-    odd = full.where("label <> main").select(*[F.col(c).alias(c) for c in ("region", "node", "label", "n", "sig")], F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.pmod(F.xxhash64("node", "region"), F.col("others")).cast("int").alias("other"))
+    full = known.join(classes.select("node", "n", "sig"), "node")
+    groups = full.groupBy("region", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    split = groups.groupBy("region").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most"), F.sum("n").alias("n")).where("all > most")
+    count = F.ceil(F.col("n") / SET_BLOCK).cast("int")
+    full = full.join(split.select("region", "main", count.alias("blocks")), "region").join(sets, "node")
+    turn, every = F.pmod(F.xxhash64("node", "region"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    kept = [F.col(c).alias(c) for c in ("region", "node", "label", "sig", "hashes")]
+    rows = full.select(*kept, turn.alias("block"), every.alias("other"))
+    odd = full.where("label <> main").select(*kept, every.alias("block"), turn.alias("other"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        root: dict[int, int] = {}
         if len(left) and len(right):
             values = np.frombuffer(b"".join(right["sig"]), np.uint32).reshape(-1, VALUES)
-            label, node, n = (right[c].to_numpy() for c in ("label", "node", "n"))
-            for x, own, size, sig in zip(left["node"], left["label"], left["n"], left["sig"]):
-                hit = np.flatnonzero(((values == np.frombuffer(sig, np.uint32)).sum(axis=1) >= AGREE) & (label != own))
-                out += [(min(x, node[i]), max(x, node[i]), size + n[i]) for i in hit]
-        return pd.DataFrame(out, columns=["a", "b", "weight"], dtype="int64")
-
-    found = odd.groupBy("region", "block", "other").cogroup(rows.groupBy("region", "block", "other")).applyInPandas(compare, "a long, b long, weight long")
-    return found.distinct()
+            tree = int.from_bytes(left["region"].iloc[0][:2], "big")
+            label = right["label"].to_numpy()
+            hashes = [np.frombuffer(h, np.uint64) for h in right["hashes"]]
+            for own, sig, held in zip(left["label"], left["sig"], left["hashes"]):
+                same = values == np.frombuffer(sig, np.uint32)
+                met = same.reshape(-1, TREES, DEPTH)[:, :tree].all(axis=2).any(axis=1)
+                mine = np.frombuffer(held, np.uint64)
+                for i in np.flatnonzero((same.sum(axis=1) >= AGREE) & ~met & (label != own)):
+                    x, y = _find(root, own), _find(root, label[i])
+                    if x != y and _linked(mine, hashes[i], percent):
+                        root[max(x, y)] = min(x, y)
+        return _stars(root)
+
+    return odd.groupBy("region", "block", "other").cogroup(rows.groupBy("region", "block", "other")).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -253,9 +269,8 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     sets = materialize(_sets(documents, nodes))
     stars = materialize(_confirm(pairs, sets, percent))
     labels = components(stars)
-    rest = materialize(_remaining(members, labels, classes))
-    if not rest.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(_confirm(rest, sets, percent)))
+    rest = _remaining(members, labels, classes, sets, percent)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
     known = classes.select("mark", "node").join(labels, "node", "left").select("mark", F.coalesce("label", "node").alias("component"))
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "mark").join(known, "mark", "left")
     component = F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id")))
