@@ -1,14 +1,14 @@
 """Toxicity: a learned lexicon in a trie, met by Levenshtein automata, and scores of context windows.
 
-Lexicon terms are words and word beginnings that training rows tie to the label.  A term joins only if it explains
-toxic rows that stronger terms leave unexplained, so the words of one copied text do not pile up.  A text's words walk the
+Lexicon terms are words and word beginnings that training rows tie to the label.  Near copies of a text count once, by a
+MinHash value of their terms, so the words of one copied text do not become terms.  A text's words walk the
 trie with the states of an automaton that allows one edit; a hit counts by its weight, by whether it is exact, by
 whether quotation marks hold it, and by how many other hits stand in its window.  A small logistic model joins these.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -162,25 +162,18 @@ def in_quotes(words: list[str], at: int) -> bool:
     return last is not None and last >= at
 
 
-def choose_terms(held: dict[str, set[int]], other: dict[str, int], toxic: int, others: int) -> dict[str, float]:
-    """Weights (log odds ratios) of the terms that explain the toxic rows, the surest and widest first."""
-    sure = {}
-    for term, rows in held.items():
-        a, b = len(rows) + 0.5, other.get(term, 0) + 0.5
-        odds = np.log(a / (toxic + 1)) - np.log(b / (others + 1))
-        if len(rows) >= LEAST_ROWS and odds - 2 * np.sqrt(1 / a + 1 / b) >= LEAST_ODDS:
-            sure[term] = float(odds)
-    chosen, open_rows = {}, set().union(*(held[t] for t in sure)) if sure else set()
-    # of stems that hold the same rows the longest is the most specific
-    order = sorted(sure, key=lambda t: (-len(held[t]) * sure[t], -len(t), t))
-    while open_rows:
-        gains = [(len(held[t] & open_rows), t) for t in order]
-        gain, term = max(gains, key=lambda x: (x[0] * sure[x[1]], len(x[1]), x[1]))
-        if gain < LEAST_ROWS:
-            break
-        chosen[term] = sure[term]
-        open_rows -= held[term]
-        order = [t for n, t in gains if n >= LEAST_ROWS and t != term]
+def choose_terms(held: dict[str, int], other: dict[str, int], toxic: int, others: int) -> dict[str, float]:
+    """Weights (log odds ratios) of the terms that are surely tied to toxic rows.
+
+    A term that a chosen stem of nearly its weight or more begins adds nothing and stays out.
+    """
+    chosen: dict[str, float] = {}
+    for term in sorted(held, key=lambda t: (len(t.rstrip("*")), t)):
+        a, b = held[term] + 0.5, other.get(term, 0) + 0.5
+        odds = float(np.log(a / (toxic + 1)) - np.log(b / (others + 1)))
+        stems = [chosen.get(term[:k] + "*", -1.0) for k in range(PREFIX[0], min(PREFIX[1], len(term.rstrip("*"))) + 1) if term[:k] + "*" != term]
+        if held[term] >= LEAST_ROWS and odds - 2 * np.sqrt(1 / a + 1 / b) >= LEAST_ODDS and max(stems, default=-1.0) < odds - 1:
+            chosen[term] = odds
     return chosen
 
 
@@ -200,18 +193,19 @@ def fit(documents: DataFrame, labels: DataFrame, trainable: Column) -> Lexicon:
             out, plain = [], Counter()
             for doc, toxic, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = terms_of(text)
-                if toxic:
-                    out += [(t, doc, 0) for t in found]
+                if toxic and found:
+                    copy = min(zlib.crc32(t.encode()) for t in found)
+                    out += [(t, copy, 0) for t in found]
                 else:
                     plain.update(found)
             out += [(t, None, n) for t, n in plain.items()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.string(), pa.int64(), pa.int64()))], names=["term", "doc", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.string(), pa.int64(), pa.int64()))], names=["term", "copy", "n"])
 
-    found = texts.mapInArrow(split, "term string, doc long, n long").groupBy("term").agg(F.collect_set("doc").alias("docs"), F.sum("n").alias("others"))
-    rows = found.where(F.size("docs") >= LEAST_ROWS).where(F.size("docs") > F.col("others") / 4).collect()  # sets of sampled rows only
+    found = texts.mapInArrow(split, "term string, copy long, n long").groupBy("term").agg(F.count_distinct("copy").alias("held"), F.sum("n").alias("others"))
+    rows = found.where((F.col("held") >= LEAST_ROWS) & (F.col("held") > F.col("others") / 4)).collect()  # terms of the sampled rows only
     count = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    held, other = {r["term"]: set(r["docs"]) for r in rows}, {r["term"]: r["others"] for r in rows}
+    held, other = {r["term"]: r["held"] for r in rows}, {r["term"]: r["others"] for r in rows}
     weights = choose_terms(held, other, count.get(1, 0), count.get(0, 0))
     lexicon = Lexicon(weights, np.zeros(7))
 
