@@ -28,7 +28,7 @@ from ..session import materialize
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 CACHE_ENTRIES = 1_000_000
-_STOPS = re.compile(rb"([a-z])([.,]+)(?=\s|$)")
+_STOPS = re.compile(rb"(.*[a-z])([.,]+)", re.DOTALL)
 _SHIFT = 45  # a key of the place table is length << 45 | rank
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,7 +38,7 @@ class WordEncoder:
     """Token ids of texts by a tokenizer that lower-cases and drops white space, one cached word at a time.
 
     No token spans white space in such a vocabulary, so the ids of a text are those of its words in turn.  Full stops and
-    commas after a letter are tokens of their own, so they are cut off first and the cache holds fewer words.  The cache
+    commas after a letter are tokens of their own, so a word that ends in them needs no encoding of its own.  The cache
     has two generations: a full one becomes the old one, and what is met again moves back.
     """
 
@@ -52,18 +52,29 @@ class WordEncoder:
         self.old: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        fresh = []
+        known, old, fresh, ending = self.known, self.old, set(), []
         for word in words:
-            if word in self.old:
-                self.known[word] = self.old[word]
+            if word in old:
+                known[word] = old[word]
+                continue
+            cut = _STOPS.fullmatch(word)
+            if cut:
+                ending.append((word, *cut.groups()))
+                fresh.update(x for x in cut.groups() if x not in known)
             else:
-                fresh.append(word)
-        found = self.model.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)
-        self.known.update((w, np.asarray(x.ids, dtype="<u4").tobytes()) for w, x in zip(fresh, found))
-
-    def ids(self, text: str | None) -> bytes:
+                fresh.add(word)
+        for word in [w for w in fresh if w in old]:
+            known[word] = old[word]
+            fresh.discard(word)
+        listed = list(fresh)
+        found = self.model.encode_batch_fast([w.decode("utf-8") for w in listed], add_special_tokens=False)
+        known.update((w, np.asarray(x.ids, dtype="<u4").tobytes()) for w, x in zip(listed, found))
+        known.update((word, known[stem] + known[stops]) for word, stem, stops in ending)
+
+    def ids(self, text: bytes | str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
-        words = _STOPS.sub(rb"\1 \2", (text or "").encode("utf-8", "replace").lower()).split()
+        data = text.encode("utf-8") if isinstance(text, str) else text or b""
+        words = data.lower().split()
         if len(self.known) > CACHE_ENTRIES // 2:
             self.known, self.old = {}, self.known
         missing = set(filterfalse(self.known.__contains__, words))
@@ -102,7 +113,7 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
         seen = [0] * (capacity + 1)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 ids = words.ids(text) + b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     chunk = ids[at:at + 4 * capacity]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, quality, toxicity
+from . import neardup, packing, quality, secretscan, toxicity, vafile
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,25 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 4) == 2
     lexicon = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(documents, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_vector_approximation")
+def op10_vector_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vafile.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return vafile.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+ORACLES["op10_vector_approximation"] = """
+WITH vectors AS (
+  SELECT vec_id, [floor(CAST(x AS DOUBLE) * 1024) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors r ON q.vec_id % 100 = 0 AND r.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10"""
