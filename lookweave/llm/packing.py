@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import filterfalse
@@ -68,7 +69,7 @@ class WordEncoder:
             fresh.discard(word)
         listed = list(fresh)
         found = self.model.encode_batch_fast([w.decode("utf-8") for w in listed], add_special_tokens=False)
-        known.update((w, np.asarray(x.ids, dtype="<u4").tobytes()) for w, x in zip(listed, found))
+        known.update((w, struct.pack(f"<{len(x.ids)}I", *x.ids)) for w, x in zip(listed, found))
         known.update((word, known[stem] + known[stops]) for word, stem, stops in ending)
 
     def ids(self, text: bytes | str | None) -> bytes:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, quality, secretscan, toxicity, vafile
+from . import language, neardup, packing, quality, secretscan, toxicity, vafile
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,11 @@ pairs AS (
   FROM vectors q JOIN vectors r ON q.vec_id % 100 = 0 AND r.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = language.fit(documents, ~held_out)
+    return language.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans")
