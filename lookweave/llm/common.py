@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,30 +11,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, schema: str, fn: Callable[[dict], dict], *columns: str) -> DataFrame:
-    """Run ``fn`` on Arrow batches: a dict of lists in, a dict of lists or arrays out.
-
-    ``fn`` gets and returns one batch at a time, so a task holds one batch whatever its partition's size.
-    """
-    spark = df.sparkSession
-    arrow = _arrow_schema(spark, schema)
-    chosen = df.select(*columns) if columns else df
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch.to_pydict())
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type, from_pandas=False) for f in arrow], schema=arrow)
-
-    return chosen.mapInArrow(run, schema)
-
-
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def fold(column: Column, parts: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``parts``; an absent id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts
@@ -48,5 +21,22 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "replace").lower().split()
 
 
-def stable_hash(data: bytes) -> int:
-    return zlib.crc32(data)
+FILTER_BITS = 24
+
+
+def bit_filter(slots: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the hashed places in ``column`` (0 to 2^bits - 1), as words of 64.
+
+    It is of fixed size, so it may travel to every task; it only ever lets too much through.
+    """
+    words = slots.select(F.shiftright(F.col(column).cast("long"), 6).alias("word"), F.expr(f"shiftleft(1L, CAST({column} % 64 AS INT))").alias("bit"))
+    out = np.zeros(1 << bits - 6, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
+
+
+def passing(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Positions of the slots whose bit is set."""
+    slots = slots.astype(np.uint64)
+    return np.flatnonzero(bitmap[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63)) & np.uint64(1))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import number_rows
 from ..session import materialize
-from .common import words_of
+from .common import FILTER_BITS, bit_filter, passing, words_of
 from .graph import components
 
 WIDTH = 5
@@ -34,7 +34,6 @@ SMALL, NEAR = 12, 2
 BLOCK, HALO = 8192, 2 * SMALL
 AGREE = 38  # of 64 values; a pair at .85 agrees on fewer with probability below 1e-6
 SET_BLOCK = 1 << 20  # shingles to a task's group of confirmations
-FILTER_BITS = 24
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -136,30 +135,18 @@ def _halo(pos: Column) -> Column:
     return F.array_compact(F.array(own, F.when((within < HALO) & (own > 0), own - 1), F.when(within >= BLOCK - HALO, own + 1)))
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of 2^bits hashed ids: of fixed size, so it may travel to every task.  It only ever lets too much through."""
-    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))
-    words = ids.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, CAST(pmod(xxhash64(CAST(%s AS BIGINT)), %d) %% 64 AS INT))" % (column, 1 << bits)).alias("bit"))
-    out = np.zeros(1 << bits - 6, np.int64)
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        out[r["word"]] = r["bits"]
-    return out.view(np.uint64)
-
-
 def _sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, hashes) of the documents that take part in a comparison."""
-    bitmap = id_filter(nodes, "node")
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << FILTER_BITS))
+    bitmap = bit_filter(nodes.select(place("node").alias("slot")), "slot")
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
-            keep = np.flatnonzero(bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
-            few = batch.take(pa.array(keep))
+            few = batch.take(pa.array(passing(bitmap, batch.column(2).to_numpy(zero_copy_only=False))))
             yield pa.RecordBatch.from_arrays([few.column(0), pa.array([shingles(t).tobytes() for t in few.column(1).to_pylist()], pa.binary())], schema=schema)
 
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS))
-    held = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", slot.alias("slot"))
+    held = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place("doc_id").alias("slot"))
     return held.mapInArrow(run, "node long, hashes binary").join(nodes, "node", "left_semi")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, neardup, packing, quality, secretscan, toxicity, vafile
+from . import chat, language, linededup, neardup, packing, quality, secretscan, toxicity, vafile
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +149,9 @@ written AS (
     '"name":"' || name || '"', '"result":' || to_json(result), '"status":"' || status || '"') || '}}' AS json FROM rows)
 SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY depth NULLS LAST, turn, call_id, status, json) AS position,
   CAST(coalesce(depth, -1) AS BIGINT) AS depth, status, problems, json FROM written"""
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = linededup.repeated_lines(table(spark, sf_dir, "documents"), percent=80)
+    return removed.select(F.col("doc").alias("doc_id"), "line")
