@@ -43,6 +43,8 @@ SCRIPTS = (
 
 def script_of(word: str) -> str:
     """Script of a word's first letter that a range holds."""
+    if word[:1].isascii():
+        return "latin"
     for c in word:
         for name, first, last in SCRIPTS:
             if first <= ord(c) <= last:
@@ -54,10 +56,18 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def slots_of(word: str) -> list[int]:
-    """Hashed letter groups of a word with its ends marked."""
-    marked = f"<{word[:64]}>" if len(word) <= 64 else f"<{word[:32]}…{word[-32:]}>"
-    return [zlib.crc32(marked[i:i + n].encode()) & SLOTS - 1 for n in GROUPS for i in range(len(marked) - n + 1)]
+def groups_of(word: str) -> list[str]:
+    """Letter groups of a word with its ends marked."""
+    marked = f"<{word}>" if len(word) <= 64 else f"<{word[:32]}…{word[-32:]}>"
+    return [marked[i:i + n] for n in GROUPS for i in range(len(marked) - n + 1)]
+
+
+class _Slots(dict):
+    """Hashed place of a letter group."""
+
+    def __missing__(self, group: str) -> int:
+        self[group] = slot = zlib.crc32(group.encode()) & SLOTS - 1
+        return slot
 
 
 @dataclass
@@ -70,32 +80,46 @@ class Model:
 
     def __post_init__(self):
         self.table = np.empty((1024, len(self.languages)))
+        self.groups = _Slots()
+        self.by_slot = np.ascontiguousarray(self.logs.T)
+        names = sorted(set().union(*self.scripts)) if self.scripts else []
+        self.script_index = {name: i for i, name in enumerate(names)}
+        # a script that no language uses rules none out
+        self.absent = np.array([[name not in s for s in self.scripts] for name in names] + [[False] * len(self.scripts)], bool).reshape(len(names) + 1, -1)
 
     def __reduce__(self):
         return Model, (self.languages, self.logs, self.scripts)
 
-    def word(self, word: str) -> np.ndarray:
-        """Score of a word per language, 0 for the best one."""
-        raw = self.logs[:, slots_of(word)].mean(axis=1) * min(len(word), 8)
-        script = script_of(word)
-        narrowed = np.array([script in s for s in self.scripts])
-        if narrowed.any():
-            raw = np.where(narrowed, raw, -np.inf)
-        return np.maximum(raw - raw.max(), FLOOR)
+    def _score(self, words: list[str]) -> np.ndarray:
+        """Scores of new words per language, 0 for the best one."""
+        if len(self.groups) > CACHE_ENTRIES:
+            self.groups.clear()
+        slots, sizes = [], []
+        for word in words:
+            found = groups_of(word)
+            sizes.append(len(found))
+            slots += map(self.groups.__getitem__, found)
+        n = np.array(sizes)
+        raw = np.add.reduceat(self.by_slot[slots], np.cumsum(n) - n, axis=0) / n[:, None]
+        raw *= np.minimum([len(w) for w in words], 8)[:, None]
+        out = self.absent[[self.script_index.get(script_of(w), -1) for w in words]]
+        raw[out] = -np.inf
+        return np.maximum(raw - raw.max(axis=1, keepdims=True), FLOOR)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """(words, languages); a word is scored once per worker while it stays in the cache."""
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        fresh = set(filterfalse(known.__contains__, words))
-        if len(known) + len(fresh) > len(self.table):
-            grown = np.empty((2 * (len(known) + len(fresh)), len(self.languages)))
-            grown[:len(known)] = self.table[:len(known)]
-            self.table = grown
-        for w in fresh:
-            self.table[len(known)] = self.word(w)
-            known[w] = len(known)
+        fresh = list(set(filterfalse(known.__contains__, words)))
+        if fresh:
+            n = len(known)
+            if n + len(fresh) > len(self.table):
+                grown = np.empty((2 * (n + len(fresh)), len(self.languages)))
+                grown[:n] = self.table[:n]
+                self.table = grown
+            self.table[n:n + len(fresh)] = self._score(fresh)
+            known.update(zip(fresh, range(n, n + len(fresh))))
         return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def spans(self, words: list[str], scores: np.ndarray | None = None) -> list[tuple[int, int, int]]:
@@ -177,12 +201,13 @@ def fit(documents: DataFrame, trainable: Column, sample: int = SAMPLE) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots: dict[str, np.ndarray] = {}
+        places = _Slots()
         scripts: Counter[tuple[str, str]] = Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held = slots.setdefault(lang, np.zeros(SLOTS, np.int64))
                 for word, n in Counter(words_of(text)).items():
-                    np.add.at(held, slots_of(word), n)
+                    np.add.at(held, list(map(places.__getitem__, groups_of(word))), n)
                     scripts[lang, script_of(word)] += n * len(word)
         out = [(lang, int(i), None, int(held[i])) for lang, held in slots.items() for i in np.flatnonzero(held)]
         out += [(lang, None, script, n) for (lang, script), n in scripts.items()]
