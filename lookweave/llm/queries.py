@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, linededup, neardup, packing, quality, secretscan, toxicity, vafile
+from . import chat, decontam, language, linededup, neardup, packing, quality, secretscan, toxicity, vafile
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,8 @@ SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY depth
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = linededup.repeated_lines(table(spark, sf_dir, "documents"), percent=80)
     return removed.select(F.col("doc").alias("doc_id"), "line")
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
