@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,5 +60,37 @@ def materialize(df: DataFrame) -> DataFrame:
     planner broadcast it when it is small enough and prune its columns.
     """
     path = shared_folder(df.sparkSession, "stage")
+    for stages in _OPEN:
+        stages.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_OPEN: list[list[str]] = []  # written stages of the scratch blocks that are open
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Stages that are written within the block are deleted at its end.
+
+    The block gets a function that writes a DataFrame as a stage that stays; what is returned from the block must be
+    read from such stages alone.
+    """
+    stages: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        written = materialize(df)
+        kept.add(stages[-1])
+        return written
+
+    _OPEN.append(stages)
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(stages)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in stages:
+            if path not in kept:
+                folder = jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(conf).delete(folder, True)
