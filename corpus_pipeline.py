@@ -23,7 +23,7 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones (Jaccard .8 or more); documents that lose all their lines go."""
-    return linededup.drop_lines(docs, linededup.repeated_lines(docs, percent=80), length="n_chars")
+    return linededup.drop_lines(docs, linededup.first_lines(docs, percent=80), length="n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import number_rows
-from ..session import materialize
+from ..session import materialize, scratch
 
 ID = ["conv_id", "call_id"]
 
@@ -68,6 +68,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     Positions count a conversation's rows from 1 by depth (those without one last), turn, id and text; a null conv_id is a
     conversation of its own.  Empty tables give no rows.
     """
+    with scratch(calls.sparkSession) as keep:
+        return keep(_linked(calls, results, schemas))
+
+
+def _linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     calls = calls.select(*ID, "after", "turn", "name", "arguments").distinct()
     spread = F.when(F.col("call_id").isNull(), F.xxhash64("turn", "name", "arguments", "after"))
     nth = F.row_number().over(Window.partitionBy("conv_id", "call_id", spread).orderBy("turn", "name", "arguments", "after"))

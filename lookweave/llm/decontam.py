@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 from .common import FILTER_BITS, bit_filter, passing, words_of
 
 MASKS = ("110111", "11111")
@@ -159,6 +159,7 @@ def _overlaps(keyed: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFr
 
     confirmed = pairs.mapInArrow(verify, "key long, item long, equal long, window long, start long, matched long")
     best = confirmed.groupBy("key", "item").agg(F.max(F.struct("equal", "matched", -F.col("start"), "window")).alias("b"))
+    best = materialize(best)
     return best.select("key", "item", F.col("b.equal").alias("equal"), F.col("b.window").alias("window"), (-F.col("b.col3")).alias("start"), F.col("b.matched").alias("matched")), known.select("item", "item_id").distinct()
 
 
@@ -171,15 +172,17 @@ def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     tokens and null or empty texts overlap with nothing.  Repeated rows, and items of one text, count once per id.
     """
     keyed = _keyed(documents)
-    best, ids = _overlaps(keyed, benchmark)
-    # the key stands for id and text, so a document is found by it alone
-    owners = keyed.select("key", F.col("doc_id").cast("long").alias("doc_id")).join(best.select("key").distinct(), "key", "left_semi").distinct()
-    return best.join(owners, "key").join(ids, "item").select("doc_id", "item_id", "equal", "window", "start", "matched")
+    with scratch(documents.sparkSession) as keep:
+        best, ids = _overlaps(keyed, benchmark)
+        # the key stands for id and text, so a document is found by it alone
+        owners = keyed.select("key", F.col("doc_id").cast("long").alias("doc_id")).join(best.select("key").distinct(), "key", "left_semi").distinct()
+        return keep(best.join(owners, "key").join(ids, "item").select("doc_id", "item_id", "equal", "window", "start", "matched"))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without any overlap, all columns kept."""
     keyed = _keyed(documents.withColumnRenamed("key", "__key") if "key" in documents.columns else documents)
-    best, _ = _overlaps(keyed, benchmark)
-    left = keyed.join(materialize(best.select("key").distinct()), "key", "left_anti").drop("key")
+    with scratch(documents.sparkSession) as keep:
+        gone = keep(_overlaps(keyed, benchmark)[0].select("key").distinct())
+    left = keyed.join(gone, "key", "left_anti").drop("key")
     return left.withColumnRenamed("__key", "key") if "key" in documents.columns else left

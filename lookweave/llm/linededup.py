@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 from .common import FILTER_BITS, bit_filter, passing
 
 COUNT_BITS, BLOCK_BITS = 24, 14  # counters of the rarity order, counters to a block
@@ -89,7 +89,7 @@ def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _line_table(documents: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """doc, line, n (distinct tokens), mark (of the set), keys (of the prefix), b0 and b1 (the sketch) of every line with a word.
+    """doc, line, n (distinct tokens), mark (of the set), keys and places (of the prefix's tokens that occur elsewhere), b0 and b1 (the sketch) of every line with a word.
 
     Sets so small that only equal ones can match need no prefix.
     """
@@ -116,11 +116,15 @@ def _line_table(documents: DataFrame, levels: np.ndarray, percent: int) -> DataF
             marks = [xxhash.xxh3_128_digest(flat[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
             prefix = np.where(100 * n < percent * (n + 1), 0, n + (-percent * n // 100) + 1)
             first = np.arange(prefix.sum()) + np.repeat(starts - (np.cumsum(prefix) - prefix), prefix)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)), pa.array(flat[first]))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(n.astype(np.int32)), pa.array(marks, pa.binary()), lists, *map(pa.array, sketch)], names=["doc", "line", "n", "mark", "keys", "b0", "b1"])
+            owner = np.repeat(np.arange(len(n)), prefix)
+            shared = flat[first] >> LEVEL > 0  # a token that is counted once has no partner
+            first, owner = first[shared], owner[shared]
+            cuts = np.searchsorted(owner, np.arange(len(n) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (flat[first], (first - starts[owner]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(n.astype(np.int32)), pa.array(marks, pa.binary()), *lists, *map(pa.array, sketch)], names=["doc", "line", "n", "mark", "keys", "places", "b0", "b1"])
 
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)).alias("doc")
-    return documents.select(own, "text").mapInArrow(run, "doc long, line int, n int, mark binary, keys array<long>, b0 long, b1 long")
+    return documents.select(own, "text").mapInArrow(run, "doc long, line int, n int, mark binary, keys array<long>, places array<int>, b0 long, b1 long")
 
 
 def _cells(postings: DataFrame) -> DataFrame:
@@ -235,59 +239,77 @@ def _verified(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame
     return met.select(F.col("doc_x").alias("doc"), F.col("line_x").alias("line")).distinct()
 
 
-def repeated_lines(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """doc, line of every line that repeats or nearly repeats an earlier one, ``line`` counting from 0.
+def first_lines(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """doc, line of every line with a word that neither repeats nor nearly repeats an earlier one, ``line`` counting from 0.
 
     Earlier means a smaller (doc_id, line), a null doc_id counting as the largest number.  Words are runs of anything but
-    ASCII white space, A-Z lower-cased; lines without a word never match.  A removed line still removes later ones.  Rows that
-    repeat an id stand at the same places, so none of them is earlier than the other.
+    ASCII white space, A-Z lower-cased.  A line that goes still removes later ones.  Rows that repeat an id stand at the
+    same places, so none of them is earlier than the other, and a place stays if the line of one of them does.
     """
-    levels = _levels(documents)
-    table = materialize(_line_table(documents, levels, percent))
-    first = table.groupBy("mark").agg(F.min(F.struct("doc", "line")).alias("at")).select("mark", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"))
-    first = materialize(first)
-    copies = table.select("mark", "doc", "line").join(first, "mark").where("struct(doc, line) > struct(first_doc, first_line)").select("doc", "line")
-    heads = table.where(F.size("keys") > 0).join(first.select(F.col("first_doc").alias("doc"), F.col("first_line").alias("line"), "mark"), ["doc", "line", "mark"], "left_semi")
-    postings = heads.select("doc", "line", "n", F.posexplode("keys").alias("i", "key"), "b0", "b1", F.lit(True).alias("asked"))
-    found = materialize(_candidates(_cells(postings), percent, FIRST))
-    near = materialize(_verified(documents, found.where("doc_y IS NOT NULL").drop("key").distinct(), percent))
-    open_ = found.where("doc_y IS NULL").select(F.col("doc_x").alias("doc"), F.col("line_x").alias("line"), "key").distinct().join(near, ["doc", "line"], "left_anti")
-    open_ = materialize(open_)
-    if not open_.isEmpty():
-        rest = postings.drop("asked").join(open_.select("key").distinct(), "key", "left_semi").join(open_.withColumn("asked", F.lit(True)), ["doc", "line", "key"], "left")
-        rest = _cells(rest.withColumn("asked", F.coalesce("asked", F.lit(False))))
-        near = near.union(_verified(documents, _candidates(rest, percent, None).drop("key").distinct(), percent)).distinct()
-    return copies.union(near).distinct()
-
-
-def drop_lines(documents: DataFrame, removed: DataFrame, length: str | None = None) -> DataFrame:
-    """The documents without the removed lines, all columns kept; a document that loses all its lines goes.
-
-    ``length`` names a column to hold the new text's length.
+    with scratch(documents.sparkSession) as keep:
+        table = _line_table(documents, _levels(documents), percent)
+        heads = table.groupBy("mark").agg(F.min(F.struct("doc", "line", "n", "keys", "places", "b0", "b1")).alias("h"))
+        heads = materialize(heads.select("h.*"))
+        postings = heads.where(F.size("keys") > 0).select("doc", "line", "n", "b0", "b1", F.explode(F.arrays_zip("keys", "places")).alias("p"))
+        postings = postings.select("doc", "line", "n", F.col("p.places").alias("i"), F.col("p.keys").alias("key"), "b0", "b1", F.lit(True).alias("asked"))
+        found = materialize(_candidates(_cells(postings), percent, FIRST))
+        near = materialize(_verified(documents, found.where("doc_y IS NOT NULL").drop("key").distinct(), percent))
+        open_ = found.where("doc_y IS NULL").select(F.col("doc_x").alias("doc"), F.col("line_x").alias("line"), "key").distinct().join(near, ["doc", "line"], "left_anti")
+        open_ = materialize(open_)
+        if not open_.isEmpty():
+            rest = postings.drop("asked").join(open_.select("key").distinct(), "key", "left_semi").join(open_.withColumn("asked", F.lit(True)), ["doc", "line", "key"], "left")
+            rest = _cells(rest.withColumn("asked", F.coalesce("asked", F.lit(False))))
+            near = near.union(_verified(documents, _candidates(rest, percent, None).drop("key").distinct(), percent)).distinct()
+        return keep(heads.select("doc", "line").join(near, ["doc", "line"], "left_anti"))
+
+
+def _worded(line: str | bytes) -> bool:
+    return bool(line.split() if isinstance(line, bytes) else line.encode("utf-8").split())
+
+
+def removed_lines(documents: DataFrame, first: DataFrame) -> DataFrame:
+    """doc, line of the lines with a word that are not among the first ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [[i for i, line in enumerate(lines_of(t)) if _worded(line)] for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.int32()))], names=["doc", "lines"])
+
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)).alias("doc")
+    every = documents.select(own, "text").mapInArrow(run, "doc long, lines array<int>")
+    held = every.join(_by_document(first), "doc", "left")
+    return held.select("doc", F.explode(F.array_except("lines", F.coalesce("kept", F.array().cast("array<int>")))).alias("line")).distinct()
+
+
+def _by_document(first: DataFrame) -> DataFrame:
+    return first.groupBy("doc").agg(F.collect_set("line").alias("kept"))  # one document's own lines
+
+
+def drop_lines(documents: DataFrame, first: DataFrame, length: str | None = None) -> DataFrame:
+    """The documents with their first lines and their lines without a word, all columns kept.
+
+    A document that loses all its words goes.  ``length`` names a column to hold a changed text's length.
     """
-    schema = documents.schema
-    lists = removed.groupBy("doc").agg(F.collect_set("line").alias("__lines"))  # one document's own lines
+    schema, at = documents.schema, documents.columns
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST))
-    held = documents.withColumn("__doc", own).join(lists.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
-    at = [f.name for f in schema]
+    held = documents.withColumn("__doc", own).join(_by_document(first).select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept")), "__doc", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes, keep = [], [], []
-            for text, lines in zip(batch.column(at.index("text")).to_pylist(), batch.column(len(at)).to_pylist()):
-                if lines:
-                    gone = set(lines)
-                    left = [x for i, x in enumerate(text.split("\n")) if i not in gone]
-                    keep.append(any(x.strip() for x in left))
-                    text = "\n".join(left)
-                else:
-                    keep.append(True)
-                texts.append(text)
-                sizes.append(None if text is None else len(text))
+            texts, sizes, stay = batch.column(at.index("text")).to_pylist(), batch.column(at.index(length)).to_pylist() if length else [], []
+            for row, (text, kept) in enumerate(zip(texts, batch.column(len(at)).to_pylist())):
+                lines = (text or "").split("\n")
+                kept = set(kept or ())
+                worded = [_worded(line) for line in lines]
+                left = [line for i, line in enumerate(lines) if i in kept or not worded[i]]
+                stay.append(not any(worded) or bool(kept))
+                if len(left) < len(lines):
+                    texts[row] = "\n".join(left)
+                    if length:
+                        sizes[row] = len(texts[row])
             columns = list(batch.columns[:len(at)])
-            columns[at.index("text")] = pa.array(texts, pa.string())
+            columns[at.index("text")] = pa.array(texts, columns[at.index("text")].type)
             if length:
                 columns[at.index(length)] = pa.array(sizes, columns[at.index(length)].type)
-            yield pa.RecordBatch.from_arrays(columns, names=at).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns, names=at).filter(pa.array(stay, pa.bool_()))
 
-    return held.select(*[F.col(f"`{c}`") for c in at], "__lines").mapInArrow(run, schema)
+    return held.select(*[F.col(f"`{c}`") for c in at], "__kept").mapInArrow(run, schema)

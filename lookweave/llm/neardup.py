@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import number_rows
-from ..session import materialize
+from ..session import materialize, scratch
 from .common import FILTER_BITS, bit_filter, passing, words_of
 from .graph import components
 
@@ -240,25 +240,26 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     are one document.  A row without doc_id joins its class, but a class without any id is linked with nothing, has a null
     component_id and is kept.  Columns other than doc_id and text are not read.
     """
-    sketched = materialize(sketch(documents))
-    grouped = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("sig").alias("sig"))
-    classes = materialize(grouped)
-    placed = number_rows(_forest(classes), [F.col("tree"), F.col("key"), F.col("node")], "pos").withColumn("pos", F.col("pos") - 1)
-    blocks = placed.select(F.explode(_halo(F.col("pos"))).alias("block"), "pos", "tree", "key", "node")
-    found = materialize(blocks.groupBy("block").applyInPandas(_neighbours, "a long, b long, region binary"))
-    size = classes.groupBy("node").agg(F.max("n").alias("n"))
-    pairs = found.where("region IS NULL").select("a", "b").distinct()
-    pairs = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = materialize(pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("weight")))
-    members = found.where("region IS NOT NULL").select("region", F.col("a").alias("node"))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
-    nodes = materialize(nodes)
-    sets = materialize(_sets(documents, nodes))
-    stars = materialize(_confirm(pairs, sets, percent))
-    labels = components(stars)
-    rest = _remaining(members, labels, classes, sets, percent)
-    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
-    known = classes.select("mark", "node").join(labels, "node", "left").select("mark", F.coalesce("label", "node").alias("component"))
-    out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "mark").join(known, "mark", "left")
-    component = F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    with scratch(documents.sparkSession) as keep:
+        sketched = materialize(sketch(documents))
+        grouped = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+        classes = materialize(grouped)
+        placed = number_rows(_forest(classes), [F.col("tree"), F.col("key"), F.col("node")], "pos").withColumn("pos", F.col("pos") - 1)
+        blocks = placed.select(F.explode(_halo(F.col("pos"))).alias("block"), "pos", "tree", "key", "node")
+        found = materialize(blocks.groupBy("block").applyInPandas(_neighbours, "a long, b long, region binary"))
+        size = classes.groupBy("node").agg(F.max("n").alias("n"))
+        pairs = found.where("region IS NULL").select("a", "b").distinct()
+        pairs = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+        pairs = materialize(pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("weight")))
+        members = found.where("region IS NOT NULL").select("region", F.col("a").alias("node"))
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
+        nodes = materialize(nodes)
+        sets = materialize(_sets(documents, nodes))
+        stars = materialize(_confirm(pairs, sets, percent))
+        labels = components(stars)
+        rest = _remaining(members, labels, classes, sets, percent)
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
+        known = classes.select("mark", "node").join(labels, "node", "left").select("mark", F.coalesce("label", "node").alias("component"))
+        out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "mark").join(known, "mark", "left")
+        component = F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id")))
+        return keep(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -186,7 +186,11 @@ def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY
     Repeated rows are packed each for itself; an empty table gives no rows; columns other than doc_id and text
     are not read.  Needs a written stage in the shared folder, as ranks must not be computed twice.
     """
-    pieces = materialize(token_pieces(documents, path, capacity))
+    with scratch(documents.sparkSession) as keep:
+        return keep(_pack(materialize(token_pieces(documents, path, capacity)), capacity))
+
+
+def _pack(pieces: DataFrame, capacity: int) -> DataFrame:
     tasks = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tasks.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))

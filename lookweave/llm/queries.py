@@ -153,7 +153,8 @@ SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY depth
 
 @query("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    removed = linededup.repeated_lines(table(spark, sf_dir, "documents"), percent=80)
+    documents = table(spark, sf_dir, "documents")
+    removed = linededup.removed_lines(documents, linededup.first_lines(documents, percent=80))
     return removed.select(F.col("doc").alias("doc_id"), "line")
 
 

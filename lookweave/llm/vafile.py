@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 
 SCALE = 1024
 CELLS = 64  # to a dimension
@@ -51,7 +51,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     with fewer than k such rows get all of them.  Repeated rows of one id are candidates each for itself, while a repeated
     query is asked once.  Empty tables give no rows.  Sums are exact while they stay below 2^53.
     """
-    queries = queries.dropDuplicates(["vec_id"])
+    with scratch(rows.sparkSession) as keep:
+        return keep(_top_k(rows, queries.dropDuplicates(["vec_id"]), k))
+
+
+def _top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     stored = materialize(rows)
     row_blocks = max(1, -(-stored.count() // ROW_BLOCK))
     asked = materialize(queries)

@@ -37,13 +37,13 @@ def rows(spark, texts):
     return spark.createDataFrame([(i, t, "x", 1, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, key string, line int, n_chars long")
 
 
-def removed(frame):
-    return {(r["doc"], r["line"]) for r in frame.collect()}
+def removed(docs):
+    return {(r["doc"], r["line"]) for r in linededup.removed_lines(docs, linededup.first_lines(docs)).collect()}
 
 
 def test_removed_lines(spark):
     texts = corpus(random.Random(7))
-    assert removed(linededup.repeated_lines(rows(spark, texts))) == brute(texts)
+    assert removed(rows(spark, texts)) == brute(texts)
 
 
 def test_split_lists_and_second_pass(spark, monkeypatch):
@@ -53,18 +53,18 @@ def test_split_lists_and_second_pass(spark, monkeypatch):
     rng = random.Random(8)
     common = [f"c{i}" for i in range(12)]
     texts = ["\n".join(" ".join(rng.sample(common, rng.randint(4, 10))) for _ in range(4)) for _ in range(30)]
-    assert removed(linededup.repeated_lines(rows(spark, texts))) == brute(texts)
+    assert removed(rows(spark, texts)) == brute(texts)
 
 
 def test_documents_without_their_lines(spark):
     texts = ["one two three\nfour five", "four five\nsix seven\n", "one two three", None, "", "x y z\nFour  five"]
     docs = rows(spark, texts)
-    got = {r["doc_id"]: r for r in linededup.drop_lines(docs, linededup.repeated_lines(docs), "n_chars").collect()}
+    got = {r["doc_id"]: r for r in linededup.drop_lines(docs, linededup.first_lines(docs), "n_chars").collect()}
     assert {k: r["text"] for k, r in got.items()} == {0: texts[0], 1: "six seven\n", 3: None, 4: "", 5: "x y z"}
-    assert got[1]["n_chars"] == 10 and got[3]["n_chars"] is None and got[0]["line"] == 1 and got[0]["key"] == "x"
+    assert got[1]["n_chars"] == 10 and got[3]["n_chars"] == 0 and got[0]["line"] == 1 and got[0]["key"] == "x"
 
 
 def test_empty_table_and_missing_ids(spark):
-    assert removed(linededup.repeated_lines(rows(spark, []))) == set()
+    assert removed(rows(spark, [])) == set()
     docs = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c")], "doc_id long, text string")
-    assert removed(linededup.repeated_lines(docs)) == {(linededup.LARGEST, 0)}
+    assert removed(docs) == {(linededup.LARGEST, 0)}
