@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .. import dims
 
 
-def visible(gender: str | None) -> Column:
-    """Not deleted, and uploaded by the user or of a matching gender."""
+def visible(gender: str | Column | None) -> Column:
+    """Not deleted, and uploaded by the user or of a matching gender: a given one, that of a column, or any."""
     mine = F.lit(True) if gender is None else F.col("gender").isin("all", gender)
     return ~F.coalesce(F.col("deleted"), F.lit(False)) & (F.col("user_added") | mine)
 

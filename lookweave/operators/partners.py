@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..session import materialize
+from .filters import visible
 from .ranking import number_rows, top_k
 
 DENIM = "데님"
@@ -41,7 +42,7 @@ def pair_bonus(anchor_category: Column, anchor_color: Column, category: Column,
             + F.when((anchor_color == "화이트") & (category == "신발") & (color == "화이트"), 20).otherwise(0))
 
 
-def outfit_partners(items: DataFrame, visible: Column, variation: int = 0) -> DataFrame:
+def outfit_partners(items: DataFrame, seen: Column, variation: int = 0) -> DataFrame:
     """Partner per anchor item and partner category.
 
     All anchors of one category and colour share their partners, and of the items that share
@@ -50,7 +51,7 @@ def outfit_partners(items: DataFrame, visible: Column, variation: int = 0) -> Da
     """
     spark = items.sparkSession
     cats, colors = partner_dims(spark)
-    pool = items.where(visible).withColumns({"denim": F.contains("name", F.lit(DENIM)), "bonus": item_bonus(variation)})
+    pool = items.where(seen).withColumns({"denim": F.contains("name", F.lit(DENIM)), "bonus": item_bonus(variation)})
     sizes = pool.groupBy("category").agg(F.count("*").alias("pool_size"))
     leaders = top_k(pool, ["category", "color", "denim"], [F.desc("bonus"), F.col("id")], POOL).select("id", "category", "color", "denim", "bonus")
     anchors = items.select(F.col("category").alias("anchor_category"), F.col("color").alias("anchor_color")).distinct().join(cats, "anchor_category")
@@ -69,21 +70,23 @@ def outfit_partners(items: DataFrame, visible: Column, variation: int = 0) -> Da
         picked, ["anchor_category", "anchor_color"]).select("anchor", "slot", "partner_category", "partner", "score")
 
 
-def trend_match(items: DataFrame, visible: Column, trends: dict[str, Sequence], variation: int = 0) -> DataFrame:
+def trend_match(items: DataFrame, trends: dict[str, Sequence], variation: int = 0) -> DataFrame:
     """Items for every trend requirement in turn, none used twice, with fulfilment and score.
 
+    A trend is named after its gender ("women-1") and sees the items that gender sees.
+
     At position i at most i items are taken and a variation skips at most two, so each
     requirement needs its first i + 3 items only; the walk runs on that bounded shortlist.
     """
     spark = items.sparkSession
-    rows = [(t, i, cat, list(cols), word) for t, reqs in trends.items() for i, (cat, cols, word) in enumerate(reqs)]
-    reqs = _dim(spark, rows, "trend string, req int, category string, colors array<string>, keyword string")
+    rows = [(t, t.split("-")[0], i, cat, list(cols), word) for t, reqs in trends.items() for i, (cat, cols, word) in enumerate(reqs)]
+    reqs = _dim(spark, rows, "trend string, wearer string, req int, category string, colors array<string>, keyword string")
     c = F.col
     at = F.array_position("colors", c("color"))
     word = c("keyword").isNotNull() & F.contains("name", F.coalesce("keyword", F.lit("")))
     score = (F.when(at > 0, 40 - (at - 1) * 6).otherwise(0) + F.when(word, 35).otherwise(0) + F.when(c("user_added"), 8).otherwise(0)
              + F.least(c("worn"), F.lit(12)) / 3 + (c("id") * (c("req") + variation + 2)) % 7)
-    scored = items.where(visible).join(reqs, "category").select("trend", "req", "id", score.alias("score"), ((at > 0) | word).alias("fulfils"))
+    scored = items.join(reqs, "category").where(visible(c("wearer"))).select("trend", "req", "id", score.alias("score"), ((at > 0) | word).alias("fulfils"))
     short = top_k(scored, ["trend", "req"], [F.desc("score"), c("id")], max(len(r) for r in trends.values()) + 2)
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
@@ -102,24 +105,27 @@ def trend_match(items: DataFrame, visible: Column, trends: dict[str, Sequence],
         walk, "trend string, req int, id long, score double, fulfils boolean, fulfilled long, trend_score long")
 
 
-def swap_candidates(rows: DataFrame, items: DataFrame, visible: Column, seed: int = 0) -> DataFrame:
+def swap_candidates(rows: DataFrame, items: DataFrame, seed: int = 0) -> DataFrame:
     """A pseudo-random replacement of the same category for every piece of a look, never one it already has.
 
-    Items are numbered within their category and a piece draws the r-th number its look does
+    A look sees the items of its gender (``rows``: look, gender, pos, category, part).
+    Items are numbered within wearer and category and a piece draws the r-th number its look does
     not use.  With the used numbers u0 < u1 < …, that is r plus the count of i with
     ui - i <= r: a running count over the sorted values, so no list of items is ever built.
     """
     c = F.col
-    numbered = materialize(number_rows(items.where(visible).select("id", "category"), [c("id")], "n", ["category"]).withColumn("n", c("n") - 1))
-    sizes = numbered.groupBy("category").agg(F.count("*").alias("size"))
-    used = rows.select("look", "part").distinct().join(numbered.withColumnRenamed("id", "part"), "part").select("look", "category", "n")
+    rows = rows.withColumnRenamed("gender", "wearer")
+    seen = items.withColumn("wearer", F.explode(F.array(F.lit("women"), F.lit("men")))).where(visible(c("wearer"))).select("id", "category", "wearer")
+    numbered = materialize(number_rows(seen, [c("id")], "n", ["wearer", "category"]).withColumn("n", c("n") - 1))
+    sizes = numbered.groupBy("wearer", "category").agg(F.count("*").alias("size"))
+    used = rows.select("look", "wearer", "part").distinct().join(numbered.withColumnRenamed("id", "part"), ["part", "wearer"]).select("look", "category", "n")
     order = Window.partitionBy("look", "category").orderBy("n")
     gaps = used.select("look", "category", (c("n") - F.row_number().over(order) + 1).alias("at"))
     taken = used.groupBy("look", "category").agg(F.count("*").alias("taken"))
-    drawn = rows.select("look", "pos", "category").join(sizes, "category").join(taken, ["look", "category"], "left")
+    drawn = rows.select("look", "wearer", "pos", "category").join(sizes, ["wearer", "category"]).join(taken, ["look", "category"], "left")
     left = c("size") - F.coalesce("taken", F.lit(0))
-    drawn = drawn.where(left > 0).select("look", "category", F.pmod(c("look") * 31 + c("pos") * 17 + seed, left).alias("at"), "pos")
-    both = gaps.withColumn("pos", F.lit(None).cast("int")).unionByName(drawn)
+    drawn = drawn.where(left > 0).select("look", "wearer", "category", F.pmod(c("look") * 31 + c("pos") * 17 + seed, left).alias("at"), "pos")
+    both = gaps.withColumns({"pos": F.lit(None).cast("int"), "wearer": F.lit(None).cast("string")}).unionByName(drawn)
     before = Window.partitionBy("look", "category").orderBy("at", c("pos").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     placed = both.withColumn("n", c("at") + F.count_if(c("pos").isNull()).over(before)).where("pos IS NOT NULL")
-    return placed.select("look", "pos", "category", "n").join(numbered.select("category", "n", c("id").alias("swap")), ["category", "n"]).select("look", "pos", "swap")
+    return placed.select("look", "wearer", "pos", "category", "n").join(numbered.select("wearer", "category", "n", c("id").alias("swap")), ["wearer", "category", "n"]).select("look", "pos", "swap")

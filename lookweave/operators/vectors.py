@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.vectors import cosine, unit
 
-QUERY_BLOCK = 2048  # query vectors held by one task
+BLOCK = 2048  # vectors of either side that meet in one task
 
 
 def prototypes(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -40,55 +38,31 @@ def _block_top(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFram
     for kind, wanted in queries.groupby(kinds(queries)):
         if kind not in held or kind[1] == 0:
             continue
-        same = held[kind]
+        same = held[kind].sort_values("id")
         q = np.stack(wanted["vector"].to_numpy()).astype("float64")
         v = np.stack(same["vector"].to_numpy()).astype("float64")
         scale = np.maximum(1e-12, np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)))
         scores = np.round(q @ v.T / scale, 9)
-        ids = same["id"].to_numpy()
-        for query, line in zip(wanted["query"].to_numpy(), scores):
-            kth = np.partition(line, -k)[-k] if len(line) > k else -np.inf
-            keep = np.flatnonzero(line >= kth)  # ties at the edge stay until they are ordered by id
-            keep = keep[np.lexsort((ids[keep], -line[keep]))][:k]
-            out.append(pd.DataFrame({"query": query, "id": ids[keep], "cosine": line[keep]}))
+        n = min(k, scores.shape[1])
+        kth = np.partition(scores, -n, axis=1)[:, -n]
+        at, to = np.nonzero(scores >= kth[:, None])  # ties at the edge stay until they are ordered by id
+        found = pd.DataFrame({"query": wanted["query"].to_numpy()[at], "id": same["id"].to_numpy()[to], "cosine": scores[at, to]})
+        out.append(_best_of(found, k))
     return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "cosine": []}).astype({"query": "int64", "id": "int64"})
 
 
-def top_similar(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact ``k`` nearest rows by cosine for every query: (query, id, cosine, rank).
-
-    ``queries``: query, family, vector.  ``rows``: id, family, vector.  Up to ``block``
-    queries travel to the rows, which then never shuffle.  More queries are split into
-    blocks and meet blocks of rows on a grid.  Either way a task keeps only its best ``k``
-    per query and a window picks the global ones.
-    """
-    q, v = queries.select("query", "family", "vector"), rows.select("id", "family", "vector")
-    head = q.limit(block + 1).toPandas()  # at most one row more than the bound
-    found = v.mapInPandas(_against(head, k), "query long, id long, cosine double") if len(head) <= block else _grid(q, v, k, block)
-    best = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def _against(queries: pd.DataFrame, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for frame in batches:
-            top = _block_top(queries, frame, k)
-            held = top if held is None else pd.concat([held, top])
-            if len(held) > 4 * k * max(1, len(queries)):
-                held = _best_of(held, k)
-        if held is not None:
-            yield _best_of(held, k)
-
-    return run
-
-
 def _best_of(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return frame.sort_values(["query", "cosine", "id"], ascending=[True, False, True]).groupby("query").head(k)
 
 
-def _grid(q: DataFrame, v: DataFrame, k: int, block: int) -> DataFrame:
-    """Blocks of queries against blocks of rows; a cell holds at most about two blocks."""
+def top_similar(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """Exact ``k`` nearest rows by cosine for every query: (query, id, cosine, rank).
+
+    ``queries``: query, family, vector.  ``rows``: id, family, vector.  Blocks of queries meet blocks of rows on a grid,
+    whatever their number, and a cell holds about ``block`` vectors of either side.  It keeps its best ``k`` per query and a
+    window, limited before its shuffle, picks the global ones.
+    """
+    q, v = queries.select("query", "family", "vector"), rows.select("id", "family", "vector")
     counts = [max(1, -(-n // block)) for n in (q.count(), v.count())]
     spread = lambda df, key, name, n: df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -98,7 +72,9 @@ def _grid(q: DataFrame, v: DataFrame, k: int, block: int) -> DataFrame:
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _block_top(a, b, k)
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(cell, "query long, id long, cosine double")
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(cell, "query long, id long, cosine double")
+    best = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def normalized(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -125,25 +101,10 @@ def encode(batches: DataFrame, encoder, schema: str) -> DataFrame:
     return batches.mapInPandas(encoder, schema)
 
 
-def best_pieces(items: DataFrame, pieces: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """The ``k`` pieces closest to every item: (id, piece, cosine, rank).
-
-    A bounded set of pieces travels to the items, where an item's ranking is complete at
-    once.  A larger set goes through the grid of :func:`top_similar`.
-    """
-    renamed = pieces.select(F.col("piece").alias("id"), "family", "vector")
-    head = renamed.limit(block + 1).toPandas()
-    if len(head) > block:
-        found = top_similar(items.select(F.col("id").alias("query"), "family", "vector"), renamed, k, block)
-        return found.select(F.col("query").alias("id"), F.col("id").alias("piece"), "cosine", "rank")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            top = _block_top(frame.rename(columns={"id": "query"}), head, k)
-            top["rank"] = top.groupby("query").cumcount() + 1
-            yield top.rename(columns={"id": "piece", "query": "id"})[["id", "piece", "cosine", "rank"]]
-
-    return items.select("id", "family", "vector").mapInPandas(run, "id long, piece long, cosine double, rank int")
+def best_pieces(items: DataFrame, pieces: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The ``k`` pieces closest to every item: (id, piece, cosine, rank)."""
+    found = top_similar(items.select(F.col("id").alias("query"), "family", "vector"), pieces.select(F.col("piece").alias("id"), "family", "vector"), k, block)
+    return found.select(F.col("query").alias("id"), F.col("id").alias("piece"), "cosine", "rank")
 
 
 def relink(best: DataFrame) -> DataFrame:

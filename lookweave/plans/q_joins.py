@@ -13,7 +13,7 @@ from .bindings import table, view
 from .oracle import add_view, quote, sql_list, sql_values
 from .registry import query
 
-_MEN = "NOT deleted AND (user_added OR gender IN ('all', 'men'))"
+_SEEN = "NOT i.deleted AND (i.user_added OR i.gender IN ('all', {}))"
 _PCAT = sql_values([[quote(a), str(i), quote(p)] for a, ps in dims.PARTNER_CATEGORIES.items() for i, p in enumerate(ps)], "a, slot, p").removesuffix(" AS t(a, slot, p)")
 _CRANK = "CASE a.color " + " ".join(f"WHEN {quote(a)} THEN list_position({sql_list(ps)}, i.color)" for a, ps in dims.PARTNER_COLORS.items()) + \
     f" ELSE list_position({sql_list(dims.DEFAULT_PARTNER_COLORS)}, i.color) END"
@@ -21,14 +21,17 @@ _CRANK = "CASE a.color " + " ".join(f"WHEN {quote(a)} THEN list_position({sql_li
 
 @query("outfit_partners", f"""
 WITH g AS (SELECT DISTINCT category, color FROM item_v),
-s AS (SELECT a.category, a.color, d.slot, i.id, i.category AS pc, 50 + coalesce(24 - ({_CRANK} - 1) * 3, 0) + CASE WHEN a.color = '화이트' AND i.category = '하의' AND contains(i.name, '데님') THEN 22 ELSE 0 END
+s AS (SELECT w.wearer, a.category, a.color, d.slot, i.id, i.category AS pc, 50 + coalesce(24 - ({_CRANK} - 1) * 3, 0) + CASE WHEN a.color = '화이트' AND i.category = '하의' AND contains(i.name, '데님') THEN 22 ELSE 0 END
     + CASE WHEN a.color = '화이트' AND i.category = '신발' AND i.color = '화이트' THEN 20 ELSE 0 END + least(i.worn, 10) / 2.0 + (i.id * 4) % 9 AS score
-  FROM g a JOIN {_PCAT} AS d(a, slot, p) ON d.a = a.category JOIN item_v i ON i.category = d.p WHERE {_MEN.replace('deleted', 'i.deleted').replace('user_added', 'i.user_added').replace('gender', 'i.gender')}),
-r AS (SELECT *, row_number() OVER (PARTITION BY category, color, slot ORDER BY score DESC, id) AS n, count(*) OVER (PARTITION BY category, color, slot) AS pool FROM s)
-SELECT i.id AS anchor, r.slot, r.pc AS partner_category, r.id AS partner, CAST(r.score AS DOUBLE) AS score
+  FROM g a JOIN {_PCAT} AS d(a, slot, p) ON d.a = a.category JOIN item_v i ON i.category = d.p JOIN (VALUES ('women'), ('men')) AS w(wearer) ON {_SEEN.format('w.wearer')}),
+r AS (SELECT *, row_number() OVER (PARTITION BY wearer, category, color, slot ORDER BY score DESC, id) AS n, count(*) OVER (PARTITION BY wearer, category, color, slot) AS pool FROM s)
+SELECT r.wearer, i.id AS anchor, r.slot, r.pc AS partner_category, r.id AS partner, CAST(r.score AS DOUBLE) AS score
 FROM item_v i JOIN r ON r.category = i.category AND r.color = i.color WHERE r.n = 1 % greatest(1, least(r.pool, 4)) + 1""")
 def outfit_partners(spark, sf):
-    return partners.outfit_partners(view(spark, sf, "item_v"), visible("men"), variation=1)
+    """Partners of every item among what women and what men see."""
+    items = view(spark, sf, "item_v")
+    women, men = (partners.outfit_partners(items, visible(w), variation=1).withColumn("wearer", F.lit(w)) for w in ("women", "men"))
+    return women.unionByName(men)
 
 
 @query("partner_score", f"""
@@ -49,7 +52,7 @@ def _trend_sql() -> str:
                        for t, reqs in dims.TRENDS.items() for i, (cat, cols, word) in enumerate(reqs)], "trend, req, category, colors, keyword")
     ctes = [f"s AS MATERIALIZED (SELECT t.trend, t.req, i.id, list_contains(t.colors, i.color) OR contains(i.name, coalesce(t.keyword, '∅')) AS fulfils, "
             "CASE WHEN list_contains(t.colors, i.color) THEN 40 - (list_position(t.colors, i.color) - 1) * 6 ELSE 0 END + CASE WHEN contains(i.name, coalesce(t.keyword, '∅')) THEN 35 ELSE 0 END "
-            f"+ CASE WHEN i.user_added THEN 8 ELSE 0 END + least(i.worn, 12) / 3.0::DOUBLE + (i.id * (t.req + 3)) % 7 AS score FROM {rows} JOIN item_v i ON i.category = t.category WHERE {_MEN})"]
+            f"+ CASE WHEN i.user_added THEN 8 ELSE 0 END + least(i.worn, 12) / 3.0::DOUBLE + (i.id * (t.req + 3)) % 7 AS score FROM {rows} JOIN item_v i ON i.category = t.category WHERE {_SEEN.format("split_part(t.trend, '-', 1)")})"]
     used = "SELECT NULL AS trend, NULL AS id WHERE false"
     for req in range(4):
         ctes.append(f"p{req} AS MATERIALIZED (SELECT trend, req, id, score, fulfils FROM (SELECT *, row_number() OVER (PARTITION BY trend ORDER BY score DESC, id) AS n, "
@@ -62,19 +65,20 @@ def _trend_sql() -> str:
 
 @query("trend_match", _trend_sql())
 def trend_match(spark, sf):
-    picks = partners.trend_match(view(spark, sf, "item_v"), visible("men"), dims.TRENDS, variation=1)
+    picks = partners.trend_match(view(spark, sf, "item_v"), dims.TRENDS, variation=1)
     return picks.withColumn("score", F.round("score", 6))
 
 
 @query("swap_candidates", f"""
-WITH n AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) - 1 AS n, count(*) OVER (PARTITION BY category) AS size FROM item_v WHERE {_MEN}),
-u AS (SELECT q.look, n.category, list_sort(list(DISTINCT n.n)) AS used FROM req_v q JOIN n ON n.id = q.part GROUP BY 1, 2),
-d AS (SELECT q.look, q.pos, q.category, coalesce(u.used, []) AS used, (q.look * 31 + q.pos * 17) % nullif(s.size - len(coalesce(u.used, [])), 0) AS draw
-  FROM req_v q JOIN (SELECT DISTINCT category, size FROM n) s ON s.category = q.category LEFT JOIN u ON u.look = q.look AND u.category = q.category)
-SELECT d.look, d.pos, n.id AS swap FROM (SELECT look, pos, category, list_reduce(list_prepend(draw, used), lambda acc, v: CASE WHEN v <= acc THEN acc + 1 ELSE acc END) AS n FROM d) d
-JOIN n ON n.category = d.category AND n.n = d.n""")
+WITH n AS (SELECT w.wearer, i.id, i.category, row_number() OVER (PARTITION BY w.wearer, i.category ORDER BY i.id) - 1 AS n, count(*) OVER (PARTITION BY w.wearer, i.category) AS size
+  FROM item_v i JOIN (VALUES ('women'), ('men')) AS w(wearer) ON {_SEEN.format('w.wearer')}),
+u AS (SELECT q.look, n.category, list_sort(list(DISTINCT n.n)) AS used FROM req_v q JOIN n ON n.id = q.part AND n.wearer = q.gender GROUP BY 1, 2),
+d AS (SELECT q.look, q.gender, q.pos, q.category, coalesce(u.used, []) AS used, (q.look * 31 + q.pos * 17) % nullif(s.size - len(coalesce(u.used, [])), 0) AS draw
+  FROM req_v q JOIN (SELECT DISTINCT wearer, category, size FROM n) s ON s.category = q.category AND s.wearer = q.gender LEFT JOIN u ON u.look = q.look AND u.category = q.category)
+SELECT d.look, d.pos, n.id AS swap FROM (SELECT look, gender, pos, category, list_reduce(list_prepend(draw, used), lambda acc, v: CASE WHEN v <= acc THEN acc + 1 ELSE acc END) AS n FROM d) d
+JOIN n ON n.category = d.category AND n.wearer = d.gender AND n.n = d.n""")
 def swap_candidates(spark, sf):
-    return partners.swap_candidates(view(spark, sf, "req_v"), view(spark, sf, "item_v"), visible("men"))
+    return partners.swap_candidates(view(spark, sf, "req_v"), view(spark, sf, "item_v"))
 
 
 @query("strict_source_join", """

@@ -9,7 +9,6 @@ from ..functions.text import lookup
 from ..operators import masks
 from .bindings import table
 from .oracle import add_view, sql_hue, sql_in, sql_list, sql_lookup, sql_rgb_name
-from .q_matching import staged
 from .registry import query
 
 SIDE = 8
@@ -36,12 +35,12 @@ def grid(spark, sf):
 
 
 def labelled(spark, sf):
-    """Components of masks and backgrounds of all images, found once per run of the job."""
-    return staged(spark, sf, "components", lambda: masks.components(masks.runs(grid(spark, sf), ["image"]), ["image"]))
+    """Components of masks and backgrounds of all images."""
+    return masks.components(masks.runs(grid(spark, sf), ["image"]), ["image"])
 
 
-def found(spark, sf):
-    return masks.regions(labelled(spark, sf), ["image"], SIDE, SIDE)
+def found(parts):
+    return masks.regions(parts, ["image"], SIDE, SIDE)
 
 
 @query("mask_runs", """
@@ -50,33 +49,35 @@ def mask_runs(spark, sf):
     return masks.runs(grid(spark, sf), ["image"])
 
 
-def _region_view() -> None:
-    add_view("cell_v", 'SELECT image, "on", y, x, CAST(y AS BIGINT) * 16777216 + x AS node FROM grid_v')
-    # Minimum reachable cell per cell, by doubling rounds over neighbour and label of label.
-    add_view("near_v", """
-SELECT a.image, a."on", a.node, b.node AS other FROM cell_v a JOIN cell_v b ON b.image = a.image AND b."on" = a."on" AND abs(a.y - b.y) + abs(a.x - b.x) = 1""")
-    add_view("lab0_v", 'SELECT image, "on", node, node AS label FROM cell_v')
+def _component_views(tag: str, cells: str) -> None:
+    """comp{tag}_v: the smallest cell that a cell reaches, by doubling rounds over neighbour and label of label."""
+    add_view(f"cell{tag}_v", cells)
+    add_view(f"near{tag}_v", f"""
+SELECT a.image, a."on", a.node, b.node AS other FROM cell{tag}_v a JOIN cell{tag}_v b ON b.image = a.image AND b."on" = a."on" AND abs(a.y - b.y) + abs(a.x - b.x) = 1""")
+    add_view(f"lab{tag}0_v", f'SELECT image, "on", node, node AS label FROM cell{tag}_v')
     for n in range(1, 25):
-        add_view(f"nx{n}_v", f"""
-SELECT l.image, l."on", l.node, least(l.label, coalesce(min(o.label), l.label)) AS label FROM lab{n - 1}_v l
-LEFT JOIN near_v e ON e.image = l.image AND e."on" = l."on" AND e.node = l.node LEFT JOIN lab{n - 1}_v o ON o.image = e.image AND o."on" = e."on" AND o.node = e.other GROUP BY l.image, l."on", l.node, l.label""")
-        add_view(f"lab{n}_v", f"""SELECT l.image, l."on", l.node, least(l.label, j.label) AS label FROM nx{n}_v l JOIN nx{n}_v j ON j.image = l.image AND j."on" = l."on" AND j.node = l.label""")
-    add_view("comp_v", 'SELECT c.image, c."on", c.y, c.x, l.label FROM cell_v c JOIN lab24_v l ON l.image = c.image AND l."on" = c."on" AND l.node = c.node')
-    add_view("region_v", f"""
-SELECT image, "on", label, count(*) AS size, bool_or(y IN (0, {SIDE - 1}) OR x IN (0, {SIDE - 1})) AS border FROM comp_v GROUP BY 1, 2, 3""")
+        add_view(f"nx{tag}{n}_v", f"""
+SELECT l.image, l."on", l.node, least(l.label, coalesce(min(o.label), l.label)) AS label FROM lab{tag}{n - 1}_v l
+LEFT JOIN near{tag}_v e ON e.image = l.image AND e."on" = l."on" AND e.node = l.node LEFT JOIN lab{tag}{n - 1}_v o ON o.image = e.image AND o."on" = e."on" AND o.node = e.other GROUP BY l.image, l."on", l.node, l.label""")
+        add_view(f"lab{tag}{n}_v", f"""SELECT l.image, l."on", l.node, least(l.label, j.label) AS label FROM nx{tag}{n}_v l JOIN nx{tag}{n}_v j ON j.image = l.image AND j."on" = l."on" AND j.node = l.label""")
+    add_view(f"comp{tag}_v", f'SELECT c.image, c."on", c.y, c.x, l.label FROM cell{tag}_v c JOIN lab{tag}24_v l ON l.image = c.image AND l."on" = c."on" AND l.node = c.node')
 
 
-_region_view()
+_NODE = "CAST(y AS BIGINT) * 16777216 + x AS node"
+_component_views("", f'SELECT image, "on", y, x, {_NODE} FROM grid_v')
+add_view("region_v", f"""
+SELECT image, "on", label, count(*) AS size, bool_or(y IN (0, {SIDE - 1}) OR x IN (0, {SIDE - 1})) AS border FROM comp_v GROUP BY 1, 2, 3""")
 
 
 @query("components", 'SELECT image, "on", label, size, border FROM region_v')
 def components(spark, sf):
-    return found(spark, sf)
+    return found(labelled(spark, sf))
 
 
 @query("holes", 'SELECT c.image, c.y, c.x FROM comp_v c JOIN region_v r ON r.image = c.image AND r."on" = c."on" AND r.label = c.label WHERE NOT r."on" AND NOT r.border')
 def holes(spark, sf):
-    return masks.hole_cells(labelled(spark, sf), found(spark, sf), ["image"])
+    parts = labelled(spark, sf)
+    return masks.hole_cells(parts, found(parts), ["image"])
 
 
 @query("mask_diagnosis", f"""
@@ -87,14 +88,15 @@ SELECT image, CAST(sum(size) FILTER (WHERE "on") AS BIGINT) AS pixels, max(size)
   count(*) FILTER (WHERE NOT "on" AND NOT border) AS hole_count, coalesce(sum(size) FILTER (WHERE NOT "on" AND NOT border), 0) AS hole_pixels
 FROM (SELECT *, max(CASE WHEN "on" THEN size END) OVER (PARTITION BY image) AS top FROM region_v) GROUP BY 1)""")
 def mask_diagnosis(spark, sf):
-    return masks.diagnosis(found(spark, sf), ["image"], SIDE * SIDE)
+    return masks.diagnosis(found(labelled(spark, sf)), ["image"], SIDE * SIDE)
 
 
 @query("drop_strays", """
 SELECT c.image, count(*) AS kept_pixels FROM comp_v c JOIN (SELECT * FROM (SELECT *, max(size) OVER (PARTITION BY image) AS top FROM region_v WHERE "on") WHERE size >= top * 0.3) r
   ON r.image = c.image AND r."on" = c."on" AND r.label = c.label GROUP BY 1""")
 def drop_strays(spark, sf):
-    kept = masks.without_strays(labelled(spark, sf), found(spark, sf), ["image"], 0.3)
+    parts = labelled(spark, sf)
+    kept = masks.without_strays(parts, found(parts), ["image"], 0.3)
     return kept.groupBy("image").agg(F.sum(F.col("x1") - F.col("x0")).alias("kept_pixels"))
 
 
@@ -136,10 +138,50 @@ def where_code(spark, sf):
     return masks.where_code(cells.where("on"), cells.where("occluder"), ["image"])
 
 
-@query("occlusion_report")
+# The hull of a row lies between the outermost chords of two rows with cells around it.
+add_view("ends_v", 'SELECT image, y, min(x) AS a, max(x) AS b FROM grid_v WHERE "on" GROUP BY 1, 2')
+add_view("hull_v", """
+SELECT g.image, g.y, min((p.a * (q.y - g.y) + q.a * (g.y - p.y)) // (q.y - p.y)) AS low, max((p.b * (q.y - g.y) + q.b * (g.y - p.y) + q.y - p.y - 1) // (q.y - p.y)) AS high
+FROM (SELECT DISTINCT image, y FROM grid_v) g JOIN ends_v p ON p.image = g.image AND p.y <= g.y JOIN ends_v q ON q.image = g.image AND q.y >= g.y AND q.y > p.y GROUP BY 1, 2
+UNION ALL SELECT image, y, a, b FROM ends_v WHERE image IN (SELECT image FROM ends_v GROUP BY 1 HAVING count(*) = 1)""")
+add_view("inside_v", 'SELECT g.* FROM grid_v g JOIN hull_v h ON h.image = g.image AND h.y = g.y AND g.x BETWEEN h.low AND h.high')
+_component_views("o", f"""
+SELECT image, true AS "on", y, x, {_NODE} FROM inside_v i WHERE occluder AND NOT "on" AND NOT EXISTS (
+  SELECT 1 FROM comp_v c JOIN region_v r ON r.image = c.image AND r."on" = c."on" AND r.label = c.label
+  WHERE NOT r."on" AND NOT r.border AND c.image = i.image AND c.y = i.y AND c.x = i.x)""")
+add_view("judged_v", f"""
+WITH sides AS (SELECT c.image, c.label, c.y + d.dy AS y, c.x + d.dx AS x FROM compo_v c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dy, dx)),
+touched AS (SELECT s.image, s.label, count(g.image) AS garment, count(*) AS every FROM sides s LEFT JOIN compo_v o ON o.image = s.image AND o.label = s.label AND o.y = s.y AND o.x = s.x
+  LEFT JOIN grid_v g ON g.image = s.image AND g.y = s.y AND g.x = s.x AND g."on" WHERE o.image IS NULL GROUP BY 1, 2),
+sizes AS (SELECT image, label, count(*) AS size FROM compo_v GROUP BY 1, 2), pixels AS (SELECT image, count(*) AS pixels FROM grid_v WHERE "on" GROUP BY 1)
+SELECT s.image, s.label, s.size, round(t.garment / greatest(1, t.every), 6) >= {dims.ENCLOSURE_MIN} AS enclosed, s.size > p.pixels * {dims.OCCLUSION_MAX_RATIO} AS oversized
+FROM sizes s JOIN touched t ON t.image = s.image AND t.label = s.label JOIN pixels p ON p.image = s.image""")
+add_view("occluded_v", """
+SELECT c.image, c.label, c.y, c.x FROM compo_v c JOIN judged_v j ON j.image = c.image AND j.label = c.label AND j.enclosed AND NOT j.oversized
+LEFT JOIN ends_v r ON r.image = c.image AND r.y = c.y LEFT JOIN (SELECT image, x, min(y) AS top, max(y) AS bottom FROM grid_v WHERE "on" GROUP BY 1, 2) k ON k.image = c.image AND k.x = c.x
+WHERE coalesce(c.x BETWEEN r.a AND r.b, false) OR coalesce(c.y BETWEEN k.top AND k.bottom, false)""")
+
+
+@query("occlusion_report", f"""
+WITH base AS (SELECT image, count(*) AS hull, count(*) FILTER (WHERE "on") AS pixels FROM inside_v GROUP BY 1),
+sums AS (SELECT image, CAST(sum(size) AS BIGINT) AS candidate_pixels, count(*) FILTER (WHERE NOT enclosed) AS open_count, count(*) FILTER (WHERE enclosed AND oversized) AS oversized_count,
+  CAST(coalesce(sum(size) FILTER (WHERE enclosed AND NOT oversized), 0) AS BIGINT) AS accepted FROM judged_v GROUP BY 1),
+done AS (SELECT image, count(*) AS occluded, count(DISTINCT label) AS accepted_count FROM occluded_v GROUP BY 1),
+part AS (SELECT image, cell, n, row_number() OVER (PARTITION BY image ORDER BY n DESC, cell DESC) AS rank FROM (
+  SELECT o.image, g.cell, count(*) AS n FROM occluded_v o JOIN grid_v g ON g.image = o.image AND g.y = o.y AND g.x = o.x GROUP BY 1, 2)),
+shares AS (SELECT p.image, string_agg(printf('%d:%.3f', p.cell, round(p.n / d.occluded, 3)), ',' ORDER BY p.rank) AS by_ FROM part p JOIN done d ON d.image = p.image WHERE p.rank <= 3 GROUP BY 1),
+code AS (SELECT image, CASE WHEN v = 'middle' AND h = 'center' THEN 'center' ELSE concat(v, '-', h) END AS code FROM (
+  SELECT m.image, {_band('r.cy', 'm.y0', 'm.y1', 'upper', 'middle', 'lower')} AS v, {_band('r.cx', 'm.x0', 'm.x1', 'left', 'center', 'right')} AS h
+  FROM (SELECT image, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM grid_v WHERE "on" GROUP BY 1) m
+  JOIN (SELECT image, avg(x) AS cx, avg(y) AS cy FROM occluded_v GROUP BY 1) r ON r.image = m.image))
+SELECT b.image, round(pixels / hull, 4) AS solidity, round((hull - pixels) / hull, 4) AS deficit_ratio, coalesce(candidate_pixels, 0) AS candidate_pixels, coalesce(occluded, 0) AS occluded_pixels,
+  round(coalesce(occluded, 0) / (pixels + coalesce(occluded, 0)), 4) AS occluded_ratio, coalesce(accepted_count, 0) AS accepted_count, coalesce(open_count, 0) AS open_count,
+  coalesce(oversized_count, 0) AS oversized_count, coalesce(accepted, 0) - coalesce(occluded, 0) AS trimmed_pixels, coalesce(code, '') AS "where", coalesce(by_, '') AS "by"
+FROM base b LEFT JOIN sums s ON s.image = b.image LEFT JOIN done d ON d.image = b.image LEFT JOIN code c ON c.image = b.image LEFT JOIN shares h ON h.image = b.image""")
 def occlusion_report(spark, sf):
-    inner = masks.hole_cells(labelled(spark, sf), found(spark, sf), ["image"])
-    return masks.occlusion(grid(spark, sf), "image", SIDE, SIDE, inner)
+    parts = labelled(spark, sf)
+    inner = masks.hole_cells(parts, found(parts), ["image"])
+    return masks.occlusion(grid(spark, sf).withColumn("part", F.col("cell")), "image", inner)
 
 
 # ---- label maps -------------------------------------------------------------------------------

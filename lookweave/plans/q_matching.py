@@ -159,20 +159,8 @@ SELECT l.id AS look, l.person, CAST(CASE WHEN p.photo THEN CASE WHEN hit THEN 96
 FROM (SELECT l.*, list_contains(string_split(l.shapes, ','), p.shape) AS hit FROM look_v l JOIN person_v p ON p.id = l.person) l
 JOIN person_v p ON p.id = l.person""")
 
-_STAGED: dict[tuple[str, str, str], object] = {}
-
-
-def staged(spark, sf, name, build):
-    """A stage several queries of one run share, written once to the shared folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _STAGED:
-        _STAGED[key] = matching.materialize(build())
-    return _STAGED[key]
-
-
 def assigned(spark, sf):
-    ranked = staged(spark, sf, "candidates", lambda: _ranked(spark, sf))
-    return staged(spark, sf, "assigned", lambda: matching.assign(ranked))
+    return matching.assign(_ranked(spark, sf))
 
 
 def kept(spark, sf):
@@ -223,8 +211,9 @@ def rank_looks(spark, sf):
     from ..operators.ranking import number_rows
 
     signed = matching.signature(view(spark, sf, "req_v"))
-    summary = matching.match_summary(kept(spark, sf), signed, view(spark, sf, "look_v"))
-    good = matching.usable_looks(kept(spark, sf)).where("usable").select("look")
+    stayed = matching.materialize(kept(spark, sf))  # read twice
+    summary = matching.match_summary(stayed, signed, view(spark, sf, "look_v"))
+    good = matching.usable_looks(stayed).where("usable").select("look")
     rows = _body(spark, sf).join(summary.select("look", "score"), "look").join(good, "look")
     rows = rows.withColumn("total", F.col("body_score") + F.col("score"))
     return number_rows(rows, [F.desc("total"), F.col("look")], "rank", ["person"])
@@ -244,8 +233,9 @@ def assemble_options(spark, sf):
     from ..operators.ranking import top_k
 
     signed = matching.signature(view(spark, sf, "req_v"))
-    summary = matching.match_summary(kept(spark, sf), signed, view(spark, sf, "look_v")).select("look", "score")
-    good = matching.usable_looks(kept(spark, sf)).where("usable").select("look", F.lit(True).alias("usable"))
+    stayed = matching.materialize(kept(spark, sf))  # read twice
+    summary = matching.match_summary(stayed, signed, view(spark, sf, "look_v")).select("look", "score")
+    good = matching.usable_looks(stayed).where("usable").select("look", F.lit(True).alias("usable"))
     looks = view(spark, sf, "look_v").select(F.col("id").alias("look"), (F.col("price") >= 450000).alias("upload"))
     rows = _body(spark, sf).join(looks, "look").join(summary, "look", "left").join(good, "look", "left")
     usable = F.coalesce("usable", F.lit(False))

@@ -174,16 +174,16 @@ def garment_noun(spark, sf):
 
 
 @query("defect_hint", f"""
-SELECT photo, line, part, CASE WHEN area * 3 < {dims.HINT_MIN_RATIO} THEN '' ELSE concat(' About ', CAST(CAST(round_even(area * 300, 0) AS BIGINT) AS VARCHAR), '% of this garment',
-  CASE line % 3 WHEN 0 THEN ' on its upper left side' WHEN 1 THEN ' on its lower center side' ELSE '' END, ' was covered',
-  CASE WHEN supp % 2 = 0 THEN ' by the model''s left arm and bag' ELSE '' END, {quote(dims.HINT_TAIL)}) END AS hint FROM det_v""")
+SELECT photo, line, part, CASE WHEN area * 3 < {dims.HINT_MIN_RATIO} THEN '' ELSE printf({quote(dims.HINT_TEXT)}, CAST(round_even(area * 300, 0) AS BIGINT),
+  CASE line % 3 WHEN 0 THEN ' on its upper left side' WHEN 1 THEN ' on its lower center side' ELSE '' END,
+  CASE WHEN supp % 2 = 0 THEN ' by the model''s left arm and bag' ELSE '' END) END AS hint FROM det_v""")
 def defect_hint(spark, sf):
     c = F.col
     ratio = c("area") * 3
     where = F.when(c("line") % 3 == 0, "upper-left").when(c("line") % 3 == 1, "lower-center").otherwise("center")
     by = F.when(c("supp") % 2 == 0, F.array(F.lit("Left-arm"), F.lit("Bag"))).otherwise(F.array().cast("array<string>"))
     spoken = F.lower(F.replace(F.array_join(F.slice(by, 1, 2), " and "), F.lit("-"), F.lit(" ")))
-    text = F.concat(F.format_string(dims.HINT_HEAD, F.bround(c("area") * 300, 0).cast("long")),
-                    F.when(where != "center", F.concat(F.lit(" on its "), F.replace(where, F.lit("-"), F.lit(" ")), F.lit(" side"))).otherwise(""),
-                    F.lit(" was covered"), F.when(F.size(by) > 0, F.concat(F.lit(" by the model's "), spoken)).otherwise(""), F.lit(dims.HINT_TAIL))
+    side = F.when(where != "center", F.concat(F.lit(" on its "), F.replace(where, F.lit("-"), F.lit(" ")), F.lit(" side"))).otherwise("")
+    hidden = F.when(F.size(by) > 0, F.concat(F.lit(" by the model's "), spoken)).otherwise("")
+    text = F.format_string(dims.HINT_TEXT, F.bround(c("area") * 300, 0).cast("long"), side, hidden)
     return view(spark, sf, "det_v").select("photo", "line", "part", F.when(ratio < dims.HINT_MIN_RATIO, "").otherwise(text).alias("hint"))

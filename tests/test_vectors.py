@@ -1,4 +1,4 @@
-"""Exact search on both paths, cache rules, batches."""
+"""Exact search on any grid, cache rules, batches."""
 
 import numpy as np
 
@@ -23,14 +23,14 @@ def want(queries, rows, k):
     return out
 
 
-def test_both_paths_are_exact(spark):
+def test_any_grid_is_exact(spark):
     (queries, q), (rows, v) = frame(spark, 20, "query", 1), frame(spark, 120, "id", 2)
-    for block in (2048, 5):  # queries travel; queries and rows meet on a grid
+    for block in (2048, 5):  # one cell, many cells
         got = {(r["query"], r["id"], r["rank"]) for r in vectors.top_similar(queries, rows, 4, block).collect()}
         assert got == want(q, v, 4)
 
 
-def test_best_pieces_on_both_paths(spark):
+def test_best_pieces_on_any_grid(spark):
     (items, v), (pieces, p) = frame(spark, 30, "id", 3), frame(spark, 9, "piece", 4)
     expected = want(v, p, 2)
     for block in (2048, 4):
