@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import pad3
+from .. import dims
+from ..functions.text import infer_category, pad3
 from .ranking import first_per, number_rows, top_k
 
 
@@ -16,8 +17,13 @@ def quota_per_group(rows: DataFrame, key: str, group: str, order: str, quota: in
     return top_k(unique, [group], [F.col(order)], quota, "n")
 
 
-def quota_fill(feed: DataFrame, quotas: dict[int, int]) -> DataFrame:
-    """Sources in turn take their best products that no earlier source took.
+def wearable(name: Column, label: Column) -> Column:
+    """Products of a known category whose name is not that of another kind of goods."""
+    return ~F.regexp_like(F.coalesce(name, F.lit("")), F.lit(f"(?i){dims.NOT_WEARABLE}")) & (F.coalesce(infer_category(name, label), F.lit("")) != "")
+
+
+def quota_fill(feed: DataFrame, quotas: dict[int, int], additions: int) -> DataFrame:
+    """Sources in turn take their best products that no earlier source took, ``additions`` in all.
 
     Earlier sources can take at most the sum of the quotas, so each source's first
     ``sum(quotas)`` products decide the outcome.  That shortlist is bounded by the quotas
@@ -30,7 +36,7 @@ def quota_fill(feed: DataFrame, quotas: dict[int, int]) -> DataFrame:
         taken, rows = set(), []
         for source, quota in quotas.items():
             mine = group[group["source"] == source].sort_values("n")
-            fresh = mine[~mine["product"].isin(taken)].head(quota)
+            fresh = mine[~mine["product"].isin(taken)].head(min(quota, additions - len(taken)))
             taken.update(fresh["product"])
             rows.append(fresh)
         return pd.concat(rows)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import number_rows
+from ..session import materialize
 
 
 def case_scores(cases: DataFrame, expected: str, present: str, extra: str, merged: str) -> DataFrame:
@@ -15,29 +15,32 @@ def case_scores(cases: DataFrame, expected: str, present: str, extra: str, merge
     empty = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0
     return cases.withColumns({
         "items_ok": (F.size(F.array_except(want, have)) == 0) & empty(F.col(extra)) & empty(F.col(merged)),
-        "item_recall": F.when(F.size(want) == 0, 1.0).otherwise(hit / F.size(want))})
+        "item_recall": F.when(F.size(want) == 0, 1.0).otherwise(F.round(hit / F.size(want), 3))})
 
 
 def exact_median(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Median per key from positions in the sorted order, so no group's values gather in one task."""
-    known = rows.where(F.col(value).isNotNull()).select(key, value)
-    placed = number_rows(known, [F.col(value)], "_n", [key])
-    counts = known.groupBy(key).agg(F.count("*").alias("_size"))
-    middle = placed.join(counts, key).where(F.col("_n").isin(F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1))
-    return middle.groupBy(key).agg(F.avg(value).alias(name))
+    """Median per key from running counts of its distinct values, so equal values are one row."""
+    counted = materialize(rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c")))
+    above = F.sum("_c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counted.withColumn("_to", above).join(counted.groupBy(key).agg(F.sum("_c").alias("_size")), key)
+    low, high = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
+    holds = lambda at: (at <= F.col("_to")) & (at > F.col("_to") - F.col("_c"))
+    at = lambda middle: F.max(F.when(holds(middle), F.col(value)))
+    return placed.groupBy(key).agg(((at(low) + at(high)) / 2).alias(name))
 
 
 def rate(flag: str) -> Column:
-    return F.avg(F.coalesce(F.col(flag), F.lit(False)).cast("double"))
+    return F.round(F.avg(F.coalesce(F.col(flag), F.lit(False)).cast("double")), 3)
 
 
 def summarize(cases: DataFrame, key: str) -> DataFrame:
-    """One row per run: rates, mean recall and artifacts, exact median seconds."""
+    """One row per run: rates and mean recall to three digits, mean artifacts to two, exact median seconds to one."""
     means = cases.groupBy(key).agg(
         F.count("*").alias("cases"), rate("layering_ok").alias("layering_accuracy"), rate("items_ok").alias("item_accuracy"),
-        F.avg("item_recall").alias("item_recall"), rate("accessories_ok").alias("accessory_accuracy"),
-        rate("identity_ok").alias("identity_preservation"), F.avg("artifacts").alias("mean_artifacts"))
-    return means.join(exact_median(cases, key, "seconds", "median_seconds"), key, "left")
+        F.round(F.avg("item_recall"), 3).alias("item_recall"), rate("accessories_ok").alias("accessory_accuracy"),
+        rate("identity_ok").alias("identity_preservation"), F.round(F.avg("artifacts"), 2).alias("mean_artifacts"))
+    middle = exact_median(cases, key, "seconds", "median_seconds")
+    return means.join(middle.withColumn("median_seconds", F.round("median_seconds", 1)), key, "left")
 
 
 def compare_runs(summary: DataFrame, key: str, before: str, after: str) -> DataFrame:

@@ -58,7 +58,7 @@ def run_stats(spark, sf):
 
 
 add_view("case_v", """
-SELECT *, want_n = hit AND extra = 0 AND merged = 0 AS items_ok, CASE WHEN want_n = 0 THEN 1.0 ELSE hit / want_n END AS item_recall FROM (
+SELECT *, want_n = hit AND extra = 0 AND merged = 0 AS items_ok, CASE WHEN want_n = 0 THEN 1.0 ELSE round(hit / want_n, 3) END AS item_recall FROM (
 SELECT v.*, len(list_distinct(want)) AS want_n, len(list_intersect(want, have)) AS hit, CASE WHEN artifacts = 3 THEN 1 ELSE 0 END AS extra, CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END AS merged FROM (
   SELECT v.*, CASE WHEN id % 8 = 0 THEN [] ELSE ['top', 'bag', CASE WHEN artifacts > 1 THEN 'shoes' ELSE 'top' END] END AS want, CASE WHEN layering_ok THEN ['top', 'bag', 'shoes'] ELSE ['bag', 'bag', 'hat'] END AS have FROM verdict_v v) v)""")
 
@@ -78,8 +78,8 @@ def case_scores(spark, sf):
     return judged(spark, sf).select("id", "run", "items_ok", F.round("item_recall", 3).alias("item_recall"))
 
 
-_SUMMARY = """SELECT run, count(*) AS cases, avg(CAST(layering_ok AS INT)) AS layering_accuracy, avg(CAST(items_ok AS INT)) AS item_accuracy, avg(item_recall) AS item_recall,
-  avg(CAST(accessories_ok AS INT)) AS accessory_accuracy, avg(CAST(identity_ok AS INT)) AS identity_preservation, avg(artifacts) AS mean_artifacts, median(seconds) AS median_seconds FROM case_v GROUP BY run"""
+_SUMMARY = """SELECT run, count(*) AS cases, round(avg(CAST(layering_ok AS INT)), 3) AS layering_accuracy, round(avg(CAST(items_ok AS INT)), 3) AS item_accuracy, round(avg(item_recall), 3) AS item_recall,
+  round(avg(CAST(accessories_ok AS INT)), 3) AS accessory_accuracy, round(avg(CAST(identity_ok AS INT)), 3) AS identity_preservation, round(avg(artifacts), 2) AS mean_artifacts, round(median(seconds), 1) AS median_seconds FROM case_v GROUP BY run"""
 _METRICS = ["layering_accuracy", "item_accuracy", "item_recall", "accessory_accuracy", "identity_preservation", "mean_artifacts", "median_seconds"]
 
 

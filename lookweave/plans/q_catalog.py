@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import catalog
-from ..operators.ranking import first_per, number_rows
+from ..operators.ranking import first_per
+from ..session import shared_folder
 from ..sources import documents as docs
 from ..sources import tables
 from .bindings import table, view
-from .oracle import add_view
+from .oracle import add_view, quote, sql_rules
 from .registry import query
 
 PAGE = 50  # products per payload page
@@ -34,9 +35,7 @@ def scan_nested_items(spark, sf):
         table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
     part = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
                     F.when(F.col("o_orderstatus") != "P", F.col("l_quantity")).alias("ease"))
-    # A document holds a hundred parts at most; a longer fitting continues in the next one.
-    numbered = number_rows(lines, [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], "n", ["l_orderkey"])
-    listed = numbered.groupBy("l_orderkey", F.floor((F.col("n") - 1) / 100).alias("doc")).agg(F.collect_list(part).alias("items")).drop("doc")
+    listed = lines.groupBy("l_orderkey").agg(F.collect_list(part).alias("items"))
     all_docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")).join(listed, "l_orderkey", "left")
     text = all_docs.select(F.to_json(F.struct(F.col("l_orderkey").alias("look"), "items")).alias("doc"))
     parsed = text.select(F.from_json("doc", "struct<look:bigint,items:array<struct<line:int,part:bigint,ease:double>>>").alias("d")).select("d.*")
@@ -142,54 +141,58 @@ FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_ord
 def pending_batches(spark, sf):
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("source"), "l_partkey")
     done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
-    left = items.join(done, "id", "left_anti").withColumn("k", F.col("id") * 1000 + F.col("line") * 100 + F.col("l_partkey") % 100)
-    numbered = number_rows(left, [F.col("k"), F.col("l_partkey")], "n", ["source"])
-    return numbered.select("id", "line", "source", F.floor((F.col("n") - 1) / 4).alias("batch"))
+    items = items.withColumn("k", F.col("id") * 1000 + F.col("line") * 100 + F.col("l_partkey") % 100)
+    return tables.pending_batches(items, done, "id", "source", ["k", "l_partkey"]).select("id", "line", "source", "batch")
 
 
 @query("publish_guard", """
 SELECT 'named' AS "check", bool_and(name <> '') AS passed FROM item_v UNION ALL SELECT 'unique ids', count(*) = count(DISTINCT id) FROM item_v
 UNION ALL SELECT 'known categories', bool_and(category IS NOT NULL) FROM item_v UNION ALL SELECT 'priced above 900', bool_and(price > 900) FROM item_v""")
 def publish_guard(spark, sf):
-    """The checks a staged catalogue has to pass before it replaces the published one."""
+    """Publish the catalogue if it passes the first three checks; then all checks over what readers see."""
     c = F.col
-    return tables.check_report(view(spark, sf, "item_v"), {
-        "named": F.bool_and(c("name") != ""), "unique ids": F.count("*") == F.count_distinct("id"),
-        "known categories": F.bool_and(c("category").isin(dims.CATEGORIES)), "priced above 900": F.bool_and(c("price") > 900)})
+    checks = {"named": F.bool_and(c("name") != ""), "unique ids": F.count("*") == F.count_distinct("id"), "known categories": F.bool_and(c("category").isin(dims.CATEGORIES))}
+    root = shared_folder(spark, "catalogue")
+    tables.publish(view(spark, sf, "item_v"), root, checks)
+    return tables.check_report(tables.read_published(spark, root), checks | {"priced above 900": F.bool_and(c("price") > 900)})
 
 
 # ---- ranking feed -----------------------------------------------------------------------------
-# Seven feeds (line number), products ranked by price inside a feed.
-add_view("feed_v", """
-SELECT l.l_linenumber AS source, l.l_partkey AS product, min(-l.l_extendedprice) AS rank, any_value(i.name) AS name, any_value(i.category) AS category,
+# Ten feeds, products ranked by price inside a feed.
+_SOURCE = "(l_linenumber + l_suppkey) % 10"
+add_view("feed_v", f"""
+SELECT {_SOURCE} AS source, l.l_partkey AS product, min(-l.l_extendedprice) AS rank, any_value(i.name) AS name, any_value(i.category) AS category,
   any_value(CASE WHEN i.size % 4 = 0 THEN '전체' ELSE i.category END) AS label, any_value(i.brand) AS brand
 FROM lineitem l JOIN item_v i ON i.id = l.l_partkey GROUP BY 1, 2""")
 
 
 def feed(spark, sf):
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("source"), F.col("l_partkey").alias("product")).agg(
+    lines = table(spark, sf, "lineitem").groupBy(F.expr(_SOURCE).alias("source"), F.col("l_partkey").alias("product")).agg(
         F.min(-F.col("l_extendedprice")).alias("rank"))
     items = view(spark, sf, "item_v").select(F.col("id").alias("product"), "name", "category", "brand",
                                              F.when(F.col("size") % 4 == 0, dims.ALL_LABEL).otherwise(F.col("category")).alias("label"))
     return lines.join(items, "product")
 
 
-QUOTAS = {1: 12, 2: 6, 3: 8, 4: 3, 5: 18, 6: 22, 7: 12}
+QUOTAS = {i: q for i, (_, _, q) in enumerate(dims.RANKING_SOURCES)}
+EXISTING = 110  # records the data set holds already, so that the target bites before the quotas are full
 
 
 def _quota_sql() -> str:
-    taken, steps = "SELECT NULL::BIGINT AS product WHERE false", []
+    left, steps = str(dims.RANKING_TARGET - EXISTING), []
+    taken = "SELECT NULL::BIGINT AS product WHERE false"
+    wearable = f"NOT regexp_matches(name, {quote(dims.NOT_WEARABLE)}, 'i') AND coalesce(CASE WHEN label <> '전체' THEN label ELSE {sql_rules('name', dims.CATEGORY_RULES, 'NULL')} END, '') <> ''"
     for source, quota in QUOTAS.items():
-        steps.append(f"s{source} AS MATERIALIZED (SELECT source, product, rank FROM feed_v WHERE source = {source} AND brand <> 'Brand#9' "
-                     f"AND product NOT IN ({taken}) ORDER BY rank, product LIMIT {quota})")
+        steps.append(f"s{source} AS MATERIALIZED (SELECT source, product, rank FROM feed_v WHERE source = {source} AND {wearable} "
+                     f"AND product NOT IN ({taken}) ORDER BY rank, product LIMIT (SELECT greatest(0, least({quota}, {left} - count(*))) FROM ({taken})))")
         taken += f" UNION ALL SELECT product FROM s{source}"
     return "WITH " + ", ".join(steps) + " SELECT source, product FROM (" + " UNION ALL ".join(f"SELECT * FROM s{s}" for s in QUOTAS) + ")"
 
 
 @query("quota_fill", _quota_sql())
 def quota_fill(spark, sf):
-    """Per source the best eligible products no earlier source took, up to the source's quota."""
-    return catalog.quota_fill(feed(spark, sf).where("brand <> 'Brand#9'"), QUOTAS).select("source", "product")
+    """Per source the best wearable products no earlier source took, up to the source's quota and the target."""
+    return catalog.quota_fill(feed(spark, sf).where(catalog.wearable(F.col("name"), F.col("label"))), QUOTAS, dims.RANKING_TARGET - EXISTING).select("source", "product")
 
 
 @query("new_records", """

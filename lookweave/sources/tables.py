@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +19,10 @@ def upsert_latest(changes: DataFrame, key: str, order: Sequence[str], values: Se
     return changes.groupBy(key).agg(latest.alias("v")).select(key, "v.*").where(~F.col("_gone")).drop("_gone")
 
 
-def pending_batches(items: DataFrame, completed: DataFrame, key: str, source: str, size: int = 4) -> DataFrame:
-    """Work left over, in batches of ``size`` per source."""
+def pending_batches(items: DataFrame, completed: DataFrame, key: str, source: str, order: Sequence[str], size: int = 4) -> DataFrame:
+    """Work left over, in batches of ``size`` per source and in the given order."""
     left = items.join(completed.select(key).distinct(), key, "left_anti")
-    return number_rows(left, [F.col(key)], "n", [source]).withColumn("batch", F.floor((F.col("n") - 1) / size)).drop("n")
+    return number_rows(left, [F.col(c) for c in order], "n", [source]).withColumn("batch", F.floor((F.col("n") - 1) / size)).drop("n")
 
 
 class PublishError(RuntimeError):
@@ -35,9 +36,10 @@ def check_report(frame: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def publish(frame: DataFrame, root: str, checks: dict[str, Column]) -> str:
-    """Write a new version under ``root``, check what was written, then point ``current`` at it.
+    """Write a new version under ``root``, check what was written, then add a pointer to it.
 
-    Readers follow the pointer, so a failed version never shows and the previous one stays.
+    Pointers only ever add up and readers follow the one with the largest number, so a failed version never shows and
+    there is no moment without a published one.
     """
     spark = frame.sparkSession
     version = f"{root}/v-{uuid.uuid4().hex}"
@@ -45,13 +47,28 @@ def publish(frame: DataFrame, root: str, checks: dict[str, Column]) -> str:
     failed = [r["check"] for r in check_report(spark.read.parquet(version), checks).where("NOT passed").collect()]
     if failed:
         raise PublishError(", ".join(failed))
-    pointer = spark.createDataFrame([(version,)], "path string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    last = _pointer(spark, root)
+    pointer = spark.createDataFrame([(last["number"] + 1 if last else 1, version)], _POINTER)
+    pointer.coalesce(1).write.mode("append").json(f"{root}/pointers")
     return version
 
 
+_POINTER = "number long, path string"
+
+
+def _pointer(spark, root: str):
+    """The newest complete pointer, if any."""
+    try:
+        rows = spark.read.schema(_POINTER).json(f"{root}/pointers")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.orderBy(F.desc("number"), "path").first()
+
+
 def read_published(spark, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("path string").json(f"{root}/current").first()["path"])
+    return spark.read.parquet(_pointer(spark, root)["path"])
 
 
 def write_report(rows: DataFrame, root: str, run_id: str) -> None:

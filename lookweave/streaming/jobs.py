@@ -31,26 +31,46 @@ def admission_stream(events: DataFrame, key: str, time_us: str, order: str, wind
         step, f"{order} long, {key} long, admitted boolean, retry_after long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+BUCKETS = 64
+
+
 def upsert_stream(changes: DataFrame, root: str, key: str, order: list[str], values: list[str], deleted: str | None = None):
-    """Keep the latest row per key: each micro-batch is reduced and merged into a new table version.
+    """Keep the latest row per key: a micro-batch rewrites the hash buckets of the keys it holds.
 
-    Every version is a folder named after its batch; a batch reads the version before it, so
-    a batch that is run again after a failure rewrites the same folder from the same input.
+    A manifest per batch lists the folder of every bucket.  A batch starts from the newest manifest before its own number,
+    so a batch that is run again after a failure writes the same folders from the same input.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         kept = [key, *order, *values, *([deleted] if deleted else [])]
-        rows = batch.select(*kept)
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{root}/v{batch_id - 1}"))
-        latest = upsert_latest(rows, key, order, [c for c in kept if c != key])  # tombstones stay, so late rows cannot revive a key
-        latest.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        rows = batch.select(*kept, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        touched = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # BUCKETS rows at most
+        folders = _folders(spark, root, batch_id - 1)
+        old = [folders[b] for b in sorted(touched & set(folders))]
+        if old:
+            rows = rows.unionByName(spark.read.schema(rows.drop("bucket").schema).parquet(*old).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")))
+        latest = upsert_latest(rows, key, order, [c for c in [*kept, "bucket"] if c != key])  # tombstones stay, so late rows cannot revive a key
+        latest.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v{batch_id}")
+        folders |= {b: f"{root}/v{batch_id}/bucket={b}" for b in touched}
+        spark.createDataFrame([(b, f) for b, f in folders.items()], _MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/manifests/batch={batch_id}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
 
 
+_MANIFEST = "bucket int, folder string"
+
+
+def _folders(spark: SparkSession, root: str, last: int) -> dict[int, str]:
+    """Folder of every bucket after the newest batch up to ``last``; at most ``BUCKETS`` rows."""
+    if last < 0:
+        return {}
+    rows = spark.read.schema(_MANIFEST + ", batch long").json(f"{root}/manifests").where(F.col("batch") <= last)
+    newest = rows.agg(F.max("batch")).first()[0]
+    return {r["bucket"]: r["folder"] for r in rows.where(F.col("batch") == newest).collect()} if newest is not None else {}
+
+
 def upserted(spark: SparkSession, root: str, batch_id: int, deleted: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(f"{root}/v{batch_id}")
+    rows = spark.read.parquet(*_folders(spark, root, batch_id).values())
     return rows.where(~F.col(deleted)).drop(deleted) if deleted else rows
 
 
