@@ -13,22 +13,23 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
+from .common import slices
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-CACHE_ENTRIES = 1_000_000
+KNOWN = 1 << 21  # words a worker remembers
 _STOPS = re.compile(rb"(.*[a-z])([.,]+)", re.DOTALL)
 _SHIFT = 45  # a key of the place table is length << 45 | rank
 
@@ -36,11 +37,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Token ids of texts by a tokenizer that lower-cases and drops white space, one cached word at a time.
+    """Token ids of texts by a tokenizer that lower-cases and drops white space, each word encoded once.
 
     No token spans white space in such a vocabulary, so the ids of a text are those of its words in turn.  Full stops and
-    commas after a letter are tokens of their own, so a word that ends in them needs no encoding of its own.  The cache
-    has two generations: a full one becomes the old one, and what is met again moves back.
+    commas after a letter are tokens of their own, so a word that ends in them needs no encoding of its own.
+
+    Known words are a hash table of arrays, looked up for all words of a slice at once: 64-bit hashes, and the stretch of
+    a pool that holds a word's ids.  Two of ``KNOWN`` words share a hash with a probability below 1e-6; a full table starts
+    anew.
     """
 
     def __init__(self, path: str):
@@ -49,39 +53,91 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, old, fresh, ending = self.known, self.old, set(), []
-        for word in words:
-            if word in old:
-                known[word] = old[word]
-                continue
-            cut = _STOPS.fullmatch(word)
-            if cut:
-                ending.append((word, *cut.groups()))
-                fresh.update(x for x in cut.groups() if x not in known)
-            else:
-                fresh.add(word)
-        for word in [w for w in fresh if w in old]:
-            known[word] = old[word]
-            fresh.discard(word)
-        listed = list(fresh)
-        found = self.model.encode_batch_fast([w.decode("utf-8") for w in listed], add_special_tokens=False)
-        known.update((w, struct.pack(f"<{len(x.ids)}I", *x.ids)) for w, x in zip(listed, found))
-        known.update((word, known[stem] + known[stops]) for word, stem, stops in ending)
-
-    def ids(self, text: bytes | str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids of the whole text."""
-        data = text.encode("utf-8") if isinstance(text, str) else text or b""
-        words = data.lower().split()
-        if len(self.known) > CACHE_ENTRIES // 2:
-            self.known, self.old = {}, self.known
-        missing = set(filterfalse(self.known.__contains__, words))
-        if missing:
-            self._learn(missing)
-        return b"".join(map(self.known.__getitem__, words))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.entries = np.zeros(2 * KNOWN, np.uint64), np.zeros(2 * KNOWN, np.int32)
+        self.start, self.size, self.count = np.zeros(KNOWN, np.int64), np.zeros(KNOWN, np.int64), 0
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entry per hash, -1 for unknown ones."""
+        out, at, open_ = np.full(len(h), -1, np.int64), h & np.uint64(2 * KNOWN - 1), np.arange(len(h))
+        at = at.astype(np.int64)
+        while len(open_):
+            held = self.hashes[at[open_]]
+            hit = held == h[open_]
+            out[open_[hit]] = self.entries[at[open_[hit]]]
+            open_ = open_[~hit & (held != 0)]
+            at[open_] = at[open_] + 1 & 2 * KNOWN - 1
+        return out
+
+    def _add(self, hashes: list[int], ids: list[list[int]]) -> None:
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.used], np.zeros(self.used + 2 * len(flat), np.uint32)])
+        self.pool[self.used:self.used + len(flat)] = flat
+        sizes = np.array([len(x) for x in ids], np.int64)
+        new = slice(self.count, self.count + len(ids))
+        self.size[new], self.start[new] = sizes, self.used + np.cumsum(sizes) - sizes
+        table, entries, mask = self.hashes, self.entries, 2 * KNOWN - 1
+        for entry, h in enumerate(hashes, self.count):
+            at = h & mask
+            while table[at]:
+                at = at + 1 & mask
+            table[at], entries[at] = h, entry
+        self.count, self.used = new.stop, self.used + len(flat)
+
+    def _learn(self, words: list[bytes], hashes: list[int]) -> None:
+        """Take in words, each once."""
+        cuts = [_STOPS.fullmatch(w) for w in words]
+        parts = list(dict.fromkeys(x for w, c in zip(words, cuts) for x in (c.groups() if c else (w,))))
+        held = self._find(_word_hashes(parts))
+        fresh = [w for w, e in zip(parts, held) if e < 0]
+        made = self.model.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)
+        found = {w: x.ids for w, x in zip(fresh, made)}
+        known = {w: self.pool[self.start[e]:self.start[e] + self.size[e]].tolist() for w, e in zip(parts, held) if e >= 0}
+        ids = found | known
+        rows = {h: ids[w] if not c else ids[c[1]] + ids[c[2]] for w, h, c in zip(words, hashes, cuts)}
+        rows |= {h: found[w] for w, h in zip(fresh, _word_hashes(fresh).tolist())}
+        self._add(list(rows), list(rows.values()))
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and where each text's ids end."""
+        split = [(t or b"").lower().split() for t in texts]
+        words = list(chain.from_iterable(split))
+        h = _word_hashes(words)
+        entry = self._find(h)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            fresh, at = np.unique(h[missing], return_index=True)
+            if self.count + 3 * len(fresh) > KNOWN:
+                self._clear()
+                missing = np.arange(len(h))
+                fresh, at = np.unique(h, return_index=True)
+                if 3 * len(fresh) > KNOWN:
+                    return self._halves(texts)
+            self._learn([words[i] for i in missing[at]], fresh.tolist())
+            entry[missing] = self._find(h[missing])
+        size = self.size[entry]
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(self.start[entry] - (ends - size), size) + np.arange(int(size.sum()))]
+        return ids, np.concatenate([[0], ends])[np.cumsum([len(w) for w in split])]
+
+    def _halves(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts with more words than a table takes; a single text is cut between words."""
+        whole = len(texts) == 1
+        parts = texts[0].split() if whole else texts
+        half = len(parts) // 2
+        left, right = ([b" ".join(parts[:half])], [b" ".join(parts[half:])]) if whole else (parts[:half], parts[half:])
+        (a, to), (b, then) = self.encode(left), self.encode(right)
+        ends = np.concatenate([to, then + len(a)])
+        return np.concatenate([a, b]), ends[-1:] if whole else ends
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.maximum(h, np.uint64(1))  # 0 marks free places of the table
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -112,12 +168,14 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = encoder(path or vocabulary_path()), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                ids = words.ids(text) + b"\0\0\0\0"
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    chunk = ids[at:at + 4 * capacity]
+        for batch in slices(batches):
+            rows, begin = [], 0
+            ids, ends = words.encode(batch.column(1).cast(pa.binary()).to_pylist())
+            for doc, end in zip(batch.column(0).to_pylist(), ends.tolist()):
+                own = ids[begin:end].astype("<u4").tobytes() + b"\0\0\0\0"
+                begin = end
+                for piece, at in enumerate(range(0, len(own), 4 * capacity)):
+                    chunk = own[at:at + 4 * capacity]
                     length = len(chunk) // 4
                     rows.append((doc, piece, at // 4, length, zlib.crc32(chunk), part, seen[length]))
                     seen[length] += 1

@@ -28,9 +28,24 @@ def test_ids_are_the_tokenizers(model):
     rng = random.Random(3)
     alphabet = "ab cD.,'s!? \n\téÜ\u0301\u00a0»1"
     texts = TEXTS + ["".join(rng.choices(alphabet, k=rng.randint(0, 80))) for _ in range(300)]
+    want = [model.encode(t or "", add_special_tokens=False).ids for t in texts]
     words = packing.WordEncoder(packing.vocabulary_path())
-    for t in texts:
-        assert np.frombuffer(words.ids(t), "<u4").tolist() == model.encode(t or "", add_special_tokens=False).ids, repr(t)
+    for step in (1, 7, 400):
+        got = []
+        for at in range(0, len(texts), step):
+            ids, ends = words.encode([None if t is None else t.encode() for t in texts[at:at + step]])
+            got += [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == want
+
+
+def test_full_tables_start_anew(model, monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN", 64)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abc,.", k=rng.randint(1, 4))) for _ in range(8)) for _ in range(60)]
+    texts.append(" ".join(texts))
+    words = packing.WordEncoder(packing.vocabulary_path())
+    ids, ends = words.encode([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_layout(spark, model):
