@@ -12,8 +12,8 @@ Long posting lists are split into cells of a grid, so a token may be as frequent
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
-from .common import FILTER_BITS, bit_filter, passing
+from .common import FILTER_BITS, bit_filter, passing, slices
 
 COUNT_BITS, BLOCK_BITS = 24, 14  # counters of the rarity order, counters to a block
 LEVEL = 48  # a token's key is its level of rarity above a hash of this many bits
 LIST = 4096  # postings of a token that are compared in one place
-FIRST = 4
+FIRST = 2
 PLACE = f"crc32(concat_ws(':', doc, line)) % {1 << FILTER_BITS}"
 LARGEST = (1 << 63) - 1
 
@@ -40,13 +40,10 @@ def _levels(documents: DataFrame) -> np.ndarray:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, np.int32)
-        for batch in batches:
-            words: Counter[bytes] = Counter()
+        for batch in slices(batches):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
-                if text:
-                    words.update(text.lower().split())
-            at = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) & np.uint64((1 << COUNT_BITS) - 1)
-            np.add.at(total, at.astype(np.int64), np.fromiter(words.values(), np.int32, len(words)))
+                words = (text or b"").lower().split()
+                np.add.at(total, _hashes(words, len(words)) & np.uint64((1 << COUNT_BITS) - 1), 1)
         blocks = total.reshape(-1, 1 << BLOCK_BITS)
         for at in np.flatnonzero(blocks.any(axis=1)):
             where = np.flatnonzero(blocks[at])
@@ -65,19 +62,25 @@ def _levels(documents: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-class _Keys(dict):
-    """Key of a word, rarest first; remembers the words it has met."""
+def _hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
 
-    def __init__(self, levels: np.ndarray):
-        super().__init__()
-        self.levels = levels
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = key = int(self.levels[h & (1 << COUNT_BITS) - 1]) << LEVEL | h >> 64 - LEVEL
-        return key
+def _line_sets(lines: list[bytes], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all lines' distinct tokens, each line's from the rarest on, and their number per line."""
+    flat, sizes = [], np.zeros(len(lines), np.int64)
+    for at in range(0, len(lines), 255):
+        words = [line.split() for line in lines[at:at + 255]]
+        counts = np.array([len(w) for w in words])
+        h = _hashes(chain.from_iterable(words), int(counts.sum()))
+        level = levels[h & np.uint64((1 << COUNT_BITS) - 1)].astype(np.uint64)
+        # the line above the key, so that one sort of numbers orders everything
+        owner = np.repeat(np.arange(len(words), dtype=np.uint64), counts)
+        ordered = np.sort(owner << np.uint64(LEVEL + 8) | level << np.uint64(LEVEL) | h >> np.uint64(64 - LEVEL))
+        ordered = ordered[np.r_[True, ordered[1:] != ordered[:-1]]] if len(ordered) else ordered
+        sizes[at:at + len(words)] = np.bincount((ordered >> np.uint64(LEVEL + 8)).astype(np.int64), minlength=len(words))
+        flat.append((ordered & np.uint64((1 << LEVEL + 8) - 1)).view(np.int64))
+    return np.concatenate(flat) if flat else np.empty(0, np.int64), sizes
 
 
 def lines_of(text: bytes | None) -> list[bytes]:
@@ -94,20 +97,18 @@ def _line_table(documents: DataFrame, levels: np.ndarray, percent: int) -> DataF
     Sets so small that only equal ones can match need no prefix.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = _Keys(levels)
-        for batch in batches:
-            docs, at, sizes, sets = [], [], [], []
+        for batch in slices(batches):
+            docs, at, lines = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                for i, line in enumerate(lines_of(text.lower() if text else None)):
-                    tokens = sorted(set(map(keys.__getitem__, line.split())))
-                    if tokens:
-                        docs.append(doc)
-                        at.append(i)
-                        sizes.append(len(tokens))
-                        sets += tokens
-            if not docs:
+                own = lines_of(text.lower() if text else None)
+                lines += own
+                docs += [doc] * len(own)
+                at += range(len(own))
+            flat, n = _line_sets(lines, levels)
+            worded = np.flatnonzero(n)
+            docs, at, n = np.array(docs, np.int64)[worded], np.array(at, np.int32)[worded], n[worded]
+            if not len(n):
                 continue
-            flat, n = np.array(sets, np.int64), np.array(sizes, np.int64)
             ends = np.cumsum(n)
             starts = ends - n
             bit = np.uint64(1) << (flat & 63).astype(np.uint64)
@@ -121,23 +122,27 @@ def _line_table(documents: DataFrame, levels: np.ndarray, percent: int) -> DataF
             first, owner = first[shared], owner[shared]
             cuts = np.searchsorted(owner, np.arange(len(n) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (flat[first], (first - starts[owner]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(n.astype(np.int32)), pa.array(marks, pa.binary()), *lists, *map(pa.array, sketch)], names=["doc", "line", "n", "mark", "keys", "places", "b0", "b1"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(at), pa.array(n.astype(np.int32)), pa.array(marks, pa.binary()), *lists, *map(pa.array, sketch)], names=["doc", "line", "n", "mark", "keys", "places", "b0", "b1"])
 
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)).alias("doc")
     return documents.select(own, "text").mapInArrow(run, "doc long, line int, n int, mark binary, keys array<long>, places array<int>, b0 long, b1 long")
 
 
 def _cells(postings: DataFrame) -> DataFrame:
-    """Adds part, cell and two: lists of over ``LIST`` postings are cut into parts, and every two parts meet in a cell."""
+    """Adds cell and side: lists of over ``LIST`` postings are cut into parts, and every two parts meet in a cell.
+
+    ``side`` is 0 in a cell of one part, else 1 or 2 for the part.
+    """
     # only a token that is counted more than LIST times can have so long a list
     frequent = F.col("key") >= F.lit(int(8 * np.log2(LIST)) << LEVEL)
-    rare = postings.where(~frequent).select("*", F.lit(0).alias("part"), F.lit(0).alias("cell"), F.lit(False).alias("two"))
+    rare = postings.where(~frequent).select("*", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"))
     many = postings.where(frequent)
-    parts = many.groupBy("key").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts"))
-    many = many.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc", "line"), F.col("parts")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = many.groupBy("key").agg(F.ceil(F.count("*") / LIST).alias("parts"))
+    many = many.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc", "line"), F.col("parts")))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cell = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
-    return rare.unionByName(many.withColumns({"cell": cell, "two": F.col("part") != F.col("other")}).drop("parts", "other"))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    return rare.unionByName(many.withColumns({"cell": cell, "side": side}).drop("parts", "part", "other"))
 
 
 _PAIRS = pa.schema([(f"{c}_{s}", t) for s in "xy" for c, t in (("doc", pa.int64()), ("line", pa.int32()))] + [("key", pa.int64())])
@@ -148,24 +153,27 @@ def _candidates(postings: DataFrame, percent: int, most: int | None) -> DataFram
 
     ``asked`` says which lines look for earlier ones.
     """
-    names = ["key", "cell", "part", "doc", "line", "n", "i", "b0", "b1", "asked", "two"]
+    # small numbers share a column, as rows are many
+    packed = [F.col("key"), F.col("cell"), F.col("doc"), F.col("line"), (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 4) + F.col("side") * 2 + F.col("asked").cast("int")).alias("rest"), F.col("b0"), F.col("b1")]
+    names = ["key", "cell", "doc", "line", "rest", "b0", "b1"]
 
     def meet(rows: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        key, cell, part, n, i = (rows[c] for c in ("key", "cell", "part", "n", "i"))
+        key, cell, rest = rows["key"], rows["cell"], rows["rest"]
+        n, i, side, asked = rest >> 32, rest >> 4 & (1 << 28) - 1, rest >> 1 & 3, (rest & 1).astype(bool)
         start = np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]
         first = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
         rank, found = np.arange(len(key)) - first, np.zeros(len(key), np.int64)
         b0, b1 = rows["b0"].view(np.uint64), rows["b1"].view(np.uint64)
         xs, ys, more = [], [], []
         for step in range(int(rank.max(initial=0))):
-            x = np.flatnonzero((rank > step) & rows["asked"] & (found <= (most or len(key))))
+            x = np.flatnonzero((rank > step) & asked & (found <= (most or len(key))))
             if not len(x):
                 break
             y = first[x] + step  # the earliest rows come first
             nx, ny = n[x], n[y]
             t = least_overlap(nx, ny, percent)
             ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.minimum(nx - i[x], ny - i[y]) >= t)
-            ok &= ~rows["two"][x] | (part[x] != part[y])  # rows of one part meet in that part's own cell
+            ok &= (side[x] == 0) | (side[x] != side[y])  # rows of one part meet in that part's own cell
             ok &= (rows["doc"][x] != rows["doc"][y]) | (rows["line"][x] != rows["line"][y])
             x, y, t = x[ok], y[ok], t[ok]
             lost = np.bitwise_count(b0[x] & ~b0[y]).astype(np.int64) + np.bitwise_count(b1[x] & ~b1[y])
@@ -203,7 +211,7 @@ def _candidates(postings: DataFrame, percent: int, most: int | None) -> DataFram
         if held is not None and len(held["key"]) and (out := meet(held)) is not None:
             yield out
 
-    placed = postings.repartition("key", "cell").sortWithinPartitions("key", "cell", "doc", "line").select(*names)
+    placed = postings.select(*packed).repartition("key", "cell").sortWithinPartitions("key", "cell", "doc", "line")
     return placed.mapInArrow(run, "doc_x long, line_x int, doc_y long, line_y int, key long")
 
 
@@ -212,7 +220,7 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     bitmap = bit_filter(wanted.select(F.expr(PLACE).alias("slot")), "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             docs, at, sets = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 lines = lines_of(text)
@@ -228,15 +236,27 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return documents.select(own, "text").mapInArrow(run, "doc long, line int, tokens array<long>").join(wanted, ["doc", "line"], "left_semi")
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Lines (doc, line) with a confirmed earlier match."""
+def _verified(documents: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Lines (doc, line) with a confirmed earlier match.
+
+    A line first meets the earlier one with which it shares most keys; only where that fails the others.
+    """
+    x, y = ["doc_x", "line_x"], ["doc_y", "line_y"]
+    pairs = materialize(found.groupBy(*x, *y).agg(F.count("*").alias("keys")))
     wanted = pairs.select(F.explode(F.array(*[F.struct(F.col(f"doc_{s}").alias("doc"), F.col(f"line_{s}").alias("line")) for s in "xy"])).alias("at")).select("at.*").distinct()
     sets = materialize(_sets(documents, materialize(wanted)))
-    side = lambda s: sets.select(F.col("doc").alias(f"doc_{s}"), F.col("line").alias(f"line_{s}"), F.col("tokens").alias(s))
-    met = pairs.join(side("x"), ["doc_x", "line_x"]).join(side("y"), ["doc_y", "line_y"])
-    shared = F.size(F.array_intersect("x", "y"))
-    met = met.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
-    return met.select(F.col("doc_x").alias("doc"), F.col("line_x").alias("line")).distinct()
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        side = lambda s: sets.select(F.col("doc").alias(f"doc_{s}"), F.col("line").alias(f"line_{s}"), F.col("tokens").alias(s))
+        met = some.select(*x, *y).join(side("x"), x).join(side("y"), y)
+        shared = F.size(F.array_intersect("x", "y"))
+        met = met.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
+        return materialize(met.select(F.col("doc_x").alias("doc"), F.col("line_x").alias("line")).distinct())
+
+    best = pairs.groupBy(*x).agg(F.max(F.struct("keys", *y)).alias("b")).select(*x, *[F.col(f"b.{c}").alias(c) for c in y])
+    near = confirmed(best)
+    left = pairs.join(best, [*x, *y], "left_anti").join(near.select(F.col("doc").alias("doc_x"), F.col("line").alias("line_x")), x, "left_anti")
+    return near.union(confirmed(left))
 
 
 def first_lines(documents: DataFrame, percent: int = 80) -> DataFrame:
@@ -253,13 +273,13 @@ def first_lines(documents: DataFrame, percent: int = 80) -> DataFrame:
         postings = heads.where(F.size("keys") > 0).select("doc", "line", "n", "b0", "b1", F.explode(F.arrays_zip("keys", "places")).alias("p"))
         postings = postings.select("doc", "line", "n", F.col("p.places").alias("i"), F.col("p.keys").alias("key"), "b0", "b1", F.lit(True).alias("asked"))
         found = materialize(_candidates(_cells(postings), percent, FIRST))
-        near = materialize(_verified(documents, found.where("doc_y IS NOT NULL").drop("key").distinct(), percent))
+        near = materialize(_verified(documents, found.where("doc_y IS NOT NULL"), percent))
         open_ = found.where("doc_y IS NULL").select(F.col("doc_x").alias("doc"), F.col("line_x").alias("line"), "key").distinct().join(near, ["doc", "line"], "left_anti")
         open_ = materialize(open_)
         if not open_.isEmpty():
             rest = postings.drop("asked").join(open_.select("key").distinct(), "key", "left_semi").join(open_.withColumn("asked", F.lit(True)), ["doc", "line", "key"], "left")
             rest = _cells(rest.withColumn("asked", F.coalesce("asked", F.lit(False))))
-            near = near.union(_verified(documents, _candidates(rest, percent, None).drop("key").distinct(), percent)).distinct()
+            near = near.union(_verified(documents, _candidates(rest, percent, None), percent)).distinct()
         return keep(heads.select("doc", "line").join(near, ["doc", "line"], "left_anti"))
 
 
@@ -270,7 +290,7 @@ def _worded(line: str | bytes) -> bool:
 def removed_lines(documents: DataFrame, first: DataFrame) -> DataFrame:
     """doc, line of the lines with a word that are not among the first ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lines = [[i for i, line in enumerate(lines_of(t)) if _worded(line)] for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.int32()))], names=["doc", "lines"])
 
@@ -294,7 +314,7 @@ def drop_lines(documents: DataFrame, first: DataFrame, length: str | None = None
     held = documents.withColumn("__doc", own).join(_by_document(first).select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept")), "__doc", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, sizes, stay = batch.column(at.index("text")).to_pylist(), batch.column(at.index(length)).to_pylist() if length else [], []
             for row, (text, kept) in enumerate(zip(texts, batch.column(len(at)).to_pylist())):
                 lines = (text or "").split("\n")
