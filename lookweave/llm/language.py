@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .common import slices
+
 BITS = 16
 SLOTS = 1 << BITS
 GROUPS = (1, 2, 3, 4)  # letters to a group
@@ -190,20 +193,22 @@ def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 def fit(documents: DataFrame, trainable: Column, sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` documents of every non-null language, those with the smallest hashes of their ids.
+    """Learn from ``sample`` documents of every non-null language, those with the smallest hashes of their ids.
 
     ``trainable`` is a condition on doc_id.  Without any, no language is known and every text is ``und``.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(trainable).where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= sample).select("doc_id", "lang").distinct()
-    texts = rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("place"))
+    # the windows are limited before their shuffle; one row per language then meets the texts, which don't move
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    last = materialize(rows.select("lang", "place", nth.alias("nth")).where(F.col("nth") <= sample).groupBy("lang").agg(F.max("place").alias("last")))
+    texts = rows.join(last, "lang").where(F.col("place") <= F.col("last")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots: dict[str, np.ndarray] = {}
         places = _Slots()
         scripts: Counter[tuple[str, str]] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held = slots.setdefault(lang, np.zeros(SLOTS, np.int64))
                 for word, n in Counter(words_of(text)).items():
@@ -231,7 +236,7 @@ def fit(documents: DataFrame, trainable: Column, sample: int = SAMPLE) -> Model:
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and n_spans of every row, texts read whole; ``und`` for null texts and texts without letters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = list(zip(*(model.label(t) for t in batch.column(1).to_pylist()))) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int32())], names=["doc_id", "lang_pred", "score", "n_spans"])
 
@@ -241,7 +246,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 def spans(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id and (start, end, lang) of every span in turn, in code points of the lower-cased text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, out = batch.column(0).to_pylist(), []
             for doc, text in zip(ids, batch.column(1).to_pylist()):
                 found = list(_WORD.finditer((text or "").lower()))
