@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
-from .common import FILTER_BITS, bit_filter, passing, words_of
+from .common import FILTER_BITS, bit_filter, passing, slices, words_of
 
 MASKS = ("110111", "11111")
 WINDOW = 16
@@ -76,7 +76,7 @@ def _slots(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _items(benchmark: DataFrame) -> DataFrame:
     """One row per distinct token sequence of at least a mask's length: key, tokens, and the items that have it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             tokens = [hashes_of(t) for t in batch.column(1).to_pylist()]
             keys = [xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63) for t in tokens]
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["item_id", "item", "tokens"])
@@ -87,7 +87,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 def _item_seeds(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for item, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seed, at = seeds(np.frombuffer(tokens, np.uint64))
                 a, b = _slots(seed)
@@ -99,7 +99,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
 def _scan(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """Rows (key, null, null, tokens) of documents with seeds that pass the bitmap, and (key, seed, at, null) of these seeds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = hashes_of(text)
                 seed, at = seeds(tokens)
@@ -148,7 +148,7 @@ def _overlaps(keyed: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFr
     pairs = diagonals.join(texts, "key").join(items, "item").select("key", "item", "diagonal", "document", "tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for key, item, diagonal, document, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 best = best_window(np.frombuffer(document, np.uint64), np.frombuffer(tokens, np.uint64), diagonal)

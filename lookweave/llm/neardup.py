@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import number_rows
 from ..session import materialize, scratch
-from .common import FILTER_BITS, bit_filter, passing, words_of
+from .common import FILTER_BITS, bit_filter, passing, slices, words_of
 from .graph import components
 
 WIDTH = 5
@@ -80,7 +80,7 @@ def sketch(documents: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ns, marks, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
@@ -97,7 +97,7 @@ def _forest(classes: DataFrame) -> DataFrame:
     schema = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.num_rows
             if n:
                 # big-endian, so that the order of the bytes is that of the values
@@ -142,7 +142,7 @@ def _sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             few = batch.take(pa.array(passing(bitmap, batch.column(2).to_numpy(zero_copy_only=False))))
             yield pa.RecordBatch.from_arrays([few.column(0), pa.array([shingles(t).tobytes() for t in few.column(1).to_pylist()], pa.binary())], schema=schema)
 
