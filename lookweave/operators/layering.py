@@ -72,7 +72,8 @@ def captions(ordered: DataFrame, outfit: str) -> DataFrame:
         F.lit("Reference image "), (i["place"] + 1).cast("string"), F.lit(" is the "), i["label"], F.lit(" '"), i["name"], F.lit("'."))), " ")
     torso = F.transform(F.filter("items", lambda i: i["slot"].isin("overall", "upper", "outer")), lambda i: lookup(i["slot"], dims.STACK_NAMES, i["slot"]))
     under, small = named(lambda i: i["underwear"]), named(lambda i: i["small"])
-    socks, shoes = named(lambda i: i["layer_rank"] == 45), named(lambda i: i["slot"] == "shoes")
+    last = lambda pred, plain: F.try_element_at(F.transform(F.filter("items", pred), lambda i: F.concat(F.lit("'"), F.coalesce(i["name"], F.lit(plain)), F.lit("'"))), F.lit(-1))
+    socks, shoes = last(lambda i: i["layer_rank"] == 45, "socks"), last(lambda i: i["slot"] == "shoes", "shoes")
     worn = F.transform("items", lambda i: lookup(i["slot"], dims.BODY_SLOT, i["slot"]))
     full = F.array_contains(worn, "torso+legs")
     missing = F.array_compact(F.array(
@@ -82,7 +83,7 @@ def captions(ordered: DataFrame, outfit: str) -> DataFrame:
         " ", roles,
         F.when(F.size(torso) >= 2, F.concat(F.lit("Torso layers from the skin outward: "), F.array_join(torso, " then "), F.lit("."))),
         F.when(under != "", F.concat(under, F.lit(" stays hidden as underwear."))),
-        F.when((socks != "") & (shoes != ""), F.concat(socks, F.lit(" goes on before "), shoes, F.lit("."))),
+        F.when(socks.isNotNull() & shoes.isNotNull(), F.concat(socks, F.lit(" goes on before "), shoes, F.lit("."))),
         F.concat(F.lit("Items worn: "), F.size("items").cast("string"), F.lit(".")),
         F.when(F.size(missing) > 0, F.concat(F.lit("Unchanged: "), F.array_join(missing, ", "), F.lit("."))),
         F.when(small != "", F.concat(small, F.lit(" must stay visible."))))

@@ -23,7 +23,7 @@ def _dim(spark, rows: list, schema: str) -> DataFrame:
 
 def partner_dims(spark) -> tuple[DataFrame, DataFrame]:
     """(anchor category -> partner categories) and (anchor colour -> ranked partner colours)."""
-    cats = [(a, i, p) for a, ps in dims.PARTNER_CATEGORIES.items() for i, p in enumerate(ps)]
+    cats = [(a, i, p) for a, ps in {**dims.PARTNER_CATEGORIES, None: dims.DEFAULT_PARTNER_CATEGORIES}.items() for i, p in enumerate(ps)]
     colors = [(a, i, p) for a, ps in dims.PARTNER_COLORS.items() for i, p in enumerate(ps)]
     colors += [(None, i, p) for i, p in enumerate(dims.DEFAULT_PARTNER_COLORS)]
     return (_dim(spark, cats, "anchor_category string, slot int, category string"),
@@ -54,7 +54,10 @@ def outfit_partners(items: DataFrame, seen: Column, variation: int = 0) -> DataF
     pool = items.where(seen).withColumns({"denim": F.contains("name", F.lit(DENIM)), "bonus": item_bonus(variation)})
     sizes = pool.groupBy("category").agg(F.count("*").alias("pool_size"))
     leaders = top_k(pool, ["category", "color", "denim"], [F.desc("bonus"), F.col("id")], POOL).select("id", "category", "color", "denim", "bonus")
-    anchors = items.select(F.col("category").alias("anchor_category"), F.col("color").alias("anchor_color")).distinct().join(cats, "anchor_category")
+    anchors = items.select(F.col("category").alias("anchor_category"), F.col("color").alias("anchor_color")).distinct()
+    listed = F.when(F.col("anchor_category").isin([*dims.PARTNER_CATEGORIES]), F.col("anchor_category"))
+    cats = cats.withColumnRenamed("anchor_category", "listed")
+    anchors = anchors.join(cats, listed.eqNullSafe(F.col("listed"))).drop("listed")
     known = [*dims.PARTNER_COLORS]
     pairs = (anchors.withColumn("ranked_for", F.when(F.col("anchor_color").isin(known), F.col("anchor_color")))
              .join(leaders, "category")

@@ -68,7 +68,7 @@ _quoted = "list_transform(list_filter(items, lambda i: {0}), lambda i: concat(''
 SELECT look, concat_ws(' ', array_to_string(list_transform(items, lambda i: concat('Reference image ', i.place + 1, ' is the ', i.label, ' ''', i.name, '''.')), ' '),
   CASE WHEN len(torso) >= 2 THEN concat('Torso layers from the skin outward: ', array_to_string(torso, ' then '), '.') END,
   CASE WHEN len(under) > 0 THEN concat(array_to_string(under, ', '), ' stays hidden as underwear.') END,
-  CASE WHEN len(socks) > 0 AND len(shoes) > 0 THEN concat(array_to_string(socks, ', '), ' goes on before ', array_to_string(shoes, ', '), '.') END,
+  CASE WHEN len(socks) > 0 AND len(shoes) > 0 THEN concat(socks[-1], ' goes on before ', shoes[-1], '.') END,
   concat('Items worn: ', len(items), '.'), CASE WHEN len(missing) > 0 THEN concat('Unchanged: ', array_to_string(missing, ', '), '.') END,
   CASE WHEN len(small) > 0 THEN concat(array_to_string(small, ', '), ' must stay visible.') END) AS caption
 FROM (SELECT *, {_quoted.format('i.under')} AS under, {_quoted.format('i.small')} AS small, {_quoted.format('i.layer_rank = 45')} AS socks, {_quoted.format("i.slot = 'shoes'")} AS shoes,

@@ -1,7 +1,9 @@
 """Literal counts of the fixed tables, and the target of the ranking sources."""
 
+from pyspark.sql import functions as F
+
 from lookweave import dims
-from lookweave.operators import catalog
+from lookweave.operators import catalog, partners
 
 
 def test_trends_and_sources_are_complete():
@@ -15,3 +17,10 @@ def test_sources_take_turns_until_the_target(spark):
     feed = spark.createDataFrame(rows, "source int, product long, rank long")
     got = sorted((r["source"], r["product"]) for r in catalog.quota_fill(feed, {0: 2, 1: 3, 2: 4}, 6).collect())
     assert got == [(0, 0), (0, 1), (1, 2), (1, 3), (1, 4), (2, 5)]
+
+
+def test_unlisted_anchor_gets_the_usual_partners(spark):
+    rows = [(1, "모자", "블랙", "모자", 0), (2, "상의", "화이트", "셔츠", 1), (3, "하의", "블랙", "바지", 1), (4, "신발", "블랙", "구두", 1)]
+    items = spark.createDataFrame(rows, "id long, category string, color string, name string, worn int")
+    got = partners.outfit_partners(items, F.lit(True))
+    assert sorted((r["slot"], r["partner"]) for r in got.where("anchor = 1").collect()) == [(0, 2), (1, 3), (2, 4)]
