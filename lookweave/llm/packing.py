@@ -29,7 +29,8 @@ from .common import slices
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-KNOWN = 1 << 21  # words a worker remembers
+SLOTS = 1 << 21  # places of a worker's table of words
+KNOWN = 3 * SLOTS // 4  # words in it, at most
 _STOPS = re.compile(rb"(.*[a-z])([.,]+)", re.DOTALL)
 _SHIFT = 45  # a key of the place table is length << 45 | rank
 
@@ -56,20 +57,20 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.entries = np.zeros(2 * KNOWN, np.uint64), np.zeros(2 * KNOWN, np.int32)
-        self.start, self.size, self.count = np.zeros(KNOWN, np.int64), np.zeros(KNOWN, np.int64), 0
+        self.hashes, self.entries = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.start, self.size, self.count = np.zeros(KNOWN, np.int32), np.zeros(KNOWN, np.int32), 0
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry per hash, -1 for unknown ones."""
-        out, at, open_ = np.full(len(h), -1, np.int64), h & np.uint64(2 * KNOWN - 1), np.arange(len(h))
+        out, at, open_ = np.full(len(h), -1, np.int64), h & np.uint64(SLOTS - 1), np.arange(len(h))
         at = at.astype(np.int64)
         while len(open_):
             held = self.hashes[at[open_]]
             hit = held == h[open_]
             out[open_[hit]] = self.entries[at[open_[hit]]]
             open_ = open_[~hit & (held != 0)]
-            at[open_] = at[open_] + 1 & 2 * KNOWN - 1
+            at[open_] = at[open_] + 1 & SLOTS - 1
         return out
 
     def _add(self, hashes: list[int], ids: list[list[int]]) -> None:
@@ -80,7 +81,7 @@ class WordEncoder:
         sizes = np.array([len(x) for x in ids], np.int64)
         new = slice(self.count, self.count + len(ids))
         self.size[new], self.start[new] = sizes, self.used + np.cumsum(sizes) - sizes
-        table, entries, mask = self.hashes, self.entries, 2 * KNOWN - 1
+        table, entries, mask = self.hashes, self.entries, SLOTS - 1
         for entry, h in enumerate(hashes, self.count):
             at = h & mask
             while table[at]:
@@ -119,7 +120,7 @@ class WordEncoder:
                     return self._halves(texts)
             self._learn([words[i] for i in missing[at]], fresh.tolist())
             entry[missing] = self._find(h[missing])
-        size = self.size[entry]
+        size = self.size[entry].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.start[entry] - (ends - size), size) + np.arange(int(size.sum()))]
         return ids, np.concatenate([[0], ends])[np.cumsum([len(w) for w in split])]

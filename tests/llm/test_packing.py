@@ -39,6 +39,7 @@ def test_ids_are_the_tokenizers(model):
 
 
 def test_full_tables_start_anew(model, monkeypatch):
+    monkeypatch.setattr(packing, "SLOTS", 128)
     monkeypatch.setattr(packing, "KNOWN", 64)
     rng = random.Random(4)
     texts = [" ".join("".join(rng.choices("abc,.", k=rng.randint(1, 4))) for _ in range(8)) for _ in range(60)]
