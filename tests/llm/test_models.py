@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -120,6 +121,36 @@ def test_held_out_toxicity(spark):
     assert hit / (got["toxic"] == 1).sum() > 0.9 and hit / (got["predicted"] == 1).sum() > 0.9
 
 
+def test_misspelled_held_out_terms_are_met(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels, held_out = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), fold(F.col("doc_id"), 4) == 2
+    lexicon = toxicity.fit(docs, labels, ~held_out)
+    for term in ("idiot", "disgusting", "trash", "clown", "pathetic", "worthless", "stupid", "moron", "loser"):
+        for at in range(4):
+            wrong = [term[:at] + "1" + term[at + 1:], term[:at] + term[at + 1:], term[:at] + "q" + term[at:], term[:at] + term[at + 1] + term[at] + term[at + 2:]]
+            assert all(lexicon.match(w) for w in wrong), wrong
+    assert lexicon.match("disgustingly")[1] and not lexicon.match("dizgustingly")[1]
+    rows = docs.where(held_out).join(labels, "doc_id").where("toxic IN (0, 1)").select("toxic", "text").collect()
+    insult = re.compile(r"(?i)\b(i)(d)(iot)|\b(d)(i)(sgust)|\b(t)(r)(ash)|\b(c)(l)(own)|\b(p)(a)(thetic)|\b(w)(o)(rthless)|\b(s)(t)(upid)|\b(m)(o)(ron)|\b(l)(o)(ser)")
+    rows = [(r["toxic"], insult.sub(lambda m: m[m.lastindex - 1] + m[m.lastindex - 2] + m[m.lastindex], r["text"] or "")) for r in rows]
+    marked = [toxic for toxic, text in rows if lexicon.score(text) >= toxicity.BOUND]
+    assert sum(marked) > 0.9 * sum(toxic for toxic, _ in rows) and sum(marked) > 0.9 * len(marked)
+
+
+def test_stems_and_swaps_allow_one_edit():
+    trie = toxicity.Trie(["abcdef*", "vwxyz", "stem*"])
+    rng = random.Random(8)
+    for _ in range(3000):
+        word = list("abcdefgh"[:rng.randint(5, 8)])
+        for _ in range(rng.randint(0, 2)):
+            word[rng.randrange(len(word))] = rng.choice(["", "a", "c", "xy"])
+        word = "".join(word)
+        best = min(distance("abcdef", word[:k]) for k in range(len(word) + 1))
+        assert trie.close(word) == ["abcdef*"] * (best == 1), word
+    assert trie.swapped("bacdefgg") == ["abcdef*"] and trie.swapped("vwyxz") == ["vwxyz"]
+    assert trie.swapped("vwyxzz") == trie.swapped("tsem") == trie.swapped("abcdef") == []
+
+
 def test_toxicity_odd_inputs(spark):
     docs, labels = odd(spark), spark.createDataFrame([(1, None), (None, 1), (4, 0)], "doc_id long, toxic int")
     lexicon = toxicity.fit(docs, labels, F.lit(True))
