@@ -2,13 +2,15 @@
 
 The guess cost of a value is the cheapest way to cut it into words, dates, repeats, keyboard walks and brute-force
 stretches, in bits; a dynamic programme over its places finds it.  A value next to a credential word counts as a secret if
-even that way costs ``LEAST_BITS`` or more.
+even that way costs ``LEAST_BITS`` or more, whatever letters it is made of.  Words are ranked by a short list of common
+passwords and then by the number of documents that hold them outside of such values.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log2
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize, scratch
 from .common import slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -28,6 +31,11 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_ -]?key|credentials?|private[_ -]?key|login)["']?[\x20\t]*(?::=|=>|->|:|=|\bis\b)[\x20\t]*["']?([^\s"'<>,;]{6,128})""", re.IGNORECASE | re.ASCII)
 LEAST_BITS = 40.0
 STRETCH = 32  # longest stretch of one kind
+TABLE = 1 << 16  # counted words, at most
+LEAST_DOCS = 5  # documents that a counted word needs
+COUNTED = 200_000  # words that a task counts before it passes them on
+BUCKETS = 16  # of document counts, to an octave
+_PLAIN = re.compile(r"[^\W\d_]{3,32}")
 
 # words that guessing tries first, the most common first
 WORDS = ("password", "admin", "welcome", "secret", "login", "master", "qwerty", "dragon", "monkey", "letmein", "football", "baseball",
@@ -46,7 +54,7 @@ def _letter_bits(c: str) -> float:
     return log2(10) if c.isdigit() else log2(26) if c.islower() or c.isupper() else log2(33)
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, ranks: dict[str, float] = _RANK) -> float:
     """Bits of the cheapest segmentation; each segment also costs one bit, for its kind."""
     n = len(value)
     best = [0.0] + [float("inf")] * n
@@ -61,7 +69,7 @@ def guess_bits(value: str) -> float:
 
         offer(at + 1, _letter_bits(value[at]))  # brute force, one letter at a time
         for end in range(at + 3, min(n, at + STRETCH) + 1):
-            rank = _RANK.get(plain[at:end])
+            rank = ranks.get(plain[at:end])
             if rank is not None:
                 changed = low[at:end] != plain[at:end]
                 cased = value[at:end] != low[at:end]
@@ -83,10 +91,6 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
-def _mixed(value: str) -> bool:
-    return len({"d" if c.isdigit() else "a" if c.isalpha() else "s" for c in value.strip(".!?:)]}")}) > 1
-
-
 @dataclass
 class Found:
     base: list[tuple[int, int, str]]
@@ -100,7 +104,37 @@ class Found:
         return (*counts, hashlib.sha256(self.joined(self.base).encode()).hexdigest(), self.joined(self.base + self.more))
 
 
-def scan_text(text: str | None) -> Found:
+def word_ranks(documents: DataFrame) -> dict[str, float]:
+    """Bits of the words of ``WORDS`` and of up to ``TABLE`` words of the documents, those of most documents first.
+
+    Values in a credential context are not counted, so a secret does not make itself a word.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                held.update(set(_PLAIN.findall(CONTEXT.sub(" ", text or "").lower())))
+                if len(held) > COUNTED:
+                    yield flush()
+                    held.clear()
+        yield flush()
+
+    with scratch(documents.sparkSession):
+        counted = documents.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+        counted = materialize(counted.withColumn("bucket", F.floor(F.log2("n") * BUCKETS).cast("int")))
+        left, least = TABLE, None
+        for r in sorted(counted.groupBy("bucket").agg(F.count("*").alias("words")).collect(), reverse=True):  # a fixed number of buckets
+            left -= r["words"]
+            if left < 0:
+                break
+            least = r["bucket"]
+        rows = counted.where(F.col("bucket") >= least).select("n", "word").collect() if least is not None else []
+    ranked = [*WORDS, *(r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"])) if r["word"] not in _RANK)]
+    return {w: log2(i + 2) for i, w in enumerate(ranked)}
+
+
+def scan_text(text: str | None, ranks: dict[str, float] = _RANK) -> Found:
     """Spans (start, end, kind) of a whole text, in code points, the end exclusive."""
     text = text or ""
     base = [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
@@ -109,7 +143,7 @@ def scan_text(text: str | None) -> Found:
     more = []
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
-        if not any(s < end and start < e for s, e, _ in base) and _mixed(m[1]) and guess_bits(m[1]) >= LEAST_BITS:
+        if not any(s < end and start < e for s, e, _ in base) and guess_bits(m[1], ranks) >= LEAST_BITS:
             more.append((start, end, "guess"))
     return Found(base, more)
 
@@ -119,12 +153,13 @@ def scan(documents: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans.  Repeated rows are scanned each for itself; other columns are not read.
     """
+    ranks = word_ranks(documents)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [scan_text(t) for t in batch.column(1).to_pylist()]
+            found = [scan_text(t, ranks) for t in batch.column(1).to_pylist()]
             rows = list(zip(*((*f.row(), len(f.more)) for f in found))) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(rows, kinds))], names=names)
 

@@ -77,3 +77,18 @@ def test_rows(spark):
     assert [(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"]) for r in got] == [(1, 0, 0, 0), (2, 0, 0, 0), (3, 1, 0, 0), (3, 1, 0, 0), (None, 0, 1, 0)]
     assert got[2]["spans"] == "assign:100001:100022" and got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert secretscan.scan(spark.createDataFrame([], "doc_id long, text string, spans string")).count() == 0
+
+
+def test_values_of_one_class_are_priced():
+    for value in ("qXvTzLkRbNmWcYpD", "kjqzxvwtrplm", "8305926174038"):
+        assert secretscan.scan_text(f"my password is {value} ok").row()[4] == f"guess:15:{15 + len(value)}"
+    assert secretscan.scan_text("my password is 12345678901234 aaaaaaaaaaaaaaaa").more == []
+
+
+def test_words_of_the_documents_are_cheap_and_secrets_are_no_words(spark):
+    data = [(i, "a non negotiable matter; token is kjqzxvwtrplm") for i in range(8)] + [(9, "the token is non-negotiable")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    ranks = secretscan.word_ranks(docs)
+    assert "negotiable" in ranks and "kjqzxvwtrplm" not in ranks
+    got = {r["doc_id"]: r["spans"] for r in secretscan.scan(docs).collect()}
+    assert got[9] == "" and got[0] == "guess:34:46"
