@@ -28,7 +28,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # whole runs, as shorter ones fail anyway
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_ -]?key|credentials?|private[_ -]?key|login)["']?[\x20\t]*(?::=|=>|->|:|=|\bis\b)[\x20\t]*["']?([^\s"'<>,;]{6,128})""", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_ -]?key|credentials?|private[_ -]?key|login)["']?[\x20\t]*(?::=|=>|->|:|=|\bis\b)[\x20\t]*["']?([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
 LEAST_BITS = 40.0
 STRETCH = 32  # longest stretch of one kind
 TABLE = 1 << 16  # counted words, at most
@@ -54,13 +54,35 @@ def _letter_bits(c: str) -> float:
     return log2(10) if c.isdigit() else log2(26) if c.islower() or c.isupper() else log2(33)
 
 
-def guess_bits(value: str, ranks: dict[str, float] = _RANK) -> float:
-    """Bits of the cheapest segmentation; each segment also costs one bit, for its kind."""
+def _repeated(value: str, size: int) -> list[int]:
+    """How far from every place the value repeats its letters with period ``size``."""
+    n = len(value)
+    far = [n - at for at in range(n)]
+    for at in range(n - size - 1, -1, -1):
+        far[at] = far[at + 1] + 1 if value[at] == value[at + size] else size
+    return far
+
+
+def guess_bits(value: str, ranks: dict[str, float] = _RANK, enough: float = float("inf")) -> float:
+    """Bits of the cheapest segmentation; each segment also costs one bit, for its kind.
+
+    The work of a place is bounded.  A repeat may be of any length; of its ends only those near its start and near where it
+    breaks off are looked at, as a cut elsewhere leaves more repeats of the same letters on both sides, which cost more.
+    Where every way on costs ``enough`` or more already, the cost so far is returned.
+    """
     n = len(value)
     best = [0.0] + [float("inf")] * n
     low = value.lower()
     plain = low.translate(_LEET)
+    far = {size: _repeated(value, size) for size in range(1, min(8, n) + 1)}
+    check = 16
     for at in range(n):
+        if at == check:
+            # what is offered from here on ends later and costs no less than the places that are reached by now
+            check *= 2
+            least = min(best[at:])
+            if least >= enough:
+                return least
         base = best[at]
 
         def offer(end: int, bits: float) -> None:
@@ -80,11 +102,13 @@ def guess_bits(value: str, ranks: dict[str, float] = _RANK) -> float:
             if walk - at >= 3:
                 offer(walk, 1 + log2(47) + log2(walk - at) + 1)
         for size in range(1, min(8, n - at) + 1):
-            unit, end = value[at:at + size], at + size
-            while value.startswith(unit, end):
-                end += size
-                if end - at >= 3:
-                    offer(end, 1 + sum(map(_letter_bits, unit)) + log2((end - at) // size))
+            times = far[size][at] // size
+            if times * size >= 3 and times > 1:
+                bits = 1 + sum(map(_letter_bits, value[at:at + size]))
+                near = min(times, 2 * STRETCH // size)
+                for k in (*range(2, near + 1), *range(max(near + 1, times - 2 * STRETCH // size), times + 1)):
+                    if k * size >= 3:
+                        offer(at + k * size, bits + log2(k))
         dated = _DATE.match(value, at)
         if dated:
             offer(dated.end(), 1 + log2(365 * 120))
@@ -143,7 +167,7 @@ def scan_text(text: str | None, ranks: dict[str, float] = _RANK) -> Found:
     more = []
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
-        if not any(s < end and start < e for s, e, _ in base) and guess_bits(m[1], ranks) >= LEAST_BITS:
+        if not any(s < end and start < e for s, e, _ in base) and guess_bits(m[1], ranks, LEAST_BITS) >= LEAST_BITS:
             more.append((start, end, "guess"))
     return Found(base, more)
 

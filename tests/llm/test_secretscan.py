@@ -92,3 +92,21 @@ def test_words_of_the_documents_are_cheap_and_secrets_are_no_words(spark):
     assert "negotiable" in ranks and "kjqzxvwtrplm" not in ranks
     got = {r["doc_id"]: r["spans"] for r in secretscan.scan(docs).collect()}
     assert got[9] == "" and got[0] == "guess:34:46"
+
+
+def test_long_values_are_read_to_their_end():
+    rng = random.Random(9)
+    value = "".join(rng.choices("ghijkmXYZ0123456789-_", k=900))
+    assert secretscan.scan_text(f"credentials: {value} end").row()[4] == "guess:13:913"
+    late = "z" * 200 + "x9$Kq2!vZp8w"
+    assert secretscan.scan_text(f"pwd = {late}").row()[4] == f"guess:6:{6 + len(late)}"
+    assert secretscan.scan_text("pwd = " + "ab1" * 20_000).more == []
+    assert secretscan.guess_bits("ab1" * 20_000) < 40
+
+
+def test_an_early_stop_is_below_the_whole_cost():
+    rng = random.Random(10)
+    for _ in range(300):
+        value = "".join(rng.choices(["admin", "qwe", "zzzzzz", "2024", "x", "K9"], k=rng.randint(1, 30)))
+        whole, early = secretscan.guess_bits(value), secretscan.guess_bits(value, enough=40)
+        assert early == whole if whole < 40 else 40 <= early <= whole
