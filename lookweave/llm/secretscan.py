@@ -167,7 +167,7 @@ def scan_text(text: str | None, ranks: dict[str, float] = _RANK) -> Found:
     more = []
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
-        if not any(s < end and start < e for s, e, _ in base) and guess_bits(m[1], ranks, LEAST_BITS) >= LEAST_BITS:
+        if not any(s <= start and end <= e for s, e, _ in base) and guess_bits(m[1], ranks, LEAST_BITS) >= LEAST_BITS:
             more.append((start, end, "guess"))
     return Found(base, more)
 

@@ -110,3 +110,8 @@ def test_an_early_stop_is_below_the_whole_cost():
         value = "".join(rng.choices(["admin", "qwe", "zzzzzz", "2024", "x", "K9"], k=rng.randint(1, 30)))
         whole, early = secretscan.guess_bits(value), secretscan.guess_bits(value, enough=40)
         assert early == whole if whole < 40 else 40 <= early <= whole
+
+
+def test_a_value_that_outgrows_its_base_span_is_added():
+    assert secretscan.scan_text("secret = abcDEF123456$%^&*xyz").row()[4] == "assign:0:21,guess:9:29"
+    assert secretscan.scan_text("pwd: Zq$0123456789abcdef!Kw").row()[4] == "guess:5:27,hex:8:24"
