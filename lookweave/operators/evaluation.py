@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .ranking import number_rows
 
 
 def case_scores(cases: DataFrame, expected: str, present: str, extra: str, merged: str) -> DataFrame:
@@ -18,11 +19,20 @@ def case_scores(cases: DataFrame, expected: str, present: str, extra: str, merge
         "item_recall": F.when(F.size(want) == 0, 1.0).otherwise(F.round(hit / F.size(want), 3))})
 
 
-def exact_median(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Median per key from running counts of its distinct values, so equal values are one row."""
-    counted = materialize(rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c")))
-    above = F.sum("_c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = counted.withColumn("_to", above).join(counted.groupBy(key).agg(F.sum("_c").alias("_size")), key)
+def exact_median(rows: DataFrame, key: str, value: str, name: str, chunk: int = 100_000) -> DataFrame:
+    """Median per key from running counts of its distinct values, so equal values are one row.
+
+    The values are numbered by a range sort and their counts added up in chunks of positions, so one key may hold any
+    share of them; a window per key sees one row per chunk.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
+    placed = materialize(number_rows(counted, [F.col(value)], "_n", [key]).withColumn("_chunk", F.floor(F.col("_n") / chunk)))
+    sums = placed.groupBy(key, "_chunk").agg(F.sum("_c").alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(key, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(key, "_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("_to", F.sum("_c").over(inside)).join(carried, [key, "_chunk"]).withColumn("_to", F.col("_to") + F.col("_carry"))
+    placed = placed.join(sums.groupBy(key).agg(F.sum("_sum").alias("_size")), key)
     low, high = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
     holds = lambda at: (at <= F.col("_to")) & (at > F.col("_to") - F.col("_c"))
     at = lambda middle: F.max(F.when(holds(middle), F.col(value)))
