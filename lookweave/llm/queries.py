@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, linededup, neardup, packing, quality, secretscan, toxicity, vafile
+from . import chat, decontam, language, linededup, neardup, packing, quality, secretscan, toxicity, vafile, vectordup
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,24 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_embedding_dedup")
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+ORACLES["op11_embedding_dedup"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  vec_id IS NOT DISTINCT FROM least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN lowest ON lowest.a = vec_id LEFT JOIN counts ON counts.a = vec_id"""
