@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, linededup, neardup, packing, quality, secretscan, toxicity, vafile, vectordup
+from . import chat, decontam, filteraudit, language, linededup, neardup, packing, quality, secretscan, toxicity, vafile, vectordup
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +182,37 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
   vec_id IS NOT DISTINCT FROM least(vec_id, coalesce(low, vec_id)) AS kept
 FROM embeddings LEFT JOIN lowest ON lowest.a = vec_id LEFT JOIN counts ON counts.a = vec_id"""
+
+
+@query("op13_filter_audit")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = """
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS low FROM texts),
+said AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > low THEN 'E' ELSE '' END AS fails
+  FROM split LEFT JOIN said USING (doc_id)),
+counts AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM orders, range(1, 6) r(step)),
+hits AS (
+  SELECT part, filter_order, step, n, good, toxic, contains(fails, own) AS hit, fails = own AS only,
+    length(fails) > 0 AND length(replace(translate(fails, before, ''), ' ', '')) < length(fails) AS earlier
+  FROM steps, counts),
+rows AS (
+  SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (WHERE NOT hit AND NOT earlier), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (WHERE hit AND NOT earlier), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (WHERE hit AND earlier), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (WHERE only), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (WHERE hit AND NOT earlier), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (WHERE hit AND NOT earlier), 0) AS BIGINT) AS toxic_lost
+  FROM hits GROUP BY ALL)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM rows"""
