@@ -206,13 +206,13 @@ orders AS (
   WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
 steps AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM orders, range(1, 6) r(step)),
 hits AS (
-  SELECT part, filter_order, step, n, good, toxic, contains(fails, own) AS hit, fails = own AS only,
+  SELECT part, filter_order, step, n, good, toxic, contains(fails, own) AS hit, fails = own AS alone,
     length(fails) > 0 AND length(replace(translate(fails, before, ''), ' ', '')) < length(fails) AS earlier
   FROM steps, counts),
 rows AS (
   SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (WHERE NOT hit AND NOT earlier), 0) AS BIGINT) AS kept,
     CAST(coalesce(sum(n) FILTER (WHERE hit AND NOT earlier), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (WHERE hit AND earlier), 0) AS BIGINT) AS redundant,
-    CAST(coalesce(sum(n) FILTER (WHERE only), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (WHERE hit AND NOT earlier), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n) FILTER (WHERE alone), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (WHERE hit AND NOT earlier), 0) AS BIGINT) AS good_lost,
     CAST(coalesce(sum(toxic) FILTER (WHERE hit AND NOT earlier), 0) AS BIGINT) AS toxic_lost
   FROM hits GROUP BY ALL)
 SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM rows"""

@@ -11,12 +11,14 @@ from lookweave.llm import decontam, queries
 COLUMNS = {
     "op1": "doc_id piece start length ids_crc32 sequence_id offset", "op2": "doc_id held_out lang_pred score",
     "op3": "doc_id n_shingles component_id kept", "op5": "doc_id held_out score predicted",
+    "op11": "vec_id n_links component_id kept", "op13": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op12": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
     "op8": "doc_id n_assign n_access n_hex base_sha256 spans", "op10": "query_id rank vec_id score",
 }
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
