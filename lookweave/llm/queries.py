@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, filteraudit, language, linededup, neardup, packing, quality, secretscan, toxicity, vafile, vectordup
+from . import chat, decontam, filteraudit, language, linededup, neardup, packing, prefixtrie, quality, secretscan, toxicity, vafile, vectordup
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,3 +216,34 @@ rows AS (
     CAST(coalesce(sum(toxic) FILTER (WHERE hit AND NOT earlier), 0) AS BIGINT) AS toxic_lost
   FROM hits GROUP BY ALL)
 SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM rows"""
+
+
+@query("op12_prefix_trie")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, list(t ORDER BY pos) AS ts, xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(ascii(x) AS BIGINT) for x in string_split(CAST(c AS VARCHAR), '')],
+    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 9 AS h
+  FROM turns GROUP BY c),
+rebuilt AS (SELECT o.c, coalesce(b.ts[1:o.h], []) || o.ts[o.h + 1:] AS s FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 5),
+prefixes AS (SELECT c, s[1:depth] AS p, depth, depth = len(s) AS last FROM rebuilt, range(0, len(s) + 1) r(depth)),
+nodes AS (
+  SELECT p, depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '') AS ends
+  FROM prefixes GROUP BY p, depth),
+linked AS (
+  SELECT n.*, q.conv_id AS parent_conv_id, (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE strlen(n.p[n.depth].text) END AS saved
+  FROM nodes n LEFT JOIN nodes q ON q.depth = n.depth - 1 AND q.p = n.p[1:n.depth - 1]),
+children AS (SELECT p[1:depth - 1] AS p, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT l.*, coalesce(c.n, 0) AS n_children FROM linked l LEFT JOIN children c USING (p, depth)),
+totals AS (
+  SELECT f.p[1:top] AS p, top AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM full_nodes f, range(0, f.depth + 1) r(top) GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM full_nodes JOIN totals USING (p, depth)"""
