@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.vectors import cosine as cosine_of
 from ..functions.vectors import norm
-from ..operators import vectors
+from ..operators import ann, vectors
 from .bindings import table
 from .oracle import add_view
 from .registry import query
@@ -65,6 +65,46 @@ def knn_topn(spark, sf):
     return best.select("query", "id", "cosine", "rank", (visual >= 0.95).alias("same_item"), (visual >= 0.62).alias("related"))
 
 
+add_view("centre_v", f"""
+SELECT * FROM (SELECT row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS list, family, vector FROM vec_v)
+WHERE list < (SELECT least({ann.MOST}, ceil({ann.DENSITY} * sqrt(count(*)))) FROM vec_v)""")
+add_view("stored_v", f"""
+SELECT id, list FROM (SELECT id, list, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, list) AS place FROM (
+  SELECT v.id, c.list, round({_COS.format('v.vector', 'c.vector')}, 9) AS cosine FROM vec_v v JOIN centre_v c ON c.family = v.family)) WHERE place <= {ann.COPIES}""")
+add_view("read_v", f"""
+SELECT piece, list FROM (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY cosine DESC, list) AS place, count(*) OVER (PARTITION BY piece) AS n FROM (
+  SELECT p.piece, c.list, round({_COS.format('p.vector', 'c.vector')}, 9) AS cosine FROM piece_v p JOIN centre_v c ON c.family = p.family)) WHERE place <= ceil({ann.SHARE} * n)""")
+add_view("near_v", f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS INT) AS rank FROM (
+  SELECT k.piece AS query, v.id, round({_COS.format('p.vector', 'v.vector')}, 9) AS cosine
+  FROM (SELECT DISTINCT r.piece, s.id FROM read_v r JOIN stored_v s ON s.list = r.list) k JOIN piece_v p ON p.piece = k.piece JOIN vec_v v ON v.id = k.id)""")
+
+
+def _doubles(spark, sf):
+    return rows(spark, sf).withColumn("vector", F.transform("vector", lambda v: v.cast("double")))
+
+
+def _approximate(spark, sf):
+    return ann.search(ann.build(_doubles(spark, sf)), pieces(spark, sf).withColumnRenamed("piece", "query"), K)
+
+
+@query("knn_approx", f"SELECT query, id, cosine, rank FROM near_v WHERE rank <= {K}")
+def knn_approx(spark, sf):
+    """The twenty most similar items of every look piece among the lists nearest to it."""
+    return _approximate(spark, sf).select("query", "id", "cosine", "rank")
+
+
+@query("knn_recall", f"""
+SELECT e.query, count(*) AS expected, count(n.id) AS hits FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank FROM (
+    SELECT p.piece AS query, v.id, round({_COS.format('p.vector', 'v.vector')}, 9) AS cosine FROM piece_v p JOIN vec_v v ON v.family = p.family)) e
+LEFT JOIN (SELECT query, id FROM near_v WHERE rank <= {K}) n ON n.query = e.query AND n.id = e.id WHERE e.rank <= {K} GROUP BY e.query""")
+def knn_recall(spark, sf):
+    """How many of the exact twenty neighbours the index finds, per look piece."""
+    exact = vectors.top_similar(pieces(spark, sf).withColumnRenamed("piece", "query"), _doubles(spark, sf), K)
+    return ann.recall(_approximate(spark, sf), exact)
+
+
 _BEST2 = f"""SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, piece) AS rank FROM (
   SELECT v.id, v.label, p.piece, round({_COS.format('p.vector', 'v.vector')}, 9) AS cosine FROM vec_v v JOIN piece_v p ON p.family = v.family)"""
 
