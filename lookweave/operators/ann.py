@@ -23,8 +23,8 @@ from .vectors import BLOCK, _block_top
 
 MOST = 4096  # centroids at most: what travels to every task
 DENSITY = 4  # centroids for n rows: DENSITY x sqrt(n)
-COPIES = 2  # lists that store a row
-SHARE = 0.4  # of the lists of its family that a query reads
+COPIES = 3  # lists that store a row
+SHARE = 0.4  # of the lists of its family that a query reads; vectors without any structure need that many
 REST = -1  # list of rows that have no centroid of their family and length
 
 
