@@ -45,7 +45,8 @@ def subtype_agrees(actual: Column, required: Column) -> Column:
 
 
 def visual_score(cosine: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine + 1) / 2)), F.lit(S["unknown_visual"]))
+    """Half marks where vectors do not compare (least and greatest would pass over the null)."""
+    return F.when(cosine.isNull(), F.lit(S["unknown_visual"])).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine + 1) / 2)))
 
 
 def total_similarity(color: Column, material: Column, fit: Column, detail: Column, visual: Column,

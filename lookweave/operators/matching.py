@@ -9,9 +9,10 @@ items of one group tie on every score and differ only in the tie-break order.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -25,170 +26,284 @@ S = dims.SIM
 TOP = S["top"]
 
 
-_ITEM_TEXT = ["category", "name", "color"]
-_REQ_TEXT = ["r_category", "r_name", "r_color", "r_colors"]
+ANALYSIS = ["subcategory", "material", "texture", "fit", "silhouette", "sleeve_length", "length", "neckline", "pattern", "finish",
+            "construction", "primary_color", "secondary_colors"]
+NEEDS = ["colors", "materials", "fits", "details", "sleeve_length", "length", "subcategory", "neckline"]
 _NO_VECTOR = -1
+_NOTHING = "\u0001\u0001"  # stands for tokens that no requirement can meet
+_WORDS = [("material_words", "r_materials", "material_sim", dims.MATERIAL_GROUPS), ("fit_words", "r_fits", "fit_sim", dims.FIT_GROUPS),
+          ("detail_words", "r_details", "detail_sim", [])]
+_ITEM_PARTS = ["material_words", "fit_words", "detail_words", "form"]
+_NEED_PARTS = ["r_materials", "r_fits", "r_details", "r_form"]
 
 
-def item_texts(items: DataFrame) -> DataFrame:
-    """Distinct (category, name, color) of items with the texts each part of the score looks at."""
-    t = seed_attributes(items.select(*_ITEM_TEXT).distinct())
-    words = lambda *parts: F.array_join(tokens(F.concat_ws(" ", *parts)), " ")
-    return t.select(
-        *_ITEM_TEXT, F.array_join(known_colors(F.concat_ws(" ", "color", "name", "primary_color")), " ").alias("palette"),
-        words("material", "texture", "name").alias("material_words"), words("fit", "silhouette", "name").alias("fit_words"),
-        words("subcategory", "pattern", "finish", F.array_join("construction", " "), "name").alias("detail_words"),
-        F.struct(canonical_form(F.col("sleeve_length"), F.col("category")).alias("sleeve"),
-                 canonical_form(F.col("length"), F.col("category")).alias("length"),
-                 F.concat_ws(" ", "subcategory", "neckline", F.array_join("construction", " ")).alias("kind")).alias("form"))
+def _words(*parts) -> Column:
+    return F.array_join(F.array_distinct(tokens(F.concat_ws(" ", *parts))), " ")
 
 
-def requirement_texts(requirements: DataFrame) -> DataFrame:
-    """Distinct (category, name, color, colors) of requirements with the texts the score looks at."""
-    t = seed_attributes(requirements.select("category", "name", "color", "colors").distinct())
-    words = lambda part: F.array_join(tokens(F.col(part)), " ")
-    return t.select(
-        F.col("category").alias("r_category"), F.col("name").alias("r_name"), F.col("color").alias("r_color"),
-        F.col("colors").alias("r_colors"), F.array_join(known_colors(F.col("colors")), " ").alias("r_palette"),
-        words("material").alias("r_materials"), words("fit").alias("r_fits"), words("subcategory").alias("r_details"),
-        F.struct(canonical_form(F.col("sleeve_length"), F.col("category")).alias("sleeve"),
-                 canonical_form(F.col("length"), F.col("category")).alias("length"),
-                 F.concat_ws(" ", "subcategory", "neckline", "subcategory").alias("kind")).alias("r_form"))
+def _form(sleeve, length, category, *kind) -> Column:
+    return F.struct(canonical_form(F.col(sleeve), F.col(category)).alias("sleeve"), canonical_form(F.col(length), F.col(category)).alias("length"),
+                    F.concat_ws(" ", *kind).alias("kind"))
 
 
-def _numbered(rows: DataFrame, name: str) -> DataFrame:
-    """Written once, so that the ids stay the same wherever the table is joined."""
-    return materialize(rows.withColumn(name, F.monotonically_increasing_id()))
+def with_analysis(items: DataFrame, analyses: DataFrame | None = None) -> DataFrame:
+    """Items with the attributes of ``ANALYSIS``: the stored ones of ``analyses`` (id, attributes; lists as text), else read off the name.
 
+    A stored analysis counts as a whole; an attribute it lacks is unknown, not read off the name.
+    """
+    seeded = seed_attributes(items).withColumns({"construction": F.array_join("construction", " "), "secondary_colors": F.lit("")})
+    if analyses is None:
+        return seeded
+    stored = analyses.select("id", F.struct(*[F.coalesce(a, F.lit("")).alias(a) for a in ANALYSIS]).alias("_stored"))
+    joined = seeded.join(stored, "id", "left")
+    return joined.withColumns({a: F.when(F.col("_stored").isNotNull(), F.col("_stored")[a]).otherwise(F.col(a)) for a in ANALYSIS}).drop("_stored")
+
+
+def item_parts(items: DataFrame) -> DataFrame:
+    """Items (with attributes) with the texts each part of the score looks at."""
+    return items.withColumns({
+        "palette": F.array_join(known_colors(F.concat_ws(" ", "color", "name", "primary_color", "secondary_colors")), " "),
+        "material_words": _words("material", "texture", "name"), "fit_words": _words("fit", "silhouette", "name"),
+        "detail_words": _words("subcategory", "pattern", "finish", "construction", "name"),
+        "form": _form("sleeve_length", "length", "category", "subcategory", "neckline", "construction")})
+
+
+def need_parts(requirements: DataFrame) -> DataFrame:
+    """Requirements (category, fields of ``NEEDS``; lists as text) with the texts the score looks at."""
+    return requirements.withColumns({
+        "r_palette": F.array_join(known_colors(F.col("colors")), " "), "r_materials": _words("materials"), "r_fits": _words("fits"),
+        "r_details": _words("details"), "r_form": _form("sleeve_length", "length", "category", "subcategory", "neckline", "details")})
+
+
+def _pieces(text: Column, most: int) -> Column:
+    """All substrings of two to ``most`` characters."""
+    size = F.length(text)
+    starts = F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1)))
+    return F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(2), F.greatest(F.least(F.lit(max(2, most)), size - i + 1), F.lit(2))), lambda n: F.substring(text, i, n))))
 
-def text_scores(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Colour, material, fit and detail scores and the type gate of (tid, rid) pairs.
 
-    Each part looks at a few attributes, so it is scored once per distinct pair of their
-    values and joined back.
+def _meeting(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """Tokens (part, t) of ``own`` that score against some token (part, w) of ``asked``: equal, one within the other, or of one group."""
+    sizes = own.agg(F.max(F.length("t")).alias("t")).join(asked.agg(F.max(F.length("w")).alias("w"))).first()
+    whole = own.select("part", "t", F.explode(F.array_distinct(_pieces(F.col("t"), sizes["w"] or 2))).alias("w")).join(asked, ["part", "w"], "left_semi").select("part", "t")
+    inside = own.join(asked.select("part", F.explode(F.array_distinct(_pieces(F.col("w"), sizes["t"] or 2))).alias("t")), ["part", "t"], "left_semi")
+
+    def member(token: str) -> Column:
+        hits = [F.when((F.col("part") == part) & F.col(token).rlike("|".join(g)), F.lit(k)) for part, _, _, groups in _WORDS for k, g in enumerate(groups)]
+        return F.array_compact(F.array(*hits))
+
+    grouped = own.select("part", "t", F.explode(member("t")).alias("g")).join(asked.select("part", F.explode(member("w")).alias("g")), ["part", "g"], "left_semi")
+    return whole.unionByName(inside).unionByName(grouped.select("part", "t")).distinct()
+
+
+def _only_meeting(items: DataFrame, needs: DataFrame) -> DataFrame:
+    """Items whose texts keep only the tokens that some requirement can meet.
+
+    Names and other free words vanish here, so the number of different items follows what requirements ask for, not the
+    vocabulary of names.  Tokens meet over equi-joins on substrings and groups.
     """
+    listed = lambda frame, columns: frame.select(F.explode(F.array(*[F.struct(F.lit(w[0]).alias("part"), F.col(c).alias("text")) for w, c in zip(_WORDS, columns)])).alias("x")).select("x.*").distinct()
+    texts = materialize(listed(items, [w[0] for w in _WORDS]))
+    split = texts.select("part", "text", F.explode(F.split("text", " ")).alias("t")).where("t <> ''")
+    asked = materialize(listed(needs, [w[1] for w in _WORDS]).select("part", F.explode(F.split("text", " ")).alias("w")).where("w <> ''").distinct())
+    meets = _meeting(split.select("part", "t").distinct(), asked)
+    kept = split.join(meets, ["part", "t"]).groupBy("part", "text").agg(F.array_join(F.array_sort(F.collect_set("t")), " ").alias("kept"))
+    known = materialize(texts.join(kept, ["part", "text"], "left").withColumn("kept", F.when(F.col("text") == "", "").otherwise(F.coalesce("kept", F.lit(_NOTHING)))))
+    for part, *_ in _WORDS:
+        own = known.where(F.col("part") == part).select(F.col("text").alias(part), "kept")
+        items = items.join(own, part).drop(part).withColumnRenamed("kept", part)
+    return items
+
+
+@dataclass(frozen=True)
+class Sides:
+    """Items and requirements with the numbers (hashes) of the texts behind their scores."""
+
+    own: DataFrame  # item, source_rank, category, pid (palette), aid (other texts), gender, user_added, vec
+    rows: DataFrame  # look, pos, qid
+    wanted: DataFrame  # qid, wid, r_vec, r_gender
+    wishes: DataFrame  # wid, r_category, rpid, bid
+    palettes: tuple[DataFrame, DataFrame]  # (pid, palette), (rpid, r_palette)
+    texts: tuple[DataFrame, DataFrame]  # (aid, texts), (bid, texts)
+
+
+_CLASS = ["gender", "user_added", "vec"]  # what an item's score depends on besides its texts
+
+
+def sides(items: DataFrame, requirements: DataFrame) -> Sides:
+    """Items (with attributes) and requirements, reduced to what a score depends on."""
+    c = F.col
+    vec = F.coalesce("vec", F.lit(_NO_VECTOR)).cast("long")
+    raw = ["category", *NEEDS]
+    asked = materialize(requirements.select("look", "pos", *[F.coalesce(x, F.lit("")).alias(x) for x in raw], vec.alias("r_vec"), c("gender").alias("r_gender")))
+    needs = need_parts(asked.select(*raw).distinct()).withColumns({"rpid": F.xxhash64("r_palette"), "bid": F.xxhash64(*_NEED_PARTS)})
+    needs = materialize(needs.withColumn("wid", F.xxhash64("category", "rpid", "bid")))
+    rows = asked.join(needs.select(*raw, "wid"), raw).select("look", "pos", "wid", "r_vec", "r_gender")
+    rows = materialize(rows.withColumn("qid", F.xxhash64("wid", "r_vec", "r_gender")))
+    visible = items.where(~F.coalesce(c("deleted"), F.lit(False)))
+    plain = materialize(item_parts(visible).select(c("id").alias("item"), "category", "palette", *_ITEM_PARTS, "gender", "user_added", vec.alias("vec"),
+                                                   F.coalesce("source_rank", F.lit(999)).alias("source_rank")))
+    cut = materialize(_only_meeting(plain, needs).withColumns({"pid": F.xxhash64("palette"), "aid": F.xxhash64(*_ITEM_PARTS)}))
+    return Sides(cut.select("item", "source_rank", "category", "pid", "aid", *_CLASS), rows.select("look", "pos", "qid"),
+                 materialize(rows.select("qid", "wid", "r_vec", "r_gender").distinct()), materialize(needs.select("wid", c("category").alias("r_category"), "rpid", "bid").distinct()),
+                 (cut.select("pid", "palette").distinct(), needs.select("rpid", "r_palette").distinct()),
+                 (cut.select("aid", *_ITEM_PARTS).distinct(), needs.select("bid", *_NEED_PARTS).distinct()))
+
+
+def color_scores(keys: DataFrame, both: Sides) -> DataFrame:
+    """(pid, rpid, color_sim) of the distinct pairs of palettes in ``keys``."""
+    met = keys.select("pid", "rpid").distinct().join(both.palettes[0], "pid").join(both.palettes[1], "rpid")
+    return materialize(met.select("pid", "rpid", palette_similarity(palette_in(F.col("palette")), palette_in(F.col("r_palette"))).alias("color_sim")))
+
+
+def text_scores(keys: DataFrame, both: Sides) -> DataFrame:
+    """(aid, bid, material_sim, fit_sim, detail_sim, type_conflict) of the distinct pairs in ``keys``; a part is scored once per pair of its texts."""
     sets = lambda groups: lambda a, b: set_similarity(tokens(a), tokens(b), groups)
     conflict = lambda a, b: ~(forms_agree(a["sleeve"], b["sleeve"]) & forms_agree(a["length"], b["length"]) & subtype_agrees(a["kind"], b["kind"]))
-    parts = [
-        ("palette", "r_palette", "color_sim", lambda a, b: palette_similarity(palette_in(a), palette_in(b))),
-        ("material_words", "r_materials", "material_sim", sets(dims.MATERIAL_GROUPS)),
-        ("fit_words", "r_fits", "fit_sim", sets(dims.FIT_GROUPS)),
-        ("detail_words", "r_details", "detail_sim", sets(())),
-        ("form", "r_form", "type_conflict", conflict),
-    ]
-    texts = (pairs.join(left.select("tid", *[p[0] for p in parts]), "tid").join(right.select("rid", *[p[1] for p in parts]), "rid"))
-    out = texts
-    for a, b, name, value in parts:
-        known = texts.select(a, b).distinct().withColumn(name, value(F.col(a), F.col(b)))
-        out = out.join(known, [a, b])
-    return out.drop(*[p[0] for p in parts], *[p[1] for p in parts])
-
-
-def text_score_table(left: DataFrame, right: DataFrame, groups: DataFrame, wanted: DataFrame, cosines: DataFrame) -> DataFrame:
-    """Scores of every text pair that can meet: one category, or an upload with a near-identical picture.
-
-    Its size follows the vocabulary of names, so it is written once and joined twice.
-    """
-    met = left.select("tid", "category").join(right.select("rid", "r_category"), F.col("category") == F.col("r_category")).select("tid", "rid")
-    near = cosines.where((F.col("cosine") + 1) / 2 >= S["category_gate"]).select("vec", "r_vec")
-    crossed = (groups.where("user_added").select("tid", "category", "vec").join(near, "vec").join(wanted.select("rid", "r_category", "r_vec"), "r_vec")
-               .where(F.col("category") != F.col("r_category")).select("tid", "rid").distinct())
-    return materialize(text_scores(materialize(met.unionByName(crossed)), left, right))
+    texts = out = materialize(keys.select("aid", "bid").distinct().join(both.texts[0], "aid").join(both.texts[1], "bid"))
+    for a, b, name, value in [*[(a, b, name, sets(groups)) for a, b, name, groups in _WORDS], ("form", "r_form", "type_conflict", conflict)]:
+        out = out.join(texts.select(a, b).distinct().withColumn(name, value(F.col(a), F.col(b))), [a, b])
+    return materialize(out.select("aid", "bid", *[w[2] for w in _WORDS], "type_conflict"))
+
+
+def with_cosine(pairs: DataFrame, cosines: DataFrame) -> DataFrame:
+    """Add the cosine of comparable vectors.  Most pairs have no vectors; their keys are spread so they share no task."""
+    none = (F.col("vec") == _NO_VECTOR) | (F.col("r_vec") == _NO_VECTOR)
+    known = cosines.select(F.col("vec").cast("long").alias("_v"), F.col("r_vec").cast("long").alias("_r"), "cosine")
+    keyed = pairs.withColumn("_k", F.when(none, -2 - F.pmod(F.xxhash64("item"), F.lit(997))).otherwise(F.col("vec")))
+    return keyed.join(known, (F.col("_k") == F.col("_v")) & (F.col("r_vec") == F.col("_r")), "left").drop("_k", "_v", "_r")
+
+
+def _total(same: Column, direct: Column) -> Column:
+    c = F.col
+    return total_similarity(c("color_sim"), c("material_sim"), c("fit_sim"), c("detail_sim"), c("visual"), c("cosine").isNotNull(), same, direct)
 
 
 def _score(pairs: DataFrame, direct: bool) -> DataFrame:
-    """Final similarity and the keep rule for pairs of an item group and a requirement group.
+    """Final similarity and the keep rule for pairs of an item and a requirement.
 
     Pairs of one category pass freely; other pairs need an upload and a visual score of .95.
     """
     c = F.col
     comparable = c("cosine").isNotNull()
     same = c("category") == c("r_category")
-    visual = visual_score(c("cosine"))
-    total = total_similarity(c("color_sim"), c("material_sim"), c("fit_sim"), c("detail_sim"), visual, comparable, same, F.lit(direct))
     allowed = c("user_added") | (c("gender") == "all") | (c("gender") == c("r_gender"))
-    passes = allowed & (same | (c("user_added") & comparable & (visual >= S["category_gate"]))) & (
-        ~c("type_conflict") | F.lit(direct) | (comparable & (visual >= S["type_gate"])))
-    scored = pairs.withColumns({"visual": visual, "similarity": total}).where(passes)
+    passes = allowed & (same | (c("user_added") & comparable & (c("visual") >= S["category_gate"]))) & (
+        ~c("type_conflict") | F.lit(direct) | (comparable & (c("visual") >= S["type_gate"])))
+    pairs = pairs.withColumn("visual", visual_score(c("cosine")))
+    scored = pairs.withColumn("similarity", _total(same, F.lit(direct))).where(passes)
     if direct:
         return scored
-    return scored.where((c("similarity") >= S["keep"]) | (visual >= S["keep_visual"])
+    return scored.where((c("similarity") >= S["keep"]) | (c("visual") >= S["keep_visual"])
                         | (c("user_added") & (c("similarity") >= S["keep_user"])))
 
 
+def _best(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_at") <= TOP).drop("_at")
+
+
+_ITEM_ORDER = ["source_rank", "item"]
+_VALUE = ["item", "source_rank", "user_added", "similarity", "color_sim", "visual"]
+
+
 def _best_first() -> list:
-    return [F.desc("similarity"), F.desc("color_sim"), F.desc("user_added"), F.col("source_rank"), F.col("item")]
+    return [F.desc("similarity"), F.desc("color_sim"), F.desc("user_added"), *_ITEM_ORDER]
 
 
-def with_cosine(pairs: DataFrame, cosines: DataFrame) -> DataFrame:
-    """Add the cosine of comparable vectors.  Most pairs have no vectors; their keys are spread so they share no task."""
-    none = (F.col("vec") == _NO_VECTOR) | (F.col("r_vec") == _NO_VECTOR)
-    spread = -2 - F.pmod(F.xxhash64("tid", "qid"), F.lit(997))
-    known = cosines.select(F.col("vec").cast("long").alias("_v"), F.col("r_vec").alias("_r"), "cosine")
-    keyed = pairs.withColumn("_k", F.when(none, spread).otherwise(F.col("vec").cast("long")))
-    return keyed.join(known, (F.col("_k") == F.col("_v")) & (F.col("r_vec") == F.col("_r")), "left").drop("_k", "_v", "_r")
+def best_lists(both: Sides, cosines: DataFrame) -> DataFrame:
+    """(qid, r_category, rank, values) of the best eight items of every different requirement.
+
+    The score is a sum of a colour part, a text part and a picture part, so lists of eight are merged part by part and no
+    requirement meets all items: among items of one palette and class only the text part differs, so the eight best of them
+    per text of a requirement are enough; among items of one class only colour and text differ, so eight per wish are
+    enough; the picture part is one value per class.  Near-identical pictures lift scores to a floor and pass over gates,
+    so the few classes with such a picture are met as they are.
+    """
+    c = F.col
+    cells = materialize(_best(both.own, ["category", "pid", "aid", *_CLASS], _ITEM_ORDER))  # items of a cell differ in their order only
+    by_category = cells.select(c("category").alias("r_category"), "pid", "aid").distinct()
+    asked = both.wishes
+    near = materialize(cosines.withColumn("visual", visual_score(c("cosine"))).where(c("visual") >= S["type_gate"]).select(c("vec").cast("long"), c("r_vec").cast("long")))
+    pictured = both.wanted.where(c("r_vec") != _NO_VECTOR).join(near, "r_vec").join(asked, "wid").join(cells.withColumnRenamed("gender", "i_gender"), "vec")
+    pictured = pictured.where(c("user_added") | (c("category") == c("r_category"))).withColumnRenamed("i_gender", "gender")
+    # where eight items of the category are lifted already, one of another category has to reach the floor by its own parts
+    lifts = cells.groupBy(c("category").alias("r_category"), "vec").agg(F.count_if(c("user_added") | (c("gender") == "all")).alias("lifts"))
+    pictured = pictured.join(lifts, ["r_category", "vec"], "left")
+    reach = F.lit(S["base"] + S["material"] + S["fit"] + S["detail"] + S["visual"]) + c("color_sim") * S["color"] + 1e-8
+    worth = (c("category") == c("r_category")) | (F.coalesce("lifts", F.lit(0)) < TOP) | (reach >= S["visual_floor"])
+
+    met = by_category.join(asked.select("r_category", "rpid", "bid").distinct(), "r_category")
+    others = both.wanted.where(c("r_vec") != _NO_VECTOR).select("wid", "r_vec").distinct().join(near, "r_vec").join(asked, "wid").join(cells.select("vec", "pid", "aid").distinct(), "vec")
+    colors = color_scores(met.select("pid", "rpid").distinct().unionByName(others.select("pid", "rpid").distinct()), both)
+    texts = text_scores(met.select("aid", "bid").distinct().unionByName(others.select("aid", "bid").distinct()), both)
+
+    text = F.round(c("material_sim") * S["material"] + c("fit_sim") * S["fit"] + c("detail_sim") * S["detail"], 9)
+    bids = asked.select(c("r_category").alias("category"), "bid").distinct()
+    by_text = cells.join(bids, "category").join(texts.where("NOT type_conflict"), ["aid", "bid"]).withColumn("text", text)
+    by_text = materialize(_best(by_text, ["category", "bid", "pid", *_CLASS], [F.desc("text"), *_ITEM_ORDER]))
+    wish = asked.withColumnRenamed("r_category", "category")
+    by_wish = by_text.join(wish, ["category", "bid"]).join(colors, ["pid", "rpid"]).withColumn("known", F.round(c("color_sim") * S["color"] + c("text"), 9))
+    by_wish = _best(by_wish, ["wid", *_CLASS], [F.desc("known"), F.desc("color_sim"), *_ITEM_ORDER])
+    by_wish = materialize(by_wish.select("wid", c("category").alias("r_category"), "category", *_CLASS, "item", "source_rank", "color_sim", "material_sim", "fit_sim", "detail_sim", "type_conflict"))
+
+    usual = _score(with_cosine(both.wanted.join(by_wish, "wid"), cosines), direct=False).where(c("cosine").isNull() | (c("visual") < S["type_gate"]))
+    lifted = _score(with_cosine(pictured.join(colors, ["pid", "rpid"]).where(worth).join(texts, ["aid", "bid"]), cosines), direct=False)
+    both_kinds = usual.select("qid", "r_category", *_VALUE).unionByName(lifted.select("qid", "r_category", *_VALUE))
+    ranked = Window.partitionBy("qid").orderBy(*_best_first())
+    return materialize(both_kinds.withColumn("rank", F.row_number().over(ranked)).where(c("rank") <= TOP))
 
 
 def candidates(items: DataFrame, requirements: DataFrame, cosines: DataFrame, references: DataFrame) -> DataFrame:
     """Best eight items of every requirement row, ranked from 1.
 
-    ``items``: id, category, name, color, gender, user_added, vec, source_rank, deleted.
-    ``requirements``: look, pos, category, name, color, colors, vec, gender.
+    ``items``: id, category, name, color, gender, user_added, vec, source_rank, deleted and the attributes of ``with_analysis``.
+    ``requirements``: look, pos, category, vec, gender and the fields of ``NEEDS``.
     ``references``: (item, look) pairs of items cut from a look.
     ``cosines``: (vec, r_vec, cosine) of comparable vectors.
     """
     c = F.col
-    vec = F.coalesce("vec", F.lit(_NO_VECTOR))
-    visible = items.where(~F.coalesce(c("deleted"), F.lit(False))).select(
-        c("id").alias("item"), *_ITEM_TEXT, "gender", "user_added", vec.alias("vec"), F.coalesce("source_rank", F.lit(999)).alias("source_rank"))
-    asked = requirements.select("look", "pos", *[c(k.removeprefix("r_")).alias(k) for k in _REQ_TEXT], vec.alias("r_vec"), c("gender").alias("r_gender"))
-
-    asked = materialize(asked)
-    texts = asked.select(*[c(k).alias(k.removeprefix("r_")) for k in _REQ_TEXT])
-    left, right = _numbered(item_texts(visible), "tid"), _numbered(requirement_texts(texts), "rid")
-    own = visible.join(left.select("tid", *_ITEM_TEXT), _ITEM_TEXT).drop("name", "color")
-    group = ["tid", "category", "gender", "user_added", "vec"]
-    groups, cosines = materialize(own.select(*group).distinct()), materialize(cosines)
-    wanted = _numbered(asked.select(*_REQ_TEXT, "r_vec", "r_gender").distinct().join(right.select("rid", *_REQ_TEXT), _REQ_TEXT), "qid")
-    rows = materialize(asked.join(wanted.select("qid", *_REQ_TEXT, "r_vec", "r_gender"), [*_REQ_TEXT, "r_vec", "r_gender"]).select("look", "pos", "qid"))
-    wanted = wanted.select("qid", "rid", "r_category", "r_vec", "r_gender")
-    scores = text_score_table(left, right, groups, wanted, cosines)
-
-    # A score row meets many groups, so the small score table is spread over all cores first.
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    pairs = with_cosine(scores.repartition(4 * cores).join(groups, "tid").join(wanted, "rid"), cosines)
-    # A group with eight better groups ahead cannot reach the list: each holds an item.
-    by_group = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.desc("color_sim"), F.desc("user_added"))
-    short = _score(pairs, direct=False).withColumn("at", F.rank().over(by_group)).where(c("at") <= TOP)
-    in_group = Window.partitionBy(*group).orderBy("source_rank", "item")
-    leaders = own.withColumn("n", F.row_number().over(in_group)).where(c("n") <= TOP).drop("n")
-    value = ["item", "source_rank", "user_added", "similarity", "color_sim", "visual"]
-    ranked = Window.partitionBy("qid").orderBy(*_best_first())
-    listed = materialize(short.join(leaders, group).select("qid", "r_category", *value)
-                         .withColumn("rank", F.row_number().over(ranked)).where(c("rank") <= TOP))
-
-    # Only looks with items cut from them deviate from the list of their requirement group.
-    direct = direct_candidates(rows, own, references, scores, wanted, cosines)
-    special = materialize(direct)
+    both, cosines = sides(items, requirements), materialize(cosines)
+    listed = best_lists(both, cosines)
+    # Only looks with items cut from them deviate from the list of their requirement.
+    special = materialize(direct_candidates(both, references, cosines))
     touched = special.select("look", "qid").distinct()
-    plain = touched.join(listed, "qid").select("look", "qid", "r_category", *value, F.lit(False).alias("direct"))
+    plain = touched.join(listed, "qid").select("look", "qid", "r_category", *_VALUE, F.lit(False).alias("direct"))
     # A direct reference never scores below the plain pair, so it replaces it.
     merged = plain.unionByName(special.withColumn("direct", F.lit(True))).groupBy("look", "qid", "r_category", "item").agg(
-        F.max_by(F.struct(*value[1:], "direct"), c("direct")).alias("v")).select("look", "qid", "r_category", "item", "v.*")
+        F.max_by(F.struct(*_VALUE[1:], "direct"), c("direct")).alias("v")).select("look", "qid", "r_category", "item", "v.*")
     in_look = Window.partitionBy("look", "qid").orderBy(*_best_first())
     mixed = merged.withColumn("rank", F.row_number().over(in_look)).where(c("rank") <= TOP)
-    usual = rows.join(touched, ["look", "qid"], "left_anti").join(listed, "qid").withColumn("direct", F.lit(False))
-    result = usual.unionByName(rows.join(mixed, ["look", "qid"]).select(*usual.columns))
+    usual = both.rows.join(touched, ["look", "qid"], "left_anti").join(listed, "qid").withColumn("direct", F.lit(False))
+    result = usual.unionByName(both.rows.join(mixed, ["look", "qid"]).select(*usual.columns))
     return result.select("look", "pos", c("r_category").alias("category"), "item", "similarity", F.round("color_sim", 9).alias("color_sim"),
                          F.round("visual", 9).alias("visual"), "direct", "user_added", "rank")
 
 
-def direct_candidates(rows: DataFrame, own: DataFrame, references: DataFrame, scores: DataFrame, wanted: DataFrame, cosines: DataFrame) -> DataFrame:
-    """Pairs of a look's requirement groups with the items cut from that look."""
-    linked = references.join(own, "item")
-    pairs = (rows.select("look", "qid").distinct().join(linked, "look").join(wanted, "qid")
-             .join(scores, ["tid", "rid"]))
-    return _score(with_cosine(pairs, cosines), direct=True).select("look", "qid", "r_category", "item", "source_rank", "user_added", "similarity", "color_sim", "visual")
+def _scored(pairs: DataFrame, both: Sides, cosines: DataFrame) -> DataFrame:
+    """Given pairs of items and requirements with their part scores and cosines."""
+    return with_cosine(pairs.join(color_scores(pairs, both), ["pid", "rpid"]).join(text_scores(pairs, both), ["aid", "bid"]), cosines)
+
+
+def direct_candidates(both: Sides, references: DataFrame, cosines: DataFrame) -> DataFrame:
+    """Pairs of a look's requirements with the items cut from that look."""
+    linked = references.join(both.own, "item")
+    pairs = materialize(both.rows.select("look", "qid").distinct().join(linked, "look").join(both.wanted, "qid").join(both.wishes, "wid"))
+    return _score(_scored(pairs, both, cosines), direct=True).select("look", "qid", "r_category", *_VALUE)
+
+
+def pair_similarity(pairs: DataFrame, items: DataFrame, requirements: DataFrame, cosines: DataFrame, references: DataFrame) -> DataFrame:
+    """The parts of the score of given (look, pos, item) pairs; an incompatible pair has a total of 0."""
+    c = F.col
+    both, cosines = sides(items, requirements), materialize(cosines)
+    cut_from = references.select("look", "item").distinct().withColumn("direct", F.lit(True))
+    rows = pairs.join(both.rows, ["look", "pos"]).join(both.own, "item").join(both.wanted, "qid").join(both.wishes, "wid").join(cut_from, ["look", "item"], "left")
+    out = _scored(materialize(rows.withColumn("direct", F.coalesce("direct", F.lit(False)))), both, cosines).withColumn("visual", visual_score(c("cosine")))
+    comparable, same = c("cosine").isNotNull(), c("category") == c("r_category")
+    fits = (same | (comparable & (c("visual") >= S["category_gate"]))) & (~c("type_conflict") | c("direct") | (comparable & (c("visual") >= S["type_gate"])))
+    part = lambda name: F.when(fits, F.round(name, 9)).otherwise(0.0).alias(name)
+    return out.select("look", "pos", "item", *[part(n) for n in ("color_sim", "material_sim", "fit_sim", "detail_sim")], F.round("visual", 9).alias("visual"),
+                      fits.alias("compatible"), "direct", F.when(fits, _total(same, c("direct"))).otherwise(0.0).alias("similarity"))
 
 
 # ---- one-to-one assignment ---------------------------------------------------------------
@@ -302,18 +417,10 @@ def assign(ranked: DataFrame) -> DataFrame:
 
 
 def signature(requirements: DataFrame) -> DataFrame:
-    """Requirement rows with the signature that makes two of them the same garment.
-
-    Signatures are built once per distinct requirement text.
-    """
-    text = ["category", "name", "color", "colors"]
-    t = seed_attributes(requirements.select(*text).distinct())
-    ordered = F.array_join(F.array_sort(F.split(F.lower(F.trim("colors")), " ")), ",")
-    lowered = lambda name: F.lower(F.trim(F.col(name)))
-    made = t.select(*text, F.concat_ws(
-        "|", lowered("category"), ordered, lowered("subcategory"), lowered("subcategory"),
-        lowered("sleeve_length"), lowered("length")).alias("signature"))
-    return requirements.join(made, text).select("look", "pos", "category", "signature")
+    """Requirement rows with the signature that makes two of them the same garment."""
+    listed = lambda name: F.array_join(F.array_sort(F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")), ",")
+    made = F.concat_ws("|", F.lower(F.trim("category")), *[listed(n) for n in ("colors", "details", "subcategory", "sleeve_length", "length")])
+    return requirements.select("look", "pos", "category", made.alias("signature"))
 
 
 def collapse(assigned: DataFrame, signed: DataFrame) -> DataFrame:

@@ -36,6 +36,33 @@ def _values(rows: list[tuple]) -> str:
 _COLOR_ROWS = _values(list(COLORS.items()))
 _NOUN_ROWS = _values([(c, k, i, n) for c, nouns in NOUNS.items() for i, (k, n) in enumerate(zip(KINDS, nouns))])
 
+# Stored analyses: subcategory, material, texture, fit, silhouette, sleeve length, length, neckline, pattern, finish, construction,
+# primary colour, secondary colours.  Of 17 items in a row the last five have none and are read off their names.
+ANALYSES = [
+    ("셔츠", "코튼", "평직", "레귤러", "스트레이트", "긴팔", "기본", "카라", "스트라이프", "무광", "단추 포켓", "", "화이트"),
+    ("티셔츠", "면", "저지", "오버핏", "여유", "반팔", "기본", "라운드넥", "무지", "무광", "봉제", "블랙", ""),
+    ("니트", "울", "골지", "세미오버", "여유", "긴팔", "기본", "브이넥", "무지", "보송한 질감", "밑단 시보리", "", "베이지,그레이"),
+    ("데님 팬츠", "데님", "능직", "와이드", "커브드", "확인 어려움", "긴바지", "확인 어려움", "무지", "워싱", "포켓 리벳", "네이비", ""),
+    ("윈드브레이커", "나일론", "립스탑", "크롭", "여유", "긴팔", "크롭", "하이넥", "무지", "유광", "지퍼 후드", "", ""),
+    ("레더 재킷", "레더", "가죽결", "슬림", "스트레이트", "긴팔", "기본", "카라", "무지", "유광", "지퍼", "블랙", "브라운"),
+    ("슬랙스", "폴리에스터", "평직", "스트레이트", "스트레이트", "확인 어려움", "긴바지", "확인 어려움", "무지", "무광", "핀턱", "", ""),
+    ("폴로 셔츠", "코튼", "피케", "레귤러", "기본", "반팔", "기본", "카라", "무지", "무광", "단추", "", "네이비"),
+    ("슬리브리스", "합성 섬유", "메쉬", "기본", "스트레이트", "민소매", "기본", "라운드넥", "무지", "무광", "봉제", "화이트", ""),
+    ("쇼츠", "린넨", "평직", "와이드", "여유", "확인 어려움", "반바지", "확인 어려움", "체크", "무광", "밴딩", "", "카키"),
+    ("토트백", "가죽", "가죽결", "", "", "", "", "", "무지", "유광", "스트랩 지퍼", "브라운", ""),
+    ("스웨트셔츠", "면 혼방", "기모", "세미와이드", "여유", "긴팔", "기본", "라운드넥", "레터링", "무광", "시보리", "그레이", ""),
+]
+# What a look piece asks for: materials, fits, details, sleeve length, length, subcategory, neckline.
+WISHES = [
+    ("코튼", "레귤러", "셔츠,카라", "긴팔", "기본", "셔츠", "카라"), ("면,린넨", "오버핏", "티셔츠", "반팔", "기본", "티셔츠", "라운드넥"),
+    ("모직", "세미오버", "니트,골지", "긴팔", "기본", "니트", "브이넥"), ("", "", "", "확인 어려움", "확인 어려움", "확인 어려움", "확인 어려움"),
+    ("진", "와이드", "데님 팬츠,워싱", "확인 어려움", "긴바지", "데님 팬츠", "확인 어려움"), ("나일론", "크롭", "지퍼,후드", "긴팔", "크롭", "윈드브레이커", "하이넥"),
+    ("레더", "슬림", "재킷,지퍼", "확인 어려움", "기본", "재킷", "카라"), ("폴리에스터", "스트레이트", "핀턱,슬랙스", "확인 어려움", "확인 어려움", "슬랙스", "확인 어려움"),
+    ("코튼", "여유", "폴로,단추", "반팔", "기본", "폴로 셔츠", "카라"), ("합성", "기본", "메쉬", "확인 어려움", "기본", "러닝", "확인 어려움"),
+    ("", "와이드", "밴딩,포켓", "확인 어려움", "확인 어려움", "팬츠", "확인 어려움"), ("가죽", "", "스트랩", "확인 어려움", "롱", "가방", "확인 어려움"),
+    ("울,코튼", "슬림,크롭", "", "확인 어려움", "확인 어려움", "확인 어려움", "확인 어려움"),
+]
+
 SHARED: dict[str, str] = {
     # Wardrobe items from the whole part table.
     "item_v": f"""
@@ -59,6 +86,16 @@ SELECT l.l_orderkey AS look, CAST(row_number() OVER (PARTITION BY l.l_orderkey O
   CASE WHEN l.l_returnflag = 'A' THEN i.kind_vec END AS vec,
   CASE WHEN l.l_orderkey % 2 = 0 THEN 'women' ELSE 'men' END AS gender, 1 - l.l_tax * 6 AS confidence
 FROM lineitem l JOIN item_v i ON i.id = l.l_partkey""",
+    # Analyses stored for most items; the attributes differ from what the names say.
+    "ana_v": f"""
+SELECT i.id, a.* FROM item_v i JOIN {_values([(k, *a) for k, a in enumerate(ANALYSES)])} AS a(profile, subcategory, material, texture, fit, silhouette,
+  sleeve_length, length, neckline, pattern, finish, construction, primary_color, secondary_colors) ON a.profile = i.id % 17""",
+    # Requirements with what they ask for.
+    "need_v": f"""
+SELECT q.look, q.pos, q.part, q.category, q.vec, q.gender, replace(q.colors, ' 베이지', ',베이지') AS colors, w.materials, w.fits, w.details,
+  w.sleeve_length, w.length, w.subcategory, w.neckline
+FROM req_v q JOIN {_values([(k, *w) for k, w in enumerate(WISHES)])} AS w(wish, materials, fits, details, sleeve_length, length, subcategory, neckline)
+  ON w.wish = (q.part + 5 * q.pos) % 13""",
     # Looks (one per order) with their body ranges.
     "look_v": """
 SELECT o_orderkey AS id, o_custkey AS person, CASE WHEN o_orderkey % 2 = 0 THEN 'women' ELSE 'men' END AS gender,

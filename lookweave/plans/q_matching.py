@@ -27,21 +27,22 @@ SELECT a.label AS vec, b.label AS r_vec, round(list_dot_product(a.vector, b.vect
   greatest(1e-12, sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 9) AS cosine
 FROM proto_v a, proto_v b""")
 _form = lambda v: sql_rules(f"concat({v}, ' ', category)", dims.FORM_RULES, "'unknown'")
-add_view("itx_v", f"""
-SELECT row_number() OVER () AS tid, category, name, color,
-  {sql_palette("concat_ws(' ', color, name, color)")} AS palette,
+_own = lambda a, seed=None: f"CASE WHEN n.id IS NOT NULL THEN n.{a} ELSE {seed or 's.' + a} END"
+_ITEM_PARTS = f"""SELECT *, {sql_palette("concat_ws(' ', color, name, primary_color, secondary_colors)")} AS palette,
   {sql_tokens("concat_ws(' ', material, texture, name)")} AS m_tok, {sql_tokens("concat_ws(' ', fit, silhouette, name)")} AS f_tok,
-  {sql_tokens("concat_ws(' ', subcategory, pattern, finish, array_to_string(construction, ' '), name)")} AS d_tok,
-  {_form('sleeve_length')} AS sleeve_form, {_form('length')} AS length_form,
-  concat_ws(' ', subcategory, neckline, array_to_string(construction, ' ')) AS kind_text
-FROM attr_v""")
+  {sql_tokens("concat_ws(' ', subcategory, pattern, finish, construction, name)")} AS d_tok,
+  {_form('sleeve_length')} AS sleeve_form, {_form('length')} AS length_form, concat_ws(' ', subcategory, neckline, construction) AS kind_text"""
+add_view("own_v", f"""
+{_ITEM_PARTS} FROM (SELECT i.*, {', '.join(f"{_own(a)} AS {a}" for a in matching.ANALYSIS if a not in ('construction', 'primary_color', 'secondary_colors'))},
+  {_own('construction', "array_to_string(s.construction, ' ')")} AS construction, {_own('primary_color', 'i.color')} AS primary_color, {_own('secondary_colors', "''")} AS secondary_colors
+  FROM item_v i JOIN attr_v s ON s.category = i.category AND s.name = i.name AND s.color = i.color LEFT JOIN ana_v n ON n.id = i.id)""")
+add_view("itx_v", """
+SELECT row_number() OVER () AS tid, * FROM (SELECT DISTINCT category, palette, list_sort(list_distinct(m_tok)) AS m_tok, list_sort(list_distinct(f_tok)) AS f_tok,
+  list_sort(list_distinct(d_tok)) AS d_tok, sleeve_form, length_form, kind_text FROM own_v)""")
 add_view("rtx_v", f"""
-SELECT row_number() OVER () AS rid, q.category, q.name, q.color, q.colors, {sql_palette('q.colors')} AS palette,
-  {sql_tokens('a.material')} AS m_tok, {sql_tokens('a.fit')} AS f_tok, {sql_tokens('a.subcategory')} AS d_tok,
-  a.sleeve_form, a.length_form, concat_ws(' ', a.subcategory, a.neckline, a.subcategory) AS kind_text
-FROM (SELECT DISTINCT category, name, color, colors FROM req_v) q
-JOIN (SELECT *, {_form('sleeve_length')} AS sleeve_form, {_form('length')} AS length_form FROM attr_v) a
-  ON a.category = q.category AND a.name = q.name AND a.color = q.color""")
+SELECT row_number() OVER () AS rid, *, {sql_palette('colors')} AS palette, {sql_tokens('materials')} AS m_tok, {sql_tokens('fits')} AS f_tok, {sql_tokens('details')} AS d_tok,
+  {_form('sleeve_length')} AS sleeve_form, {_form('length')} AS length_form, concat_ws(' ', subcategory, neckline, details) AS kind_text
+FROM (SELECT DISTINCT category, colors, materials, fits, details, sleeve_length, length, subcategory, neckline FROM need_v)""")
 _agree = "(i.{0} = 'unknown' OR r.{0} = 'unknown' OR i.{0} = r.{0})"
 _lacks = "(regexp_matches(lower(r.kind_text), {0}) AND NOT regexp_matches(lower(i.kind_text), {0}))"
 _TEXT_SCORE = f"""i.tid, r.rid, {sql_color_similarity('i.palette', 'r.palette')} AS color_sim,
@@ -50,23 +51,24 @@ _TEXT_SCORE = f"""i.tid, r.rid, {sql_color_similarity('i.palette', 'r.palette')}
   NOT ({_agree.format('sleeve_form')} AND {_agree.format('length_form')}) OR {_lacks.format(quote(dims.POLO_PATTERN))}
     OR {_lacks.format(quote(dims.TEE_PATTERN))} AS conflict"""
 add_view("score_v", f"SELECT {_TEXT_SCORE}, i.category = r.category AS same FROM itx_v i JOIN rtx_v r ON i.category = r.category")
-add_view("rg_v", """
-SELECT q.look, q.pos, q.vec, q.gender, q.category, r.rid FROM req_v q
-JOIN rtx_v r ON r.category = q.category AND r.name = q.name AND r.color = q.color AND r.colors = q.colors""")
+_SAME_NEED = " AND ".join(f"r.{x} = q.{x}" for x in ["category", *matching.NEEDS])
+add_view("rg_v", f"""
+SELECT q.look, q.pos, q.vec, q.gender, q.category, r.rid FROM need_v q JOIN rtx_v r ON {_SAME_NEED}""")
 add_view("ig_v", """
-SELECT i.id, i.vec, i.gender, i.user_added, coalesce(i.source_rank, 999) AS source_rank, t.tid FROM item_v i
-JOIN itx_v t ON t.category = i.category AND t.name = i.name AND t.color = i.color WHERE NOT i.deleted""")
+SELECT i.id, i.vec, i.gender, i.user_added, coalesce(i.source_rank, 999) AS source_rank, t.tid, i.deleted FROM own_v i
+JOIN itx_v t ON t.category = i.category AND t.palette = i.palette AND t.m_tok = list_sort(list_distinct(i.m_tok)) AND t.f_tok = list_sort(list_distinct(i.f_tok))
+  AND t.d_tok = list_sort(list_distinct(i.d_tok)) AND t.sleeve_form = i.sleeve_form AND t.length_form = i.length_form AND t.kind_text = i.kind_text""")
 add_view("xscore_v", f"""
-SELECT {_TEXT_SCORE}, false AS same FROM (SELECT DISTINCT u.tid, g.rid FROM ig_v u JOIN cos_v c ON c.vec = u.vec AND (c.cosine + 1) / 2 >= 0.95
+SELECT {_TEXT_SCORE}, false AS same FROM (SELECT DISTINCT u.tid, g.rid FROM ig_v u JOIN cos_v c ON NOT u.deleted AND c.vec = u.vec AND (c.cosine + 1) / 2 >= 0.95
   JOIN (SELECT DISTINCT vec, rid FROM rg_v) g ON g.vec = c.r_vec WHERE u.user_added) k
 JOIN itx_v i ON i.tid = k.tid JOIN rtx_v r ON r.rid = k.rid WHERE i.category <> r.category""")
 add_view("pair_v", """
 SELECT *, 0.03 + color_sim * 0.49 + material_sim * 0.11 + fit_sim * 0.10 + detail_sim * 0.07 + visual * 0.20 AS raw FROM (
 SELECT g.rid, g.vec AS r_vec, g.gender AS r_gender, i.id AS item, i.user_added, i.source_rank, s.same, s.conflict, s.color_sim, s.material_sim,
-  s.fit_sim, s.detail_sim, c.cosine, coalesce(greatest(0.0, least(1.0, (c.cosine + 1) / 2)), 0.5) AS visual
+  s.fit_sim, s.detail_sim, c.cosine, CASE WHEN c.cosine IS NULL THEN 0.5::DOUBLE ELSE greatest(0.0, least(1.0, (c.cosine + 1) / 2)) END AS visual
 FROM (SELECT DISTINCT rid, vec, gender FROM rg_v) g
 JOIN (SELECT * FROM score_v UNION ALL SELECT * FROM xscore_v) s ON s.rid = g.rid
-JOIN ig_v i ON i.tid = s.tid AND (i.user_added OR i.gender = 'all' OR i.gender = g.gender)
+JOIN ig_v i ON i.tid = s.tid AND NOT i.deleted AND (i.user_added OR i.gender = 'all' OR i.gender = g.gender)
 LEFT JOIN cos_v c ON c.vec = i.vec AND c.r_vec = g.vec
 WHERE s.same OR (i.user_added AND (c.cosine + 1) / 2 >= 0.95))""")
 add_view("cand_v", """
@@ -86,8 +88,12 @@ def cosines(spark, sf):
     return prototype_cosines(prototypes(table(spark, sf, "embeddings"), "label"), "label")
 
 
+def _items(spark, sf):
+    return matching.with_analysis(view(spark, sf, "item_v"), view(spark, sf, "ana_v"))
+
+
 def _ranked(spark, sf):
-    return matching.candidates(view(spark, sf, "item_v"), view(spark, sf, "req_v"), cosines(spark, sf), view(spark, sf, "ref_v"))
+    return matching.candidates(_items(spark, sf), view(spark, sf, "need_v"), cosines(spark, sf), view(spark, sf, "ref_v"))
 
 
 @query("candidate_topk", "SELECT look, pos, category, item, similarity, round(color_sim, 9) AS color_sim, round(visual, 9) AS visual, "
@@ -133,10 +139,9 @@ SELECT c.* FROM cand_v c JOIN (
 
 
 _staged_assignment()
-add_view("sig_v", """
-SELECT q.look, q.pos, q.category, concat_ws('|', q.category, array_to_string(list_sort(string_split(q.colors, ' ')), ','),
-  a.subcategory, a.subcategory, a.sleeve_length, a.length) AS signature
-FROM req_v q JOIN attr_v a ON a.category = q.category AND a.name = q.name AND a.color = q.color""")
+_list = lambda x: f"array_to_string(list_sort(list_filter(list_transform(string_split({x}, ','), lambda v: lower(trim(v))), lambda v: v <> '')), ',')"
+add_view("sig_v", f"""
+SELECT look, pos, category, concat_ws('|', category, {', '.join(_list(x) for x in ('colors', 'details', 'subcategory', 'sleeve_length', 'length'))}) AS signature FROM need_v""")
 add_view("kept_v", """
 SELECT look, signature, pos, item, category, similarity, color_sim, visual FROM (
 SELECT a.*, s.signature, row_number() OVER (PARTITION BY a.look, s.signature ORDER BY a.similarity DESC, a.pos) AS best
@@ -164,7 +169,7 @@ def assigned(spark, sf):
 
 
 def kept(spark, sf):
-    return matching.collapse(assigned(spark, sf), matching.signature(view(spark, sf, "req_v")))
+    return matching.collapse(assigned(spark, sf), matching.signature(view(spark, sf, "need_v")))
 
 
 @query("outfit_assignment", "SELECT look, pos, category, item, similarity, rank FROM assign_v")
@@ -180,7 +185,7 @@ def collapse_duplicates(spark, sf):
 @query("match_summary", """SELECT look, fulfilled, total, round(similarity, 6) AS similarity, round(color_similarity, 6) AS color_similarity, weather_hits,
   CAST(floor(least(98.0, round(similarity * 88 + weather_hits * 3, 6)) + 0.5) AS BIGINT) AS score FROM summary_v""")
 def match_summary(spark, sf):
-    signed = matching.signature(view(spark, sf, "req_v"))
+    signed = matching.signature(view(spark, sf, "need_v"))
     return matching.match_summary(kept(spark, sf), signed, view(spark, sf, "look_v"))
 
 
@@ -210,7 +215,7 @@ def rank_looks(spark, sf):
     """Every person's usable looks by body plus match score."""
     from ..operators.ranking import number_rows
 
-    signed = matching.signature(view(spark, sf, "req_v"))
+    signed = matching.signature(view(spark, sf, "need_v"))
     stayed = matching.materialize(kept(spark, sf))  # read twice
     summary = matching.match_summary(stayed, signed, view(spark, sf, "look_v"))
     good = matching.usable_looks(stayed).where("usable").select("look")
@@ -232,7 +237,7 @@ def assemble_options(spark, sf):
     """Uploads, then ready looks, then pending looks, at most 18 slots per person."""
     from ..operators.ranking import top_k
 
-    signed = matching.signature(view(spark, sf, "req_v"))
+    signed = matching.signature(view(spark, sf, "need_v"))
     stayed = matching.materialize(kept(spark, sf))  # read twice
     summary = matching.match_summary(stayed, signed, view(spark, sf, "look_v")).select("look", "score")
     good = matching.usable_looks(stayed).where("usable").select("look", F.lit(True).alias("usable"))
@@ -268,23 +273,24 @@ def match_candidates(spark, sf):
         (uploads - F.coalesce("uploads", F.lit(0))).alias("other_uploads"))
 
 
-@query("garment_similarity", """
-SELECT i.category, i.name, i.color, r.name AS r_name, r.colors AS r_colors, round(s.color_sim, 9) AS color_sim, s.material_sim, s.fit_sim, s.detail_sim,
-  s.conflict AS type_conflict, round(CASE WHEN s.conflict THEN 0 ELSE least(1.0, 0.03 + s.color_sim * 0.49 + s.material_sim * 0.11
-  + s.fit_sim * 0.10 + s.detail_sim * 0.07 + 0.5 * 0.20) END, 9) AS similarity
-FROM score_v s JOIN itx_v i ON i.tid = s.tid JOIN rtx_v r ON r.rid = s.rid""")
-def garment_similarity(spark, sf):
-    """Score of every distinct item text against every distinct requirement text of its category."""
-    from ..functions.similarity import total_similarity
+_VISUAL = "(CASE WHEN c.cosine IS NULL THEN 0.5::DOUBLE ELSE greatest(0.0, least(1.0, (c.cosine + 1) / 2)) END)"
+_FITS = f"""((i.category = r.category OR (c.cosine IS NOT NULL AND {_VISUAL} >= 0.95)) AND (NOT s.conflict OR f.look IS NOT NULL OR (c.cosine IS NOT NULL AND {_VISUAL} >= 0.92)))"""
 
-    left = matching._numbered(matching.item_texts(view(spark, sf, "item_v")), "tid")
-    right = matching._numbered(matching.requirement_texts(view(spark, sf, "req_v")), "rid")
-    met = left.select("tid", "category", "name", "color").join(right.select("rid", "r_category", "r_name", "r_colors"), F.col("category") == F.col("r_category"))
-    s = met.join(matching.text_scores(met.select("tid", "rid"), left, right), ["tid", "rid"])
-    c, no = F.col, F.lit(False)
-    total = total_similarity(c("color_sim"), c("material_sim"), c("fit_sim"), c("detail_sim"), F.lit(S["unknown_visual"]), no, F.lit(True), no)
-    return s.select("category", "name", "color", "r_name", "r_colors", F.round("color_sim", 9).alias("color_sim"), "material_sim", "fit_sim",
-                    "detail_sim", "type_conflict", F.when(c("type_conflict"), F.lit(0.0)).otherwise(total).alias("similarity"))
+
+@query("garment_similarity", f"""
+SELECT look, pos, item, CASE WHEN fits THEN round(color_sim, 9) ELSE 0 END AS color_sim, CASE WHEN fits THEN material_sim ELSE 0 END AS material_sim,
+  CASE WHEN fits THEN fit_sim ELSE 0 END AS fit_sim, CASE WHEN fits THEN detail_sim ELSE 0 END AS detail_sim, round(visual, 9) AS visual, fits AS compatible, direct,
+  CASE WHEN fits THEN round(least(1.0, CASE WHEN direct AND same THEN greatest(raw, 0.985) WHEN cosine IS NOT NULL AND visual >= 0.92 AND same
+    THEN greatest(raw, 0.92) ELSE raw END), 9) ELSE 0 END AS similarity
+FROM (SELECT *, 0.03 + color_sim * 0.49 + material_sim * 0.11 + fit_sim * 0.10 + detail_sim * 0.07 + visual * 0.20 AS raw FROM (
+  SELECT q.look, q.pos, i.id AS item, s.color_sim, s.material_sim, s.fit_sim, s.detail_sim, {_VISUAL} AS visual, {_FITS} AS fits, f.look IS NOT NULL AS direct, c.cosine, i.category = r.category AS same
+  FROM need_v q JOIN rtx_v r ON {_SAME_NEED} JOIN own_v i ON i.id = q.part JOIN ig_v g ON g.id = i.id AND NOT g.deleted JOIN score_v s ON s.tid = g.tid AND s.rid = r.rid
+  LEFT JOIN cos_v c ON c.vec = i.vec AND c.r_vec = q.vec LEFT JOIN ref_v f ON f.look = q.look AND f.item = i.id))""")
+def garment_similarity(spark, sf):
+    """The parts of the score of every look piece and the wardrobe item it was ordered as."""
+    needs = view(spark, sf, "need_v")
+    pairs = needs.select("look", "pos", F.col("part").alias("item"))
+    return matching.pair_similarity(pairs, _items(spark, sf), needs, cosines(spark, sf), view(spark, sf, "ref_v"))
 
 
 @query("color_similarity", f"""
@@ -297,10 +303,10 @@ def color_similarity_q(spark, sf):
 
 
 @query("set_similarity", f"""
-SELECT category, name, color, {sql_set_similarity('d_tok', sql_tokens("'데님 와이드 재킷'"))} AS denim_score FROM itx_v""")
+SELECT id, {sql_set_similarity('d_tok', sql_tokens("'데님 와이드 재킷'"))} AS denim_score FROM own_v""")
 def set_similarity_q(spark, sf):
-    texts = matching.item_texts(view(spark, sf, "item_v"))
-    return texts.select("category", "name", "color", set_similarity(tokens(F.col("detail_words")), tokens(F.lit("데님 와이드 재킷"))).alias("denim_score"))
+    parts = matching.item_parts(_items(spark, sf))
+    return parts.select("id", set_similarity(tokens(F.col("detail_words")), tokens(F.lit("데님 와이드 재킷"))).alias("denim_score"))
 
 
 @query("canonical_form", f"SELECT category, name, color, {_form('sleeve_length')} AS sleeve_form, {_form('length')} AS length_form FROM attr_v")
