@@ -11,7 +11,7 @@ from ..session import shared_folder
 from ..sources import documents as docs
 from ..sources import tables
 from .bindings import table, view
-from .oracle import add_view, quote, sql_rules
+from .oracle import add_view, quote, sql_match, sql_rules
 from .registry import query
 
 PAGE = 50  # products per payload page
@@ -44,41 +44,58 @@ def scan_nested_items(spark, sf):
 
 
 def _payloads(spark, sf):
-    """Ranking payload pages built from the whole part table: products, banners, nested analytics."""
+    """Ranking payload pages built from the whole part table: products, banners, nested analytics.
+
+    Keys are not in alphabetical order, and a product has a second set of figures behind the first one.
+    """
     c = F.col
     items = view(spark, sf, "item_v")
-    figures = F.struct(c("id").cast("string").alias("product_id"), F.when(c("size") % 3 != 0, c("size") * 10).alias("reviewCount"),
-                       F.when(c("size") % 3 == 0, c("price") + 100).alias("original_price"), c("price").alias("price"))
+    name = c("id").cast("string")
+    figures = F.struct(F.when(c("size") % 5 == 0, "").otherwise(name).alias("product_id"), name.alias("item_id"), F.when(c("size") % 3 != 0, c("size") * 10).alias("reviewCount"),
+                       F.when(c("size") % 3 == 0, c("price") + 100).alias("original_price"), c("price").alias("price"), (c("size") % 4).alias("discount_rate"),
+                       F.when(c("size") % 2 == 0, (c("size") % 50) / 10).alias("reviewScore"))
+    later = F.struct(name.alias("product_id"), F.lit(-1).alias("reviewCount"), F.lit(-1.0).alias("original_price"))
+    other = F.struct(F.concat(name, F.lit("0")).alias("product_id"), F.lit(-2).alias("reviewCount"))
     info = F.struct(F.concat(F.lit(" "), c("name"), F.lit(" ")).alias("productName"), c("brand").alias("brandName"),
-                    F.when(c("size") % 7 == 0, 0.0).otherwise(c("price")).alias("finalPrice"))
+                    F.when(c("size") % 7 == 0, 0.0).otherwise(c("price")).alias("finalPrice"), F.when(c("size") % 6 == 0, 15).alias("discountRatio"))
     node = F.struct(
-        F.when(c("size") % 10 == 9, "BANNER").otherwise("PRODUCT_COLUMN").alias("type"), c("id").cast("string").alias("id"),
-        F.struct(F.when(c("size") % 11 != 0, F.concat(F.lit("https://img.example.com/"), c("id").cast("string"))).alias("url"),
-                 c("source_rank").alias("rank")).alias("image"),
-        info.alias("info"), F.struct(F.array(F.struct(figures.alias("payload"))).alias("events")).alias("onView"),
-        F.struct(F.when(c("size") % 2 == 0, F.concat(F.lit("https://shop.example.com/p/"), c("id").cast("string"))).alias("url")).alias("onClick"))
-    pages = items.groupBy(F.floor(c("id") / PAGE).alias("page")).agg(F.collect_list(node).alias("items"))
-    return pages.select("page", F.to_json(F.struct(F.struct(F.array(F.struct(c("items").alias("contents"))).alias("modules")).alias("data"))).alias("payload"))
+        F.when(c("size") % 10 == 9, "BANNER").otherwise("PRODUCT_COLUMN").alias("type"), name.alias("id"),
+        F.struct(F.when(c("size") % 11 != 0, F.concat(F.lit("https://img.example.com/"), name)).alias("url"), c("source_rank").alias("rank"),
+                 F.when(c("size") % 8 == 0, F.array(F.struct(F.lit("BEST").alias("text")), F.struct(c("kind").alias("text")))).alias("labels")).alias("image"),
+        info.alias("info"), F.struct(F.array(F.struct(other.alias("skipped"), figures.alias("payload"))).alias("events")).alias("onView"),
+        F.struct(later.alias("after")).alias("beforeView"),
+        F.struct(F.when(c("size") % 2 == 0, F.concat(F.lit("https://shop.example.com/p/"), name)).alias("url")).alias("onClick"))
+    pages = items.groupBy(F.floor(c("id") / PAGE).alias("page")).agg(F.array_sort(F.collect_list(F.struct("id", node.alias("node")))).alias("items"))
+    label = F.when(c("page") % 3 == 0, dims.ALL_LABEL).when(c("page") % 3 == 1, "상의").otherwise("가방")
+    body = F.struct(F.struct(F.array(F.struct(c("items.node").alias("contents"))).alias("modules")).alias("data"))
+    return pages.select("page", label.alias("label"), F.concat(label, F.lit(" 랭킹")).alias("shelf"), F.to_json(body).alias("payload"))
 
 
 _NODE = "size % 10 <> 9 AND size % 11 <> 0"
 
 
-@query("extract_product_nodes", f"SELECT CAST(id AS VARCHAR) AS id, concat('https://img.example.com/', id) AS image_url FROM item_v WHERE {_NODE}")
+@query("extract_product_nodes", f"""
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY id) - 1 AS INT) AS place, CAST(id AS VARCHAR) AS id, concat('https://img.example.com/', id) AS image_url
+FROM (SELECT *, id // {PAGE} AS page FROM item_v WHERE {_NODE})""")
 def extract_product_nodes(spark, sf):
-    nodes = docs.product_nodes(_payloads(spark, sf), "page", "payload")
-    return nodes.select(F.try_variant_get("node", "$.id", "string").alias("id"), F.try_variant_get("node", "$.image.url", "string").alias("image_url"))
+    return docs.product_rows(_payloads(spark, sf), "payload").select("page", "place", "id", "image_url")
+
+
+_hits = ", ".join(f"CASE WHEN {sql_match('name', p)} THEN {quote(v)} END" for p, v in dims.NAME_COLOR_RULES)
 
 
 @query("normalize_products", f"""
-SELECT CAST(id AS VARCHAR) AS id, name, brand, coalesce(source_rank, 999) AS source_rank, price, CASE WHEN size % 3 = 0 THEN price + 100 WHEN size % 7 = 0 THEN 0.0 ELSE price END AS original_price,
-  CASE WHEN size % 3 <> 0 THEN size * 10.0 ELSE 0.0 END AS review_count,
-  CASE WHEN size % 2 = 0 THEN concat('https://shop.example.com/p/', id) ELSE concat('{dims.PRODUCT_URL}', id) END AS product_url
-FROM item_v WHERE {_NODE}""")
+SELECT CAST(id AS VARCHAR) AS id, name, brand, 'men' AS gender, label AS source_category, CASE WHEN label <> '{dims.ALL_LABEL}' THEN label ELSE {sql_rules('name', dims.CATEGORY_RULES, 'NULL')} END AS category,
+  concat(label, ' 랭킹') AS subcategory, CASE WHEN len(hits) > 0 THEN array_to_string(hits[1:3], '·') WHEN {sql_match('name', dims.MANY_COLORS_PATTERN)} THEN '{dims.MANY_COLORS}' ELSE '{dims.UNSORTED_COLOR}' END AS color,
+  coalesce(source_rank, 999) AS source_rank, price, CASE WHEN size % 3 = 0 THEN price + 100 WHEN size % 7 = 0 THEN 0.0 ELSE price END AS original_price,
+  CAST(CASE WHEN size % 6 = 0 THEN 15 ELSE size % 4 END AS DOUBLE) AS discount_ratio, CASE WHEN size % 3 <> 0 THEN size * 10.0 ELSE 0.0 END AS review_count,
+  CASE WHEN size % 2 = 0 THEN (size % 50) / 10.0::DOUBLE ELSE 0.0 END AS review_score, CASE WHEN size % 8 = 0 THEN concat('BEST,', kind) ELSE '' END AS ranking_labels,
+  CASE WHEN size % 2 = 0 THEN concat('https://shop.example.com/p/', id) ELSE concat('{dims.PRODUCT_URL}', id) END AS product_url, concat('https://img.example.com/', id) AS image_source_url,
+  CAST(row_number() OVER (PARTITION BY id // {PAGE} ORDER BY id) - 1 AS INT) AS place
+FROM (SELECT *, list_filter([{_hits}], lambda v: v IS NOT NULL) AS hits, CASE (id // {PAGE}) % 3 WHEN 0 THEN '{dims.ALL_LABEL}' WHEN 1 THEN '상의' ELSE '가방' END AS label FROM item_v WHERE {_NODE})""")
 def normalize_products(spark, sf):
-    nodes = docs.product_nodes(_payloads(spark, sf), "page", "payload")
-    flat = docs.normalize_products(nodes, docs.node_analytics(nodes, "page"), "page").drop("page", "image_url")
-    return flat.withColumn("source_rank", F.coalesce("source_rank", F.lit(999)))
+    flat = docs.normalize_products(docs.product_rows(_payloads(spark, sf), "payload"), "label", "shelf")
+    return flat.withColumns({"source_rank": F.coalesce("source_rank", F.lit(999)), "ranking_labels": F.array_join("ranking_labels", ",")})
 
 
 add_view("href_v", """

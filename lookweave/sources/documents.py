@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dims
-from ..functions.text import decode_entities
-from ..session import materialize
+from ..functions.text import decode_entities, infer_category, infer_color
 
 LINK_SCHEMA = "struct<murl:string,purl:string,turl:string,t:string,mw:int,mh:int>"
 
@@ -39,54 +42,83 @@ def flatten_items(frame: DataFrame, array: str, keep: list[str], outer: bool = T
     return frame.select(*keep, explode(array).alias("_e")).select(*keep, "_e.*")
 
 
-def _written(level: DataFrame) -> DataFrame:
-    """Write one level of a walk, so the next round does not walk it again."""
-    text = level.withColumn("node", F.to_json("node"))
-    return materialize(text).withColumn("node", F.parse_json("node"))
+FIGURES = ("original_price", "price", "discount_rate", "reviewCount", "reviewScore")
+PRODUCT = pa.schema([("place", pa.int32()), ("id", pa.string()), ("name", pa.string()), ("brand", pa.string()), ("rank", pa.float64()), ("final_price", pa.float64()),
+                     ("discount", pa.float64()), ("labels", pa.list_(pa.string())), ("click", pa.string()), ("image_url", pa.string()),
+                     *[(f"a_{f}", pa.float64()) for f in FIGURES]])
+
+
+def _objects(value) -> Iterator[dict]:
+    """Objects of a parsed document in document order, parents first; whole-number keys come first and by value."""
+    todo = [value]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            yield value
+            keys = sorted((k for k in value if k.isdecimal() and k.isascii() and (k == "0" or k[0] != "0")), key=int)
+            value = [*[value[k] for k in keys], *[v for k, v in value.items() if k not in set(keys)]] if keys else list(value.values())
+        if isinstance(value, list):
+            todo.extend(v for v in reversed(value) if isinstance(v, (dict, list)))
+
+
+def _text(value) -> str | None:
+    if value is None or isinstance(value, str):
+        return value
+    return str(int(value)) if isinstance(value, float) and value.is_integer() else json.dumps(value, ensure_ascii=False)
+
+
+def _number(value) -> float | None:
+    """A figure as a number; text that is none gives null."""
+    try:
+        return None if value is None or isinstance(value, (dict, list)) else float(value)
+    except ValueError:
+        return None
+
+
+def _part(value, name: str) -> dict:
+    part = value.get(name)
+    return part if isinstance(part, dict) else {}
+
+
+def _product(node: dict) -> dict:
+    """One product with the first figures below it that carry its id."""
+    name = _text(node["id"])
+    same = (o for o in _objects(node) if _text(o.get("product_id") or o.get("item_id") or "") == name and (o.get("reviewCount") is not None or o.get("original_price") is not None))
+    figures, info, image = next(same, {}), _part(node, "info"), node["image"]
+    trimmed = lambda v: v.strip() if isinstance(v, str) else None
+    labels = image.get("labels") if isinstance(image.get("labels"), list) else []
+    return {"id": name, "name": trimmed(info.get("productName")), "brand": trimmed(info.get("brandName")), "rank": _number(image.get("rank")), "final_price": _number(info.get("finalPrice")),
+            "discount": _number(info.get("discountRatio")), "labels": [_text(x.get("text")) for x in labels if isinstance(x, dict)], "click": _text(_part(node, "onClick").get("url")),
+            "image_url": _text(image["url"]), **{f"a_{f}": _number(figures.get(f)) for f in FIGURES}}
 
 
-def product_nodes(payloads: DataFrame, key: str, payload: str) -> DataFrame:
-    """Every object of type PRODUCT_COLUMN with an id and an image address, at any depth.
+def product_rows(payloads: DataFrame, payload: str) -> DataFrame:
+    """The products of every payload with their place in it and their figures, in one walk; other columns are kept.
 
-    One level of the documents per round, until no nested value is left.
+    A product is an object of type PRODUCT_COLUMN with an id and an image address, at any depth.  Its figures are those of
+    the first object below it, in document order, that names its id (``product_id``, or ``item_id`` where that is empty) and has
+    a review count or an original price.  Spark's variants sort the keys of an object, which loses that order, so a
+    document is parsed in a small helper, one document at a time.  Unreadable payloads have no products.
     """
-    spark = payloads.sparkSession
-    level = _written(payloads.select(key, F.try_parse_json(payload).alias("node")))
-    found = None
-    while True:
-        wanted = level.where(
-            (F.try_variant_get("node", "$.type", "string") == "PRODUCT_COLUMN")
-            & F.try_variant_get("node", "$.id", "string").isNotNull()
-            & (F.coalesce(F.try_variant_get("node", "$.image.url", "string"), F.lit("")) != ""))
-        found = wanted if found is None else found.unionByName(wanted)
-        level = _written(spark.sql(
-            f"SELECT {key}, c.value AS node FROM {{level}}, LATERAL variant_explode(node) AS c "
-            "WHERE schema_of_variant(c.value) LIKE 'OBJECT<%' OR schema_of_variant(c.value) LIKE 'ARRAY<%'", level=level))
-        if level.isEmpty():
-            return found
-
-
-def node_analytics(nodes: DataFrame, key: str) -> DataFrame:
-    """First nested object of a product that carries its id and review or price figures."""
-    spark = nodes.sparkSession
-    get = F.try_variant_get
-    keyed = _written(nodes.select(key, get("node", "$.id", "string").alias("id"), "node")).withColumn("path", F.array().cast("array<int>"))
-    level, found = keyed, None
-    while True:
-        same = F.coalesce(get("node", "$.product_id", "string"), get("node", "$.item_id", "string"), F.lit("")) == F.col("id")
-        has = get("node", "$.reviewCount", "string").isNotNull() | get("node", "$.original_price", "string").isNotNull()
-        wanted = level.where(same & has)
-        found = wanted if found is None else found.unionByName(wanted)
-        level = _written(spark.sql(
-            f"SELECT {key}, id, c.value AS node, array_append(path, c.pos) AS path FROM {{level}}, LATERAL variant_explode(node) AS c "
-            "WHERE schema_of_variant(c.value) LIKE 'OBJECT<%' OR schema_of_variant(c.value) LIKE 'ARRAY<%'", level=level))
-        if level.isEmpty():
-            break
-    figures = found.select(
-        key, "id", "path", get("node", "$.reviewCount", "double").alias("review_count"),
-        get("node", "$.original_price", "double").alias("original_price"), get("node", "$.price", "double").alias("price"))
-    return figures.groupBy(key, "id").agg(
-        F.min_by(F.struct("review_count", "original_price", "price"), F.col("path")).alias("v")).select(key, "id", "v.*")
+    keep = [c for c in payloads.columns if c != payload]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                text = batch.column(payload)[at].as_py()
+                try:
+                    document = json.loads(text) if text is not None else None
+                except (ValueError, RecursionError):
+                    continue
+                nodes = [o for o in _objects(document) if o.get("type") == "PRODUCT_COLUMN" and o.get("id") and isinstance(o.get("image"), dict) and o["image"].get("url")]
+                if nodes:
+                    made = pa.RecordBatch.from_pylist([{"place": k, **_product(n)} for k, n in enumerate(nodes)], PRODUCT)
+                    same = batch.select(keep).take(pa.array([at] * len(nodes), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*same.columns, *made.columns], names=[*keep, *PRODUCT.names])
+
+    figures = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'double' if f.type == pa.float64() else 'string' if f.type == pa.string() else 'array<string>'}" for f in PRODUCT)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in payloads.select(*keep).schema)
+    return payloads.mapInArrow(walk, f"{fields}, {figures}" if keep else figures)
 
 
 def or_else(*values: Column) -> Column:
@@ -94,19 +126,16 @@ def or_else(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v.cast("double"), F.lit(0.0)) for v in values], F.lit(0.0))
 
 
-def normalize_products(nodes: DataFrame, analytics: DataFrame, key: str) -> DataFrame:
-    """Flat product rows with fallbacks for missing figures."""
-    get = F.try_variant_get
-    flat = nodes.select(
-        key, get("node", "$.id", "string").alias("id"), F.trim(get("node", "$.info.productName", "string")).alias("name"),
-        F.trim(get("node", "$.info.brandName", "string")).alias("brand"), get("node", "$.image.rank", "int").alias("source_rank"),
-        get("node", "$.info.finalPrice", "double").alias("final_price"), get("node", "$.image.url", "string").alias("image_url"),
-        get("node", "$.onClick.url", "string").alias("click"))
-    joined = flat.join(analytics.withColumnRenamed("price", "a_price"), [key, "id"], "left")
-    return joined.select(
-        key, "id", "name", "brand", "source_rank", or_else(F.col("final_price"), F.col("a_price")).alias("price"),
-        or_else(F.col("original_price"), F.col("final_price")).alias("original_price"), or_else(F.col("review_count")).alias("review_count"),
-        F.coalesce("click", F.concat(F.lit(dims.PRODUCT_URL), F.col("id"))).alias("product_url"), "image_url")
+def normalize_products(products: DataFrame, label: str, subcategory: str, gender: str = "men") -> DataFrame:
+    """Flat catalogue rows of ``product_rows`` with fallbacks for missing figures; ``label`` and ``subcategory`` are columns of the source."""
+    c = F.col
+    return products.withColumns({
+        "source_rank": c("rank").cast("int"), "source_category": c(label), "gender": F.lit(gender), "category": infer_category(c("name"), c(label)), "subcategory": c(subcategory),
+        "color": infer_color(c("name")), "price": or_else(c("final_price"), c("a_price")), "original_price": or_else(c("a_original_price"), c("final_price")),
+        "discount_ratio": or_else(c("discount"), c("a_discount_rate")), "review_count": or_else(c("a_reviewCount")), "review_score": or_else(c("a_reviewScore")),
+        "ranking_labels": c("labels"), "product_url": F.coalesce("click", F.concat(F.lit(dims.PRODUCT_URL), c("id"))), "image_source_url": c("image_url"),
+    }).select("source_rank", "source_category", "id", "gender", "category", "subcategory", "name", "brand", "color", "price", "original_price", "discount_ratio",
+              "review_count", "review_score", "ranking_labels", "product_url", "image_source_url", "place")
 
 
 def extract_links(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:

@@ -22,6 +22,25 @@ def test_model_answers(spark):
     assert [r["o"] for r in rows] == ['{"a":1}', '{"a":{"b":2}}', None, None, None, None]
 
 
+def test_products_in_document_order(spark):
+    """The first figures are those that come first in the text, whatever their keys; products may lie in products."""
+    inner = '{"type":"PRODUCT_COLUMN","id":8,"image":{"url":"u8"},"info":{"productName":"in"},"v":{"item_id":8,"product_id":"","reviewCount":0}}'
+    product = ('{"z":[{"product_id":7,"price":3,"original_price":5}],"a":{"product_id":"7","original_price":9},"type":"PRODUCT_COLUMN","id":"7",'
+               '"image":{"url":"u7","rank":"4","labels":[{"text":"A"},{"text":"B"}]},"info":{"productName":" n ","brandName":"b","finalPrice":0},"more":' + inner + "}")
+    numbered = '{"type":"PRODUCT_COLUMN","id":"9","image":{"url":"u9"},"b":{"product_id":"9","reviewCount":1},"2":{"product_id":"9","reviewCount":2},"10":{"product_id":"9","reviewCount":3}}'
+    others = '{"type":"PRODUCT_COLUMN","id":"1","image":{"url":""}},{"type":"PRODUCT_COLUMN","id":"","image":{"url":"x"}},{"type":"BANNER","id":"2","image":{"url":"x"}},{"type":"PRODUCT_COLUMN","id":"3"}'
+    rows = [(1, "전체", f'{{"m":[{others},{product},{numbered}]}}'), (2, "전체", "{broken"), (3, "상의", None), (4, "상의", "[]"), (5, "상의", "[" * 100000)]
+    frame = spark.createDataFrame(rows, "page long, label string, payload string")
+    found = documents.product_rows(frame, "payload")
+    got = {r["id"]: r for r in found.collect()}
+    assert [(r["id"], r["place"]) for r in sorted(got.values(), key=lambda r: r["place"])] == [("7", 0), ("8", 1), ("9", 2)]
+    assert (got["7"]["a_price"], got["7"]["a_original_price"], got["7"]["rank"], got["7"]["name"], got["7"]["labels"]) == (3.0, 5.0, 4.0, "n", ["A", "B"])
+    assert got["8"]["a_reviewCount"] == 0.0 and got["9"]["a_reviewCount"] == 2.0
+    flat = {r["id"]: r for r in documents.normalize_products(found, "label", "label").collect()}
+    assert (flat["7"]["price"], flat["7"]["original_price"], flat["7"]["product_url"].endswith("/7")) == (3.0, 5.0, True)
+    assert documents.product_rows(frame.limit(0), "payload").count() == 0
+
+
 def test_links(spark):
     html = '<a m="{&quot;murl&quot;:&quot;u&amp;v&quot;,&quot;purl&quot;:&quot;p&quot;}"></a><a m="{murl broken"></a><a m="{&quot;murl&quot;:&quot;u&quot;}">'
     rows = documents.extract_links(spark.createDataFrame([(1, html)], "id int, html string"), "html", ["id"]).collect()
