@@ -21,9 +21,11 @@ from ..functions.rules import canonical_form, seed_attributes
 from ..functions.similarity import forms_agree, set_similarity, subtype_agrees, total_similarity, visual_score
 from ..functions.text import known_colors, tokens
 from ..session import materialize
+from . import graph
 
 S = dims.SIM
 TOP = S["top"]
+LARGE = 64  # contested positions from which a look is taken apart before it is searched
 
 
 ANALYSIS = ["subcategory", "material", "texture", "fit", "silhouette", "sleeve_length", "length", "neckline", "pattern", "finish",
@@ -394,12 +396,28 @@ def _contested_lists(open_rows: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", "item", weight.alias("weight")))).alias("options"))
 
 
+def _in_parts(lists: DataFrame) -> DataFrame:
+    """Contested lists with the part of their look they belong to: positions that share no item, even over others, need no common search.
+
+    Only looks of more than ``LARGE`` positions are taken apart here, so that one such look spreads over tasks.
+    """
+    large = materialize(lists.groupBy("look").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).select("look"))
+    if large.isEmpty():
+        return lists.withColumn("part", F.lit(0))
+    wanted = lists.join(large, "look", "left_semi").select("look", "pos", F.explode("options.item").alias("item"))
+    first = wanted.groupBy("look", "item").agg(F.min("pos").alias("b"))
+    labels = graph.components(wanted.join(first, ["look", "item"]).select("look", F.col("pos").alias("a"), "b"), ["look"])
+    known = labels.select("look", F.col("node").alias("pos"), F.col("label").alias("part"))
+    joined = lists.join(known, ["look", "pos"], "left").join(large.withColumn("_large", F.lit(True)), "look", "left")
+    return joined.withColumn("part", F.when(F.col("_large"), F.coalesce("part", "pos")).otherwise(0)).drop("_large")
+
+
 def assign(ranked: DataFrame) -> DataFrame:
     """Use every item at most once per look: most requirements first, then the largest sum.
 
     A requirement none of whose candidates is wanted elsewhere in its look takes its first
-    candidate; only the contested rest needs a search.  A search sees at most eight
-    positions per distinct candidate list, however many rows a look has.
+    candidate; only the contested rest needs a search.  A search sees one connected part of a
+    look, and at most eight positions per distinct candidate list, however many rows a look has.
     """
     rivals = ranked.groupBy("look", "item").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("look", "item", F.lit(True).alias("_rival"))
     own = Window.partitionBy("look", "pos")  # at most eight candidates
@@ -411,7 +429,7 @@ def assign(ranked: DataFrame) -> DataFrame:
     # a list of eight serves eight at most, so the others stay without an item.
     alike = Window.partitionBy("look", "options").orderBy("pos")
     lists = materialize(_contested_lists(contested).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= TOP).drop("_n"))
-    packed = lists.groupBy("look").agg(F.array_sort(F.collect_list(F.struct("size", "pos", "options"))).alias("lists"))
+    packed = _in_parts(lists).groupBy("look", "part").agg(F.array_sort(F.collect_list(F.struct("size", "pos", "options"))).alias("lists"))
     picked = packed.mapInPandas(_assign_batches, "look long, pos int, item long")
     return free.unionByName(contested.join(picked, ["look", "pos", "item"], "left_semi"))
 

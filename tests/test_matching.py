@@ -58,6 +58,20 @@ def test_assignment_of_frames_equals_brute_force(spark):
         assert got.get(look, set()) == {(i + 1, lists[i][c][0]) for i, c in zip(order, pick) if c < len(lists[i])}
 
 
+def test_large_look_is_searched_in_parts(spark, monkeypatch):
+    """A look of many positions gives the same picks whether it is taken apart or searched as a whole, and one row per part."""
+    rng = random.Random(8)
+    lists = [[(10 * (p // 4) + i, w) for (i, w) in o] for p, o in enumerate(random_lists(rng, 120, 5))]  # thirty groups of four positions
+    rows = [(1, p, i, w / 1000, k + 1) for p, o in enumerate(lists) for k, (i, w) in enumerate(o)] + [(2, 1, 5, 0.9, 1), (2, 2, 5, 0.8, 1)]
+    ranked = spark.createDataFrame(rows, "look long, pos int, item long, similarity double, rank int")
+    picks = lambda: {(r["look"], r["pos"], r["item"]) for r in matching.assign(ranked).collect()}
+    parts, real = [], matching._in_parts
+    monkeypatch.setattr(matching, "_in_parts", lambda x: parts.append((out := real(x)).select("look", "part").distinct().count()) or out)
+    apart = picks()
+    monkeypatch.setattr(matching, "LARGE", 10_000)
+    assert apart == picks() and parts[0] >= 25 and parts[1] <= 2
+
+
 def test_large_look_ends_quickly():
     rng = random.Random(2)
     lists = [sorted(((rng.randrange(120), rng.choice([440, 600, 920])) for _ in range(8)), key=lambda o: -o[1]) for _ in range(600)]
