@@ -75,17 +75,20 @@ def votes(events: DataFrame, keys: list[str], vote: str, order: list[str]) -> Da
     return tail.groupBy(*keys, "last").agg(F.count("*").alias("times")).where("times % 2 = 1").select(*keys, F.col("last").alias(vote))
 
 
-def retain_last_good(attempts: DataFrame, key: str, usable: Column, order: list[str], item: str, alive: DataFrame) -> DataFrame:
-    """The latest attempt if usable, else the last usable one while its item still exists.
+def retain_last_good(attempts: DataFrame, key: str, usable: Column, order: list[str], values: list[str], items: str, alive: DataFrame) -> DataFrame:
+    """The latest attempt if usable, else the last usable one while every one of its items still exists.
 
-    ``alive``: existing items in a column of the same name as ``item``.
+    ``items`` is an array column of ``attempts``, ``alive`` the existing items in a column ``item``.  An attempt without items keeps
+    its place, as none of them can be gone; a null item never exists.
     """
     at = F.struct(*order)
-    value = F.struct(item, *order, usable.alias("usable"))
+    value = F.struct(*values, items, usable.alias("usable"))
     ends = attempts.groupBy(key).agg(F.max_by(value, at).alias("fresh"), F.max_by(value, F.when(usable, at)).alias("good"))
-    fresh = ends.where("fresh.usable").select(key, f"fresh.{item}", *[f"fresh.{o}" for o in order], F.lit(False).alias("retained"))
-    held = ends.where("NOT fresh.usable AND good IS NOT NULL").select(key, f"good.{item}", *[f"good.{o}" for o in order], F.lit(True).alias("retained"))
-    return fresh.unionByName(held.join(alive, item, "left_semi"))
+    fields = [*values, items]
+    fresh = ends.where("fresh.usable").select(key, *[f"fresh.{f}" for f in fields], F.lit(False).alias("retained"))
+    held = ends.where("NOT fresh.usable AND good IS NOT NULL").select(key, *[f"good.{f}" for f in fields], F.lit(True).alias("retained"))
+    gone = held.select(key, F.explode(items).alias("item")).join(alive.select("item").distinct(), "item", "left_anti").select(key)
+    return fresh.unionByName(held.join(gone.distinct(), key, "left_anti"))
 
 
 def enqueue_once(events: DataFrame, key: str, enqueue: str, order: list[str]) -> DataFrame:

@@ -449,20 +449,31 @@ def collapse(assigned: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def match_summary(kept: DataFrame, signed: DataFrame, looks: DataFrame) -> DataFrame:
-    """Fulfilment, mean similarities, weather hits and the match score of every analysed look."""
+    """Fulfilment, mean similarities, weather hits and the match score of every look.
+
+    A look that is not analysed (``analysis_ready``), or has no pieces, has zeros everywhere.
+    """
     totals = signed.groupBy("look").agg(F.count_distinct("signature").alias("total"))
     sums = kept.groupBy("look").agg(F.count("*").alias("fulfilled"), F.avg("similarity").alias("similarity"),
                                     F.avg("color_sim").alias("color_similarity"))
-    hits = F.size(F.filter(F.split("weather", ","), lambda w: w.isin(dims.TODAY_WEATHER)))
-    full = totals.join(sums, "look", "left").join(looks.select(F.col("id").alias("look"), hits.cast("long").alias("weather_hits")), "look")
-    sim = F.coalesce("similarity", F.lit(0.0))
+    hits = F.size(F.filter(F.split("weather", ","), lambda w: w.isin(dims.TODAY_WEATHER))).cast("long")
+    full = looks.select(F.col("id").alias("look"), "analysis_ready", hits.alias("hits")).join(totals, "look", "left").join(sums, "look", "left")
+    analyzed = F.col("analysis_ready") & F.col("total").isNotNull()
+    full = full.withColumns({"analyzed": analyzed, "weather_hits": F.when(analyzed, F.col("hits")).otherwise(0)})
+    known = lambda name: F.when(F.col("analyzed"), F.coalesce(name, F.lit(0))).otherwise(0)
     return full.select(
-        "look", F.coalesce("fulfilled", F.lit(0)).alias("fulfilled"), "total", F.round(sim, 6).alias("similarity"),
-        F.round(F.coalesce("color_similarity", F.lit(0.0)), 6).alias("color_similarity"), "weather_hits",
-        F.floor(F.least(F.lit(98.0), F.round(sim * 88 + F.col("weather_hits") * 3, 6)) + 0.5).alias("score"))
+        "look", known("fulfilled").alias("fulfilled"), known("total").alias("total"), F.round(known("similarity"), 6).alias("similarity"),
+        F.round(known("color_similarity"), 6).alias("color_similarity"), "weather_hits",
+        F.floor(F.least(F.lit(98.0), F.round(known("similarity") * 88 + F.col("weather_hits") * 3, 6)) + 0.5).alias("score"), "analyzed")
 
 
 def usable_looks(kept: DataFrame) -> DataFrame:
     """Looks with at least one good apparel match."""
     good = F.col("category").isin(dims.APPAREL) & ((F.col("similarity") >= S["keep"]) | (F.col("visual") >= S["keep_visual"]))
     return kept.groupBy("look").agg(F.bool_or(good).alias("usable"))
+
+
+def default_selection(ranked: DataFrame, chosen: DataFrame, most: int = 3) -> DataFrame:
+    """(person, look, default): the looks a person chose, or their first ``most`` ranked ones where they chose none."""
+    first = ranked.where(F.col("rank") <= most).select("person", "look").join(chosen.select("person").distinct(), "person", "left_anti")
+    return chosen.select("person", "look").distinct().withColumn("default", F.lit(False)).unionByName(first.withColumn("default", F.lit(True)))

@@ -105,7 +105,7 @@ SELECT o_orderkey AS id, o_custkey AS person, CASE WHEN o_orderkey % 2 = 0 THEN
     WHEN '4-NOT SPECIFIED' THEN '선선함,습함,간절기' ELSE '더움' END AS weather,
   CASE o_orderstatus WHEN 'F' THEN '보통,마른 체형' WHEN 'O' THEN '보통' ELSE '상체가 발달한 체형' END AS shapes,
   CASE o_orderstatus WHEN 'F' THEN '미니멀,캐주얼' WHEN 'O' THEN '스트릿,캐주얼' ELSE '클래식,미니멀,클래식' END AS styles,
-  o_totalprice AS price
+  o_totalprice AS price, o_orderkey % 11 <> 3 AS analysis_ready
 FROM orders""",
     # Items a look was cut from: uploaded items bought in bulk.
     "ref_v": """

@@ -93,14 +93,22 @@ def feedback_state(spark, sf):
     return standing.join(saves, "look", "full").select("look", zero("up"), zero("down"), zero("saves"))
 
 
-@query("retain_last_good", """
-WITH f AS (SELECT person, arg_max({'look': look, 'id': id, 'ok': value >= 60}, (ts, id)) AS fresh, arg_max({'look': look, 'id': id}, (ts, id)) FILTER (WHERE value >= 60) AS good FROM fb_v GROUP BY 1)
-SELECT person, CASE WHEN fresh.ok THEN fresh.look ELSE good.look END AS look, CASE WHEN fresh.ok THEN fresh.id ELSE good.id END AS id, NOT fresh.ok AS retained FROM f
-WHERE fresh.ok OR (good IS NOT NULL AND good.look IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'))""")
+_PIECES = "id % 700, id * 7 % 900, id * 13 % 1100"  # items an attempt was made of
+
+
+@query("retain_last_good", f"""
+WITH f AS (SELECT person, arg_max({{'look': look, 'id': id, 'items': [{_PIECES}], 'ok': value >= 60}}, (ts, id)) AS fresh,
+  arg_max({{'look': look, 'id': id, 'items': [{_PIECES}]}}, (ts, id)) FILTER (WHERE value >= 60) AS good FROM fb_v GROUP BY 1),
+alive AS (SELECT list(id) AS ids FROM item_v WHERE NOT deleted)
+SELECT person, CASE WHEN fresh.ok THEN fresh.look ELSE good.look END AS look, CASE WHEN fresh.ok THEN fresh.id ELSE good.id END AS id,
+  array_to_string(CASE WHEN fresh.ok THEN fresh.items ELSE good.items END, ',') AS items, NOT fresh.ok AS retained FROM f, alive
+WHERE fresh.ok OR (good IS NOT NULL AND list_has_all(alive.ids, good.items))""")
 def retain_last_good(spark, sf):
-    alive = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("look"))
-    kept = feedback.retain_last_good(view(spark, sf, "fb_v"), "person", F.col("value") >= 60, ["ts", "id"], "look", alive)
-    return kept.select("person", "look", "id", "retained")
+    """The last usable match of every person, as long as each of its items is still in the wardrobe."""
+    alive = view(spark, sf, "item_v").where("NOT deleted").select(F.col("id").alias("item"))
+    attempts = view(spark, sf, "fb_v").withColumn("items", F.expr(f"array({_PIECES})"))
+    kept = feedback.retain_last_good(attempts, "person", F.col("value") >= 60, ["ts", "id"], ["look", "id"], "items", alive)
+    return kept.select("person", "look", "id", F.array_join("items", ",").alias("items"), "retained")
 
 
 @query("enqueue_once", """

@@ -145,13 +145,14 @@ SELECT look, pos, category, concat_ws('|', category, {', '.join(_list(x) for x i
 add_view("kept_v", """
 SELECT look, signature, pos, item, category, similarity, color_sim, visual FROM (
 SELECT a.*, s.signature, row_number() OVER (PARTITION BY a.look, s.signature ORDER BY a.similarity DESC, a.pos) AS best
-FROM assign_v a JOIN sig_v s ON s.look = a.look AND s.pos = a.pos) WHERE best = 1""")
+FROM assign_v a JOIN sig_v s ON s.look = a.look AND s.pos = a.pos JOIN look_v l ON l.id = a.look AND l.analysis_ready) WHERE best = 1""")
 add_view("summary_v", f"""
-SELECT t.look, coalesce(k.fulfilled, 0) AS fulfilled, t.total, coalesce(k.similarity, 0) AS similarity, coalesce(k.color_similarity, 0) AS color_similarity,
-  len(list_filter(string_split(l.weather, ','), lambda w: w IN {sql_in(dims.TODAY_WEATHER)})) AS weather_hits
-FROM (SELECT look, count(DISTINCT signature) AS total FROM sig_v GROUP BY look) t
-LEFT JOIN (SELECT look, count(*) AS fulfilled, avg(similarity) AS similarity, avg(color_sim) AS color_similarity FROM kept_v GROUP BY look) k ON k.look = t.look
-JOIN look_v l ON l.id = t.look""")
+SELECT look, CASE WHEN analyzed THEN fulfilled ELSE 0 END AS fulfilled, CASE WHEN analyzed THEN total ELSE 0 END AS total, CASE WHEN analyzed THEN similarity ELSE 0 END AS similarity,
+  CASE WHEN analyzed THEN color_similarity ELSE 0 END AS color_similarity, CASE WHEN analyzed THEN hits ELSE 0 END AS weather_hits, analyzed FROM (
+  SELECT l.id AS look, l.analysis_ready AND t.total IS NOT NULL AS analyzed, coalesce(k.fulfilled, 0) AS fulfilled, t.total, coalesce(k.similarity, 0) AS similarity,
+    coalesce(k.color_similarity, 0) AS color_similarity, len(list_filter(string_split(l.weather, ','), lambda w: w IN {sql_in(dims.TODAY_WEATHER)})) AS hits
+  FROM look_v l LEFT JOIN (SELECT look, count(DISTINCT signature) AS total FROM sig_v GROUP BY look) t ON t.look = l.id
+  LEFT JOIN (SELECT look, count(*) AS fulfilled, avg(similarity) AS similarity, avg(color_sim) AS color_similarity FROM kept_v GROUP BY look) k ON k.look = l.id)""")
 add_view("usable_v", f"""
 SELECT look, bool_or(category IN {sql_in(dims.APPAREL)} AND (similarity >= 0.44 OR visual >= 0.62)) AS usable FROM kept_v GROUP BY look""")
 _h, _w = "coalesce(nullif(p.height, 0), 170)", "coalesce(nullif(p.weight, 0), 65)"
@@ -169,7 +170,9 @@ def assigned(spark, sf):
 
 
 def kept(spark, sf):
-    return matching.collapse(assigned(spark, sf), matching.signature(view(spark, sf, "need_v")))
+    """Matches of the looks that are analysed."""
+    ready = view(spark, sf, "look_v").where("analysis_ready").select(F.col("id").alias("look"))
+    return matching.collapse(assigned(spark, sf).join(ready, "look", "left_semi"), matching.signature(view(spark, sf, "need_v")))
 
 
 @query("outfit_assignment", "SELECT look, pos, category, item, similarity, rank FROM assign_v")
@@ -183,7 +186,7 @@ def collapse_duplicates(spark, sf):
 
 
 @query("match_summary", """SELECT look, fulfilled, total, round(similarity, 6) AS similarity, round(color_similarity, 6) AS color_similarity, weather_hits,
-  CAST(floor(least(98.0, round(similarity * 88 + weather_hits * 3, 6)) + 0.5) AS BIGINT) AS score FROM summary_v""")
+  CAST(floor(least(98.0, round(similarity * 88 + weather_hits * 3, 6)) + 0.5) AS BIGINT) AS score, analyzed FROM summary_v""")
 def match_summary(spark, sf):
     signed = matching.signature(view(spark, sf, "need_v"))
     return matching.match_summary(kept(spark, sf), signed, view(spark, sf, "look_v"))
@@ -206,24 +209,43 @@ def body_score(spark, sf):
     return _body(spark, sf)
 
 
-@query("rank_looks", """
+add_view("ranked_v", """
 SELECT b.person, b.look, b.body_score, s.score, b.body_score + s.score AS total,
   CAST(row_number() OVER (PARTITION BY b.person ORDER BY b.body_score + s.score DESC, b.look) AS BIGINT) AS rank
 FROM body_v b JOIN (SELECT look, CAST(floor(least(98.0, round(similarity * 88 + weather_hits * 3, 6)) + 0.5) AS BIGINT) AS score FROM summary_v) s ON s.look = b.look
-JOIN usable_v u ON u.look = b.look AND u.usable""")
-def rank_looks(spark, sf):
-    """Every person's usable looks by body plus match score."""
+JOIN usable_v u ON u.look = b.look AND u.usable JOIN look_v l ON l.id = b.look JOIN person_v p ON p.id = b.person AND p.gender = l.gender""")
+
+
+def _rank_looks(spark, sf):
     from ..operators.ranking import number_rows
 
     signed = matching.signature(view(spark, sf, "need_v"))
     stayed = matching.materialize(kept(spark, sf))  # read twice
-    summary = matching.match_summary(stayed, signed, view(spark, sf, "look_v"))
+    looks, people = view(spark, sf, "look_v"), view(spark, sf, "person_v")
+    summary = matching.match_summary(stayed, signed, looks).where("analyzed")
     good = matching.usable_looks(stayed).where("usable").select("look")
-    rows = _body(spark, sf).join(summary.select("look", "score"), "look").join(good, "look")
+    own = looks.select(F.col("id").alias("look"), "person", "gender").join(people.select(F.col("id").alias("person"), "gender"), ["person", "gender"]).select("look")
+    rows = _body(spark, sf).join(summary.select("look", "score"), "look").join(good, "look").join(own, "look", "left_semi")
     rows = rows.withColumn("total", F.col("body_score") + F.col("score"))
     return number_rows(rows, [F.desc("total"), F.col("look")], "rank", ["person"])
 
 
+@query("rank_looks", "SELECT * FROM ranked_v")
+def rank_looks(spark, sf):
+    """Every person's usable looks of their gender by body plus match score."""
+    return _rank_looks(spark, sf)
+
+
+@query("selected_looks", """
+WITH chosen AS (SELECT DISTINCT o_custkey AS person, o_orderkey AS look FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 4 <> 1)
+SELECT person, look, false AS "default" FROM chosen
+UNION ALL SELECT person, look, true FROM ranked_v WHERE rank <= 3 AND person NOT IN (SELECT person FROM chosen)""")
+def selected_looks(spark, sf):
+    """Chosen looks of every person, or the first three ranked ones of those who chose none."""
+    chosen = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_custkey % 4 <> 1").select(F.col("o_custkey").alias("person"), F.col("o_orderkey").alias("look"))
+    return matching.default_selection(_rank_looks(spark, sf), chosen)
+
+
 @query("assemble_options", f"""
 WITH ready AS (SELECT b.person, b.look, b.body_score + s.score AS total, b.body_score, u.look IS NOT NULL AS usable, l.price >= 450000 AS upload
   FROM body_v b JOIN look_v l ON l.id = b.look
