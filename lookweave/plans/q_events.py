@@ -30,18 +30,34 @@ def admission(spark, sf):
     return feedback.admission(requests(spark, sf), "user_id", "t", "event_id", WINDOW, LIMIT)
 
 
-@query("admission_stream", _ADMISSION)
-def admission_stream(spark, sf):
-    """The budget as a stream with per-client state."""
-    schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").select("event_id", "user_id", epoch_us("ts").alias("t"))
+SLICES = 3  # micro-batches of a replayed table
+
+
+def _replayed(spark, sf, columns, start):
+    """Run a stream over the events in ``SLICES`` slices of time, one micro-batch each, and give what it wrote.
+
+    Every slice is added to the stream's folder and the stream is started again from its checkpoint.
+    """
+    events = table(spark, sf, "events").select(*columns, epoch_us("ts").alias("t"))
+    cuts = events.agg(F.percentile_approx("t", [k / SLICES for k in range(1, SLICES)])).first()[0] or []
     root = shared_folder(spark, "stream")
-    made = jobs.admission_stream(events, "user_id", "t", "event_id", WINDOW, LIMIT)
-    run = made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start()
-    run.awaitTermination()
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events.where((F.lit(True) if low is None else F.col("t") > low) & (F.lit(True) if high is None else F.col("t") <= high))
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        made = start(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
+        with jobs.timed_state(spark):
+            run = made.trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
+@query("admission_stream", _ADMISSION)
+def admission_stream(spark, sf):
+    """The budget as a stream with per-client state over several micro-batches."""
+    return _replayed(spark, sf, ["event_id", "user_id"], lambda events: jobs.admission_stream(events, "user_id", "t", "event_id", WINDOW, LIMIT))
+
+
 @query("stream_upsert", """
 SELECT person, kind, look, value FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY ts DESC, id DESC) AS n FROM fb_v) WHERE n = 1 AND kind <> 'error'""")
 def stream_upsert(spark, sf):
@@ -111,15 +127,28 @@ def retain_last_good(spark, sf):
     return kept.select("person", "look", "id", F.array_join("items", ",").alias("items"), "retained")
 
 
-@query("enqueue_once", """
+_QUEUED = """
 SELECT id, person FROM (SELECT *, lag(add) OVER (PARTITION BY person ORDER BY ts, id) AS before FROM (SELECT *, kind <> 'signup' AS add FROM fb_v WHERE kind IN ('click', 'view', 'signup')))
-WHERE add AND NOT coalesce(before, false)""")
+WHERE add AND NOT coalesce(before, false)"""
+
+
+@query("enqueue_once", _QUEUED)
 def enqueue_once(spark, sf):
     """Clicks and views queue a person, a signup finishes the work."""
     rows = view(spark, sf, "fb_v").where("kind IN ('click', 'view', 'signup')").select("id", "person", "ts", (F.col("kind") != "signup").alias("add"))
     return feedback.enqueue_once(rows, "person", "add", ["ts", "id"]).select("id", "person")
 
 
+@query("enqueue_stream", _QUEUED)
+def enqueue_stream(spark, sf):
+    """The queue as a stream that remembers queued persons only, over several micro-batches."""
+    def start(events):
+        rows = events.where("event_type IN ('click', 'view', 'signup')").select(F.col("event_id").alias("id"), F.col("user_id").alias("person"), "t", (F.col("event_type") != "signup").alias("add"))
+        return jobs.enqueue_stream(rows, "person", "t", "id", "add", "1 day")
+
+    return _replayed(spark, sf, ["event_id", "user_id", "event_type"], start)
+
+
 @query("apply_tombstones", "SELECT id, person FROM fb_v WHERE person NOT IN (SELECT person FROM fb_v WHERE kind = 'error' AND value > 150)")
 def apply_tombstones(spark, sf):
     events = view(spark, sf, "fb_v")
