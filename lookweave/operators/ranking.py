@@ -70,3 +70,37 @@ def last_marked(df: DataFrame, position: str, marked: Column, name: str, chunk:
     carried = tops.select("_chunk", F.max("_top").over(earlier).alias("_carry"))
     inside = Window.partitionBy("_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(carried, "_chunk").withColumn(name, F.coalesce(F.max("_mark").over(inside), "_carry")).drop("_mark", "_chunk", "_carry")
+
+
+def page_bounds(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """One row per page of ``size`` rows in the order of ``keys`` (which name a row): page (from 0), rows, first and last key, more.
+
+    Written once per listing; a page is then found by its keys, whatever lies before it.
+    """
+    numbered = number_rows(df.select(*keys), [F.col(k) for k in keys], "_n")
+    key = F.struct(*keys)
+    bounds = numbered.groupBy(F.floor((F.col("_n") - 1) / size).alias("page")).agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"))
+    following = bounds.select((F.col("page") - 1).alias("page"), F.lit(True).alias("_next"))
+    return materialize(bounds.join(following, "page", "left").withColumn("more", F.coalesce("_next", F.lit(False))).drop("_next"))
+
+
+def page(df: DataFrame, bounds: DataFrame, number: int) -> DataFrame:
+    """The rows of one page with page, place (from 1) and more; no rows beyond the last page.
+
+    The page's bounds are one row; rows are read by a filter on their keys, which reaches the scan, and no row is skipped.
+    """
+    known = bounds.where(F.col("page") == number).first()
+    if known is None:
+        return df.where("false").withColumns({"page": F.lit(number).cast("long"), "place": F.lit(0), "more": F.lit(False)})
+    keys = list(known["first"].asDict())
+    inside = df.where((F.col(keys[0]) >= known["first"][0]) & (F.col(keys[0]) <= known["last"][0]))
+    if len(keys) > 1:
+        ends = [F.struct(*[F.lit(known[e][k]).cast(df.schema[k].dataType).alias(k) for k in keys]) for e in ("first", "last")]
+        inside = inside.where((F.struct(*keys) >= ends[0]) & (F.struct(*keys) <= ends[1]))
+    place = F.row_number().over(Window.partitionBy("page").orderBy(*keys))  # a page holds ``size`` rows at most
+    return inside.withColumn("page", F.lit(number).cast("long")).withColumns({"place": place, "more": F.lit(bool(known["more"]))})
+
+
+def accepted_first(df: DataFrame, keys: Sequence[str], accepted: str, area: str, tie: Sequence[str], name: str = "place") -> DataFrame:
+    """Position within ``keys``: accepted rows first, the larger area first among either, then by ``tie``."""
+    return number_rows(df, [F.desc(accepted), F.desc(area), *[F.col(t) for t in tie]], name, keys)

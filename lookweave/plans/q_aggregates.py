@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import evaluation, quality
+from ..session import shared_folder
+from ..sources import tables
 from .bindings import table, view
-from .oracle import add_view, sql_list
+from .oracle import quote, add_view, sql_list
 from .registry import query
 
 add_view("gate_v", """
@@ -96,13 +98,37 @@ def eval_compare(spark, sf):
     return rows.select("metric", *[F.round(c, 6).alias(c) for c in ("before", "after", "delta")])
 
 
-@query("ingest_report", """
-SELECT photo, count(*) FILTER (WHERE gate = 'pass') AS accepted, count(*) AS detected, 'street fashion' AS query FROM gate_v GROUP BY 1""")
+_SEARCHES = (("b2_clothes", "street fashion", "https://pins.example.com/search?q=street"), ("b3_clothes", "office look", "https://pins.example.com/search?q=office"),
+             ("b3_fashion", "date night", "https://pins.example.com/search?q=date"))
+
+
+@query("ingest_report", f"""
+WITH s(model, query, address) AS (VALUES {', '.join(f"({quote(m)}, {quote(q)}, {quote(a)})" for m, q, a in _SEARCHES)}),
+r AS (SELECT model, photo, count(*) FILTER (WHERE gate = 'pass') AS accepted, count(*) AS detected FROM gate_v GROUP BY 1, 2)
+SELECT r.photo, r.accepted, r.detected, s.query, s.address, s.model, CAST(count(*) OVER (PARTITION BY r.model) AS DOUBLE) AS photos,
+  CAST(sum(accepted) OVER (PARTITION BY r.model) AS DOUBLE) AS all_accepted, true AS timed FROM r JOIN s ON s.model = r.model""")
 def ingest_report(spark, sf):
-    """Accepted and detected garments per photo, with the run's provenance."""
+    """Accepted and detected garments per photo, written as one run per search, read back with the runs' provenance."""
     rows = quality.with_thresholds(view(spark, sf, "det_v")).withColumn("gate", quality.gate())
-    counts = rows.groupBy("photo").agg(F.count_if(F.col("gate") == "pass").alias("accepted"), F.count("*").alias("detected"))
-    return counts.withColumn("query", F.lit("street fashion"))
+    counts = rows.groupBy("model", "photo").agg(F.count_if(F.col("gate") == "pass").alias("accepted"), F.count("*").alias("detected"))
+    root = shared_folder(spark, "report")
+    for number, (model, search, address) in enumerate(_SEARCHES):
+        tables.write_observed(counts.where(F.col("model") == model).drop("model"), root, f"run-{number}", search, address, model,
+                              {"photos": F.count("*"), "accepted": F.coalesce(F.sum("accepted"), F.lit(0))})
+    runs = tables.read_runs(spark, root).select("run_id", "query", "address", "model", F.col("measures")["photos"].alias("photos"), F.col("measures")["accepted"].alias("all_accepted"),
+                                                (F.col("finished") >= F.col("started")).alias("timed"))
+    return tables.read_report(spark, root, "photo long, accepted long, detected long").join(runs, ["run_id", "query"]).drop("run_id")
+
+
+@query("detection_order", """
+SELECT photo, line, part, accepted, area, row_number() OVER (PARTITION BY photo ORDER BY accepted DESC, area DESC, line, part, supp) AS place
+FROM (SELECT *, gate = 'pass' AS accepted FROM gate_v)""")
+def detection_order(spark, sf):
+    """The detections of a photo, accepted ones first, larger ones first among either."""
+    from ..operators.ranking import accepted_first
+
+    rows = quality.with_thresholds(view(spark, sf, "det_v")).withColumn("accepted", quality.gate() == "pass")
+    return accepted_first(rows, ["photo"], "accepted", "area", ["line", "part", "supp"]).select("photo", "line", "part", "accepted", "area", "place")
 
 
 @query("refine_selection", f"""

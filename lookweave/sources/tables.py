@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import number_rows
@@ -74,3 +75,35 @@ def read_published(spark, root: str) -> DataFrame:
 def write_report(rows: DataFrame, root: str, run_id: str) -> None:
     """Report rows as JSON lines, one folder per run."""
     rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(root)
+
+
+_SIDECAR = "run_id string, query string, address string, model string, started timestamp, finished timestamp, measures map<string,double>"
+
+
+def write_observed(rows: DataFrame, root: str, run_id: str, query: str, address: str, model: str, measures: dict[str, Column]) -> dict[str, float]:
+    """Report rows of one run as JSON lines by run and query, and a sidecar that says where they come from.
+
+    ``measures`` are aggregates that Spark observes while it writes the rows, so they count what was written and the rows are
+    computed once.  The sidecar has the run's query, address, model, times in UTC and measures; it is written last, so a run
+    without one did not end.
+    """
+    spark = rows.sparkSession
+    seen = Observation(f"report-{uuid.uuid4().hex}")
+    started = datetime.now(timezone.utc)
+    watched = rows.withColumns({"run_id": F.lit(run_id), "query": F.lit(query)}).observe(seen, *[c.cast("double").alias(n) for n, c in measures.items()])
+    watched.write.mode("append").partitionBy("run_id", "query").json(f"{root}/rows")
+    found = dict(seen.get)
+    sidecar = spark.createDataFrame([(run_id, query, address, model, started, datetime.now(timezone.utc), found)], _SIDECAR)
+    sidecar.coalesce(1).write.mode("append").json(f"{root}/runs")
+    return found
+
+
+def read_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The sidecars of all runs that ended."""
+    return spark.read.schema(_SIDECAR).json(f"{root}/runs")
+
+
+def read_report(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Rows (of ``schema``) of the runs that ended, with their run and query."""
+    rows = spark.read.schema(f"{schema}, run_id string, query string").json(f"{root}/rows")
+    return rows.join(read_runs(spark, root).select("run_id", "query").distinct(), ["run_id", "query"], "left_semi")

@@ -42,3 +42,20 @@ def test_two_key_dedupe_equals_a_scan(spark):
             kept.append(i)
     frame = spark.createDataFrame(rows, "i long, a long, b long")
     assert sorted(r["i"] for r in dedupe.first_by_two_keys(frame, "a", "b", "i").collect()) == kept
+
+
+def test_pages(spark):
+    """Every page by its keys, equal first keys across a boundary, and no page beyond the last."""
+    rows = spark.createDataFrame([(i // 10, f"k{i:03d}") for i in range(53)], "a int, b string").repartition(4)
+    bounds = ranking.page_bounds(rows, ["a", "b"], 8)
+    assert sorted((r["page"], r["rows"], r["more"]) for r in bounds.collect()) == [(p, 8, True) for p in range(6)] + [(6, 5, False)]
+    for number in range(8):
+        got = ranking.page(rows, bounds, number).orderBy("place").collect()
+        assert [r["b"] for r in got] == [f"k{i:03d}" for i in range(8 * number, min(53, 8 * number + 8))] and [r["place"] for r in got] == list(range(1, len(got) + 1))
+    assert ranking.page(rows, ranking.page_bounds(rows.limit(0), ["a", "b"], 8), 0).count() == 0
+
+
+def test_accepted_first(spark):
+    rows = spark.createDataFrame([(1, True, 0.1, 5), (1, False, 0.9, 1), (1, True, 0.5, 2), (1, True, 0.5, 1), (2, False, 0.2, 1)], "photo int, ok boolean, area double, line int")
+    got = {(r["photo"], r["line"]): r["place"] for r in ranking.accepted_first(rows, ["photo"], "ok", "area", ["line"]).collect() if (r["photo"], r["area"]) != (1, 0.9)}
+    assert got == {(1, 1): 1, (1, 2): 2, (1, 5): 3, (2, 1): 1}

@@ -63,6 +63,19 @@ def test_report_sink(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).groupBy("run_id").count().count() == 2
 
 
+def test_observed_report(spark, tmp_path):
+    """The sidecar counts what was written; rows of a run without one are not read."""
+    root = str(tmp_path / "r")
+    found = tables.write_observed(spark.range(5).withColumn("ok", F.col("id") > 2), root, "run-1", "street", "https://x/1", "m", {"rows": F.count("*"), "ok": F.count_if("ok")})
+    assert found == {"rows": 5.0, "ok": 2.0}
+    tables.write_observed(spark.range(0).withColumn("ok", F.lit(True)), root, "run-2", "none", "https://x/2", "m", {"rows": F.count("*"), "ok": F.count_if("ok")})
+    spark.range(9).withColumns({"ok": F.lit(True), "run_id": F.lit("run-3"), "query": F.lit("broken")}).write.mode("append").partitionBy("run_id", "query").json(f"{root}/rows")
+    runs = {r["run_id"]: r for r in tables.read_runs(spark, root).collect()}
+    assert set(runs) == {"run-1", "run-2"} and runs["run-1"]["address"] == "https://x/1" and runs["run-1"]["finished"] >= runs["run-1"]["started"]
+    assert runs["run-2"]["measures"] == {"rows": 0.0, "ok": 0.0}
+    assert sorted(r["id"] for r in tables.read_report(spark, root, "id long, ok boolean").collect()) == [0, 1, 2, 3, 4]
+
+
 def test_upsert_stream_over_several_batches(spark, tmp_path):
     source = tmp_path / "in"
     batches = [[(1, 1, "a", False), (2, 1, "b", False)], [(1, 3, "c", False), (2, 2, "b", True)], [(1, 2, "late", False), (3, 1, "d", False)]]
