@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.vectors import cosine, unit
+from ..session import materialize
 
 BLOCK = 2048  # vectors of either side that meet in one task
 
@@ -62,7 +65,7 @@ def top_similar(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK)
     whatever their number, and a cell holds about ``block`` vectors of either side.  It keeps its best ``k`` per query and a
     window, limited before its shuffle, picks the global ones.
     """
-    q, v = queries.select("query", "family", "vector"), rows.select("id", "family", "vector")
+    q, v = materialize(queries.select("query", "family", "vector")), materialize(rows.select("id", "family", "vector"))
     counts = [max(1, -(-n // block)) for n in (q.count(), v.count())]
     spread = lambda df, key, name, n: df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -107,6 +110,48 @@ def best_pieces(items: DataFrame, pieces: DataFrame, k: int, block: int = BLOCK)
     return found.select(F.col("query").alias("id"), F.col("id").alias("piece"), "cosine", "rank")
 
 
+PIVOTS = 6
+
+
+def with_angles(rows: DataFrame, pivots: list[list[float]]) -> DataFrame:
+    """Angles to the pivots, null where the lengths differ."""
+    angle = lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in p])))))
+    return rows.withColumn("angles", F.array(*[F.when(F.size("vector") == len(p), angle(p)) for p in pivots]).cast("array<double>"))
+
+
+def close_pairs(items: DataFrame, pieces: DataFrame, least: float, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Pairs (id, piece, cosine) of one family with a cosine of ``least`` or more, and the pairs (id, piece) that were computed for it.
+
+    Angles obey the triangle inequality: two vectors within an angle of each other differ by no more than that in their angle to
+    any third one.  Pairs meet on bins of the angle to the first pivot, three bins wide, and the other pivots rule out more
+    before a cosine is computed; no pair above the threshold is lost.  The pivots are the pieces whose numbers have the smallest
+    md5, ``pivots`` of them at most.
+    """
+    width = math.acos(least) + 1e-6  # more than the error of an arc cosine
+    first = [r["vector"] for r in pieces.where(F.size("vector") > 0).orderBy(F.md5(F.col("piece").cast("string")), "piece").limit(pivots).select("vector").collect()]
+    bins = lambda df: with_angles(df, first).withColumns({"dim": F.size("vector"), "bin": F.floor(F.coalesce(F.try_element_at("angles", F.lit(1)), F.lit(0.0)) / width)})
+    left = bins(items.select("id", "family", "vector"))
+    right = bins(pieces.select("piece", "family", "vector")).withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    right = right.withColumnsRenamed({"vector": "p_vector", "angles": "p_angles"})
+    apart = F.exists(F.zip_with("angles", "p_angles", lambda a, b: F.abs(a - b) > width), lambda x: F.coalesce(x, F.lit(False)))
+    met = left.join(right, ["family", "dim", "bin"]).where(~apart)
+    scored = met.withColumn("cosine", F.round(cosine(F.col("vector"), F.col("p_vector")), 9))
+    return scored.where(F.col("cosine") >= least).select("id", "piece", "cosine"), met.select("id", "piece")
+
+
+def relink_uploads(items: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``relink`` for uploads that have no reference look: items (id, family, vector, user_added, reference_look).
+
+    A best score of ``relink_best`` bounds the cosine from below, so only items with such a piece get their two best pieces.
+    """
+    least = round(2 * dims.SIM["relink_best"] - 1, 9) - 1e-9
+    mine = materialize(items.where("user_added AND reference_look IS NULL").select("id", "family", "vector"))
+    pieces = materialize(pieces.select("piece", "family", "vector"))
+    close, _ = close_pairs(mine, pieces, least)
+    worth = materialize(mine.join(close.select("id").distinct(), "id", "left_semi"))
+    return relink(best_pieces(worth, pieces, 2))
+
+
 def relink(best: DataFrame) -> DataFrame:
     """Items whose best piece is close enough and clearly ahead of the second one."""
     s = dims.SIM

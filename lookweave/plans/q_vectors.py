@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.vectors import cosine as cosine_of
-from ..functions.vectors import norm
+from ..functions.vectors import engine_family, norm
 from ..operators import ann, vectors
 from .bindings import table
 from .oracle import add_view
@@ -22,12 +22,13 @@ UNION ALL SELECT 100 + label, CASE WHEN label = 9 THEN 'local' ELSE 'siglip' END
 
 
 def rows(spark, sf):
-    family = F.when(F.col("label") == 9, "local").otherwise("siglip")
+    """Vectors of two engines, comparable within an engine's family only."""
+    family = engine_family(F.when(F.col("label") == 9, "local-fingerprint-v1").otherwise("siglip:m1"))
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", family.alias("family"), F.col("embedding").alias("vector"))
 
 
 def protos(spark, sf):
-    family = F.when(F.col("label") == 9, "local").otherwise("siglip")
+    family = engine_family(F.when(F.col("label") == 9, "local-fingerprint-v1").otherwise("siglip:m1"))
     return vectors.prototypes(table(spark, sf, "embeddings"), "label").select(F.col("label").cast("long").alias("query"), family.alias("family"), "vector")
 
 
@@ -120,11 +121,38 @@ def vector_join(spark, sf):
     return best_two(spark, sf).select("id", "piece", "cosine", "rank")
 
 
+_MINE = "label IN (0, 1, 2, 8, 9) AND id % 4 <> 1"
+_LEAST = f"{round(2 * S['relink_best'] - 1, 9)}"
+
+
+def _uploads(spark, sf):
+    """Items of which half are uploads, a quarter of those cut from a known look."""
+    return _doubles(spark, sf).withColumns({"user_added": F.col("label").isin(0, 1, 2, 8, 9), "reference_look": F.when(F.col("id") % 4 == 1, F.col("id"))})
+
+
 @query("relink_margin", f"""
 SELECT id, piece, best, gap, best >= 0.97 AS takes_category FROM (SELECT id, max(piece) FILTER (WHERE rank = 1) AS piece, round((max(cosine) FILTER (WHERE rank = 1) + 1) / 2, 9) AS best,
-  round(coalesce((max(cosine) FILTER (WHERE rank = 1) - max(cosine) FILTER (WHERE rank = 2)) / 2, 1.0), 9) AS gap FROM ({_BEST2}) WHERE rank <= 2 GROUP BY id) WHERE best >= 0.94 AND gap >= 0.03""")
+  round(coalesce((max(cosine) FILTER (WHERE rank = 1) - max(cosine) FILTER (WHERE rank = 2)) / 2, 1.0), 9) AS gap FROM ({_BEST2}) WHERE rank <= 2 AND {_MINE} GROUP BY id) WHERE best >= 0.94 AND gap >= 0.03""")
 def relink_margin(spark, sf):
-    return vectors.relink(best_two(spark, sf))
+    """Uploads without a reference look whose best look piece is close and clearly ahead."""
+    return vectors.relink_uploads(_uploads(spark, sf), pieces(spark, sf))
+
+
+@query("relink_work", f"""
+WITH piv AS (SELECT family, vector, n FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST(piece AS VARCHAR)), piece) AS n FROM piece_v) WHERE n <= {vectors.PIVOTS}),
+mine AS (SELECT * FROM vec_v WHERE {_MINE}),
+ang AS (SELECT 'v' AS side, v.id, n, acos(greatest(-1.0, least(1.0, {_COS.format('v.vector', 'x.vector')}))) AS angle FROM mine v, piv x
+  UNION ALL SELECT 'p', p.piece, n, acos(greatest(-1.0, least(1.0, {_COS.format('p.vector', 'x.vector')}))) FROM piece_v p, piv x),
+pairs AS (SELECT v.id, p.piece, round({_COS.format('v.vector', 'p.vector')}, 9) >= {_LEAST} AS close FROM mine v JOIN piece_v p ON p.family = v.family),
+met AS (SELECT a.id, b.id AS piece FROM ang a JOIN ang b ON a.side = 'v' AND b.side = 'p' AND a.n = b.n GROUP BY 1, 2 HAVING max(abs(a.angle - b.angle)) <= acos({_LEAST}) + 1e-6)
+SELECT count(*) AS pairs, count(met.id) AS computed, count(*) FILTER (WHERE close) AS close FROM pairs LEFT JOIN met ON met.id = pairs.id AND met.piece = pairs.piece""")
+def relink_work(spark, sf):
+    """How many of all pairs of an upload and a look piece needed a cosine."""
+    mine, parts = _uploads(spark, sf).where("user_added AND reference_look IS NULL"), pieces(spark, sf)
+    close, computed = vectors.close_pairs(mine, parts, float(_LEAST))
+    per_family = mine.groupBy("family").count().join(parts.groupBy("family").agg(F.count("*").alias("n")), "family").agg(F.coalesce(F.sum(F.col("count") * F.col("n")), F.lit(0)).alias("pairs"))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return per_family.join(count(computed, "computed"), F.lit(True)).join(count(close, "close"), F.lit(True)).select("pairs", "computed", "close")
 
 
 def _cache(spark, sf):

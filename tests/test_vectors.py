@@ -45,6 +45,21 @@ def test_a_query_finds_itself_and_odd_lengths_never_compare(spark):
     assert [(r["id"], r["cosine"] > 0.9999) for r in got] == [(1, True), (2, False)]
 
 
+def test_close_pairs_lose_none(spark):
+    """Pruned pairs against all pairs, with several families, odd lengths and vectors on a pivot; most pairs need no cosine."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 5))
+    make = lambda n, scale: [(i, "siglip" if i % 5 else "local", [float(x) for x in centres[i % 12] * (1 + i % 3) + rng.normal(scale=scale, size=5)]) for i in range(n)]
+    items, pieces = make(200, 0.3), make(36, 0.2)
+    items += [(900, "siglip", []), (901, "siglip", [1.0, 2.0]), (902, "siglip", [0.0] * 5), (903, "siglip", pieces[1][2])]
+    pieces += [(901, "siglip", [1.0, 2.1])]
+    cos = lambda a, b: round(float(np.dot(a, b) / max(1e-12, np.linalg.norm(a) * np.linalg.norm(b))), 9) if len(a) == len(b) and len(a) else None
+    want = {(i, p) for i, f, v in items for p, g, w in pieces if f == g and cos(v, w) is not None and cos(v, w) >= 0.9}
+    close, computed = vectors.close_pairs(spark.createDataFrame(items, "id long, family string, vector array<double>"), spark.createDataFrame(pieces, "piece long, family string, vector array<double>"), 0.9)
+    assert {(r["id"], r["piece"]) for r in close.collect()} == want and len(want) > 100
+    assert computed.count() < 0.4 * sum(f == g for _, f, _ in items for _, g, _ in pieces)
+
+
 def test_cache_rules_and_batches(spark):
     items = spark.createDataFrame([(1, "h1", None, ""), (2, "h2", None, ""), (3, "h3", [1.0], "siglip:m"), (4, "h4", [1.0], "siglip:old")],
                                   "id long, hash string, stored_vector array<double>, stored_engine string")
