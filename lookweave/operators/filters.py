@@ -65,17 +65,32 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
+PIECE = {"piece_id": "string", "label": "string", "layer": "string", "category": "string", "bbox": "array<double>", "confidence": "double", "subcategory": "string",
+         **{n: "array<string>" for n in ("colors", "materials", "fits", "details")}, **{n: "string" for n in ("color", "material", "fit", "sleeve_length", "length", "pattern", "neckline")},
+         "visual_embedding": "array<double>", "visual_embedding_engine": "string"}
+
+
 def normalize_pieces(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw look pieces -> (usable pieces, looks without any).
+    """Raw look pieces -> (usable pieces with all their fields, looks without any).
 
-    ``raw``: look, pos, piece_id, label, category, colors, bbox, confidence; anything may be missing.
+    ``raw``: look, pos and any of the columns of ``PIECE``; anything may be missing.  A list that is absent is replaced by the single
+    value beside it (colors by color, and so on), an empty list stays empty.  A usable piece has a known category, a colour and
+    a confidence of one half or more.
     """
     c = F.col
+    raw = raw.withColumns({n: F.lit(None).cast(t) for n, t in PIECE.items() if n not in raw.columns})
+    given = lambda name: F.nullif(c(name), F.lit(""))
+    listed = lambda many, one: clean_list(F.coalesce(many, F.when(c(one).isNotNull(), F.array(one))))
+    known = lambda name: F.coalesce(given(name), F.lit(dims.UNKNOWN)).alias(name)
+    number = c("pos").cast("string")
     normal = raw.select(
-        "look", "pos", F.coalesce("piece_id", F.concat(F.lit("piece-"), c("pos").cast("string"))).alias("piece_id"),
-        F.coalesce(F.nullif(c("label"), F.lit("")), F.nullif(c("category"), F.lit("")), F.concat(F.lit("의류 "), c("pos").cast("string"))).alias("label"),
-        F.trim(F.coalesce("category", F.lit(""))).alias("category"), clean_list(c("colors")).alias("colors"),
+        "look", "pos", F.coalesce(given("piece_id"), F.concat(F.lit("piece-"), number)).alias("piece_id"),
+        F.coalesce(given("label"), given("subcategory"), given("category"), F.concat(F.lit("의류 "), number)).alias("label"),
+        F.coalesce(given("layer"), F.lit("단독")).alias("layer"), F.trim(F.coalesce("category", F.lit(""))).alias("category"),
         F.when(F.size("bbox") == 4, F.transform("bbox", lambda v: clamp(F.coalesce(v, F.lit(0.0)), 0, 1000))).alias("bbox"),
+        listed("colors", "color").alias("colors"), listed("materials", "material").alias("materials"), listed("fits", "fit").alias("fits"), clean_list(c("details")).alias("details"),
+        known("sleeve_length"), known("length"), F.coalesce(given("subcategory"), given("label"), F.lit(dims.UNKNOWN)).alias("subcategory"), known("pattern"), known("neckline"),
+        "visual_embedding", F.coalesce("visual_embedding_engine", F.lit("")).alias("visual_embedding_engine"),
         clamp(F.coalesce("confidence", F.lit(0.8)), 0, 1).alias("confidence"))
     good = c("category").isin(dims.CATEGORIES) & (F.size("colors") > 0) & (c("confidence") >= 0.5)
     counted = normal.groupBy("look").agg(F.bool_or(good).alias("any"))

@@ -80,12 +80,14 @@ def page_urls(spark, sf):
 
 
 @query("trusted_source", f"""
-SELECT page_id, host, ({_TRUST}) AS trusted, regexp_matches(url, {quote(dims.BLOCKED_HOSTS)}) AS blocked FROM (
-  SELECT page_id, url, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS host FROM purl_v)""")
+SELECT page_id, host, ({_TRUST}) AS trusted, regexp_matches(url, {quote(dims.BLOCKED_HOSTS)}) AS blocked, CASE WHEN page_id % 17 = 5 THEN '' ELSE url END AS safe_url FROM (
+  SELECT page_id, url, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') AS host FROM purl_v)""")
 def trusted_source(spark, sf):
+    """Hosts, trust and the address to link to; some addresses have a protocol that nothing may link to."""
     url = F.col("url")
+    shown = F.when(F.col("page_id") % 17 == 5, F.regexp_replace(url, "^[a-z]+://", "javascript://")).otherwise(url)
     return page_urls(spark, sf).select("page_id", filters.host(url).alias("host"), filters.trusted(url).alias("trusted"),
-                                       matches(url, dims.BLOCKED_HOSTS).alias("blocked"))
+                                       matches(url, dims.BLOCKED_HOSTS).alias("blocked"), filters.safe_url(shown).alias("safe_url"))
 
 
 _NAMES = {"en": ("of the", "With"), "fr": ("de la", "Leaux"), "de": ("für sch", "Aulich"), "es": ("es un", "Cionos")}
@@ -101,31 +103,46 @@ def mention_filter(spark, sf):
     return table(spark, sf, "documents").where(filters.mentions(F.col("text"), pick(0, "noname"), pick(1, "nohandle"))).select("doc_id")
 
 
+_TEXTS = ["piece_id", "label", "layer", "category", "colors", "materials", "fits", "details", "sleeve_length", "length", "subcategory", "pattern", "neckline", "engine"]
+_or_unknown = lambda when, value: f"CASE WHEN {when} THEN '{value}' ELSE '{dims.UNKNOWN}' END"
+
+
 @query("normalize_pieces", f"""
 WITH n AS (SELECT look, pos, CASE WHEN part % 5 = 0 THEN concat('piece-', pos) ELSE concat('p', part) END AS piece_id,
-  CASE WHEN part % 3 = 0 THEN CASE WHEN part % 13 <> 0 THEN category ELSE concat('의류 ', pos) END ELSE name END AS label,
+  CASE WHEN part % 3 = 0 THEN CASE WHEN part % 13 <> 0 THEN concat(' ', category) ELSE concat('의류 ', pos) END ELSE name END AS label, CASE WHEN part % 10 = 0 THEN '이너' ELSE '단독' END AS layer,
   CASE WHEN part % 13 = 0 THEN '' ELSE category END AS category, CASE WHEN part % 4 = 0 THEN '' WHEN part % 4 = 1 THEN color ELSE concat(color, ',베이지') END AS colors,
+  CASE part % 6 WHEN 0 THEN '울' WHEN 1 THEN '코튼,면' ELSE '' END AS materials, CASE WHEN part % 7 = 0 THEN '' ELSE '슬림' END AS fits, CASE WHEN part % 5 = 1 THEN '포켓,지퍼' ELSE '' END AS details,
+  {_or_unknown('part % 3 = 1', '반팔')} AS sleeve_length, {_or_unknown('part % 4 = 1', '롱')} AS length,
+  CASE WHEN part % 6 = 2 THEN '셔츠' WHEN part % 3 <> 0 THEN name ELSE '{dims.UNKNOWN}' END AS subcategory, {_or_unknown('part % 8 = 0', '체크')} AS pattern, {_or_unknown('part % 9 = 0', '카라')} AS neckline,
+  CASE WHEN part % 3 = 0 THEN 'siglip:m1' ELSE '' END AS engine, CASE WHEN part % 3 = 0 THEN 2 ELSE 0 END AS dims,
   least(1000.0, greatest(0.0, (part % 7) * 200.0 - 100)) AS x0, least(1000.0, greatest(0.0, (part % 9) * 150.0)) AS x1,
   CASE WHEN part % 11 = 0 THEN 0.8 ELSE least(1.0, greatest(0.0, confidence * 1.3 - 0.4)) END AS confidence FROM req_v)
-SELECT look, pos, piece_id, label, category, colors, x0, x1, round(confidence, 6) AS confidence, 'piece' AS status FROM n
+SELECT look, pos, {', '.join(_TEXTS)}, dims, x0, x1, round(confidence, 6) AS confidence, 'piece' AS status FROM n
 WHERE category <> '' AND colors <> '' AND confidence >= 0.5
-UNION ALL SELECT look, 0, '', '', '', '', 0.0, 0.0, 0.0, 'empty' FROM n GROUP BY look HAVING NOT bool_or(category <> '' AND colors <> '' AND confidence >= 0.5)""")
+UNION ALL SELECT look, 0, {', '.join("''" for _ in _TEXTS)}, 0, 0.0, 0.0, 0.0, 'empty' FROM n GROUP BY look HAVING NOT bool_or(category <> '' AND colors <> '' AND confidence >= 0.5)""")
 def normalize_pieces(spark, sf):
     c = F.col
     part = c("part")
+    only = lambda when, value: F.when(when, F.lit(value))
     raw = view(spark, sf, "req_v").select(
         "look", "pos", F.when(part % 5 != 0, F.concat(F.lit("p"), part.cast("string"))).alias("piece_id"),
         F.when(part % 3 != 0, c("name")).alias("label"), F.when(part % 13 != 0, F.concat(F.lit(" "), c("category"))).alias("category"),
-        F.when(part % 4 == 0, F.array(F.lit(" "), F.lit(None))).when(part % 4 == 1, F.array(F.concat(c("color"), F.lit(" ")))).otherwise(
-            F.array(c("color"), F.lit(""), F.lit("베이지"))).alias("colors"),
+        F.when(part % 4 == 0, F.array(F.lit(" "), F.lit(None))).when(part % 4 == 2, F.array(c("color"), F.lit(""), F.lit("베이지"))).when(
+            part % 4 == 3, F.array(F.concat(c("color"), F.lit(" ")), F.lit("베이지"))).alias("colors"), F.concat(c("color"), F.lit(" ")).alias("color"),
+        F.when(part % 6 == 1, F.array(F.lit("코튼 "), F.lit(""), F.lit(None), F.lit("면"))).when(part % 6 != 0, F.array().cast("array<string>")).alias("materials"), F.lit(" 울").alias("material"),
+        F.when(part % 7 != 0, F.array(F.lit("슬림"))).alias("fits"), F.when(part % 5 == 1, F.array(F.lit("포켓"), F.lit(" 지퍼 "))).alias("details"),
+        only(part % 3 == 1, "반팔").alias("sleeve_length"), F.when(part % 4 == 1, "롱").otherwise("").alias("length"), only(part % 6 == 2, "셔츠").alias("subcategory"),
+        only(part % 8 == 0, "체크").alias("pattern"), only(part % 9 == 0, "카라").alias("neckline"), only(part % 10 == 0, "이너").alias("layer"),
+        F.when(part % 3 == 0, F.array(F.lit(1.0), (part % 5).cast("double"))).alias("visual_embedding"), only(part % 3 == 0, "siglip:m1").alias("visual_embedding_engine"),
         F.array((part % 7) * 200.0 - 100, F.lit(0.0), (part % 9) * 150.0, F.lit(1e6)).alias("bbox"),
         F.when(part % 11 != 0, c("confidence") * 1.3 - 0.4).alias("confidence"))
-    raw = raw.withColumn("label", F.coalesce("label", F.trim("category")))
     good, empty = filters.normalize_pieces(raw)
-    rows = good.select("look", "pos", "piece_id", "label", "category", F.array_join("colors", ",").alias("colors"), c("bbox")[0].alias("x0"),
-                       c("bbox")[2].alias("x1"), F.round("confidence", 6).alias("confidence"), F.lit("piece").alias("status"))
+    good = good.withColumns({n: F.array_join(n, ",") for n in ("colors", "materials", "fits", "details")}).withColumnRenamed("visual_embedding_engine", "engine")
+    rows = good.select("look", "pos", *_TEXTS, F.coalesce(F.size("visual_embedding"), F.lit(0)).alias("dims"), c("bbox")[0].alias("x0"), c("bbox")[2].alias("x1"),
+                       F.round("confidence", 6).alias("confidence"), F.lit("piece").alias("status"))
+    rows = rows.withColumn("dims", F.greatest("dims", F.lit(0)))
     blank = F.lit("")
-    return rows.unionByName(empty.select("look", F.lit(0).alias("pos"), *[blank.alias(n) for n in ("piece_id", "label", "category", "colors")],
+    return rows.unionByName(empty.select("look", F.lit(0).alias("pos"), *[blank.alias(n) for n in _TEXTS], F.lit(0).alias("dims"),
                                          *[F.lit(0.0).alias(n) for n in ("x0", "x1", "confidence")], F.lit("empty").alias("status")))
 
 
