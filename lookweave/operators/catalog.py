@@ -75,6 +75,25 @@ def apply_overrides(items: DataFrame, fixes: DataFrame, subcategory: str) -> Dat
         F.concat_ws(" ", "color", "_category", pad3(c("id"))).alias("name"), c("_category").alias("category"))
 
 
+def correct_sources(sources: DataFrame, corrected: DataFrame) -> DataFrame:
+    """Source records with the fields of the corrected catalogue item of the same rank, and how many categories changed in all.
+
+    The image paths of the two differ, so the rank joins them.  A corrected record loses its brand; one without an item stays.
+    """
+    fields = ["category", "subcategory", "color", "name"]
+    new = corrected.select("rank", *[F.col(f).alias(f"_{f}") for f in fields], F.lit(True).alias("_hit"))
+    updated = F.coalesce("_hit", F.lit(False))
+    joined = sources.join(new, "rank", "left").withColumns({**{f: F.when(updated, F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}, "brand": F.when(~updated, F.col("brand")), "updated": updated})
+    changed = corrected.agg(F.count_if("changed").alias("changed_categories"))  # one row
+    return joined.drop("_hit", *[f"_{f}" for f in fields]).join(F.broadcast(changed), F.lit(True))
+
+
+def short_groups(rows: DataFrame, key: str, group: str, wanted: DataFrame) -> DataFrame:
+    """Groups of ``wanted`` (group, least) with fewer different keys than they need: group, found, least."""
+    found = rows.groupBy(group).agg(F.count_distinct(key).alias("found"))
+    return wanted.join(found, group, "left").withColumn("found", F.coalesce("found", F.lit(0))).where("found < least").select(group, "found", "least")
+
+
 def backfill(pieces: DataFrame, refined: DataFrame, keys: list[str], order: str, image: str, vector: str) -> DataFrame:
     """Latest refined image per key joined to the pieces; a new image makes the stored vector stale."""
     last = refined.groupBy(*keys).agg(F.max_by(image, order).alias(image))

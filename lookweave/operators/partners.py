@@ -42,18 +42,24 @@ def pair_bonus(anchor_category: Column, anchor_color: Column, category: Column,
             + F.when((anchor_color == "화이트") & (category == "신발") & (color == "화이트"), 20).otherwise(0))
 
 
-def outfit_partners(items: DataFrame, seen: Column, variation: int = 0) -> DataFrame:
-    """Partner per anchor item and partner category.
+def display_score(variation: int) -> int:
+    """The match score shown beside a variation."""
+    return max(84, 97 - 4 * variation)
+
+
+def outfit_partners(items: DataFrame, wearers: Sequence[str], variation: int = 0) -> DataFrame:
+    """Partner per wearer, anchor item and partner category.
 
     All anchors of one category and colour share their partners, and of the items that share
-    category, colour and denim only the first few by their own bonus can be picked.  So a
-    handful of leaders per attribute group meet a handful of anchor groups.
+    wearer, category, colour and denim only the first few by their own bonus can be picked.  So a
+    handful of leaders per attribute group meet a handful of anchor groups, for all wearers in one plan.
     """
     spark = items.sparkSession
     cats, colors = partner_dims(spark)
-    pool = items.where(seen).withColumns({"denim": F.contains("name", F.lit(DENIM)), "bonus": item_bonus(variation)})
-    sizes = pool.groupBy("category").agg(F.count("*").alias("pool_size"))
-    leaders = top_k(pool, ["category", "color", "denim"], [F.desc("bonus"), F.col("id")], POOL).select("id", "category", "color", "denim", "bonus")
+    seen = F.array_compact(F.array(*[F.when(visible(w), F.lit(w)) for w in wearers]))
+    pool = items.withColumn("wearer", F.explode(seen)).withColumns({"denim": F.contains("name", F.lit(DENIM)), "bonus": item_bonus(variation)})
+    sizes = pool.groupBy("wearer", "category").agg(F.count("*").alias("pool_size"))
+    leaders = top_k(pool, ["wearer", "category", "color", "denim"], [F.desc("bonus"), F.col("id")], POOL).select("wearer", "id", "category", "color", "denim", "bonus")
     anchors = items.select(F.col("category").alias("anchor_category"), F.col("color").alias("anchor_color")).distinct()
     listed = F.when(F.col("anchor_category").isin([*dims.PARTNER_CATEGORIES]), F.col("anchor_category"))
     cats = cats.withColumnRenamed("anchor_category", "listed")
@@ -64,13 +70,13 @@ def outfit_partners(items: DataFrame, seen: Column, variation: int = 0) -> DataF
              .join(colors.withColumnsRenamed({"color": "c", "ranked_for": "f"}), F.col("ranked_for").eqNullSafe(F.col("f")) & (F.col("color") == F.col("c")), "left"))
     c = F.col
     score = pair_bonus(c("anchor_category"), c("anchor_color"), c("category"), c("color"), c("denim"), c("color_rank")) + c("bonus")
-    scored = pairs.select("anchor_category", "anchor_color", "slot", "category", "id", score.alias("score"))
-    ranked = top_k(scored, ["anchor_category", "anchor_color", "slot"], [F.desc("score"), F.col("id")], POOL)
+    scored = pairs.select("wearer", "anchor_category", "anchor_color", "slot", "category", "id", score.alias("score"))
+    ranked = top_k(scored, ["wearer", "anchor_category", "anchor_color", "slot"], [F.desc("score"), F.col("id")], POOL)
     offset = F.pmod(F.lit(variation), F.greatest(F.lit(1), F.least(c("pool_size"), F.lit(POOL))))
-    picked = ranked.join(sizes, "category").where(c("rank") == offset + 1).select(
-        F.col("anchor_category"), F.col("anchor_color"), "slot", F.col("category").alias("partner_category"), F.col("id").alias("partner"), "score")
+    picked = ranked.join(sizes, ["wearer", "category"]).where(c("rank") == offset + 1).select(
+        "wearer", "anchor_category", "anchor_color", "slot", F.col("category").alias("partner_category"), F.col("id").alias("partner"), "score", F.lit(display_score(variation)).alias("shown"))
     return items.select(F.col("id").alias("anchor"), F.col("category").alias("anchor_category"), F.col("color").alias("anchor_color")).join(
-        picked, ["anchor_category", "anchor_color"]).select("anchor", "slot", "partner_category", "partner", "score")
+        picked, ["anchor_category", "anchor_color"]).select("wearer", "anchor", "slot", "partner_category", "partner", "score", "shown")
 
 
 def trend_match(items: DataFrame, trends: dict[str, Sequence], variation: int = 0) -> DataFrame:

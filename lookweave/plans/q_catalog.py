@@ -146,6 +146,15 @@ def quota_per_group(spark, sf):
     return catalog.quota_per_group(photos, "hash", "lang", "doc_id", 50).select("lang", "doc_id", "n")
 
 
+@query("short_groups", f"""
+SELECT lang, count(*) AS found, any_value(least) AS least FROM ({_FIRST_TEXT}), (SELECT count(*) // 4 AS least FROM documents) GROUP BY lang HAVING count(*) < any_value(least)""")
+def short_groups(spark, sf):
+    """Languages with fewer different texts than a quarter of all documents, which each of them is to have."""
+    photos = table(spark, sf, "documents").select("lang", F.sha2("text", 256).alias("hash"))
+    wanted = photos.select("lang").distinct().withColumn("least", F.lit(photos.count() // 4))
+    return catalog.short_groups(photos, "hash", "lang", wanted)
+
+
 @query("upsert_latest", """
 SELECT person, kind, look, value FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY ts DESC, id DESC) AS n FROM fb_v) WHERE n = 1 AND kind <> 'error'""")
 def upsert_latest(spark, sf):

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.color import hex_color_name
 from ..operators import catalog, partners
-from ..operators.filters import visible
 from ..operators.ranking import number_rows
 from .bindings import table, view
-from .oracle import add_view, quote, sql_list, sql_values
+from .oracle import add_view, quote, sql_in, sql_list, sql_values
 from .registry import query
 
 _SEEN = "NOT i.deleted AND (i.user_added OR i.gender IN ('all', {}))"
-_PCAT = sql_values([[quote(a), str(i), quote(p)] for a, ps in dims.PARTNER_CATEGORIES.items() for i, p in enumerate(ps)], "a, slot, p").removesuffix(" AS t(a, slot, p)")
+_PCAT = sql_values([[quote(a), str(i), quote(p)] for a, ps in {**dims.PARTNER_CATEGORIES, "-": dims.DEFAULT_PARTNER_CATEGORIES}.items() for i, p in enumerate(ps)], "a, slot, p").removesuffix(" AS t(a, slot, p)")
 _CRANK = "CASE a.color " + " ".join(f"WHEN {quote(a)} THEN list_position({sql_list(ps)}, i.color)" for a, ps in dims.PARTNER_COLORS.items()) + \
     f" ELSE list_position({sql_list(dims.DEFAULT_PARTNER_COLORS)}, i.color) END"
 
@@ -23,15 +22,13 @@ _CRANK = "CASE a.color " + " ".join(f"WHEN {quote(a)} THEN list_position({sql_li
 WITH g AS (SELECT DISTINCT category, color FROM item_v),
 s AS (SELECT w.wearer, a.category, a.color, d.slot, i.id, i.category AS pc, 50 + coalesce(24 - ({_CRANK} - 1) * 3, 0) + CASE WHEN a.color = '화이트' AND i.category = '하의' AND contains(i.name, '데님') THEN 22 ELSE 0 END
     + CASE WHEN a.color = '화이트' AND i.category = '신발' AND i.color = '화이트' THEN 20 ELSE 0 END + least(i.worn, 10) / 2.0 + (i.id * 4) % 9 AS score
-  FROM g a JOIN {_PCAT} AS d(a, slot, p) ON d.a = a.category JOIN item_v i ON i.category = d.p JOIN (VALUES ('women'), ('men')) AS w(wearer) ON {_SEEN.format('w.wearer')}),
+  FROM g a JOIN {_PCAT} AS d(a, slot, p) ON d.a = CASE WHEN a.category IN {sql_in(list(dims.PARTNER_CATEGORIES))} THEN a.category ELSE '-' END JOIN item_v i ON i.category = d.p JOIN (VALUES ('women'), ('men')) AS w(wearer) ON {_SEEN.format('w.wearer')}),
 r AS (SELECT *, row_number() OVER (PARTITION BY wearer, category, color, slot ORDER BY score DESC, id) AS n, count(*) OVER (PARTITION BY wearer, category, color, slot) AS pool FROM s)
-SELECT r.wearer, i.id AS anchor, r.slot, r.pc AS partner_category, r.id AS partner, CAST(r.score AS DOUBLE) AS score
+SELECT r.wearer, i.id AS anchor, r.slot, r.pc AS partner_category, r.id AS partner, CAST(r.score AS DOUBLE) AS score, 93 AS shown
 FROM item_v i JOIN r ON r.category = i.category AND r.color = i.color WHERE r.n = 1 % greatest(1, least(r.pool, 4)) + 1""")
 def outfit_partners(spark, sf):
     """Partners of every item among what women and what men see."""
-    items = view(spark, sf, "item_v")
-    women, men = (partners.outfit_partners(items, visible(w), variation=1).withColumn("wearer", F.lit(w)) for w in ("women", "men"))
-    return women.unionByName(men)
+    return partners.outfit_partners(view(spark, sf, "item_v"), ["women", "men"], variation=1)
 
 
 @query("partner_score", f"""
@@ -106,18 +103,39 @@ def enrich_color(spark, sf):
     return rows.join(shades, "l_suppkey", "left").select("look", "line", "part", F.coalesce("shade", F.lit(dims.MULTICOLOR)).alias("color"))
 
 
-@query("apply_overrides", """
-WITH o AS (SELECT l_partkey AS number, CASE max(l_linenumber) % 3 WHEN 0 THEN '상의' WHEN 1 THEN '아우터' ELSE '하의' END AS fixed FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 GROUP BY 1)
-SELECT id, coalesce(fixed, category) AS category, coalesce(fixed, category) <> category AS changed,
+_FIXED = "(SELECT l_partkey AS number, CASE max(l_linenumber) % 3 WHEN 0 THEN '상의' WHEN 1 THEN '아우터' ELSE '하의' END AS fixed FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 GROUP BY 1)"
+add_view("fixed_v", f"""
+SELECT id, source_rank, coalesce(fixed, category) AS category, coalesce(fixed, category) <> category AS changed, color,
   CASE WHEN coalesce(fixed, category) = category THEN noun WHEN fixed = '아우터' THEN '재킷·가디건' ELSE fixed END AS subcategory, concat(color, ' ', coalesce(fixed, category), ' ', CASE WHEN id > 99 THEN CAST(id AS VARCHAR) ELSE lpad(CAST(id AS VARCHAR), 3, '0') END) AS name
-FROM item_v LEFT JOIN o ON number = id""")
-def apply_overrides(spark, sf):
+FROM item_v LEFT JOIN {_FIXED} o ON number = id""")
+
+
+def _corrected(spark, sf):
     """Reviewed categories joined on the number in the image file name."""
     c = F.col
     items = view(spark, sf, "item_v").withColumn("image", F.format_string("assets/lookbook/look-%d.jpg", c("id")))
     fixes = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity = 50").groupBy(c("l_partkey").alias("number")).agg(F.max("l_linenumber").alias("line"))
     fixes = fixes.select("number", F.when(c("line") % 3 == 0, "상의").when(c("line") % 3 == 1, "아우터").otherwise("하의").alias("fixed"))
-    return catalog.apply_overrides(items, fixes, "noun").select("id", "category", "changed", "subcategory", "name")
+    return catalog.apply_overrides(items, fixes, "noun")
+
+
+@query("apply_overrides", "SELECT id, category, changed, subcategory, name FROM fixed_v")
+def apply_overrides(spark, sf):
+    return _corrected(spark, sf).select("id", "category", "changed", "subcategory", "name")
+
+
+@query("correct_sources", """
+WITH f AS (SELECT id AS rank, category, subcategory, color, name FROM fixed_v)
+SELECT p.p_partkey AS source_id, p.p_partkey * 2 AS rank, coalesce(f.category, p.p_type) AS category, coalesce(f.subcategory, p.p_type) AS subcategory, coalesce(f.color, '') AS color,
+  coalesce(f.name, p.p_name) AS name, CASE WHEN f.rank IS NULL THEN p.p_brand END AS brand, f.rank IS NOT NULL AS updated, (SELECT count(*) FROM fixed_v WHERE changed) AS changed_categories
+FROM part p LEFT JOIN f ON f.rank = p.p_partkey * 2""")
+def correct_sources(spark, sf):
+    """Source records that get the corrected fields of the catalogue item of their rank, beside the number of changed categories."""
+    c = F.col
+    sources = table(spark, sf, "part").select(c("p_partkey").alias("source_id"), (c("p_partkey") * 2).alias("rank"), c("p_type").alias("category"), c("p_type").alias("subcategory"),
+                                              F.lit("").alias("color"), c("p_name").alias("name"), c("p_brand").alias("brand"))
+    fixed = _corrected(spark, sf).withColumn("rank", c("id"))
+    return catalog.correct_sources(sources, fixed)
 
 
 @query("overlay_merge", """

@@ -1,7 +1,5 @@
 """Literal counts of the fixed tables, and the target of the ranking sources."""
 
-from pyspark.sql import functions as F
-
 from lookweave import dims
 from lookweave.operators import catalog, partners
 
@@ -20,7 +18,25 @@ def test_sources_take_turns_until_the_target(spark):
 
 
 def test_unlisted_anchor_gets_the_usual_partners(spark):
-    rows = [(1, "모자", "블랙", "모자", 0), (2, "상의", "화이트", "셔츠", 1), (3, "하의", "블랙", "바지", 1), (4, "신발", "블랙", "구두", 1)]
-    items = spark.createDataFrame(rows, "id long, category string, color string, name string, worn int")
-    got = partners.outfit_partners(items, F.lit(True))
-    assert sorted((r["slot"], r["partner"]) for r in got.where("anchor = 1").collect()) == [(0, 2), (1, 3), (2, 4)]
+    """For each wearer among what they see, in one plan."""
+    rows = [(1, "모자", "블랙", "모자", 0, "all"), (2, "상의", "화이트", "셔츠", 1, "all"), (3, "하의", "블랙", "바지", 1, "men"), (4, "신발", "블랙", "구두", 1, "all"), (5, "하의", "블랙", "치마", 1, "women")]
+    items = spark.createDataFrame([(*r, False, False) for r in rows], "id long, category string, color string, name string, worn int, gender string, user_added boolean, deleted boolean")
+    got = partners.outfit_partners(items, ["women", "men"])
+    assert sorted((r["wearer"], r["slot"], r["partner"], r["shown"]) for r in got.where("anchor = 1").collect()) == [
+        ("men", 0, 2, 97), ("men", 1, 3, 97), ("men", 2, 4, 97), ("women", 0, 2, 97), ("women", 1, 5, 97), ("women", 2, 4, 97)]
+    assert [partners.display_score(v) for v in range(5)] == [97, 93, 89, 85, 84]
+
+
+def test_sources_take_the_corrected_fields(spark):
+    sources = spark.createDataFrame([(1, 10, "a", "a", "", "n1", "b1"), (2, 11, "a", "a", "", "n2", "b2")], "source_id long, rank long, category string, subcategory string, color string, name string, brand string")
+    fixed = spark.createDataFrame([(10, "상의", "셔츠", "블랙", "블랙 상의 010", True), (12, "하의", "x", "y", "z", True), (13, "하의", "x", "y", "z", False)],
+                                  "rank long, category string, subcategory string, color string, name string, changed boolean")
+    got = {r["source_id"]: r for r in catalog.correct_sources(sources, fixed).collect()}
+    assert (got[1]["name"], got[1]["brand"], got[1]["updated"], got[1]["changed_categories"]) == ("블랙 상의 010", None, True, 2)
+    assert (got[2]["name"], got[2]["brand"], got[2]["updated"], got[2]["changed_categories"]) == ("n2", "b2", False, 2)
+
+
+def test_short_groups_are_reported(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1)], "g string, k long")
+    wanted = spark.createDataFrame([("a", 2), ("b", 2), ("c", 1)], "g string, least long")
+    assert sorted(tuple(r) for r in catalog.short_groups(rows, "k", "g", wanted).collect()) == [("b", 1, 2), ("c", 0, 1)]
