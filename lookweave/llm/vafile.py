@@ -8,6 +8,8 @@ wave of ``WAVE`` per query, then every row that the k-th exact score of the wave
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,13 +21,19 @@ SCALE = 1024
 CELLS = 64  # to a dimension
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 WAVE = 3  # times k
+LARGEST = 1 << 53
+FLOAT = 1e-12  # relative error of a sum of products, with room to spare
 
 
 def integer_vectors(rows: DataFrame, column: str = "embedding") -> DataFrame:
-    """vec_id and the components as floor(1024 * x); rows with a null vector or a null, NaN or infinite component are out."""
+    """vec_id and the components as floor(1024 * x); rows with a null vector or a null, NaN or infinite component are out.
+
+    Components beyond 2^53 on either side, where doubles no longer tell whole numbers apart, count as 2^53.
+    """
     vector = F.transform(F.col(column), lambda x: x.cast("double"))
     fine = F.col(column).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return rows.where(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x * SCALE)).cast("array<long>").alias("v"))
+    held = lambda x: F.greatest(F.lit(float(-LARGEST)), F.least(F.lit(float(LARGEST)), x * SCALE))
+    return rows.where(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(held(x))).cast("array<long>").alias("v"))
 
 
 def _codes(vectors: DataFrame) -> DataFrame:
@@ -41,7 +49,11 @@ def _codes(vectors: DataFrame) -> DataFrame:
 
 
 def _exact(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    """The whole inner product; it is counted in 38 digits and ends at the limits of a long."""
+    digits = "decimal(38,0)"
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("decimal(19,0)") * y.cast("decimal(19,0)")).cast(digits)), F.lit(0).cast(digits), lambda s, x: (s + x).cast(digits))
+    ends = [F.lit(Decimal(n)).cast(digits) for n in (-(1 << 63), (1 << 63) - 1)]
+    return F.greatest(ends[0], F.least(ends[1], total)).cast("long")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -49,7 +61,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     ``rows`` and ``queries`` are (vec_id, v).  A query meets every row of its dimension but those of its own id; queries
     with fewer than k such rows get all of them.  Repeated rows of one id are candidates each for itself, while a repeated
-    query is asked once.  Empty tables give no rows.  Sums are exact while they stay below 2^53.
+    query is asked once.  Empty tables give no rows.  Scores are exact; beyond the limits of a long
+    they count as the limit, ties then going to the smaller vec_id as always.
     """
     with scratch(rows.sparkSession) as keep:
         return keep(_top_k(rows, queries.dropDuplicates(["vec_id"]), k))
@@ -79,6 +92,8 @@ def _top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             under, over = np.minimum(q, 0), np.maximum(q, 0)
             base, width = q @ floor.T, (step - 1).T
             upper, lower = base + over.sum(axis=1)[:, None] * width, base + under.sum(axis=1)[:, None] * width
+            slack = FLOAT * (np.abs(q).sum(axis=1)[:, None] * np.abs(floor).max(axis=1, initial=0)[None, :] + over.sum(axis=1)[:, None] * width - under.sum(axis=1)[:, None] * width)
+            upper, lower = upper + slack, lower - slack  # what sums of large doubles may be off
             itself = own["query_id"].to_numpy()[:, None] == ids[None, :]
             lower[itself] = -np.inf
             cut = np.partition(lower, -k, axis=1)[:, -k][:, None] if len(held) > k else -np.inf

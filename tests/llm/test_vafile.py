@@ -36,3 +36,14 @@ def test_repeated_rows_and_empty_tables(spark):
     assert got == [(0, 1, 5, 2048 * 1024), (0, 2, 5, 2048 * 1024)]
     assert vafile.top_k(rows.limit(0), rows.limit(0), 3).count() == 0
     assert vafile.top_k(rows, rows.limit(0), 3).count() == 0
+
+
+def test_large_components(spark):
+    """Huge finite components take part: whole sums beyond 2^53, limits of a long, ties by id."""
+    made = [(0, [1e9, -2e9]), (1, [1e9, 1e12]), (2, [3e12, 1e5]), (3, [1e300, 1e300]), (4, [-1e300, -1e300]), (5, [1e9 + 1.5, -2e9]), (6, [1e9 + 1.5, -2e9 - 0.25]), (7, [0.0, 0.0]), (8, [1e300, 1e299])]
+    rows = vafile.integer_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>"))
+    whole = [(i, [max(-(1 << 53), min(1 << 53, int(np.floor(min(max(1024 * x, -1e17), 1e17))))) for x in v]) for i, v in made]
+    for asked in (0, 3, 4):
+        want = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(whole[asked][1], v)))), i) for i, v in whole if i != asked)
+        got = sorted(tuple(r) for r in vafile.top_k(rows, rows.where(f"vec_id = {asked}"), 5).collect())
+        assert got == [(asked, r, i, -s) for r, (s, i) in enumerate(want[:5], 1)]
