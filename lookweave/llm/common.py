@@ -34,6 +34,14 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "replace").lower().split()
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that ``frame`` does not have, in whatever case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 FILTER_BITS = 24
 
 

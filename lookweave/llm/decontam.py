@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
-from .common import FILTER_BITS, bit_filter, passing, slices, words_of
+from .common import FILTER_BITS, bit_filter, fresh, passing, slices, words_of
 
 MASKS = ("110111", "11111")
 WINDOW = 16
@@ -180,9 +180,10 @@ def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without any overlap, all columns kept."""
-    keyed = _keyed(documents.withColumnRenamed("key", "__key") if "key" in documents.columns else documents)
+    """The rows without any overlap, all columns kept, whatever their names."""
+    own = {c: fresh(documents, "__key") for c in documents.columns if c.lower() == "key"}
+    keyed = _keyed(documents.withColumnsRenamed(own))
     with scratch(documents.sparkSession) as keep:
         gone = keep(_overlaps(keyed, benchmark)[0].select("key").distinct())
     left = keyed.join(gone, "key", "left_anti").drop("key")
-    return left.withColumnRenamed("__key", "key") if "key" in documents.columns else left
+    return left.withColumnsRenamed({spare: c for c, spare in own.items()}).select(documents.columns)

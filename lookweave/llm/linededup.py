@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
-from .common import FILTER_BITS, bit_filter, passing, slices
+from .common import FILTER_BITS, bit_filter, fresh, passing, slices
 
 COUNT_BITS, BLOCK_BITS = 24, 14  # counters of the rarity order, counters to a block
 LEVEL = 48  # a token's key is its level of rarity above a hash of this many bits
@@ -311,7 +311,8 @@ def drop_lines(documents: DataFrame, first: DataFrame, length: str | None = None
     """
     schema, at = documents.schema, documents.columns
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST))
-    held = documents.withColumn("__doc", own).join(_by_document(first).select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept")), "__doc", "left")
+    doc, lines_kept = fresh(documents, "__doc"), fresh(documents, "__kept")
+    held = documents.withColumn(doc, own).join(_by_document(first).select(F.col("doc").alias(doc), F.col("kept").alias(lines_kept)), doc, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -332,4 +333,4 @@ def drop_lines(documents: DataFrame, first: DataFrame, length: str | None = None
                 columns[at.index(length)] = pa.array(sizes, columns[at.index(length)].type)
             yield pa.RecordBatch.from_arrays(columns, names=at).filter(pa.array(stay, pa.bool_()))
 
-    return held.select(*[F.col(f"`{c}`") for c in at], "__kept").mapInArrow(run, schema)
+    return held.select(*[F.col(f"`{c}`") for c in at], lines_kept).mapInArrow(run, schema)

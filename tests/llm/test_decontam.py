@@ -65,3 +65,11 @@ def test_missing_ids(spark):
     frame = spark.createDataFrame([(None, text), (2, text), (2, text)], "doc_id long, text string")
     bench = spark.createDataFrame([(9, text)], "item_id long, text string")
     assert sorted((str(r["doc_id"]), r["item_id"]) for r in decontam.contaminations(frame, bench).collect()) == [("2", 9), ("None", 9)]
+
+
+def test_dropped_rows_keep_columns_of_any_name(spark):
+    passage = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, passage, "k", 1), (2, "something else", "l", 2)], "doc_id long, text string, KEY string, __key int")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = decontam.drop_contaminated(docs, bench)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(2, "something else", "l", 2)]

@@ -68,3 +68,9 @@ def test_empty_table_and_missing_ids(spark):
     assert removed(rows(spark, [])) == set()
     docs = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c")], "doc_id long, text string")
     assert removed(docs) == {(linededup.LARGEST, 0)}
+
+
+def test_dropped_lines_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one line of words\nother", 5, "a", [1], 2), (2, "one line of words", 6, "b", [2], 3)], "doc_id long, text string, __doc int, __KEPT string, kept array<int>, n_chars long")
+    got = linededup.drop_lines(docs, linededup.first_lines(docs), "n_chars")
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "one line of words\nother", 5, "a", [1], 2)]
