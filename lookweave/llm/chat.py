@@ -65,6 +65,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     id the first (turn, name, arguments) counts and the others have the status ``duplicate``; of several results the first
     (turn, content) counts.  ``unidentified``: a null id; ``orphan``: a result without call; ``open``: a call without
     result; ``cycle``: a call that waits for itself; ``invalid``: arguments that break the schema; else ``ok``.
+    ``json`` has every call's arguments, whatever its status; a text that does not parse (or repeats a key) stands under ``raw``.
     Positions count a conversation's rows from 1 by depth (those without one last), turn, id and text; a null conv_id is a
     conversation of its own.  Empty tables give no rows.
     """
@@ -87,15 +88,16 @@ def _linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFra
     state = (F.when(F.col("depth").isNull(), "cycle").when(F.col("answered").isNull(), "open").when(F.size("problems") > 0, "invalid").otherwise("ok"))
     shared = [*ID, "after", "turn", "name", "depth", "status", "problems", "parsed", "arguments", "result", "result_turn"]
     linked = linked.withColumn("status", state).select(*shared)
-    none = {"depth": "bigint", "problems": "array<string>", "parsed": "variant", "result": "string", "result_turn": "bigint"}
+    none = {"depth": "bigint", "problems": "array<string>", "result": "string", "result_turn": "bigint"}
     odd = calls.where("nth > 1 OR call_id IS NULL OR conv_id IS NULL").withColumn("status", F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), "unidentified").otherwise("duplicate"))
-    odd = odd.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}).select(*shared)
+    odd = odd.withColumns({"parsed": F.try_parse_json("arguments"), **{c: F.lit(None).cast(t) for c, t in none.items()}}).select(*shared)
     # the kept side of an orphan may hold null ids, which never equal a call's
     orphans = first.join(proper.select(*ID), ID, "left_anti").withColumn("status", F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), "unidentified").otherwise("orphan"))
     empty = {"after": "string", "name": "string", "arguments": "string", "depth": "bigint", "problems": "array<string>", "parsed": "variant"}
     orphans = orphans.withColumn("turn", F.col("result_turn")).withColumns({c: F.lit(None).cast(t) for c, t in empty.items()}).select(*shared)
     every = linked.unionByName(odd).unionByName(orphans).withColumn("call_id", F.col("call_id").cast("string"))
-    body = F.struct(F.col("after").alias("after"), F.col("parsed").alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"), F.col("result").alias("result"), F.col("status").alias("status"))
+    raw = F.when(F.col("parsed").isNull(), F.col("arguments"))  # a text that is not JSON is kept as it is
+    body = F.struct(F.col("after").alias("after"), F.col("parsed").alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"), raw.alias("raw"), F.col("result").alias("result"), F.col("status").alias("status"))
     every = every.withColumn("json", F.to_json(body)).drop("parsed")
     order = [F.col("depth").asc_nulls_last(), F.col("turn"), F.col("call_id"), F.col("status"), F.col("json")]
     every = every.withColumn("conversation", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))

@@ -99,17 +99,17 @@ def op6_chat_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns as tool calls, the turns that answer them as results.
 
     A call's id is made of its conversation and turn; it uses the result of the call two turns before, and the turn after
-    it is its result.  Its arguments hold the text, a word count (as text if the text has as many lines as five) and, for
+    it is its result.  Turns without conversation or number have no id, a first turn that is no call answers none.  A call's arguments hold the text, a word count (as text if the text has as many lines as five) and, for
     texts of more lines than one, a line count.
     """
-    turns = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    name = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id"), turn)
+    turns = table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     words, lines = F.expr(_WORDS), F.expr(_LINES)
     given = [F.to_json(F.struct(lines.alias("lines"), F.coalesce("text", F.lit("")).alias("query"), count.alias("words"))) for count in (words.cast("string"), words)]
     plain = F.to_json(F.struct(words.alias("words"), F.coalesce("text", F.lit("")).alias("query")))
     arguments = F.when(lines >= 5, given[0]).when(lines >= 1, given[1]).otherwise(plain)
     calls = turns.where("role = 'assistant'").select("conv_id", name(F.col("turn")).alias("call_id"), name(F.col("turn") - 2).alias("after"), "turn", F.expr(_NAME).alias("name"), arguments.alias("arguments"))
-    results = turns.where("role <> 'assistant' OR role IS NULL").where("turn >= 1").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = turns.where("role <> 'assistant' OR role IS NULL").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     schemas = spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean")
     linked = chat.link(calls, results, schemas)
     return linked.select("conv_id", "call_id", "position", F.coalesce("depth", F.lit(-1)).alias("depth"), "status", F.concat_ws(", ", "problems").alias("problems"), "json")
@@ -117,7 +117,7 @@ def op6_chat_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _J = "to_json(coalesce(text, ''))"
 ORACLES["op6_chat_linking"] = f"""
-WITH RECURSIVE turns AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+WITH RECURSIVE turns AS (SELECT * FROM conversations),
 shaped AS (SELECT DISTINCT conv_id, turn, {_NAME} AS name, {_LINES} AS lines, {_WORDS} AS words, text FROM turns WHERE role = 'assistant'),
 calls AS (
   SELECT conv_id, turn, name, lines, 'call-' || conv_id || '-' || turn AS call_id, 'call-' || conv_id || '-' || (turn - 2) AS after,
@@ -126,14 +126,14 @@ calls AS (
          ELSE '{{"query":' || {_J} || ',"words":' || words || '}}' END AS arguments
   FROM shaped),
 nth AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY turn, name, arguments) AS nth FROM calls),
-proper AS (SELECT * FROM nth WHERE nth = 1),
+proper AS (SELECT * FROM nth WHERE nth = 1 AND call_id IS NOT NULL),
 chain AS (
   SELECT call_id, CAST(0 AS BIGINT) AS depth FROM proper WHERE after NOT IN (SELECT call_id FROM proper)
   UNION ALL SELECT p.call_id, c.depth + 1 FROM chain c JOIN proper p ON p.after = c.call_id),
 answers AS (
-  SELECT 'call-' || conv_id || '-' || (turn - 1) AS call_id, any_value(conv_id) AS conv_id, any_value(turn) AS turn, min(text) AS result, bool_or(text IS NULL) AS bare
-  FROM turns WHERE (role <> 'assistant' OR role IS NULL) AND turn >= 1 GROUP BY ALL),
-first AS (SELECT call_id, conv_id, turn, CASE WHEN bare THEN NULL ELSE result END AS result FROM answers),
+  SELECT conv_id, call_id, list({{'turn': turn, 'text': text}} ORDER BY turn NULLS FIRST, text NULLS FIRST)[1] AS f FROM (
+    SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, turn, text FROM turns WHERE role <> 'assistant' OR role IS NULL) GROUP BY conv_id, call_id),
+first AS (SELECT call_id, conv_id, f.turn AS turn, f.text AS result FROM answers),
 checked AS (
   SELECT p.*, c.depth, f.result, f.call_id IS NOT NULL AS answered, CASE WHEN name = 'other' THEN 'unknown tool' ELSE concat_ws(', ',
     CASE WHEN name = 'note' AND lines = 0 THEN 'missing lines' END, CASE WHEN lines >= 5 THEN 'type words' END,
@@ -142,12 +142,13 @@ checked AS (
 rows AS (
   SELECT conv_id, call_id, turn, depth, after, arguments, name, result, problems,
     CASE WHEN NOT answered THEN 'open' WHEN problems <> '' THEN 'invalid' ELSE 'ok' END AS status FROM checked
-  UNION ALL SELECT conv_id, call_id, turn, NULL, NULL, NULL, name, NULL, '', 'duplicate' FROM nth WHERE nth > 1
-  UNION ALL SELECT conv_id, call_id, turn, NULL, NULL, NULL, NULL, result, '', 'orphan' FROM first WHERE call_id NOT IN (SELECT call_id FROM proper)),
+  UNION ALL SELECT conv_id, call_id, turn, NULL, after, arguments, name, NULL, '', CASE WHEN call_id IS NULL THEN 'unidentified' ELSE 'duplicate' END FROM nth WHERE nth > 1 OR call_id IS NULL
+  UNION ALL SELECT conv_id, call_id, turn, NULL, NULL, NULL, NULL, result, '', CASE WHEN call_id IS NULL THEN 'unidentified' ELSE 'orphan' END FROM first
+    WHERE call_id IS NULL OR call_id NOT IN (SELECT call_id FROM proper)),
 written AS (
   SELECT *, '{{' || concat_ws(',', '"after":"' || after || '"', '"arguments":' || arguments, '"id":"' || call_id || '"',
     '"name":"' || name || '"', '"result":' || to_json(result), '"status":"' || status || '"') || '}}' AS json FROM rows)
-SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY depth NULLS LAST, turn, call_id, status, json) AS position,
+SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY depth NULLS LAST, turn NULLS FIRST, call_id NULLS FIRST, status, json) AS position,
   CAST(coalesce(depth, -1) AS BIGINT) AS depth, status, problems, json FROM written"""
 
 

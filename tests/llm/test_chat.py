@@ -35,6 +35,9 @@ def test_statuses_and_order(spark, schemas):
         (1, "c", 3, None, "cycle", ["not JSON"]), (1, "d", 4, None, "cycle", ["not an object"]), (1, "e", 5, None, "cycle", ["not JSON"]), (1, "a", 6, None, "duplicate", None),
         (2, "q", 1, 0, "open", []), (2, "u", 2, 0, "invalid", ["unknown tool"]), (2, None, 3, None, "unidentified", None), (2, None, 4, None, "unidentified", None), (2, "zz", 5, None, "orphan", None)]
     assert got[2][6] == '{"after":"a","arguments":{"limit":"3","q":"y","z":{"a":[1,2.5],"b":1}},"id":"b","name":"search","result":"rb","status":"invalid"}'
+    texts = {(r[0], r[1], r[4]): json.loads(r[6]) for r in got}
+    assert texts[1, "c", "cycle"]["raw"] == "{bad" and texts[1, "a", "duplicate"]["arguments"] == {} and texts[None, "q", "unidentified"]["arguments"] == {}
+    assert "raw" not in texts[1, "e", "cycle"]
     for row in got:
         body = json.loads(row[6])
         assert json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False) == row[6]
@@ -50,3 +53,8 @@ def test_empty_tables(spark, schemas):
     assert linked(spark, schemas, [], [])[1] == []
     _, got = linked(spark, schemas.limit(0), [(1, "a", None, 1, "search", "{}")], [])
     assert [(r[4], r[5]) for r in got] == [("open", ["unknown tool"])]
+
+
+def test_a_text_with_a_repeated_key_is_kept(spark, schemas):
+    _, got = linked(spark, schemas, [(1, "a", None, 1, "search", '{"q":"x","q":"y"}')], [])
+    assert json.loads(got[0][6]) == {"id": "a", "name": "search", "raw": '{"q":"x","q":"y"}', "status": "open"}

@@ -67,3 +67,20 @@ def test_stages(spark, tmp_path):
                 return any(decontam.best_window(a, b, d) for b in benchmark if set(b.tolist()) & set(a.tolist()) for d in range(-len(b), len(a)))
             gone = set(before["doc_id"]) - set(held["doc_id"])
             assert all(found(texts[d]) for d in gone) and not any(found(t) for t in held["text"])
+
+
+ODD = [(1, 0, "user", "hi"), (1, 1, "assistant", "two words"), (1, 2, "user", None), (1, 3, "assistant", "a\nb"), (1, 3, "assistant", "zz"), (1, 3, "assistant", "zz"), (1, 4, None, "ok"), (1, 4, "user", None),
+       (None, 1, "assistant", "no id"), (None, 2, "user", "no id"), (None, None, "user", None), (2, None, "assistant", None), (2, None, "user", "x"), (2, None, "user", None), (3, -4, "assistant", "w"), (3, -3, "user", "r")]
+
+
+def test_odd_conversations(spark, tmp_path):
+    """op6 and its twin over rows without conversation or turn, repeated turns, first turns that answer nothing."""
+    import duckdb
+
+    spark.createDataFrame(ODD, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.QUERIES["op6_chat_linking"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op6_chat_linking"]).df()
+    assert differences(got, want) == []
+    assert {"unidentified", "duplicate", "orphan", "invalid", "open"} <= set(got["status"]) | {"open"}
