@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
+from .ranking import top_k
 
 
 def with_thresholds(rows: DataFrame) -> DataFrame:
@@ -55,3 +56,19 @@ def detection_rates(detections: DataFrame, photos: DataFrame, fixed_fill: float
     total = photos.agg(F.count("*")).scalar()
     return table.select(
         "model", "category", F.array_position(order, F.col("category")).alias("place"), "passed", (F.col("passed") / total).alias("rate"), "mean_confidence")
+
+
+def refine_selection(detections: DataFrame, requests: DataFrame, tie: list[str], most: int = dims.REFINE_LIMIT) -> DataFrame:
+    """The detections that each photo's request asks to refine: the first ``most``, and how many were left out.
+
+    ``detections``: photo, category, area, accepted and the ``tie`` columns.  ``requests``: photo, include_rejected, categories (an array, empty
+    or null for all), overrides (a map from category to category, or null).  Accepted ones go first, larger ones first.
+    """
+    c = F.col
+    asked = detections.join(requests, "photo").where(c("accepted") | F.coalesce("include_rejected", F.lit(False)))
+    every = F.coalesce(F.size("categories"), F.lit(0)) <= 0
+    asked = asked.where(every | F.array_contains(F.coalesce("categories", F.array().cast("array<string>")), c("category")))
+    totals = asked.groupBy("photo").agg(F.greatest(F.lit(0).cast("long"), F.count("*") - most).alias("skipped"))
+    first = top_k(asked, ["photo"], [F.desc("accepted"), F.desc("area"), *[c(t) for t in tie]], most)
+    target = F.coalesce(F.try_element_at("overrides", c("category")), c("category"))
+    return first.join(totals, "photo").withColumn("target", target)

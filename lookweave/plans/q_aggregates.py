@@ -9,7 +9,7 @@ from ..operators import evaluation, quality
 from ..session import shared_folder
 from ..sources import tables
 from .bindings import table, view
-from .oracle import quote, add_view, sql_list
+from .oracle import add_view, quote, sql_in, sql_list
 from .registry import query
 
 add_view("gate_v", """
@@ -131,18 +131,25 @@ def detection_order(spark, sf):
     return accepted_first(rows, ["photo"], "accepted", "area", ["line", "part", "supp"]).select("photo", "line", "part", "accepted", "area", "place")
 
 
+_REFINED = ["상의", "하의", "아우터", "신발"]
+
+
 @query("refine_selection", f"""
-WITH w AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY area DESC, line, part) AS n, count(*) OVER (PARTITION BY photo) AS wanted FROM gate_v WHERE gate = 'pass' AND category IN ('상의', '하의', '아우터', '신발'))
-SELECT photo, line, part, category AS source_category, CASE category WHEN '아우터' THEN '상의' ELSE category END AS category, greatest(0, wanted - {dims.REFINE_LIMIT}) AS skipped FROM w WHERE n <= {dims.REFINE_LIMIT}""")
+WITH w AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY gate = 'pass' DESC, area DESC, line, part, supp) AS n, count(*) OVER (PARTITION BY photo) AS wanted FROM gate_v
+  WHERE (gate = 'pass' OR photo % 3 = 0) AND (photo % 4 = 0 OR category IN {sql_in(_REFINED)}))
+SELECT photo, line, part, gate = 'pass' AS accepted, category AS source_category, CASE WHEN photo % 5 = 4 THEN category WHEN category = '아우터' THEN '상의' WHEN photo % 5 = 3 AND category = '신발' THEN '액세서리' ELSE category END AS category,
+  greatest(0, wanted - {dims.REFINE_LIMIT}) AS skipped FROM w WHERE n <= {dims.REFINE_LIMIT}""")
 def refine_selection(spark, sf):
-    """Accepted detections of the wanted categories, the first four per photo, then the category overrides."""
-    from ..operators.ranking import top_k
-
-    rows = quality.with_thresholds(view(spark, sf, "det_v")).where((quality.gate() == "pass") & F.col("category").isin("상의", "하의", "아우터", "신발"))
-    totals = rows.groupBy("photo").agg(F.greatest(F.lit(0).cast("long"), F.count("*") - dims.REFINE_LIMIT).alias("skipped"))
-    best = top_k(rows, ["photo"], [F.desc("area"), F.col("line"), F.col("part")], dims.REFINE_LIMIT)
-    target = F.when(F.col("category") == "아우터", "상의").otherwise(F.col("category"))
-    return best.join(totals, "photo").select("photo", "line", "part", F.col("category").alias("source_category"), target.alias("category"), "skipped")
+    """What the request of every photo asks to refine: wanted categories, rejected ones for some, the first four, with the request's category overrides."""
+    c = F.col
+    rows = quality.with_thresholds(view(spark, sf, "det_v")).withColumn("accepted", quality.gate() == "pass")
+    text = lambda *pairs: F.create_map(*[F.lit(x) for x in pairs])
+    photo = c("photo")
+    requests = rows.select("photo").distinct().select(
+        "photo", (photo % 3 == 0).alias("include_rejected"), F.when(photo % 4 != 0, F.array(*[F.lit(x) for x in _REFINED])).alias("categories"),
+        F.when(photo % 5 == 3, text("아우터", "상의", "신발", "액세서리")).when(photo % 5 != 4, text("아우터", "상의")).alias("overrides"))
+    best = quality.refine_selection(rows, requests, ["line", "part", "supp"])
+    return best.select("photo", "line", "part", "accepted", c("category").alias("source_category"), c("target").alias("category"), "skipped")
 
 
 @query("repair_summary", """

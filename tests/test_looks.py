@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lookweave.operators import feedback, matching
+from lookweave.operators import feedback, matching, quality
 
 
 def test_a_look_that_is_not_analysed_scores_nothing(spark):
@@ -30,3 +30,11 @@ def test_retention_needs_every_item(spark):
     got = {r["person"]: (r["ts"], r["retained"]) for r in feedback.retain_last_good(attempts, "person", F.col("ok"), ["ts"], ["ts"], "items", alive).collect()}
     # 2 lost an item, 4 never had a usable attempt, 6 holds an unknown item; 3 is fresh, whatever became of its item
     assert got == {1: (1, True), 3: (1, False), 5: (1, True), 7: (2, True)}
+
+
+def test_refine_selection_follows_the_request(spark):
+    rows = [(p, i, cat, area, ok) for p in (1, 2, 3) for i, (cat, area, ok) in enumerate([("상의", 0.5, True), ("아우터", 0.9, False), ("하의", 0.7, True), ("신발", 0.2, True), ("가방", 0.1, True)])]
+    detections = spark.createDataFrame(rows, "photo long, line int, category string, area double, accepted boolean")
+    requests = spark.createDataFrame([(1, False, [], None), (2, True, ["상의", "아우터"], {"아우터": "상의"}), (4, True, None, None)], "photo long, include_rejected boolean, categories array<string>, overrides map<string,string>")
+    got = sorted((r["photo"], r["rank"], r["category"], r["target"], r["skipped"]) for r in quality.refine_selection(detections, requests, ["line"], 3).collect())
+    assert got == [(1, 1, "하의", "하의", 1), (1, 2, "상의", "상의", 1), (1, 3, "신발", "신발", 1), (2, 1, "상의", "상의", 0), (2, 2, "아우터", "상의", 0)]
