@@ -67,16 +67,20 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("shape", SHAPES)
-def test_subtree_totals(spark, shape):
-    rng, n = np.random.default_rng(1), 240
-    parent = [None] + [SHAPES[shape](k, rng) for k in range(1, n)]
-    depth, value = [0] * n, [int(x) for x in rng.integers(-5, 9, n)]
-    for k in range(1, n):
-        depth[k] = depth[parent[k]] + 1
-    total = list(value)
-    for k in sorted(range(1, n), key=lambda k: -depth[k]):
-        total[parent[k]] += total[k]
-    tree = spark.createDataFrame([(k, parent[k], depth[k], value[k]) for k in range(n)], "id long, parent long, depth long, value long")
+def test_subtree_totals(spark):
+    """A chain, a star, random trees and caterpillars side by side."""
+    rng, n, rows, total = np.random.default_rng(1), 240, [], []
+    for shape, pick in enumerate(SHAPES.values()):
+        first = shape * n
+        parent = [None] + [first + pick(k, rng) for k in range(1, n)]
+        depth, value = [0] * n, [int(x) for x in rng.integers(-5, 9, n)]
+        for k in range(1, n):
+            depth[k] = depth[parent[k] - first] + 1
+        rows += [(first + k, parent[k], depth[k], value[k]) for k in range(n)]
+        own = list(value)
+        for k in sorted(range(1, n), key=lambda k: -depth[k]):
+            own[parent[k] - first] += own[k]
+        total += own
+    tree = spark.createDataFrame(rows, "id long, parent long, depth long, value long")
     got = {r["id"]: r["value"] for r in prefixtrie.subtree_totals(tree, ["value"]).collect()}
     assert got == dict(enumerate(total))
