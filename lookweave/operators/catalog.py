@@ -89,9 +89,10 @@ def correct_sources(sources: DataFrame, corrected: DataFrame) -> DataFrame:
 
 
 def short_groups(rows: DataFrame, key: str, group: str, wanted: DataFrame) -> DataFrame:
-    """Groups of ``wanted`` (group, least) with fewer different keys than they need: group, found, least."""
-    found = rows.groupBy(group).agg(F.count_distinct(key).alias("found"))
-    return wanted.join(found, group, "left").withColumn("found", F.coalesce("found", F.lit(0))).where("found < least").select(group, "found", "least")
+    """Groups of ``wanted`` (group, least) with fewer different keys than they need: group, found, least.  Rows without a group are one."""
+    found = rows.groupBy(F.col(group).alias("_group")).agg(F.count_distinct(key).alias("found"))
+    joined = wanted.join(found, F.col(group).eqNullSafe(F.col("_group")), "left")
+    return joined.withColumn("found", F.coalesce("found", F.lit(0))).where("found < least").select(group, "found", "least")
 
 
 def backfill(pieces: DataFrame, refined: DataFrame, keys: list[str], order: str, image: str, vector: str) -> DataFrame:

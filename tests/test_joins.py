@@ -40,3 +40,20 @@ def test_short_groups_are_reported(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1)], "g string, k long")
     wanted = spark.createDataFrame([("a", 2), ("b", 2), ("c", 1)], "g string, least long")
     assert sorted(tuple(r) for r in catalog.short_groups(rows, "k", "g", wanted).collect()) == [("b", 1, 2), ("c", 0, 1)]
+
+
+def test_texts_count_for_their_first_language(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from check import differences
+
+    rows = [(1, "a", "en"), (2, "a", "de"), (3, "b", "de"), (4, "c", None), (5, "c", "fr"), (6, "d", None), (7, None, "es"), (8, None, "de")]
+    rows += [(20 + i, f"text {i}", "en") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("short_groups", "quota_per_group"):
+        got = entry.queries()[name](spark, str(tmp_path)).toPandas()
+        assert differences(got, con.execute(entry.oracle_sql()[name]).df()) == []
+        assert got["lang"].isna().any()
