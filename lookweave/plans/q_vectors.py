@@ -132,10 +132,11 @@ def _uploads(spark, sf):
 
 @query("relink_margin", f"""
 SELECT id, piece, best, gap, best >= 0.97 AS takes_category FROM (SELECT id, max(piece) FILTER (WHERE rank = 1) AS piece, round((max(cosine) FILTER (WHERE rank = 1) + 1) / 2, 9) AS best,
-  round(coalesce((max(cosine) FILTER (WHERE rank = 1) - max(cosine) FILTER (WHERE rank = 2)) / 2, 1.0), 9) AS gap FROM ({_BEST2}) WHERE rank <= 2 AND {_MINE} GROUP BY id) WHERE best >= 0.94 AND gap >= 0.03""")
+  round(coalesce((max(cosine) FILTER (WHERE rank = 1) - max(cosine) FILTER (WHERE rank = 2)) / 2, 1.0), 9) AS gap FROM ({_BEST2}) WHERE rank <= 2 GROUP BY id) WHERE best >= 0.94 AND gap >= 0.03""")
 def relink_margin(spark, sf):
-    """Uploads without a reference look whose best look piece is close and clearly ahead."""
-    return vectors.relink_uploads(_uploads(spark, sf), pieces(spark, sf))
+    """Items whose best look piece is close and clearly ahead; all of them are uploads without a reference look here."""
+    uploads = _doubles(spark, sf).withColumns({"user_added": F.lit(True), "reference_look": F.lit(None).cast("long")})
+    return vectors.relink_uploads(uploads, pieces(spark, sf))
 
 
 @query("relink_work", f"""

@@ -70,3 +70,21 @@ def test_cache_rules_and_batches(spark):
     assert sorted(r["count"] for r in plan) == [6, 32, 32]
     encoded = vectors.encode(vectors.encode_plan(spark.range(5)), lambda it: (f.assign(vector=[[1.0]] * len(f)) for f in it), "id long, batch long, vector array<double>")
     assert encoded.count() == 5
+
+
+def test_every_item_may_be_linked_again(spark, tmp_path):
+    """Items of labels and ids that an earlier form of the query left out."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from check import differences
+
+    rng = np.random.default_rng(5)
+    near = lambda label: [float(v) for v in 10 * np.eye(12)[label] + rng.normal(scale=0.3, size=12)]
+    rows = [(i, i % 10, [float(v) for v in rng.normal(size=12)]) for i in range(10)] + [(i, i % 10, near(i % 10)) for i in range(10, 90)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = entry.queries()["relink_margin"](spark, str(tmp_path)).toPandas()
+    assert differences(got, con.execute(entry.oracle_sql()["relink_margin"]).df()) == []
+    assert (got["id"] % 4 == 1).any() and (got["id"] % 10 == 4).any()
