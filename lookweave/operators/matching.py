@@ -53,7 +53,11 @@ def with_analysis(items: DataFrame, analyses: DataFrame | None = None) -> DataFr
 
     A stored analysis counts as a whole; an attribute it lacks is unknown, not read off the name.
     """
-    seeded = seed_attributes(items).withColumns({"construction": F.array_join("construction", " "), "secondary_colors": F.lit("")})
+    named = items.select("category", "name", "color").distinct()  # names are read once, however many items share them
+    seeds = seed_attributes(named).withColumns({"construction": F.array_join("construction", " "), "secondary_colors": F.lit("")})
+    seeds = materialize(seeds.withColumnsRenamed({x: f"_{x}" for x in named.columns}))
+    same = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in named.columns]
+    seeded = items.drop(*[x for x in seeds.columns if x in items.columns]).join(seeds, same[0] & same[1] & same[2], "left").drop(*[f"_{x}" for x in named.columns])
     if analyses is None:
         return seeded
     stored = analyses.select("id", F.struct(*[F.coalesce(a, F.lit("")).alias(a) for a in ANALYSIS]).alias("_stored"))
@@ -123,7 +127,7 @@ class Sides:
     """Items and requirements with the numbers (hashes) of the texts behind their scores."""
 
     own: DataFrame  # item, source_rank, category, pid (palette), aid (other texts), gender, user_added, vec
-    rows: DataFrame  # look, pos, qid
+    rows: DataFrame  # look, pos, kind (fields, vector and gender), qid
     wanted: DataFrame  # qid, wid, r_vec, r_gender
     wishes: DataFrame  # wid, r_category, rpid, bid
     palettes: tuple[DataFrame, DataFrame]  # (pid, palette), (rpid, r_palette)
@@ -133,22 +137,32 @@ class Sides:
 _CLASS = ["gender", "user_added", "vec"]  # what an item's score depends on besides its texts
 
 
+_TEXTS = ["category", "name", "color", *ANALYSIS]  # what the parts of an item are made of
+
+
+def _key(columns: list[str]) -> Column:
+    """Number (hash) of values; a null is a value of its own."""
+    return F.xxhash64(*[F.coalesce(F.col(x).cast("string"), F.lit("\u0001")) for x in columns])
+
+
 def sides(items: DataFrame, requirements: DataFrame) -> Sides:
-    """Items (with attributes) and requirements, reduced to what a score depends on."""
+    """Items (with attributes) and requirements, reduced to what a score depends on.  Texts are worked on once per different value."""
     c = F.col
     vec = F.coalesce("vec", F.lit(_NO_VECTOR)).cast("long")
     raw = ["category", *NEEDS]
-    asked = materialize(requirements.select("look", "pos", *[F.coalesce(x, F.lit("")).alias(x) for x in raw], vec.alias("r_vec"), c("gender").alias("r_gender")))
-    needs = need_parts(asked.select(*raw).distinct()).withColumns({"rpid": F.xxhash64("r_palette"), "bid": F.xxhash64(*_NEED_PARTS)})
+    asked = requirements.select("look", "pos", *[F.coalesce(x, F.lit("")).alias(x) for x in raw], vec.alias("r_vec"), c("gender").alias("r_gender"))
+    asked = materialize(asked.withColumn("kind", _key([*raw, "r_vec", "r_gender"])))
+    kinds = materialize(asked.drop("look", "pos").distinct())
+    needs = need_parts(kinds.select(*raw).distinct()).withColumns({"rpid": F.xxhash64("r_palette"), "bid": F.xxhash64(*_NEED_PARTS)})
     needs = materialize(needs.withColumn("wid", F.xxhash64("category", "rpid", "bid")))
-    rows = asked.join(needs.select(*raw, "wid"), raw).select("look", "pos", "wid", "r_vec", "r_gender")
-    rows = materialize(rows.withColumn("qid", F.xxhash64("wid", "r_vec", "r_gender")))
-    visible = items.where(~F.coalesce(c("deleted"), F.lit(False)))
-    plain = materialize(item_parts(visible).select(c("id").alias("item"), "category", "palette", *_ITEM_PARTS, "gender", "user_added", vec.alias("vec"),
-                                                   F.coalesce("source_rank", F.lit(999)).alias("source_rank")))
+    kinds = materialize(kinds.join(needs.select(*raw, "wid"), raw).withColumn("qid", F.xxhash64("wid", "r_vec", "r_gender")))
+    rows = asked.select("look", "pos", "kind").join(kinds.select("kind", "qid"), "kind")
+    visible = items.where(~F.coalesce(c("deleted"), F.lit(False))).withColumn("tid", _key(_TEXTS))
+    own = materialize(visible.select("tid", *_TEXTS, c("id").alias("item"), "gender", "user_added", vec.alias("vec"), F.coalesce("source_rank", F.lit(999)).alias("source_rank")))
+    plain = materialize(item_parts(own.select("tid", *_TEXTS).distinct()).select("tid", "palette", *_ITEM_PARTS))
     cut = materialize(_only_meeting(plain, needs).withColumns({"pid": F.xxhash64("palette"), "aid": F.xxhash64(*_ITEM_PARTS)}))
-    return Sides(cut.select("item", "source_rank", "category", "pid", "aid", *_CLASS), rows.select("look", "pos", "qid"),
-                 materialize(rows.select("qid", "wid", "r_vec", "r_gender").distinct()), materialize(needs.select("wid", c("category").alias("r_category"), "rpid", "bid").distinct()),
+    return Sides(materialize(own.join(cut.select("tid", "pid", "aid"), "tid").select("item", "source_rank", "category", "pid", "aid", *_CLASS)), rows.select("look", "pos", "kind", "qid"),
+                 materialize(kinds.select("qid", "wid", "r_vec", "r_gender").distinct()), materialize(needs.select("wid", c("category").alias("r_category"), "rpid", "bid").distinct()),
                  (cut.select("pid", "palette").distinct(), needs.select("rpid", "r_palette").distinct()),
                  (cut.select("aid", *_ITEM_PARTS).distinct(), needs.select("bid", *_NEED_PARTS).distinct()))
 
@@ -223,7 +237,9 @@ def best_lists(both: Sides, cosines: DataFrame) -> DataFrame:
     so the few classes with such a picture are met as they are.
     """
     c = F.col
-    cells = materialize(_best(both.own, ["category", "pid", "aid", *_CLASS], _ITEM_ORDER))  # items of a cell differ in their order only
+    cell = ["category", "pid", "aid", *_CLASS]  # items of a cell differ in their order only
+    at = F.row_number().over(Window.partitionBy(*cell).orderBy(*_ITEM_ORDER))
+    cells = materialize(both.own.withColumn("_at", at).where(c("_at") <= TOP).withColumn("cell", _key(cell)))
     by_category = cells.select(c("category").alias("r_category"), "pid", "aid").distinct()
     asked = both.wishes
     near = materialize(cosines.withColumn("visual", visual_score(c("cosine"))).where(c("visual") >= S["type_gate"]).select(c("vec").cast("long"), c("r_vec").cast("long")))
@@ -242,7 +258,7 @@ def best_lists(both: Sides, cosines: DataFrame) -> DataFrame:
 
     text = F.round(c("material_sim") * S["material"] + c("fit_sim") * S["fit"] + c("detail_sim") * S["detail"], 9)
     bids = asked.select(c("r_category").alias("category"), "bid").distinct()
-    by_text = cells.join(bids, "category").join(texts.where("NOT type_conflict"), ["aid", "bid"]).withColumn("text", text)
+    by_text = cells.drop("_at", "cell").join(bids, "category").join(texts.where("NOT type_conflict"), ["aid", "bid"]).withColumn("text", text)
     by_text = materialize(_best(by_text, ["category", "bid", "pid", *_CLASS], [F.desc("text"), *_ITEM_ORDER]))
     wish = asked.withColumnRenamed("r_category", "category")
     by_wish = by_text.join(wish, ["category", "bid"]).join(colors, ["pid", "rpid"]).withColumn("known", F.round(c("color_sim") * S["color"] + c("text"), 9))
@@ -250,36 +266,74 @@ def best_lists(both: Sides, cosines: DataFrame) -> DataFrame:
     by_wish = materialize(by_wish.select("wid", c("category").alias("r_category"), "category", *_CLASS, "item", "source_rank", "color_sim", "material_sim", "fit_sim", "detail_sim", "type_conflict"))
 
     usual = _score(with_cosine(both.wanted.join(by_wish, "wid"), cosines), direct=False).where(c("cosine").isNull() | (c("visual") < S["type_gate"]))
-    lifted = _score(with_cosine(pictured.join(colors, ["pid", "rpid"]).where(worth).join(texts, ["aid", "bid"]), cosines), direct=False)
+    # items of a cell tie on every score: the eight cells whose first items come first hold the eight best items
+    first = _score(with_cosine(pictured.where(c("_at") == 1).join(colors, ["pid", "rpid"]).where(worth).join(texts, ["aid", "bid"]), cosines), direct=False)
+    leading = _best(first, ["qid"], _best_first()).select("qid", "r_category", "cell", "similarity", "color_sim", "visual")
+    lifted = leading.join(cells.select("cell", "item", "source_rank", "user_added"), "cell")
     both_kinds = usual.select("qid", "r_category", *_VALUE).unionByName(lifted.select("qid", "r_category", *_VALUE))
     ranked = Window.partitionBy("qid").orderBy(*_best_first())
     return materialize(both_kinds.withColumn("rank", F.row_number().over(ranked)).where(c("rank") <= TOP))
 
 
-def candidates(items: DataFrame, requirements: DataFrame, cosines: DataFrame, references: DataFrame) -> DataFrame:
-    """Best eight items of every requirement row, ranked from 1.
+@dataclass(frozen=True)
+class Lists:
+    """Requirement rows and the lists of best items they have; few rows have a list of their own."""
 
-    ``items``: id, category, name, color, gender, user_added, vec, source_rank, deleted and the attributes of ``with_analysis``.
-    ``requirements``: look, pos, category, vec, gender and the fields of ``NEEDS``.
-    ``references``: (item, look) pairs of items cut from a look.
-    ``cosines``: (vec, r_vec, cosine) of comparable vectors.
-    """
+    rows: DataFrame  # look, pos, kind, lid, own (whether the list is in ``special``), first (its first item)
+    common: DataFrame  # lid, options: rank, item and what a candidate has, in order
+    special: DataFrame | None = None  # as ``common``
+
+    def joined(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (lid, own) with the options of their lists."""
+        if self.special is None:
+            return rows.join(self.common, "lid")
+        return rows.where("NOT own").join(self.common, "lid").unionByName(rows.where("own").join(self.special, "lid"))
+
+
+_OPTION = ["rank", "item", "category", "similarity", "color_sim", "visual", "direct", "user_added"]
+
+
+def _options(listed: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranked values by key -> one row per key with its options in order."""
+    return listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*_OPTION))).alias("options"))
+
+
+def candidate_lists(items: DataFrame, requirements: DataFrame, cosines: DataFrame, references: DataFrame) -> Lists:
+    """The lists of the best eight items of every requirement row; see ``candidates``.  Rows without candidates are left out."""
     c = F.col
     both, cosines = sides(items, requirements), materialize(cosines)
+    shown = lambda df, direct: df.withColumns({"category": c("r_category"), "color_sim": F.round("color_sim", 9), "visual": F.round("visual", 9), "direct": direct})
     listed = best_lists(both, cosines)
     # Only looks with items cut from them deviate from the list of their requirement.
-    special = materialize(direct_candidates(both, references, cosines))
-    touched = special.select("look", "qid").distinct()
+    direct = materialize(direct_candidates(both, references, cosines))
+    touched = direct.select("look", "qid").distinct()
     plain = touched.join(listed, "qid").select("look", "qid", "r_category", *_VALUE, F.lit(False).alias("direct"))
     # A direct reference never scores below the plain pair, so it replaces it.
-    merged = plain.unionByName(special.withColumn("direct", F.lit(True))).groupBy("look", "qid", "r_category", "item").agg(
+    merged = plain.unionByName(direct.withColumn("direct", F.lit(True))).groupBy("look", "qid", "r_category", "item").agg(
         F.max_by(F.struct(*_VALUE[1:], "direct"), c("direct")).alias("v")).select("look", "qid", "r_category", "item", "v.*")
     in_look = Window.partitionBy("look", "qid").orderBy(*_best_first())
     mixed = merged.withColumn("rank", F.row_number().over(in_look)).where(c("rank") <= TOP)
-    usual = both.rows.join(touched, ["look", "qid"], "left_anti").join(listed, "qid").withColumn("direct", F.lit(False))
-    result = usual.unionByName(both.rows.join(mixed, ["look", "qid"]).select(*usual.columns))
-    return result.select("look", "pos", c("r_category").alias("category"), "item", "similarity", F.round("color_sim", 9).alias("color_sim"),
-                         F.round("visual", 9).alias("visual"), "direct", "user_added", "rank")
+    special = materialize(_options(shown(mixed, c("direct")), ["look", "qid"]).withColumn("lid", F.xxhash64("look", "qid")))
+    common = materialize(_options(shown(listed, F.lit(False)), ["qid"]).withColumnRenamed("qid", "lid"))
+    first = c("options")[0]["item"].alias("first")
+    own = special.groupBy("look").agg(F.collect_list(F.struct("qid", "lid", first)).alias("_own"))
+    rows = both.rows.join(own, "look", "left").withColumn("_mine", F.try_element_at(F.filter("_own", lambda x: x["qid"] == c("qid")), F.lit(1)))
+    rows = rows.join(common.select(c("lid").alias("qid"), first.alias("_first")), "qid", "left")
+    rows = rows.select("look", "pos", "kind", F.coalesce("_mine.lid", "qid").alias("lid"), c("_mine").isNotNull().alias("own"), F.coalesce("_mine.first", "_first").alias("first"))
+    return Lists(rows.where("first IS NOT NULL"), common, special.select("lid", "options"))
+
+
+def candidates(items: DataFrame, requirements: DataFrame, cosines: DataFrame, references: DataFrame) -> DataFrame:
+    """Best eight items of every requirement row, ranked from 1.
+
+    ``items``: id, category, name, color, gender, user_added, vec, source_rank, deleted and the attributes of ``with_analysis``.
+    ``requirements``: look, pos, category, vec, gender and the fields of ``NEEDS``.
+    ``references``: (item, look) pairs of items cut from a look.
+    ``cosines``: (vec, r_vec, cosine) of comparable vectors.
+    """
+    lists = candidate_lists(items, requirements, cosines, references)
+    found = lists.joined(lists.rows.select("look", "pos", "lid", "own")).select("look", "pos", F.inline("options"))
+    return found.select("look", "pos", *_OPTION[2:3], "item", *_OPTION[3:], "rank")
 
 
 def _scored(pairs: DataFrame, both: Sides, cosines: DataFrame) -> DataFrame:
@@ -289,8 +343,9 @@ def _scored(pairs: DataFrame, both: Sides, cosines: DataFrame) -> DataFrame:
 
 def direct_candidates(both: Sides, references: DataFrame, cosines: DataFrame) -> DataFrame:
     """Pairs of a look's requirements with the items cut from that look."""
-    linked = references.join(both.own, "item")
-    pairs = materialize(both.rows.select("look", "qid").distinct().join(linked, "look").join(both.wanted, "qid").join(both.wishes, "wid"))
+    linked = materialize(references.join(both.own, "item"))
+    asking = both.rows.join(linked.select("look").distinct(), "look", "left_semi").select("look", "qid").distinct()
+    pairs = materialize(asking.join(linked, "look").join(both.wanted, "qid").join(both.wishes, "wid"))
     return _score(_scored(pairs, both, cosines), direct=True).select("look", "qid", "r_category", *_VALUE)
 
 
@@ -377,34 +432,26 @@ def _best_assignment(lists: list[list[tuple[int, int]]]) -> list[int]:
 
 
 def _assign_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One input row per look: its contested positions in search order with their candidates."""
+    """One input row per part of a look: its positions in search order with their candidates."""
     for frame in batches:
         out = []
         for look, lists in zip(frame["look"], frame["lists"]):
-            options = [[(int(c["item"]), int(c["weight"])) for c in entry["options"]] for entry in lists]
+            options = [list(zip(entry["items"].tolist(), entry["weights"].tolist())) for entry in lists]
             for entry, option, pick in zip(lists, options, _best_assignment(options)):
                 if pick < len(option):
-                    out.append((look, int(entry["pos"]), option[pick][0]))
-        yield pd.DataFrame(out, columns=["look", "pos", "item"])
-
-
-def _contested_lists(open_rows: DataFrame) -> DataFrame:
-    """(look, size, pos, options) with options in candidate order."""
-    weight = F.round(F.col("similarity") * 1e9).cast("long")
-    return open_rows.groupBy("look", "pos").agg(
-        F.count("*").alias("size"),
-        F.array_sort(F.collect_list(F.struct("rank", "item", weight.alias("weight")))).alias("options"))
+                    out.append((look, int(entry["pos"]), int(entry["kind"]), int(entry["lid"]), bool(entry["own"]), pick))
+        yield pd.DataFrame(out, columns=["look", "pos", "kind", "lid", "own", "at"])
 
 
 def _in_parts(lists: DataFrame) -> DataFrame:
-    """Contested lists with the part of their look they belong to: positions that share no item, even over others, need no common search.
+    """Lists with the part of their look they belong to: positions that share no item, even over others, need no common search.
 
     Only looks of more than ``LARGE`` positions are taken apart here, so that one such look spreads over tasks.
     """
     large = materialize(lists.groupBy("look").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).select("look"))
     if large.isEmpty():
         return lists.withColumn("part", F.lit(0))
-    wanted = lists.join(large, "look", "left_semi").select("look", "pos", F.explode("options.item").alias("item"))
+    wanted = lists.join(large, "look", "left_semi").select("look", "pos", F.explode("items").alias("item"))
     first = wanted.groupBy("look", "item").agg(F.min("pos").alias("b"))
     labels = graph.components(wanted.join(first, ["look", "item"]).select("look", F.col("pos").alias("a"), "b"), ["look"])
     known = labels.select("look", F.col("node").alias("pos"), F.col("label").alias("part"))
@@ -413,25 +460,38 @@ def _in_parts(lists: DataFrame) -> DataFrame:
 
 
 def assign(ranked: DataFrame) -> DataFrame:
-    """Use every item at most once per look: most requirements first, then the largest sum.
+    """Use every item at most once per look: most requirements first, then the largest sum."""
+    values = [x for x in ranked.columns if x not in ("look", "pos")]
+    order = ["rank", *[x for x in values if x != "rank"]]
+    listed = ranked.groupBy("look", "pos").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("options")).withColumn("lid", F.xxhash64("options"))
+    listed = materialize(listed.withColumns({"own": F.lit(False), "kind": F.lit(0).cast("long"), "first": F.col("options")[0]["item"]}))
+    common = materialize(listed.groupBy("lid").agg(F.first("options").alias("options")))
+    return assign_lists(Lists(listed.drop("options"), common)).select(*ranked.columns)
+
 
-    A requirement none of whose candidates is wanted elsewhere in its look takes its first
-    candidate; only the contested rest needs a search.  A search sees one connected part of a
-    look, and at most eight positions per distinct candidate list, however many rows a look has.
+def assign_lists(lists: Lists) -> DataFrame:
+    """The assignment over lists: (look, pos, kind) with the values of the option it got.
+
+    Where no two requirements of a look have the same first candidate, all of them take theirs, which nothing can exceed;
+    only the other looks need a search.  What travels is the number of a list; a search sees one connected part of a look,
+    and at most eight positions per distinct list, however many rows a look has.
     """
-    rivals = ranked.groupBy("look", "item").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("look", "item", F.lit(True).alias("_rival"))
-    own = Window.partitionBy("look", "pos")  # at most eight candidates
-    rows = materialize(ranked.join(rivals, ["look", "item"], "left").withColumn(
-        "_contested", F.bool_or(F.coalesce("_rival", F.lit(False))).over(own)).drop("_rival"))
-    free = rows.where(~F.col("_contested") & (F.col("rank") == 1)).drop("_contested")
-    contested = rows.where("_contested").drop("_contested")
+    c = F.col
     # Positions with the same list are interchangeable: the first of them are served first and
     # a list of eight serves eight at most, so the others stay without an item.
-    alike = Window.partitionBy("look", "options").orderBy("pos")
-    lists = materialize(_contested_lists(contested).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= TOP).drop("_n"))
-    packed = _in_parts(lists).groupBy("look", "part").agg(F.array_sort(F.collect_list(F.struct("size", "pos", "options"))).alias("lists"))
-    picked = packed.mapInPandas(_assign_batches, "look long, pos int, item long")
-    return free.unionByName(contested.join(picked, ["look", "pos", "item"], "left_semi"))
+    alike = Window.partitionBy("look", "lid").orderBy("pos")
+    rows = lists.rows.repartition("look").withColumn("_n", F.row_number().over(alike)).where(c("_n") <= TOP)
+    looks = rows.groupBy("look").agg(F.collect_list(F.struct("pos", "kind", "lid", "own", "first")).alias("asked"))
+    clash = F.size(F.array_distinct("asked.first")) < F.size("asked")
+    looks = materialize(looks.withColumn("clash", clash))
+    asked = lambda which: looks.where(which).select("look", F.inline("asked")).drop("first")
+    weights = F.transform("options.similarity", lambda x: F.round(x * 1e9).cast("long")).alias("weights")
+    contested = materialize(lists.joined(asked("clash")).select("look", "pos", "kind", "lid", "own", c("options.item").alias("items"), weights))
+    entry = F.struct(F.size("items").alias("size"), "pos", "kind", "lid", "own", "items", "weights")
+    packed = _in_parts(contested).groupBy("look", "part").agg(F.array_sort(F.collect_list(entry)).alias("lists"))
+    picked = packed.mapInPandas(_assign_batches, "look long, pos int, kind long, lid long, own boolean, at int")
+    served = asked("NOT clash").withColumn("at", F.lit(0)).unionByName(picked)
+    return lists.joined(served).withColumn("_o", c("options")[c("at")]).select("look", "pos", "kind", "_o.*")
 
 
 def signature(requirements: DataFrame) -> DataFrame:

@@ -92,14 +92,14 @@ def _items(spark, sf):
     return matching.with_analysis(view(spark, sf, "item_v"), view(spark, sf, "ana_v"))
 
 
-def _ranked(spark, sf):
-    return matching.candidates(_items(spark, sf), view(spark, sf, "need_v"), cosines(spark, sf), view(spark, sf, "ref_v"))
+def _sides(spark, sf):
+    return _items(spark, sf), view(spark, sf, "need_v"), cosines(spark, sf), view(spark, sf, "ref_v")
 
 
 @query("candidate_topk", "SELECT look, pos, category, item, similarity, round(color_sim, 9) AS color_sim, round(visual, 9) AS visual, "
        "direct, user_added, rank FROM cand_v")
 def candidate_topk(spark, sf):
-    return _ranked(spark, sf)
+    return matching.candidates(*_sides(spark, sf))
 
 
 # ---- assignment and everything built on it -----------------------------------------------
@@ -166,7 +166,7 @@ FROM (SELECT l.*, list_contains(string_split(l.shapes, ','), p.shape) AS hit FRO
 JOIN person_v p ON p.id = l.person""")
 
 def assigned(spark, sf):
-    return matching.assign(_ranked(spark, sf))
+    return matching.assign_lists(matching.candidate_lists(*_sides(spark, sf)))
 
 
 def kept(spark, sf):
