@@ -127,7 +127,8 @@ class Sides:
     """Items and requirements with the numbers (hashes) of the texts behind their scores."""
 
     own: DataFrame  # item, source_rank, category, pid (palette), aid (other texts), gender, user_added, vec
-    rows: DataFrame  # look, pos, kind (fields, vector and gender), qid
+    rows: DataFrame  # look, pos, kind (fields, vector and gender), qid, sid
+    signs: DataFrame  # kind, sid (number of the signature), signature
     wanted: DataFrame  # qid, wid, r_vec, r_gender
     wishes: DataFrame  # wid, r_category, rpid, bid
     palettes: tuple[DataFrame, DataFrame]  # (pid, palette), (rpid, r_palette)
@@ -155,13 +156,14 @@ def sides(items: DataFrame, requirements: DataFrame) -> Sides:
     kinds = materialize(asked.drop("look", "pos").distinct())
     needs = need_parts(kinds.select(*raw).distinct()).withColumns({"rpid": F.xxhash64("r_palette"), "bid": F.xxhash64(*_NEED_PARTS)})
     needs = materialize(needs.withColumn("wid", F.xxhash64("category", "rpid", "bid")))
-    kinds = materialize(kinds.join(needs.select(*raw, "wid"), raw).withColumn("qid", F.xxhash64("wid", "r_vec", "r_gender")))
-    rows = asked.select("look", "pos", "kind").join(kinds.select("kind", "qid"), "kind")
+    kinds = kinds.join(needs.select(*raw, "wid"), raw).withColumns({"qid": F.xxhash64("wid", "r_vec", "r_gender"), "signature": _signature()})
+    kinds = materialize(kinds.withColumn("sid", F.xxhash64("signature")))
+    rows = asked.select("look", "pos", "kind").join(kinds.select("kind", "qid", "sid"), "kind")
     visible = items.where(~F.coalesce(c("deleted"), F.lit(False))).withColumn("tid", _key(_TEXTS))
     own = materialize(visible.select("tid", *_TEXTS, c("id").alias("item"), "gender", "user_added", vec.alias("vec"), F.coalesce("source_rank", F.lit(999)).alias("source_rank")))
     plain = materialize(item_parts(own.select("tid", *_TEXTS).distinct()).select("tid", "palette", *_ITEM_PARTS))
     cut = materialize(_only_meeting(plain, needs).withColumns({"pid": F.xxhash64("palette"), "aid": F.xxhash64(*_ITEM_PARTS)}))
-    return Sides(materialize(own.join(cut.select("tid", "pid", "aid"), "tid").select("item", "source_rank", "category", "pid", "aid", *_CLASS)), rows.select("look", "pos", "kind", "qid"),
+    return Sides(materialize(own.join(cut.select("tid", "pid", "aid"), "tid").select("item", "source_rank", "category", "pid", "aid", *_CLASS)), rows.select("look", "pos", "kind", "qid", "sid"), kinds.select("kind", "sid", "signature"),
                  materialize(kinds.select("qid", "wid", "r_vec", "r_gender").distinct()), materialize(needs.select("wid", c("category").alias("r_category"), "rpid", "bid").distinct()),
                  (cut.select("pid", "palette").distinct(), needs.select("rpid", "r_palette").distinct()),
                  (cut.select("aid", *_ITEM_PARTS).distinct(), needs.select("bid", *_NEED_PARTS).distinct()))
@@ -279,9 +281,10 @@ def best_lists(both: Sides, cosines: DataFrame) -> DataFrame:
 class Lists:
     """Requirement rows and the lists of best items they have; few rows have a list of their own."""
 
-    rows: DataFrame  # look, pos, kind, lid, own (whether the list is in ``special``), first (its first item)
+    rows: DataFrame  # look, pos, kind, sid, lid, own (whether the list is in ``special``), first (its first item, null without any)
     common: DataFrame  # lid, options: rank, item and what a candidate has, in order
     special: DataFrame | None = None  # as ``common``
+    signs: DataFrame | None = None  # kind, sid, signature
 
     def joined(self, rows: DataFrame) -> DataFrame:
         """``rows`` (lid, own) with the options of their lists."""
@@ -299,7 +302,7 @@ def _options(listed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def candidate_lists(items: DataFrame, requirements: DataFrame, cosines: DataFrame, references: DataFrame) -> Lists:
-    """The lists of the best eight items of every requirement row; see ``candidates``.  Rows without candidates are left out."""
+    """The lists of the best eight items of every requirement row; see ``candidates``."""
     c = F.col
     both, cosines = sides(items, requirements), materialize(cosines)
     shown = lambda df, direct: df.withColumns({"category": c("r_category"), "color_sim": F.round("color_sim", 9), "visual": F.round("visual", 9), "direct": direct})
@@ -319,8 +322,8 @@ def candidate_lists(items: DataFrame, requirements: DataFrame, cosines: DataFram
     own = special.groupBy("look").agg(F.collect_list(F.struct("qid", "lid", first)).alias("_own"))
     rows = both.rows.join(own, "look", "left").withColumn("_mine", F.try_element_at(F.filter("_own", lambda x: x["qid"] == c("qid")), F.lit(1)))
     rows = rows.join(common.select(c("lid").alias("qid"), first.alias("_first")), "qid", "left")
-    rows = rows.select("look", "pos", "kind", F.coalesce("_mine.lid", "qid").alias("lid"), c("_mine").isNotNull().alias("own"), F.coalesce("_mine.first", "_first").alias("first"))
-    return Lists(rows.where("first IS NOT NULL"), common, special.select("lid", "options"))
+    rows = rows.select("look", "pos", "kind", "sid", F.coalesce("_mine.lid", "qid").alias("lid"), c("_mine").isNotNull().alias("own"), F.coalesce("_mine.first", "_first").alias("first"))
+    return Lists(rows, common, special.select("lid", "options"), both.signs)
 
 
 def candidates(items: DataFrame, requirements: DataFrame, cosines: DataFrame, references: DataFrame) -> DataFrame:
@@ -464,12 +467,27 @@ def assign(ranked: DataFrame) -> DataFrame:
     values = [x for x in ranked.columns if x not in ("look", "pos")]
     order = ["rank", *[x for x in values if x != "rank"]]
     listed = ranked.groupBy("look", "pos").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("options")).withColumn("lid", F.xxhash64("options"))
-    listed = materialize(listed.withColumns({"own": F.lit(False), "kind": F.lit(0).cast("long"), "first": F.col("options")[0]["item"]}))
+    listed = materialize(listed.withColumns({"own": F.lit(False), "kind": F.lit(0).cast("long"), "sid": F.lit(0).cast("long"), "first": F.col("options")[0]["item"]}))
     common = materialize(listed.groupBy("lid").agg(F.first("options").alias("options")))
     return assign_lists(Lists(listed.drop("options"), common)).select(*ranked.columns)
 
 
-def assign_lists(lists: Lists) -> DataFrame:
+def _looks(lists: Lists) -> DataFrame:
+    """One row per look: asked (its positions with candidates), clash (two of them have the same first candidate), total (signatures).
+
+    All that is known per requirement row meets here, in one shuffle; nothing after it goes back to the rows.
+    """
+    c = F.col
+    # Positions with the same list are interchangeable: the first of them are served first and
+    # a list of eight serves eight at most, so the others stay without an item.
+    alike = Window.partitionBy("look", "lid").orderBy("pos")
+    rows = lists.rows.repartition("look").withColumn("_n", F.row_number().over(alike))
+    entry = F.when(c("first").isNotNull() & (c("_n") <= TOP), F.struct("pos", "kind", "lid", "own", "first"))
+    looks = rows.groupBy("look").agg(F.collect_list(entry).alias("asked"), F.size(F.collect_set("sid")).cast("long").alias("total"))
+    return materialize(looks.withColumn("clash", F.size(F.array_distinct("asked.first")) < F.size("asked")))
+
+
+def assign_lists(lists: Lists, looks: DataFrame | None = None) -> DataFrame:
     """The assignment over lists: (look, pos, kind) with the values of the option it got.
 
     Where no two requirements of a look have the same first candidate, all of them take theirs, which nothing can exceed;
@@ -477,13 +495,7 @@ def assign_lists(lists: Lists) -> DataFrame:
     and at most eight positions per distinct list, however many rows a look has.
     """
     c = F.col
-    # Positions with the same list are interchangeable: the first of them are served first and
-    # a list of eight serves eight at most, so the others stay without an item.
-    alike = Window.partitionBy("look", "lid").orderBy("pos")
-    rows = lists.rows.repartition("look").withColumn("_n", F.row_number().over(alike)).where(c("_n") <= TOP)
-    looks = rows.groupBy("look").agg(F.collect_list(F.struct("pos", "kind", "lid", "own", "first")).alias("asked"))
-    clash = F.size(F.array_distinct("asked.first")) < F.size("asked")
-    looks = materialize(looks.withColumn("clash", clash))
+    looks = _looks(lists) if looks is None else looks
     asked = lambda which: looks.where(which).select("look", F.inline("asked")).drop("first")
     weights = F.transform("options.similarity", lambda x: F.round(x * 1e9).cast("long")).alias("weights")
     contested = materialize(lists.joined(asked("clash")).select("look", "pos", "kind", "lid", "own", c("options.item").alias("items"), weights))
@@ -494,29 +506,52 @@ def assign_lists(lists: Lists) -> DataFrame:
     return lists.joined(served).withColumn("_o", c("options")[c("at")]).select("look", "pos", "kind", "_o.*")
 
 
+def _signature() -> Column:
+    listed = lambda name: F.array_join(F.array_sort(F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")), ",")
+    return F.concat_ws("|", F.lower(F.trim("category")), *[listed(n) for n in ("colors", "details", "subcategory", "sleeve_length", "length")])
+
+
 def signature(requirements: DataFrame) -> DataFrame:
     """Requirement rows with the signature that makes two of them the same garment."""
-    listed = lambda name: F.array_join(F.array_sort(F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")), ",")
-    made = F.concat_ws("|", F.lower(F.trim("category")), *[listed(n) for n in ("colors", "details", "subcategory", "sleeve_length", "length")])
-    return requirements.select("look", "pos", "category", made.alias("signature"))
+    return requirements.select("look", "pos", "category", _signature().alias("signature"))
 
 
-def collapse(assigned: DataFrame, signed: DataFrame) -> DataFrame:
-    """Keep the best match per look and signature, the earliest position on ties."""
-    rows = assigned.join(signed.select("look", "pos", "signature"), ["look", "pos"])
-    best = F.max_by(F.struct("pos", "item", "category", "similarity", "color_sim", "visual"), F.struct("similarity", -F.col("pos")))
-    return rows.groupBy("look", "signature").agg(best.alias("b")).select("look", "signature", "b.*")
+def collapse(assigned: DataFrame, signs: DataFrame) -> DataFrame:
+    """Keep the best match per look and signature, the earliest position on ties.  ``signs``: kind, sid, signature; one row per kind."""
+    rows = assigned.join(signs, "kind").repartition("look")  # what follows per look needs no other shuffle
+    best = Window.partitionBy("look", "sid").orderBy(F.desc("similarity"), "pos")
+    return rows.withColumn("_at", F.row_number().over(best)).where(F.col("_at") == 1).select(
+        "look", "signature", "pos", "item", "category", "similarity", "color_sim", "visual")
 
 
-def match_summary(kept: DataFrame, signed: DataFrame, looks: DataFrame) -> DataFrame:
-    """Fulfilment, mean similarities, weather hits and the match score of every look.
+def kept_matches(lists: Lists) -> tuple[DataFrame, DataFrame]:
+    """The matches kept per look and signature, and (look, total): how many signatures every look asks for."""
+    looks = _looks(lists)
+    return collapse(assign_lists(lists, looks), lists.signs), looks.select("look", "total")
 
-    A look that is not analysed (``analysis_ready``), or has no pieces, has zeros everywhere.
-    """
+
+def look_sums(kept: DataFrame) -> DataFrame:
+    """(look, fulfilled, similarity, color_similarity, usable); usable looks have at least one good apparel match."""
+    good = F.col("category").isin(dims.APPAREL) & ((F.col("similarity") >= S["keep"]) | (F.col("visual") >= S["keep_visual"]))
+    return kept.groupBy("look").agg(F.count("*").alias("fulfilled"), F.avg("similarity").alias("similarity"),
+                                    F.avg("color_sim").alias("color_similarity"), F.bool_or(good).alias("usable"))
+
+
+def match_summary(kept: DataFrame, signed: DataFrame, looks: DataFrame) -> DataFrame:
+    """Fulfilment, mean similarities, weather hits and the match score of every look; see ``summarized``."""
     totals = signed.groupBy("look").agg(F.count_distinct("signature").alias("total"))
     sums = kept.groupBy("look").agg(F.count("*").alias("fulfilled"), F.avg("similarity").alias("similarity"),
                                     F.avg("color_sim").alias("color_similarity"))
+    return summarized(sums, totals, looks)
+
+
+def summarized(sums: DataFrame, totals: DataFrame, looks: DataFrame) -> DataFrame:
+    """``match_summary`` from the sums of the matches and the number of signatures per look.
+
+    A look that is not analysed (``analysis_ready``), or has no pieces, has zeros everywhere.
+    """
     hits = F.size(F.filter(F.split("weather", ","), lambda w: w.isin(dims.TODAY_WEATHER))).cast("long")
+    sums = sums.select("look", "fulfilled", "similarity", "color_similarity")
     full = looks.select(F.col("id").alias("look"), "analysis_ready", hits.alias("hits")).join(totals, "look", "left").join(sums, "look", "left")
     analyzed = F.col("analysis_ready") & F.col("total").isNotNull()
     full = full.withColumns({"analyzed": analyzed, "weather_hits": F.when(analyzed, F.col("hits")).otherwise(0)})
@@ -527,12 +562,6 @@ def match_summary(kept: DataFrame, signed: DataFrame, looks: DataFrame) -> DataF
         F.floor(F.least(F.lit(98.0), F.round(known("similarity") * 88 + F.col("weather_hits") * 3, 6)) + 0.5).alias("score"), "analyzed")
 
 
-def usable_looks(kept: DataFrame) -> DataFrame:
-    """Looks with at least one good apparel match."""
-    good = F.col("category").isin(dims.APPAREL) & ((F.col("similarity") >= S["keep"]) | (F.col("visual") >= S["keep_visual"]))
-    return kept.groupBy("look").agg(F.bool_or(good).alias("usable"))
-
-
 def default_selection(ranked: DataFrame, chosen: DataFrame, most: int = 3) -> DataFrame:
     """(person, look, default): the looks a person chose, or their first ``most`` ranked ones where they chose none."""
     first = ranked.where(F.col("rank") <= most).select("person", "look").join(chosen.select("person").distinct(), "person", "left_anti")

@@ -169,10 +169,14 @@ def assigned(spark, sf):
     return matching.assign_lists(matching.candidate_lists(*_sides(spark, sf)))
 
 
-def kept(spark, sf):
-    """Matches of the looks that are analysed."""
-    ready = view(spark, sf, "look_v").where("analysis_ready").select(F.col("id").alias("look"))
-    return matching.collapse(assigned(spark, sf).join(ready, "look", "left_semi"), matching.signature(view(spark, sf, "need_v")))
+def _analysed(spark, sf):
+    return view(spark, sf, "look_v").where("analysis_ready").select(F.col("id").alias("look"))
+
+
+def _sums(spark, sf):
+    """Sums of the matches of the looks that are analysed, and the number of signatures of all looks."""
+    kept, totals = matching.kept_matches(matching.candidate_lists(*_sides(spark, sf)))
+    return matching.look_sums(kept).join(_analysed(spark, sf), "look", "left_semi"), totals
 
 
 @query("outfit_assignment", "SELECT look, pos, category, item, similarity, rank FROM assign_v")
@@ -182,19 +186,19 @@ def outfit_assignment(spark, sf):
 
 @query("collapse_duplicates", "SELECT look, signature, pos, item, similarity FROM kept_v")
 def collapse_duplicates(spark, sf):
-    return kept(spark, sf).select("look", "signature", "pos", "item", "similarity")
+    kept, _ = matching.kept_matches(matching.candidate_lists(*_sides(spark, sf)))
+    return kept.join(_analysed(spark, sf), "look", "left_semi").select("look", "signature", "pos", "item", "similarity")
 
 
 @query("match_summary", """SELECT look, fulfilled, total, round(similarity, 6) AS similarity, round(color_similarity, 6) AS color_similarity, weather_hits,
   CAST(floor(least(98.0, round(similarity * 88 + weather_hits * 3, 6)) + 0.5) AS BIGINT) AS score, analyzed FROM summary_v""")
 def match_summary(spark, sf):
-    signed = matching.signature(view(spark, sf, "need_v"))
-    return matching.match_summary(kept(spark, sf), signed, view(spark, sf, "look_v"))
+    return matching.summarized(*_sums(spark, sf), view(spark, sf, "look_v"))
 
 
 @query("usable_looks", "SELECT look, usable FROM usable_v")
 def usable_looks(spark, sf):
-    return matching.usable_looks(kept(spark, sf))
+    return _sums(spark, sf)[0].select("look", "usable")
 
 
 def _body(spark, sf):
@@ -219,11 +223,11 @@ JOIN usable_v u ON u.look = b.look AND u.usable JOIN look_v l ON l.id = b.look J
 def _rank_looks(spark, sf):
     from ..operators.ranking import number_rows
 
-    signed = matching.signature(view(spark, sf, "need_v"))
-    stayed = matching.materialize(kept(spark, sf))  # read twice
+    sums, totals = _sums(spark, sf)
+    sums = matching.materialize(sums)  # read twice
     looks, people = view(spark, sf, "look_v"), view(spark, sf, "person_v")
-    summary = matching.match_summary(stayed, signed, looks).where("analyzed")
-    good = matching.usable_looks(stayed).where("usable").select("look")
+    summary = matching.summarized(sums, totals, looks).where("analyzed")
+    good = sums.where("usable").select("look")
     own = looks.select(F.col("id").alias("look"), "person", "gender").join(people.select(F.col("id").alias("person"), "gender"), ["person", "gender"]).select("look")
     rows = _body(spark, sf).join(summary.select("look", "score"), "look").join(good, "look").join(own, "look", "left_semi")
     rows = rows.withColumn("total", F.col("body_score") + F.col("score"))
@@ -259,10 +263,10 @@ def assemble_options(spark, sf):
     """Uploads, then ready looks, then pending looks, at most 18 slots per person."""
     from ..operators.ranking import top_k
 
-    signed = matching.signature(view(spark, sf, "need_v"))
-    stayed = matching.materialize(kept(spark, sf))  # read twice
-    summary = matching.match_summary(stayed, signed, view(spark, sf, "look_v")).select("look", "score")
-    good = matching.usable_looks(stayed).where("usable").select("look", F.lit(True).alias("usable"))
+    sums, totals = _sums(spark, sf)
+    sums = matching.materialize(sums)  # read twice
+    summary = matching.summarized(sums, totals, view(spark, sf, "look_v")).select("look", "score")
+    good = sums.where("usable").select("look", F.lit(True).alias("usable"))
     looks = view(spark, sf, "look_v").select(F.col("id").alias("look"), (F.col("price") >= 450000).alias("upload"))
     rows = _body(spark, sf).join(looks, "look").join(summary, "look", "left").join(good, "look", "left")
     usable = F.coalesce("usable", F.lit(False))

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from conftest import SF
+
 from lookweave.operators import feedback, matching, quality
 
 
@@ -38,3 +41,16 @@ def test_refine_selection_follows_the_request(spark):
     requests = spark.createDataFrame([(1, False, [], None), (2, True, ["상의", "아우터"], {"아우터": "상의"}), (4, True, None, None)], "photo long, include_rejected boolean, categories array<string>, overrides map<string,string>")
     got = sorted((r["photo"], r["rank"], r["category"], r["target"], r["skipped"]) for r in quality.refine_selection(detections, requests, ["line"], 3).collect())
     assert got == [(1, 1, "하의", "하의", 1), (1, 2, "상의", "상의", 1), (1, 3, "신발", "신발", 1), (2, 1, "상의", "상의", 0), (2, 2, "아우터", "상의", 0)]
+
+
+def test_what_follows_the_assignment_does_not_return_to_the_order_lines(spark):
+    """Signatures are known per kind of requirement; the rows of all looks are derived once, not again for each use."""
+    for name in ("match_summary", "usable_looks", "rank_looks", "assemble_options", "collapse_duplicates"):
+        assert not [f for f in entry.queries()[name](spark, SF).inputFiles() if "lineitem" in f], name
+
+
+def test_totals_count_signatures_of_requirements_beyond_the_lists_and_without_candidates(spark):
+    rows = [(1, p, 7, p % 3, 70, False, 5) for p in range(1, 13)] + [(1, 13, 8, 9, 80, False, None), (2, 1, 8, 9, 80, False, None)]
+    rows = spark.createDataFrame(rows, "look long, pos int, kind long, sid long, lid long, own boolean, first long")
+    looks = matching._looks(matching.Lists(rows, rows.sparkSession.createDataFrame([], "lid long, options array<struct<item:long>>")))
+    assert {r["look"]: (r["total"], len(r["asked"]), r["clash"]) for r in looks.collect()} == {1: (4, 8, True), 2: (1, 0, False)}
