@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import lookup
-from .ranking import first_per, top_k
+from .ranking import top_k
 
 
 def any_of(words: Sequence[str]) -> str:
@@ -50,16 +50,35 @@ def add_layers(items: DataFrame, slot: str = "slot", name: str = "name") -> Data
 
 
 def order_outfits(items: DataFrame, outfit: str, order: str, keep: list[str], limit: int = dims.OUTFIT_LIMIT) -> DataFrame:
-    """Layer order per outfit: one item per slot, a one-piece covers top and bottom, at most ``limit`` items."""
-    layered = add_layers(items)
+    """Layer order per outfit: one item per slot, a one-piece covers top and bottom, at most ``limit`` items.
+
+    Every window is per outfit or finer, so one shuffle serves all of them, and none where the rows already come by outfit.
+    """
+    c = F.col
     columns = [c for c in dict.fromkeys([order, *keep, "layer_rank", "body_slot", "small", "label", "underwear", "slot"])]
-    single = layered.where(F.col("body_slot") != "accessory")
-    # The place in the order decides a slot, so one aggregate finds its holder.
-    holders = first_per(single, [outfit, "body_slot"], F.struct("layer_rank", order), [c for c in columns if c != "body_slot"])
-    covering = holders.where(F.col("body_slot") == "torso+legs").select(outfit, F.explode(F.array(F.lit("torso"), F.lit("legs"))).alias("body_slot"))
-    rows = holders.join(covering, [outfit, "body_slot"], "left_anti").select(outfit, *columns).unionByName(
-        layered.where(F.col("body_slot") == "accessory").select(outfit, *columns))
-    return top_k(rows, [outfit], [F.col("layer_rank"), F.col(order)], limit, "place")
+    # The place in the order decides a slot; of the accessories only the first ``limit`` can find a place.
+    seated = top_k(add_layers(items).select(outfit, *columns), [outfit, "body_slot"], [c("layer_rank"), c(order)], limit, "_n")
+    seated = seated.where((c("body_slot") == "accessory") | ((c("body_slot") != "accessory") & (c("_n") == 1)))
+    rows = seated.withColumn("_covered", _covered(outfit, order)).where(~(c("_covered") & c("body_slot").isin("torso", "legs")))
+    return top_k(rows.select(outfit, *columns), [outfit], [c("layer_rank"), c(order)], limit, "place")
+
+
+def _covered(outfit: str, order: str) -> Column:
+    """Whether an item of the outfit covers top and bottom; in the order of the places, which then need no other sort."""
+    every = Window.partitionBy(outfit).orderBy("layer_rank", order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.coalesce(F.bool_or(F.col("body_slot") == "torso+legs").over(every), F.lit(False))
+
+
+def dropped_items(items: DataFrame, outfit: str, order: str, keep: list[str], limit: int = dims.OUTFIT_LIMIT) -> DataFrame:
+    """The items that ``order_outfits`` leaves out, marked in one pass over the items."""
+    c = F.col
+    layered = add_layers(items).select(outfit, *dict.fromkeys([order, *keep, "layer_rank", "body_slot"])).repartition(outfit)
+    place = Window.partitionBy(outfit).orderBy("layer_rank", order).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.row_number().over(Window.partitionBy(outfit, "body_slot").orderBy("layer_rank", order)) == 1
+    marked = layered.withColumn("_held", F.coalesce((c("body_slot") == "accessory") | ((c("body_slot") != "accessory") & first), F.lit(False)))
+    marked = marked.withColumn("_held", c("_held") & ~(_covered(outfit, order) & F.coalesce(c("body_slot").isin("torso", "legs"), F.lit(False))))
+    marked = marked.withColumn("_place", F.count_if("_held").over(place))
+    return marked.where(~c("_held") | (c("_place") > limit)).select(outfit, *dict.fromkeys([order, *keep]))
 
 
 def captions(ordered: DataFrame, outfit: str) -> DataFrame:

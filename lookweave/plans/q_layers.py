@@ -50,7 +50,7 @@ def layer_order(spark, sf):
 
 @query("dropped_items", "SELECT look, pos, name FROM layer_v l WHERE NOT EXISTS (SELECT 1 FROM worn_v w WHERE w.look = l.look AND w.pos = l.pos)")
 def dropped_items(spark, sf):
-    return outfit_items(spark, sf).select("look", "pos", "name").join(ordered(spark, sf).select("look", "pos"), ["look", "pos"], "left_anti")
+    return layering.dropped_items(outfit_items(spark, sf), "look", "pos", ["name"])
 
 
 @query("keyword_spec", f"SELECT id, {sql_keyword_rules('lower(name)', dims.ACCESSORY_RULES, 0, '70')} AS rank, {sql_keyword_rules('lower(name)', dims.ACCESSORY_RULES, 2, 'false')} AS small FROM item_v WHERE category = '액세서리'")

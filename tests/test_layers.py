@@ -1,8 +1,13 @@
 """Layer order on hand-written outfits."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from conftest import SF
+
 from lookweave import dims
 from lookweave.functions.text import lookup
 from lookweave.operators import layering
@@ -37,3 +42,20 @@ def test_underwear_slots(spark):
     out = {r["name"]: (r["underwear"], r["body_slot"]) for r in layering.add_layers(frame).collect()}
     assert out == {"브라운 자켓": (False, "torso"), "브라운 드로즈": (True, "underwear-legs"), "트렁크 캐리어": (False, "carried"),
                    "속옷": (True, "underwear-accessory")}
+
+
+def test_dropped_items_are_those_without_a_place(spark):
+    rng = random.Random(3)
+    rows = [(look, pos, rng.choice(["upper", "outer", "lower", "overall", "shoes", "bag", "accessory", "accessory", "unknown", None]), rng.choice(["볼캡", "크루 양말", "니트", "드로즈", None]))
+            for look in range(60) for pos in range(1, rng.randint(2, 16))]
+    frame = spark.createDataFrame(rows, "look long, pos int, slot string, name string")
+    worn = {(r["look"], r["pos"]) for r in layering.order_outfits(frame, "look", "pos", ["name"]).collect()}
+    dropped = [(r["look"], r["pos"]) for r in layering.dropped_items(frame, "look", "pos", ["name"]).collect()]
+    assert len(dropped) == len(set(dropped)) and worn and dropped
+    assert set(dropped) | worn == {r[:2] for r in rows} and not set(dropped) & worn
+
+
+def test_places_are_found_without_joins_or_aggregates_over_rows(spark):
+    for name in ("dropped_items", "layer_order"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan and "Aggregate" not in plan, name
