@@ -25,6 +25,7 @@ MOST = 4096  # centroids at most: what travels to every task
 DENSITY = 4  # centroids for n rows: DENSITY x sqrt(n)
 COPIES = 3  # lists that store a row
 SHARE = 0.4  # of the lists of its family that a query reads; vectors without any structure need that many
+CELLS = 1 << 20  # cosines that a task holds at a time, whatever the size of its batches
 REST = -1  # list of rows that have no centroid of their family and length
 
 
@@ -51,11 +52,14 @@ def _nearest(rows: DataFrame, key: str, centroids: DataFrame, wanted) -> DataFra
                     out.append(own.assign(list=REST))
                     continue
                 numbers, c = known[kind]
-                v = np.stack(own["vector"].to_numpy()).astype("float64")
-                cosines = np.round(v @ c.T / np.maximum(1e-12, np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(c, axis=1))), 9)
                 n = min(len(numbers), wanted(len(numbers)))
-                first = np.argsort(-cosines, axis=1, kind="stable")[:, :n]
-                out.append(own.loc[own.index.repeat(n)].assign(list=numbers[first].ravel()))
+                step = max(1, CELLS // len(numbers))
+                for at in range(0, len(own), step):
+                    part = own.iloc[at:at + step]
+                    v = np.stack(part["vector"].to_numpy()).astype("float64")
+                    cosines = np.round(v @ c.T / np.maximum(1e-12, np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(c, axis=1))), 9)
+                    first = np.argsort(-cosines, axis=1, kind="stable")[:, :n]
+                    yield part.loc[part.index.repeat(n)].assign(list=numbers[first].ravel())[["list", key, "family", "vector"]]
             if out:
                 yield pd.concat(out)[["list", key, "family", "vector"]]
 

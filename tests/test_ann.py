@@ -1,6 +1,9 @@
 """The inverted file: recall against the exact search, crowded lists, odd rows, later additions."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 
 from lookweave.operators import ann, vectors
 
@@ -50,3 +53,50 @@ def test_one_crowded_list_and_empty_tables(spark):
     assert {(r["query"], r["id"]) for r in found.collect()} == {(r["query"], r["id"]) for r in vectors.top_similar(queries, rows, 5).collect()}
     assert ann.search(ann.build(rows.limit(0)), queries, 5).count() == 0
     assert ann.search(ann.build(rows), queries.limit(0), 5).count() == 0
+
+
+class _Frames:
+    """Stands for a DataFrame whose partition function is run here."""
+
+    def __init__(self, rows=None):
+        self.rows = rows
+
+    def orderBy(self, _):
+        return self
+
+    def collect(self):
+        return self.rows
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, place, _):
+        return place
+
+
+def _placed(rows, centroids, wanted):
+    place = ann._nearest(_Frames(), "id", _Frames([{"list": i, "family": "a", "vector": v} for i, v in enumerate(centroids)]), lambda n: wanted)
+    tracemalloc.start()
+    out = pd.concat(list(place(iter([rows]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_placing_a_large_batch_holds_a_bounded_number_of_cosines():
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"id": np.arange(10_000), "family": "a", "vector": list(rng.normal(size=(10_000, 8)))})
+    out, peak = _placed(rows, rng.normal(size=(2048, 8)), 3)
+    print(f"peak {peak / 1e6:.0f} MB")
+    assert len(out) == 30_000 and out.groupby("id").size().eq(3).all()
+    assert peak < 100e6
+
+
+def test_rows_are_placed_alike_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"id": np.arange(500), "family": np.where(np.arange(500) % 7 == 0, "b", "a"), "vector": list(rng.integers(-3, 4, (500, 4)).astype(float))}, index=np.arange(500))
+    listed = lambda: sorted(map(tuple, _placed(rows, centroids, 4)[0][["list", "id"]].itertuples(index=False)))
+    centroids = rng.integers(-3, 4, (40, 4)).astype(float)
+    whole = listed()
+    monkeypatch.setattr(ann, "CELLS", 100)
+    assert listed() == whole and (ann.REST, 0) in whole
