@@ -127,7 +127,7 @@ class Sides:
     """Items and requirements with the numbers (hashes) of the texts behind their scores."""
 
     own: DataFrame  # item, source_rank, category, pid (palette), aid (other texts), gender, user_added, vec
-    rows: DataFrame  # look, pos, kind (fields, vector and gender), qid, sid
+    rows: DataFrame  # look, pos, kind (fields, vector and gender), qid, sid; item if the requirements name one
     signs: DataFrame  # kind, sid (number of the signature), signature
     wanted: DataFrame  # qid, wid, r_vec, r_gender
     wishes: DataFrame  # wid, r_category, rpid, bid
@@ -151,19 +151,20 @@ def sides(items: DataFrame, requirements: DataFrame) -> Sides:
     c = F.col
     vec = F.coalesce("vec", F.lit(_NO_VECTOR)).cast("long")
     raw = ["category", *NEEDS]
-    asked = requirements.select("look", "pos", *[F.coalesce(x, F.lit("")).alias(x) for x in raw], vec.alias("r_vec"), c("gender").alias("r_gender"))
+    place = ["look", "pos", *[x for x in ["item"] if x in requirements.columns]]
+    asked = requirements.select(*place, *[F.coalesce(x, F.lit("")).alias(x) for x in raw], vec.alias("r_vec"), c("gender").alias("r_gender"))
     asked = materialize(asked.withColumn("kind", _key([*raw, "r_vec", "r_gender"])))
-    kinds = materialize(asked.drop("look", "pos").distinct())
+    kinds = materialize(asked.drop(*place).distinct())
     needs = need_parts(kinds.select(*raw).distinct()).withColumns({"rpid": F.xxhash64("r_palette"), "bid": F.xxhash64(*_NEED_PARTS)})
     needs = materialize(needs.withColumn("wid", F.xxhash64("category", "rpid", "bid")))
     kinds = kinds.join(needs.select(*raw, "wid"), raw).withColumns({"qid": F.xxhash64("wid", "r_vec", "r_gender"), "signature": _signature()})
     kinds = materialize(kinds.withColumn("sid", F.xxhash64("signature")))
-    rows = asked.select("look", "pos", "kind").join(kinds.select("kind", "qid", "sid"), "kind")
+    rows = asked.select(*place, "kind").join(kinds.select("kind", "qid", "sid"), "kind")
     visible = items.where(~F.coalesce(c("deleted"), F.lit(False))).withColumn("tid", _key(_TEXTS))
     own = materialize(visible.select("tid", *_TEXTS, c("id").alias("item"), "gender", "user_added", vec.alias("vec"), F.coalesce("source_rank", F.lit(999)).alias("source_rank")))
     plain = materialize(item_parts(own.select("tid", *_TEXTS).distinct()).select("tid", "palette", *_ITEM_PARTS))
     cut = materialize(_only_meeting(plain, needs).withColumns({"pid": F.xxhash64("palette"), "aid": F.xxhash64(*_ITEM_PARTS)}))
-    return Sides(materialize(own.join(cut.select("tid", "pid", "aid"), "tid").select("item", "source_rank", "category", "pid", "aid", *_CLASS)), rows.select("look", "pos", "kind", "qid", "sid"), kinds.select("kind", "sid", "signature"),
+    return Sides(materialize(own.join(cut.select("tid", "pid", "aid"), "tid").select("item", "source_rank", "category", "pid", "aid", *_CLASS)), rows.select(*place, "kind", "qid", "sid"), kinds.select("kind", "sid", "signature"),
                  materialize(kinds.select("qid", "wid", "r_vec", "r_gender").distinct()), materialize(needs.select("wid", c("category").alias("r_category"), "rpid", "bid").distinct()),
                  (cut.select("pid", "palette").distinct(), needs.select("rpid", "r_palette").distinct()),
                  (cut.select("aid", *_ITEM_PARTS).distinct(), needs.select("bid", *_NEED_PARTS).distinct()))
@@ -352,12 +353,18 @@ def direct_candidates(both: Sides, references: DataFrame, cosines: DataFrame) ->
     return _score(_scored(pairs, both, cosines), direct=True).select("look", "qid", "r_category", *_VALUE)
 
 
-def pair_similarity(pairs: DataFrame, items: DataFrame, requirements: DataFrame, cosines: DataFrame, references: DataFrame) -> DataFrame:
-    """The parts of the score of given (look, pos, item) pairs; an incompatible pair has a total of 0."""
+def pair_similarity(pairs: DataFrame | None, items: DataFrame, requirements: DataFrame, cosines: DataFrame, references: DataFrame) -> DataFrame:
+    """The parts of the score of given (look, pos, item) pairs; an incompatible pair has a total of 0.
+
+    Without ``pairs`` every requirement is paired with the item it names (its column ``item``), so its row is derived once.
+    """
     c = F.col
     both, cosines = sides(items, requirements), materialize(cosines)
     cut_from = references.select("look", "item").distinct().withColumn("direct", F.lit(True))
-    rows = pairs.join(both.rows, ["look", "pos"]).join(both.own, "item").join(both.wanted, "qid").join(both.wishes, "wid").join(cut_from, ["look", "item"], "left")
+    given = both.rows if pairs is None else pairs.select("look", "pos", "item").join(both.rows, ["look", "pos"])
+    # the shuffles by look and by item carry no more than the keys; what the numbers stand for is added after them
+    rows = given.select("look", "pos", "item", "qid").join(cut_from, ["look", "item"], "left").join(both.own.select("item", "category", "pid", "aid", "vec"), "item")
+    rows = rows.join(both.wanted.join(both.wishes, "wid").select("qid", "r_vec", "r_category", "rpid", "bid"), "qid")
     out = _scored(materialize(rows.withColumn("direct", F.coalesce("direct", F.lit(False)))), both, cosines).withColumn("visual", visual_score(c("cosine")))
     comparable, same = c("cosine").isNotNull(), c("category") == c("r_category")
     fits = (same | (comparable & (c("visual") >= S["category_gate"]))) & (~c("type_conflict") | c("direct") | (comparable & (c("visual") >= S["type_gate"])))

@@ -314,9 +314,8 @@ FROM (SELECT *, 0.03 + color_sim * 0.49 + material_sim * 0.11 + fit_sim * 0.10 +
   LEFT JOIN cos_v c ON c.vec = i.vec AND c.r_vec = q.vec LEFT JOIN ref_v f ON f.look = q.look AND f.item = i.id))""")
 def garment_similarity(spark, sf):
     """The parts of the score of every look piece and the wardrobe item it was ordered as."""
-    needs = view(spark, sf, "need_v")
-    pairs = needs.select("look", "pos", F.col("part").alias("item"))
-    return matching.pair_similarity(pairs, _items(spark, sf), needs, cosines(spark, sf), view(spark, sf, "ref_v"))
+    needs = view(spark, sf, "need_v").withColumnRenamed("part", "item")
+    return matching.pair_similarity(None, _items(spark, sf), needs, cosines(spark, sf), view(spark, sf, "ref_v"))
 
 
 @query("color_similarity", f"""

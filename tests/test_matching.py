@@ -5,8 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from conftest import SF
 from lookweave.functions.color import color_similarity
 from lookweave.operators import matching
+from lookweave.plans import bindings, q_matching
 
 
 def brute(lists):
@@ -173,3 +175,14 @@ def test_color_similarity(spark):
     row = spark.range(1).select(color_similarity(F.lit("블랙"), F.lit("블랙")).alias("a"), color_similarity(F.lit("블랙"), F.lit("차콜")).alias("b"),
                                 color_similarity(F.lit("블랙"), F.lit("화이트")).alias("c"), color_similarity(F.lit("블랙"), F.lit("무엇")).alias("d")).first()
     assert row["a"] == 1.0 and row["a"] > row["b"] > row["c"] and row["d"] == 0.0
+
+
+def test_pairs_named_by_the_requirements_are_as_given_pairs(spark, monkeypatch):
+    read, real = [], bindings.table
+    monkeypatch.setattr(bindings, "table", lambda spark, sf, name: read.append(name) or real(spark, sf, name))
+    got = q_matching.garment_similarity(spark, SF)
+    assert read.count("lineitem") == 2  # the requirements and the references, each once
+    needs = bindings.view(spark, SF, "need_v")
+    pairs = needs.select("look", "pos", F.col("part").alias("item"))
+    given = matching.pair_similarity(pairs, q_matching._items(spark, SF), needs, q_matching.cosines(spark, SF), bindings.view(spark, SF, "ref_v"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, given.collect()))
