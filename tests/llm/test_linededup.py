@@ -2,7 +2,7 @@
 
 import random
 
-from lookweave.llm import linededup
+from lookweave.llm import common, linededup
 
 
 def brute(texts, percent=80):
@@ -74,3 +74,46 @@ def test_dropped_lines_keep_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "one line of words\nother", 5, "a", [1], 2), (2, "one line of words", 6, "b", [2], 3)], "doc_id long, text string, __doc int, __KEPT string, kept array<int>, n_chars long")
     got = linededup.drop_lines(docs, linededup.first_lines(docs), "n_chars")
     assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "one line of words\nother", 5, "a", [1], 2)]
+
+
+def test_words_are_hashed_as_they_are_split():
+    rng, seen = random.Random(9), {}
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else bytes(rng.choices(b"aB \n\t\v\f\r\0\x1c\xc3\xa9", k=rng.choice((0, 1, 5, 90)))) for _ in range(rng.randint(0, 4))]
+        texts.append(b"L" * rng.randint(60, 70) + b" " + b"l" * 64)
+        lines = [line.lower().split() for t in texts for line in (t or b"").split(b"\n")]
+        hashes, counts = common.line_words(texts)
+        assert counts.tolist() == [len(line) for line in lines] == common.word_counts(texts).tolist()
+        words = [w for line in lines for w in line]
+        assert len(hashes) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, hashes.tolist()))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_long_lines(spark):
+    """Sketches of 64 and of 128 places, lines on both sides of the border."""
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(400)]
+    made = [rng.sample(words, rng.randint(50, 150)) for _ in range(25)]
+    for _ in range(75):
+        line = list(rng.choice(made))
+        for _ in range(rng.randint(1, len(line) // 6)):
+            if rng.random() < 0.5:
+                line[rng.randrange(len(line))] = rng.choice(words)
+            else:
+                line.pop()
+        made.append(line)
+    texts = ["\n".join(map(" ".join, made[at:at + 4])) for at in range(0, len(made), 4)]
+    want = brute(texts)
+    assert 10 < len(want) < 75 and removed(rows(spark, texts)) == want
+
+
+def test_postings_travel_together(spark, monkeypatch):
+    """Rows that are dealt out by token are far fewer than the lines."""
+    rng, dealt = random.Random(11), []
+    words = [f"w{i}" for i in range(3000)]
+    texts = ["\n".join(" ".join(rng.sample(words, 40)) for _ in range(10)) for _ in range(200)]
+    docs = rows(spark, texts)
+    plain = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, *by: (dealt.append(self.count()), plain(self, *by))[1])
+    linededup.first_lines(docs)
+    assert dealt and sum(dealt) < 2000
