@@ -31,6 +31,7 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 SLOTS = 1 << 21  # places of a worker's table of words
 KNOWN = 3 * SLOTS // 4  # words in it, at most
+LEARNT, DOCS = 2048, 128  # words that are encoded and documents that are split at a time, as their objects are large
 _STOPS = re.compile(rb"(.*[a-z])([.,]+)", re.DOTALL)
 _SHIFT = 45  # a key of the place table is length << 45 | rank
 
@@ -95,8 +96,11 @@ class WordEncoder:
         parts = list(dict.fromkeys(x for w, c in zip(words, cuts) for x in (c.groups() if c else (w,))))
         held = self._find(_word_hashes(parts))
         fresh = [w for w, e in zip(parts, held) if e < 0]
-        made = self.model.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)
-        found = {w: x.ids for w, x in zip(fresh, made)}
+        found = {}
+        for at in range(0, len(fresh), LEARNT):
+            some = fresh[at:at + LEARNT]
+            made = self.model.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)
+            found |= {w: x.ids for w, x in zip(some, made)}
         known = {w: self.pool[self.start[e]:self.start[e] + self.size[e]].tolist() for w, e in zip(parts, held) if e >= 0}
         ids = found | known
         rows = {h: ids[w] if not c else ids[c[1]] + ids[c[2]] for w, h, c in zip(words, hashes, cuts)}
@@ -169,7 +173,7 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = encoder(path or vocabulary_path()), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in slices(batches):
+        for batch in slices(batches, DOCS):
             rows, begin = [], 0
             ids, ends = words.encode(batch.column(1).cast(pa.binary()).to_pylist())
             for doc, end in zip(batch.column(0).to_pylist(), ends.tolist()):

@@ -106,3 +106,19 @@ def test_plan_places_every_piece_once():
         else:
             room[at] -= length
     assert len(bins) <= len(room)  # no worse than first fit decreasing
+
+
+def test_few_words_are_encodings_at_a_time(model):
+    """An encoding holds many times its word's ids, and a slice may have any number of new words."""
+    words, sizes = packing.WordEncoder(packing.vocabulary_path()), []
+
+    class Counted:
+        def encode_batch_fast(self, some, **how):
+            sizes.append(len(some))
+            return model.encode_batch_fast(some, **how)
+
+    words.model = Counted()
+    text = " ".join(f"word{i}." for i in range(9000))
+    ids, ends = words.encode([text.encode()])
+    assert ids.tolist() == model.encode(text, add_special_tokens=False).ids and ends.tolist() == [len(ids)]
+    assert sum(sizes) >= 9000 and max(sizes) <= 2048
